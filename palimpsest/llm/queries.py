@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from palimpsest.llm import pii, sentencepiece_bpe, sharding, token_files, toxicity
+from palimpsest.llm import minhash_dedup, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity
 from palimpsest.llm.common import shared_dir, table
 
 
@@ -24,6 +24,14 @@ def op2_sharding(spark, sf_dir):
     return sharding.stratified_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), 20, with_text=False)
+
+
+def op7_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op8_token_files(spark, sf_dir):
     path = f"{shared_dir(spark)}/palimpsest/tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), path, model_path("byte_bpe_50k.json"), end_id=2)
@@ -41,5 +49,5 @@ def op10_toxicity(spark, sf_dir):
     return made.withColumn("held_out", toxicity.held_out("doc_id")).select("doc_id", "held_out", "score", "predicted", "n_toxic_tokens", "toxic_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op8_token_files, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring_dedup, op7_minhash_dedup, op8_token_files, op9_pii, op10_toxicity)}
 SQL = {"op2_sharding": sharding.SHARDING_SQL}
