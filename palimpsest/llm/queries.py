@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from palimpsest.llm import minhash_dedup, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity
+from palimpsest.llm import decontamination, html_text, minhash_dedup, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity, vector_dedup
 from palimpsest.llm.common import shared_dir, table
 
 
@@ -28,6 +28,18 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), 20, with_text=False)
 
 
+def op4_vector_dedup(spark, sf_dir):
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op5_html_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op6_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -49,5 +61,5 @@ def op10_toxicity(spark, sf_dir):
     return made.withColumn("held_out", toxicity.held_out("doc_id")).select("doc_id", "held_out", "score", "predicted", "n_toxic_tokens", "toxic_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring_dedup, op7_minhash_dedup, op8_token_files, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring_dedup, op4_vector_dedup, op5_html_text, op6_decontamination, op7_minhash_dedup, op8_token_files, op9_pii, op10_toxicity)}
 SQL = {"op2_sharding": sharding.SHARDING_SQL}
