@@ -99,3 +99,20 @@ def composite(signals: dict[str, Column], intent: str) -> Column:
         if name in signals:
             total = total + w[name] * signals[name]
     return clamp(total, 0.0, 1.0)
+
+
+# What a tier adds to quality.
+TIER_BONUS = {"core": 0.15, "established": 0.10, "relevant": 0.05}
+
+
+def quality(now: Column) -> Column:
+    """From use, hits, age of unused records, tier, confidence and contradictions; between 0 and 1."""
+
+    def used(n: str) -> Column:
+        return F.when(F.col(n) > 0, F.least(F.log10(F.col(n) + F.lit(1.0)) / 2, F.lit(1.0))).otherwise(0.0)
+
+    days = days_between(now, F.coalesce("last_accessed", "created_at"))
+    age = F.when((days > 30) & (F.col("access_count") <= 1), F.least(F.log10(days / 30 + 1), F.lit(1.0)) * 0.15).otherwise(0.0)
+    contra = F.least(F.least(F.col("contradiction_count"), F.lit(10)) * F.lit(0.05), F.lit(1.0)) * 0.05
+    total = used("access_count") * 0.25 + used("search_hit_count") * 0.20 - age + by_value(TIER_BONUS, F.col("tier"), 0.0)
+    return clamp(total + F.coalesce(F.col("confidence"), F.lit(0.5)) * 0.15 - contra, 0.0, 1.0)
