@@ -34,6 +34,8 @@ MAX_DOCUMENTS, MAX_CHARS = 4000, 20_000
 MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6, 7, 8)
 KEPT_WORDS = 300_000
+#: Windows that a step of learning works on at once.
+FIT_WINDOWS = 8192
 ODDS_LIMIT = 1e12
 
 
@@ -119,9 +121,12 @@ def score_of(model: ToxicModel, m: np.ndarray) -> float:
 def token_labels(texts: list[str], labels: np.ndarray) -> dict[str, float]:
     """Features that occur nearly only in documents labelled 1, by smoothed log odds."""
     seen = [defaultdict(int), defaultdict(int)]
-    for t, y in zip(texts, labels, strict=True):
-        for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)}:
-            seen[int(y)][f] += 1
+    for wanted in (1, 0):  # of the others only features of documents labelled 1 matter
+        for t, y in zip(texts, labels, strict=True):
+            if int(y) == wanted:
+                for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)}:
+                    if wanted or f in seen[1]:
+                        seen[wanted][f] += 1
     ones, zeros = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     least = max(3, round(0.003 * ones))
     odds = {f: np.log((n + 0.1) / (ones + 0.2)) - np.log((seen[0].get(f, 0) + 0.1) / (zeros + 0.2)) for f, n in seen[1].items() if n >= least}
@@ -136,45 +141,50 @@ def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5,
     if not 0 < y.sum() < len(y):
         return model
     marks = token_labels(texts, y)
-    words = [WORD.findall(t.lower()) for t in texts]
-    places = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+    places: dict[str, int] = {}
+    sequences = [np.fromiter((places.setdefault(w, len(places)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
     count = Counter(f for w in places for f in features(w))
     names = [f for f, _ in sorted(((f, n) for f, n in count.items() if f in marks or n >= 5), key=lambda p: (p[0] not in marks, -p[1], p[0]))[:MAX_FEATURES]]
     column = {f: i for i, f in enumerate(names)}
     pairs = np.array([(i, column[f]) for w, i in places.items() for f in features(w) if f in column], np.int64).reshape(-1, 2)
     toxic_word = np.array([any(f in marks for f in features(w)) for w in places])
-    sequences = [np.fromiter((places[w] for w in ws), np.int64, len(ws)) for ws in words]
-    at, starts = windows([s.astype(np.float64) for s in sequences])
+    starts = np.concatenate([[0], np.cumsum([-(-len(q) // WINDOW) for q in sequences])]).astype(np.int64)
+    at = np.zeros(int(starts[-1]) * WINDOW, np.int32)
     real = np.zeros(at.size, bool)
     for s, b in zip(sequences, starts, strict=False):
+        at[b * WINDOW : b * WINDOW + len(s)] = s
         real[b * WINDOW : b * WINDOW + len(s)] = True
-    real = real.reshape(at.shape)
-    at = np.where(real, at, 0).astype(np.int64)
+    del sequences
+    at, real = at.reshape(-1, WINDOW), real.reshape(-1, WINDOW)
     of_doc = np.repeat(y > 0, np.diff(starts))
-    truth = (toxic_word[at] & of_doc[:, None] & real).astype(np.float64)
+    truth = toxic_word[at] & of_doc[:, None] & real
+    scale = max(1.0, float(truth.sum()))
 
     weights, bias, trans = np.zeros(len(names)), -4.0, np.zeros(3)
     squares = [np.full(len(names), 1e-3), 1e-3, np.full(3, 1e-3)]
-    both = real[:, 1:] & real[:, :-1]
     for _ in range(steps):
         per_word = np.bincount(pairs[:, 0], weights=weights[pairs[:, 1]], minlength=len(places)) + bias
-        x = np.where(real, np.exp(np.clip(per_word, -25, 25))[at], 1 / ODDS_LIMIT)
-        f, b = ratios(x, tuple(trans))
-        m = f * b
-        p = np.where(real, m / (1 + m), 0)
-        miss = truth - p
-        # Pair marginals of neighbours: weights of (clean, toxic), (toxic, clean), (toxic, toxic) against (clean, clean).
-        r, q = f[:, :-1], x[:, 1:] * b[:, 1:]
-        parts = np.stack([np.exp(trans[0]) * q, np.exp(trans[1]) * r, np.exp(trans[2]) * r * q])
-        parts /= 1 + parts.sum(0)
-        was, now = truth[:, :-1], truth[:, 1:]
-        seen = np.stack([(1 - was) * now, was * (1 - now), was * now])
-        of_word = np.bincount(at[real], weights=miss[real], minlength=len(places))
-        scale = max(1.0, truth.sum())
+        odds = np.exp(np.clip(per_word, -25, 25))
+        of_word, missed, of_pairs = np.zeros(len(places)), 0.0, np.zeros(3)
+        for c in range(0, len(at), FIT_WINDOWS):  # a part at a time: memory doesn't grow with the sample
+            a_, r_, t_ = at[c : c + FIT_WINDOWS], real[c : c + FIT_WINDOWS], truth[c : c + FIT_WINDOWS].astype(np.float64)
+            x = np.where(r_, odds[a_], 1 / ODDS_LIMIT)
+            f, b = ratios(x, tuple(trans))
+            m = f * b
+            miss = t_ - np.where(r_, m / (1 + m), 0)
+            of_word += np.bincount(a_[r_], weights=miss[r_], minlength=len(places))
+            missed += miss.sum()
+            # Pair marginals of neighbours: weights of (clean, toxic), (toxic, clean), (toxic, toxic) against (clean, clean).
+            r, q = f[:, :-1], x[:, 1:] * b[:, 1:]
+            parts = np.stack([np.exp(trans[0]) * q, np.exp(trans[1]) * r, np.exp(trans[2]) * r * q])
+            parts /= 1 + parts.sum(0)
+            was, now = t_[:, :-1], t_[:, 1:]
+            seen = np.stack([(1 - was) * now, was * (1 - now), was * now])
+            of_pairs += ((seen - parts) * (r_[:, 1:] & r_[:, :-1])).sum((1, 2))
         steps_of = [
             np.bincount(pairs[:, 1], weights=of_word[pairs[:, 0]], minlength=len(names)) / scale - decay * weights,
-            miss.sum() / scale,
-            ((seen - parts) * both).sum((1, 2)) / scale - decay * trans,
+            missed / scale,
+            of_pairs / scale - decay * trans,
         ]
         squares = [s + g * g for s, g in zip(squares, steps_of, strict=True)]
         weights = weights + rate * steps_of[0] / np.sqrt(squares[0])
@@ -182,7 +192,8 @@ def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5,
         trans = np.clip(trans + rate * steps_of[2] / np.sqrt(squares[2]), -6, 6)
     model.weights = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3}
     model.bias, model.transitions = float(bias), tuple(map(float, trans))
-    model.curve = _curve(np.array([summary(m) for m in marginals(model, texts)]), y)
+    parts = [texts[k : k + 100] for k in range(0, len(texts), 100)]
+    model.curve = _curve(np.array([summary(m) for part in parts for m in marginals(model, part)]), y)
     return model
 
 
