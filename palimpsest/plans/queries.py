@@ -10,7 +10,9 @@ from palimpsest.operators.predicates import active, confident, in_project, valid
 from palimpsest.sources.tables import MARKERS, co_retrieval_edges, memories, table, tool_calls
 
 QUERIES, SQL = {}, {}
-NOW = F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
+def now():
+    return F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
+
 TS = "TIMESTAMP '2024-02-01 00:00:00'"
 ASKED = [(1, "this from", "src1"), (2, "with was are", "src2"), (3, "be this by", "src3")]
 
@@ -161,7 +163,7 @@ def like_overlap(spark, sf_dir):
 
 @query(f"WITH {KEYWORD_SQL} SELECT * FROM temporal")
 def temporal_path(spark, sf_dir):
-    return retrieval.temporal(memories(spark, sf_dir), asked(spark), 20, NOW)
+    return retrieval.temporal(memories(spark, sf_dir), asked(spark), 20, now())
 
 
 FUSED_SQL = f"""{KEYWORD_SQL},
@@ -172,7 +174,7 @@ fused AS (SELECT query_id, id, 0.27::DOUBLE / (60 + CASE WHEN k > 0 THEN rk ELSE
 
 def _fused(spark, sf_dir):
     m = memories(spark, sf_dir)
-    return m, retrieval.fuse({"keyword": retrieval.bm25(m, asked(spark), 20), "temporal": retrieval.temporal(m, asked(spark), 20, NOW)}, "factual")
+    return m, retrieval.fuse({"keyword": retrieval.bm25(m, asked(spark), 20), "temporal": retrieval.temporal(m, asked(spark), 20, now())}, "factual")
 
 
 @query(f"WITH {FUSED_SQL} SELECT query_id, id, round(rrf, 6) AS rrf FROM fused")
@@ -197,21 +199,21 @@ def hybrid_search(spark, sf_dir):
     m, fused = _fused(spark, sf_dir)
     rows = fused.join(m, "id")
     signals = {
-        "rrf": F.col("rrf"), "recency": scoring.recency(F.col("created_at"), NOW), "importance": F.col("importance"), "confidence": F.coalesce("confidence", F.lit(0.5)),
-        "hebbian": F.lit(0.0), "retention": scoring.retention(F.col("last_accessed"), F.col("strength"), NOW), "depth": F.col("processing_depth"),
+        "rrf": F.col("rrf"), "recency": scoring.recency(F.col("created_at"), now()), "importance": F.col("importance"), "confidence": F.coalesce("confidence", F.lit(0.5)),
+        "hebbian": F.lit(0.0), "retention": scoring.retention(F.col("last_accessed"), F.col("strength"), now()), "depth": F.col("processing_depth"),
     }
     base = scoring.composite(signals, "factual") * F.when(F.col("superseded_by").isNotNull(), 0.5).otherwise(1.0)
-    return retrieval.top(rows.select("query_id", "id", (0.85 * base + 0.15 * scoring.quality(NOW)).alias("score")), 10)
+    return retrieval.top(rows.select("query_id", "id", (0.85 * base + 0.15 * scoring.quality(now())).alias("score")), 10)
 
 
 @query(f"WITH {MEMORIES_SQL} SELECT id, round({CONFIDENCE_SQL}, 6) AS effective FROM memories")
 def effective_confidence(spark, sf_dir):
-    return memories(spark, sf_dir).select("id", F.round(scoring.effective_confidence(NOW), 6).alias("effective"))
+    return memories(spark, sf_dir).select("id", F.round(scoring.effective_confidence(now()), 6).alias("effective"))
 
 
 @query(f"WITH {MEMORIES_SQL} SELECT id, round({QUALITY_SQL}, 6) AS quality FROM memories")
 def quality_score(spark, sf_dir):
-    return memories(spark, sf_dir).select("id", F.round(scoring.quality(NOW), 6).alias("quality"))
+    return memories(spark, sf_dir).select("id", F.round(scoring.quality(now()), 6).alias("quality"))
 
 
 ACT_R_SQL = f"pow(1 + {{b}} * greatest({days_sql('last_accessed')}, 0), -{{c}})".format(
@@ -221,7 +223,7 @@ ACT_R_SQL = f"pow(1 + {{b}} * greatest({days_sql('last_accessed')}, 0), -{{c}})"
 
 @query(f"WITH {MEMORIES_SQL}, r AS (SELECT *, {ACT_R_SQL} AS r FROM memories WHERE deleted_at IS NULL AND importance < 0.9), s AS (SELECT id, round(greatest(strength * (r + (1 - r) * coalesce(processing_depth, 0) * 0.3), 0.1), 6) AS new, strength AS was FROM r) SELECT id, new AS strength FROM s WHERE abs(was - new) > 0.001")
 def act_r_decay(spark, sf_dir):
-    return analysis.decay(memories(spark, sf_dir), NOW)
+    return analysis.decay(memories(spark, sf_dir), now())
 
 
 @query(f"WITH {MEMORIES_SQL} SELECT id, round(least(coalesce(confidence, 0.5) + 0.05, 0.95), 6) AS confidence FROM memories WHERE access_count > 3 AND coalesce(confidence, 0.5) < 0.95")
