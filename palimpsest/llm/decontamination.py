@@ -55,12 +55,19 @@ def template_sql(text: str) -> str:
     return f"element_at(transform(array({words}), r -> element_at(transform(array({bare}), b -> {made}), 1)), 1)"
 
 
-def windows_sql(template: str, lengths: list[int]) -> str:
-    """SQL of array<struct<place, hash>>: the windows of a template, of each of the lengths, that have few placeholders."""
-    slots = "size(filter(slice(c.t, i, {0}), t -> left(t, 1) = '<' and right(t, 1) = '>'))"
-    one = "transform(filter(if(size(c) >= {0}, sequence(1, size(c) - {0} + 1), array()), i -> " + slots + " <= {1}), i -> struct(i as place, xxhash64(slice(c.t, i, {0})) as hash))"
-    every = ", ".join(one.format(n, int(n * MOST_SLOTS)) for n in lengths)
-    return f"element_at(transform(array({template}), c -> concat({every})), 1)"
+def windows_sql(template: str, lengths: list[int], few_slots: bool) -> str:
+    """SQL of array<struct<place, hash>>: the windows of a template, of each of the lengths.
+
+    few_slots: only windows that are mostly words. The benchmark's are chosen so; a document's
+    other windows then have no equal among them. The words are bound once, not taken from the structs for each window.
+    """
+    every = []
+    for n in lengths:
+        places = f"if(size(t) >= {n}, sequence(1, size(t) - {n} + 1), array())"
+        if few_slots:
+            places = f"filter({places}, i -> size(filter(slice(t, i, {n}), w -> left(w, 1) = '<' and right(w, 1) = '>')) <= {int(n * MOST_SLOTS)})"
+        every.append(f"transform({places}, i -> struct(i as place, xxhash64(slice(t, i, {n})) as hash))")
+    return f"element_at(transform(array({template}), c -> element_at(transform(array(c.t), t -> concat({', '.join(every)})), 1)), 1)"
 
 
 def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -68,12 +75,12 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     items = benchmark.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text")).where("item IS NOT NULL").dropDuplicates(["item"])
     items = staged(items.select("item", F.expr(template_sql("text")).alias("c")).withColumn("n", F.least(F.size("c"), F.lit(WINDOW))).where(F.col("n") >= SHORTEST), "items")
     lengths = sorted(r.n for r in items.select("n").distinct().collect()) or [WINDOW]
-    own = "CASE n " + " ".join(f"WHEN {n} THEN {windows_sql('c', [n])}" for n in lengths) + " END"
+    own = "CASE n " + " ".join(f"WHEN {n} THEN {windows_sql('c', [n], True)}" for n in lengths) + " END"
     wanted = staged(items.select("item", F.explode(F.expr(own)).alias("w")).select("item", F.col("w.place").alias("item_place"), "w.hash"), "wanted")
     totals = wanted.groupBy("item").agg(F.count("*").alias("n_windows"))
 
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID)).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = docs.select("doc", F.explode(F.expr(windows_sql(template_sql("text"), lengths))).alias("w")).select("doc", F.col("w.place").alias("place"), "w.hash")
+    found = docs.select("doc", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False))).alias("w")).select("doc", F.col("w.place").alias("place"), "w.hash")
     hits = found.join(wanted, "hash").select("doc", "item", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     hits = staged(hits, "hits")
 
