@@ -10,8 +10,9 @@
    own documents first and passes on only their centres: a bucket with a third of all documents
    costs one entry a task.
 4. Candidates are confirmed on the full sets. First each document tries the centre it shares most
-   buckets with; then, round by round, all stars between documents not yet connected, until a round
-   finds no link. Rounds after the first have only documents that share a bucket with another.
+   buckets with; then, round by round, all stars between documents not yet connected (the first of
+   these rounds makes the first stars anew), until a round finds no link. Rounds after the first
+   have only documents that share a bucket with another.
 
 Chance that two sets of similarity 0.85 share none of the 48 bands: (1 - 0.85^8)^48 = 2e-7.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import parts_for, staged
-from palimpsest.llm.components import components
+from palimpsest.llm.components import components, merged
 from palimpsest.llm.hashing import mix, packed, pieces, powers, unpacked, windows_of, words_of
 
 BANDS, ROWS = 48, 8
@@ -225,19 +226,15 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     best = W.partitionBy("member").orderBy(F.desc("n"), "centre")
     sided = edges.select(F.col("b").alias("member"), F.col("a").alias("centre"), "n").withColumn("r", F.row_number().over(best)).where("r = 1")
     links = staged(confirmed(sided.select(F.col("centre").alias("a"), F.col("member").alias("b")), texts, words, percent), "links")
+    roots = components(links)
     turn = 0
     while True:
-        roots = components(links)
         now = unjoined.join(roots, "id", "left").select("id", F.coalesce("root", "comp").alias("comp"), "bands")
-        if turn:
-            edges = candidates(now, turn)
-        else:  # the first stars, as far as they connect what is apart
-            comp = now.select("id", "comp")
-            edges = edges.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
+        edges = candidates(now, turn)  # turn 0: the first stars, as far as they connect what is apart
         more = staged(confirmed(edges, texts, words, percent), "links")
         if more.isEmpty() and turn:
             break
-        links = links.union(more)
+        roots = merged(roots, more)
         turn += 1
     by_class = staged(classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "by_class")
     # A class may hold a third of all rows: both sides come from tables, so Spark can split it.

@@ -93,3 +93,18 @@ def test_toxicity_learns_marked_words():
     model = toxicity.fit(clean + toxic, [0] * 60 + [1] * 60)
     scores = [toxicity.score_of(model, m) for m in toxicity.marginals(model, [prose(40), prose(30) + " vilewordly", ""])]
     assert scores[0] < 0.5 < scores[1] and scores[2] < 0.5
+
+
+def test_components(spark):
+    from palimpsest.llm.components import components, merged
+
+    path = [(i, i + 1) for i in range(1, 40)]
+    star = [(100, i) for i in range(101, 140)] + [(100, 100), (105, 101), (105, 101)]
+    zigzag = [(200, 290), (290, 210), (210, 280), (280, 205), (205, 300)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = components(frame(path + star + zigzag))
+    got = {r.id: r.root for r in first.collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in (200, 205, 210, 280, 290, 300)}}
+    more = {r.id: r.root for r in merged(first, frame([(300, 120), (500, 501), (7, 600)])).collect()}
+    assert more == {i: 100 if r == 200 else r for i, r in got.items()} | {500: 500, 501: 500, 600: 1}
+    assert components(frame([])).count() == 0 and merged(first, frame([])).count() == len(got)
