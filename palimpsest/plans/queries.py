@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.operators import analysis, enrichment, retrieval, scoring
+from palimpsest.operators import analysis, enrichment, graph, ingest, retrieval, scoring
 from palimpsest.operators.predicates import active, confident, in_project, valid_at, visible_to
 from palimpsest.sources.tables import MARKERS, co_retrieval_edges, memories, table, tool_calls
 
@@ -332,3 +332,63 @@ def concept_path(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding", "label AS concept", "1.0D AS probability")
     asked_for = e.where("id % 100 = 0").selectExpr("id AS query_id", "embedding AS vector")
     return retrieval.concepts(e, analysis.centroids(e), asked_for, 10, 0.1)
+
+
+@query(f"""WITH {MEMORIES_SQL} SELECT id, CASE WHEN access_count >= 10 THEN 'core' WHEN tier = 'ephemeral' AND access_count >= 5 THEN 'established' WHEN tier = 'ephemeral' AND access_count >= 2 THEN 'relevant' ELSE tier END AS tier
+  FROM memories WHERE deleted_at IS NULL""")
+def tier_backfill(spark, sf_dir):
+    return memories(spark, sf_dir).where(active()).select("id", ingest.tier_by_use(F.col("access_count"), F.col("tier")).alias("tier"))
+
+
+@query(f"WITH {MEMORIES_SQL} SELECT id, coalesce(valid_from, created_at) AS valid_from FROM memories")
+def valid_from_backfill(spark, sf_dir):
+    return memories(spark, sf_dir).select("id", F.coalesce("valid_from", "created_at").alias("valid_from"))
+
+
+@query("""SELECT conv_id, turn, 0::BIGINT AS part, CASE WHEN strlen(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END AS content FROM conversations WHERE strlen(text) >= 50
+UNION ALL SELECT conv_id, turn, 1, CASE WHEN strlen(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END FROM conversations WHERE strlen(text) >= 50 AND turn % 3 = 1""")
+def transcript_extract(spark, sf_dir):
+    """Conversations as transcript lines: message with text, message with two equal blocks, or content at the top."""
+    c = table(spark, sf_dir, "conversations")
+    blocks = F.expr("to_json(named_struct('message', named_struct('role', role, 'content', array(named_struct('type', 'text', 'text', text), named_struct('type', 'text', 'text', text)))))")
+    line = F.when(c.turn % 3 == 0, F.expr("to_json(named_struct('message', named_struct('role', role, 'content', text)))")).when(c.turn % 3 == 1, blocks).otherwise(F.expr("to_json(named_struct('content', text))"))
+    return ingest.transcript_texts(c.select(F.struct("conv_id", "turn").alias("line_id"), line.alias("line"))).select("line_id.*", "part", "content")
+
+
+RELATIONS_SQL = """relations AS (SELECT event_id % 300 AS from_id, user_id AS to_id, event_type AS relation_type, value AS weight FROM events WHERE event_type <> 'error')"""
+
+
+def relations(spark, sf_dir):
+    """Entity edges out of events; errors are invalidated ones."""
+    return table(spark, sf_dir, "events").selectExpr("event_id % 300 AS from_id", "user_id AS to_id", "event_type AS relation_type", "value AS weight", "CASE WHEN event_type = 'error' THEN ts END AS valid_to")
+
+
+@query(f"""WITH {RELATIONS_SQL} SELECT from_id AS id, to_id AS other, relation_type, weight, 'outgoing' AS direction FROM relations WHERE from_id IN (SELECT range FROM range(0, 200, 20))
+UNION ALL SELECT to_id, from_id, relation_type, weight, 'incoming' FROM relations WHERE to_id IN (SELECT range FROM range(0, 200, 20))""")
+def edge_query(spark, sf_dir):
+    return graph.edges_of(relations(spark, sf_dir), spark.range(0, 200, 20))
+
+
+@query("""WITH RECURSIVE links AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem WHERE l_quantity = 1), seeds AS (SELECT DISTINCT src AS seed FROM links WHERE src % 50 = 0),
+both_ways AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), walk AS (SELECT seed, seed AS id, 0 AS steps FROM seeds UNION SELECT seed, dst, steps + 1 FROM walk JOIN both_ways ON id = src WHERE steps < 3)
+SELECT seed, id, min(steps) AS steps FROM walk GROUP BY 1, 2 HAVING min(steps) > 0""")
+def code_neighbours(spark, sf_dir):
+    """Parts and suppliers as a catalogue of linked items: three steps from the parts asked for."""
+    links = table(spark, sf_dir, "lineitem").where("l_quantity = 1").selectExpr("l_partkey AS src", "l_suppkey + 1000000 AS dst")
+    return graph.reached(links.union(links.select("dst", "src")), links.where("src % 50 = 0").selectExpr("src AS id"), 3)
+
+
+TYPES_SQL = "types AS (SELECT 'region ' || r_name AS name, 'place' AS parent FROM region UNION ALL SELECT 'place', NULL UNION ALL SELECT 'nation ' || n_name, 'region ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"""WITH RECURSIVE {TYPES_SQL}, up AS (SELECT name, parent AS ancestor, 1 AS steps FROM types WHERE parent IS NOT NULL UNION ALL SELECT up.name, parent, steps + 1 FROM up JOIN types t ON t.name = ancestor WHERE parent IS NOT NULL),
+own AS (SELECT t.name, count(s_suppkey) AS n FROM types t LEFT JOIN (SELECT s_suppkey, 'nation ' || n_name AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON type = t.name GROUP BY 1)
+SELECT own.name, coalesce((SELECT max(steps) FROM up WHERE up.name = own.name), 0)::BIGINT AS depth, (SELECT count(*) FROM up WHERE ancestor = own.name) AS n_subtypes,
+  (n + coalesce((SELECT sum(b.n) FROM up JOIN own b ON b.name = up.name WHERE up.ancestor = own.name), 0))::BIGINT AS n_entities FROM own""")
+def type_hierarchy(spark, sf_dir):
+    """Places: a top type, regions, nations; suppliers are the entities of nations."""
+    region, nation, supplier = (table(spark, sf_dir, n) for n in ("region", "nation", "supplier"))
+    within = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("'nation ' || n_name AS name", "'region ' || r_name AS parent")
+    types = region.selectExpr("'region ' || r_name AS name", "'place' AS parent").union(spark.createDataFrame([("place", None)], "name string, parent string")).union(within)
+    entities = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("'nation ' || n_name AS type")
+    return graph.type_summary(types, entities)
