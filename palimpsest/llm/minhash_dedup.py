@@ -10,9 +10,13 @@
    own documents first and passes on only their centres: a bucket with a third of all documents
    costs one entry a task.
 4. Candidates are confirmed on the full sets. First each document tries the centre it shares most
-   buckets with; then, round by round, all stars between documents not yet connected (the first of
-   these rounds makes the first stars anew), until a round finds no link. Rounds after the first
-   have only documents that share a bucket with another.
+   buckets with; then ROUNDS rounds of all stars between documents not yet connected (the first of
+   these rounds makes the first stars anew). Rounds after the first have only documents that share a
+   bucket with another.
+5. Stars connect most copies but prove nothing about the rest: a member has met only the centres
+   drawn. So at last all pairs of a bucket that are still in different components are compared on
+   full sets, those outside its largest component with all its members, in blocks of bounded size.
+   A task gives a spanning forest of its links only. After this no pair that shares a bucket is open.
 
 Chance that two sets of similarity 0.85 share none of the 48 bands: (1 - 0.85^8)^48 = 2e-7.
 """
@@ -39,6 +43,10 @@ TRIES = 64 * BINS
 BLOCKS = 2
 HELD = 1 << 21
 BLOCK = "part int, known boolean, block binary"
+#: Rounds of stars before all open pairs are compared: they only save comparisons.
+ROUNDS = 2
+#: Members outside a bucket's largest component, and members, that are compared at once; hashes a product of matrices has.
+OUTSIDE, MEMBERS, HASHES = 256, 512, 4096
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -203,6 +211,101 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(alike("text_a", "text_b")).select("a", "b")
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of common values of each set in x with each in y; a set's values are distinct."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    xo, yo = (np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (x, y))
+    values, first, xc = np.unique(np.concatenate(x), return_index=True, return_inverse=True)
+    ya = np.concatenate(y)
+    yc = np.minimum(np.searchsorted(values, ya), len(values) - 1)
+    same = values[yc] == ya
+    yo, yc = yo[same], yc[same]
+    # Columns are values of both sides in the order of x, so a slice of long sets has few rows.
+    both = np.zeros(len(values), bool)
+    both[yc] = True
+    place = np.full(len(values), -1)
+    order = np.argsort(first)
+    order = order[both[order]]
+    place[order] = np.arange(len(order))
+    xc, yc = place[xc], place[yc]
+    xo, xc = xo[xc >= 0], xc[xc >= 0]
+    sides = []
+    for owner, column in ((xo, xc), (yo, yc)):
+        by_column = np.argsort(column, kind="stable")
+        sides.append((owner[by_column], column[by_column]))
+    for start in range(0, len(order), HASHES):
+        rows, blocks = [], []
+        for owner, column in sides:
+            a, b = np.searchsorted(column, (start, start + HASHES))
+            have, row = np.unique(owner[a:b], return_inverse=True)
+            block = np.zeros((len(have), min(HASHES, len(order) - start)), np.float32)
+            block[row, column[a:b] - start] = 1
+            rows.append(have)
+            blocks.append(block)
+        out[np.ix_(*rows)] += (blocks[0] @ blocks[1].T).astype(np.int64)
+    return out
+
+
+def open_links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all that is alike among classes (id, comp, bands): every pair of different comp in a bucket is compared."""
+    parts = BLOCKS * parts_for(classes.sparkSession)
+
+    def spread(batches):
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            ids, comps = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(comps)], ["key", "id", "comp"])
+
+    @F.arrow_udf("binary")
+    def shingles(given: pa.Array) -> pa.Array:
+        out = []
+        for a, b, owner, hashes in shingle_sets(given, words):
+            out += [s.tobytes() for s in np.split(hashes, np.cumsum(np.bincount(owner, minlength=b - a))[:-1])]
+        return pa.array(out, pa.binary())
+
+    def compared(table: pa.Table) -> pa.Table:
+        key, xblock, yblock, outside, ids, comps = (table.column(c).to_numpy() for c in ("key", "xblock", "yblock", "outside", "id", "comp"))
+        sets = table.column("set")
+        order = np.lexsort((ids, outside, yblock, xblock, key))
+        new = np.zeros(len(order), bool)
+        for c in (key, xblock, yblock):
+            new[1:] |= c[order][1:] != c[order][:-1]
+        links = []
+        for group in np.split(order, np.flatnonzero(new)):
+            x, y = group[outside[group]], group[~outside[group]]
+            if not len(x) or not len(y):
+                continue
+            xs, ys = ([np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in side] for side in (x, y))
+            common = overlaps(xs, ys)
+            total = np.array([len(v) for v in xs])[:, None] + np.array([len(v) for v in ys])
+            root: dict[int, int] = {}
+
+            def end(c, root=root):
+                while c in root:
+                    c = root[c]
+                return c
+
+            for i, j in np.argwhere((100 * common >= percent * (total - common)) & (comps[x][:, None] != comps[y])).tolist():
+                a, b = end(int(comps[x[i]])), end(int(comps[y[j]]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    links.append((ids[x[i]], ids[y[j]]))
+        made = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(made.min(1)), pa.array(made.max(1))], ["a", "b"])
+
+    members = staged(classes.select("id", "comp", "bands").mapInArrow(spread, "key long, id long, comp long"), "members")
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = mixed.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / OUTSIDE).alias("nx"), F.ceil(F.col("n") / MEMBERS).alias("ny"))
+    rows = staged(members.join(staged(blocks, "mixed"), "key"), "open")
+    some = texts.join(rows.select("id").distinct(), "id", "left_semi")
+    sets = staged(some.select("id", shingles("text").alias("set")), "sets")
+    every = rows.select("key", "id", "comp", F.lit(False).alias("outside"), F.explode(F.expr("sequence(0, nx - 1)")).alias("xblock"), F.expr("pmod(xxhash64(id), ny)").alias("yblock"))
+    outside = rows.where("comp <> main").select("key", "id", "comp", F.lit(True).alias("outside"), F.expr("pmod(xxhash64(id, key), nx)").alias("xblock"), F.explode(F.expr("sequence(0, ny - 1)")).alias("yblock"))
+    placed = every.unionByName(outside).withColumn("part", F.expr(f"pmod(xxhash64(key, xblock, yblock), {parts})"))
+    return placed.join(sets, "id").groupBy("part").applyInArrow(compared, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id, kept.
 
@@ -227,15 +330,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     sided = edges.select(F.col("b").alias("member"), F.col("a").alias("centre"), "n").withColumn("r", F.row_number().over(best)).where("r = 1")
     links = staged(confirmed(sided.select(F.col("centre").alias("a"), F.col("member").alias("b")), texts, words, percent), "links")
     roots = components(links)
-    turn = 0
-    while True:
+    for turn in range(ROUNDS):
         now = unjoined.join(roots, "id", "left").select("id", F.coalesce("root", "comp").alias("comp"), "bands")
         edges = candidates(now, turn)  # turn 0: the first stars, as far as they connect what is apart
-        more = staged(confirmed(edges, texts, words, percent), "links")
-        if more.isEmpty() and turn:
-            break
-        roots = merged(roots, more)
-        turn += 1
+        roots = merged(roots, staged(confirmed(edges, texts, words, percent), "links"))
+    now = unjoined.join(roots, "id", "left").select("id", F.coalesce("root", "comp").alias("comp"), "bands")
+    roots = merged(roots, staged(open_links(now, texts, words, percent), "open_links"))
     by_class = staged(classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "by_class")
     # A class may hold a third of all rows: both sides come from tables, so Spark can split it.
     out = docs.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")

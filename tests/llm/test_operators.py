@@ -51,6 +51,26 @@ def test_near_duplicates(spark, texts):
     assert got[4][1] == 4
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Copies that are like one original (0.88) but not like each other (under 0.84): only the original connects them."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    words = [word(5) for _ in range(200)]
+    rows = [(5000, " ".join(words))]
+    for i in range(80):
+        own = list(words)
+        for k in 4 * rng.choice(49, 4, replace=False) + 2:
+            own[k] = word(9)
+        rows.append((i + 1, " ".join(own)))
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs(spark, rows).repartition(4, "doc_id"), 3, 85).collect()}
+    assert got == {i: (1, i == 1) for i, _ in rows}
+
+
+def test_overlaps():
+    sets = [np.unique(RNG.integers(0, 9000, n)).astype(np.uint64) for n in (0, 1, 50, 7000, 6000)]
+    assert minhash_dedup.overlaps(sets, sets[1:]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets]
+
+
 def test_near_vectors(spark):
     base = RNG.normal(size=(12, 16))
     vectors = [v + RNG.normal(size=16) * s for v in base for s in (0, 0.02, 0.05, 0.3)]
