@@ -134,9 +134,9 @@ def token_labels(texts: list[str], labels: np.ndarray) -> dict[str, float]:
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> ToxicModel:
-    """A model from labelled texts. Without any text, or without both labels, the prior score alone."""
+    """A model from labelled texts. Without any text, or without both labels, the prior score alone, under 1/2 without a label 1."""
     y = np.array(labels, np.float64)
-    prior = (y.sum() + 0.5) / (len(y) + 1.0)
+    prior = (y.sum() + 0.5) / (len(y) + (1.0 if y.any() else 2.0))
     model = ToxicModel(curve=(float(np.log(prior / (1 - prior))), 0.0, 0.0))
     if not 0 < y.sum() < len(y):
         return model

@@ -115,6 +115,15 @@ def test_toxicity_learns_marked_words():
     assert scores[0] < 0.5 < scores[1] and scores[2] < 0.5
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 0, None), (2, 0, None)]])
+def test_toxicity_without_labels_keeps_documents(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = docs(spark, [(1, prose(30)), (2, ""), (3, None)])
+    assert {r.doc_id for r in corpus_pipeline.without_toxic(spark, rows, str(tmp_path)).collect()} == {1, 2, 3}
+
+
 def test_components(spark):
     from palimpsest.llm.components import components, merged
 
