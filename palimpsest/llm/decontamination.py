@@ -5,7 +5,10 @@
    changed keeps its template.
 2. Windows of WINDOW template words are hashed and joined with the benchmark's by hash. A window
    of placeholders mostly says nothing and isn't used. Items of SHORTEST to WINDOW - 1 words are one window
-   of their own length; shorter ones are too little text to be told from chance and match nothing.
+   of their own length. Shorter items, and those that have only windows of placeholders, are matched
+   by their bare words in lower case instead, without placeholders.
+   An item's first word is never a name in the item. In a document a window that begins with a name
+   is therefore hashed with the plain word too.
 3. Hits of a document and an item on one diagonal (equal difference of places) are one copy. Slots
    must be consistent in it: a value of the item has one value in the document. Others are out.
 4. An item is in a document if SHARE of its windows or more are in consistent copies.
@@ -55,8 +58,8 @@ def template_sql(text: str) -> str:
     return f"element_at(transform(array({words}), r -> element_at(transform(array({bare}), b -> {made}), 1)), 1)"
 
 
-def windows_sql(template: str, lengths: list[int], few_slots: bool) -> str:
-    """SQL of array<struct<place, hash>>: the windows of a template, of each of the lengths.
+def windows_sql(template: str, lengths: list[int], few_slots: bool, bare: list[int] | None = None) -> str:
+    """SQL of array<struct<place, hash>>: the windows of a template, of each of the lengths, and of its bare words, of the lengths in bare.
 
     few_slots: only windows that are mostly words. The benchmark's are chosen so; a document's
     other windows then have no equal among them. The words are bound once, not taken from the structs for each window.
@@ -67,20 +70,30 @@ def windows_sql(template: str, lengths: list[int], few_slots: bool) -> str:
         if few_slots:
             places = f"filter({places}, i -> size(filter(slice(t, i, {n}), w -> left(w, 1) = '<' and right(w, 1) = '>')) <= {int(n * MOST_SLOTS)})"
         every.append(f"transform({places}, i -> struct(i as place, xxhash64(slice(t, i, {n})) as hash))")
-    return f"element_at(transform(array({template}), c -> element_at(transform(array(c.t), t -> concat({', '.join(every)})), 1)), 1)"
+        if not few_slots:
+            every.append(f"transform(filter({places}, i -> t[i - 1] = '<name>'), i -> struct(i as place, xxhash64(concat(slice(b, i, 1), slice(t, i + 1, {n - 1}))) as hash))")
+    for n in bare or []:
+        every.append(f"transform(if(size(b) >= {n}, sequence(1, size(b) - {n} + 1), array()), i -> struct(i as place, xxhash64(slice(b, i, {n}), 'bare') as hash))")
+    return f"element_at(transform(array({template}), c -> element_at(transform(array(c.t), t -> element_at(transform(array(c.raw), b -> concat({', '.join(every)})), 1)), 1)), 1)"
 
 
 def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc, item, n_windows, n_found) of each document and item with a consistent hit; n_found of the item's n_windows windows."""
     items = benchmark.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text")).where("item IS NOT NULL").dropDuplicates(["item"])
-    items = staged(items.select("item", F.expr(template_sql("text")).alias("c")).withColumn("n", F.least(F.size("c"), F.lit(WINDOW))).where(F.col("n") >= SHORTEST), "items")
-    lengths = sorted(r.n for r in items.select("n").distinct().collect()) or [WINDOW]
+    items = staged(items.select("item", F.expr(template_sql("text")).alias("c")).withColumn("n", F.least(F.size("c"), F.lit(WINDOW))).where("n > 0"), "items")
+    lengths = sorted(r.n for r in items.where(F.col("n") >= SHORTEST).select("n").distinct().collect()) or [WINDOW]
     own = "CASE n " + " ".join(f"WHEN {n} THEN {windows_sql('c', [n], True)}" for n in lengths) + " END"
-    wanted = staged(items.select("item", F.explode(F.expr(own)).alias("w")).select("item", F.col("w.place").alias("item_place"), "w.hash"), "wanted")
+    made = staged(items.select("item", "n", "c", F.expr(own).alias("w")), "own")
+    few = made.where("w IS NULL OR size(w) = 0")
+    bare = sorted(r.n for r in few.select("n").distinct().collect())
+    windows = made.where("size(w) > 0").select("item", F.explode("w").alias("w"))
+    for n in bare:
+        windows = windows.unionByName(few.where(F.col("n") == n).select("item", F.explode(F.expr(windows_sql("c", [], True, [n]))).alias("w")))
+    wanted = staged(windows.select("item", F.col("w.place").alias("item_place"), "w.hash"), "wanted")
     totals = wanted.groupBy("item").agg(F.count("*").alias("n_windows"))
 
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID)).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = docs.select("doc", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False))).alias("w")).select("doc", F.col("w.place").alias("place"), "w.hash")
+    found = docs.select("doc", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False, bare))).alias("w")).select("doc", F.col("w.place").alias("place"), "w.hash")
     hits = found.join(wanted, "hash").select("doc", "item", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     hits = staged(hits, "hits")
 
@@ -99,7 +112,7 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """One row per row of df: key, n_items (benchmark items in it), first_item (the least), n_found (their windows), contaminated.
 
-    Null and empty texts hold no item; null or short items are in no document. Rows that repeat a key are
+    Null and empty texts hold no item; null and empty items are in no document. Rows that repeat a key are
     judged together, so are rows without a key. Other columns are not read.
     """
     pairs = matches(df, benchmark, key, text).where(F.col("n_found") >= share * F.col("n_windows"))

@@ -108,6 +108,15 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontamination.clean(docs(spark, rows), bench).collect()} == {3, 4, 5, 6}
 
 
+def test_decontamination_of_short_items(spark):
+    question, short, numbers = "What is the largest lake of Africa", "Lake Victoria", "3 5 8 13 21 34 55 89 144 233"
+    bench = spark.createDataFrame([(1, question), (2, short), (3, numbers)], "item_id long, text string")
+    rows = [(1, f"Question\n{question}"), (2, f"{prose(9)}, {question} {prose(9)}"), (3, f"{prose(5)} lake victoria. {prose(5)}"), (4, f"{prose(5)} {numbers} {prose(5)}")]
+    rows += [(5, "and Paris is the largest lake of Africa"), (6, "Lake Tana"), (7, "4 6 9 14 22 35 56 90 145 234"), (8, "")]
+    got = {r.doc_id: r.first_item for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 3, 5: None, 6: None, 7: None, 8: None}
+
+
 def test_toxicity_learns_marked_words():
     clean, toxic = [prose(40) for _ in range(60)], [prose(20) + " vilewordly " + prose(20) for _ in range(60)]
     model = toxicity.fit(clean + toxic, [0] * 60 + [1] * 60)
