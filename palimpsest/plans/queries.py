@@ -240,9 +240,13 @@ def similar_pairs(spark, sf_dir):
 SELECT query_id, e.vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM q, embeddings e WHERE list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) > 0.2
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) DESC, e.vec_id) <= 10""")
 def semantic_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, 100)
+
+
+def _nearest(spark, sf_dir, every: int):
     e = table(spark, sf_dir, "embeddings")
     rows = e.selectExpr("vec_id AS id", "embedding", "'global' AS project_id", "CAST(NULL AS TIMESTAMP_NTZ) AS deleted_at")
-    return retrieval.semantic(rows, e.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS vector", "'global' AS project"), 10, 0.2)
+    return retrieval.semantic(rows, e.where(f"vec_id % {every} = 0").selectExpr("vec_id AS query_id", "embedding AS vector", "'global' AS project"), 10, 0.2)
 
 
 @query(f"WITH {EDGES_SQL} SELECT memory_a, memory_b, n, round(weight, 6) AS weight FROM edges")
@@ -323,14 +327,14 @@ def latest_per_key(spark, sf_dir):
 @query()
 def mmr_select(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    found = semantic_topk(spark, sf_dir).join(e.selectExpr("vec_id AS id", "embedding"), "id").withColumn("id", F.col("id").cast("string"))
+    found = _nearest(spark, sf_dir, 20).join(e.selectExpr("vec_id AS id", "embedding"), "id").withColumn("id", F.col("id").cast("string"))
     return retrieval.diverse(found, 5)
 
 
 @query()
 def concept_path(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding", "label AS concept", "1.0D AS probability")
-    asked_for = e.where("id % 100 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    asked_for = e.where("id % 20 = 0").selectExpr("id AS query_id", "embedding AS vector")
     return retrieval.concepts(e, analysis.centroids(e), asked_for, 10, 0.1)
 
 

@@ -35,3 +35,11 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["mmr_select", "concept_path"])
+def test_searches_ask_every_twentieth_vector(spark, name):
+    wanted = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+    asked = {r.query_id for r in entry.queries()[name](spark, DATA).select("query_id").distinct().collect()}
+    assert asked <= wanted and any(i % 100 for i in asked)
+    assert len(asked) >= len(wanted) - 1  # a query may have nothing over the least score
