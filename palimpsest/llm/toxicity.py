@@ -29,8 +29,8 @@ from palimpsest.llm.common import with_struct
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW = 32
-#: Labelled documents that the driver learns from at most, and characters of each that it reads.
-MAX_DOCUMENTS, MAX_CHARS = 4000, 20_000
+#: Labelled documents that the driver learns from at most.
+MAX_DOCUMENTS = 4000
 MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6, 7, 8)
 KEPT_WORDS = 300_000
@@ -95,7 +95,10 @@ def windows(odds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def marginals(model: ToxicModel, texts: list[str]) -> list[np.ndarray]:
     """Odds toxic against clean of every token of every text."""
-    odds = [np.fromiter(map(model.odds, WORD.findall(t)), np.float64) for t in texts]
+    return _marginals(model, [np.fromiter(map(model.odds, WORD.findall(t)), np.float64) for t in texts])
+
+
+def _marginals(model: ToxicModel, odds: list[np.ndarray]) -> list[np.ndarray]:
     x, starts = windows(odds)
     if not len(x):
         return odds
@@ -118,13 +121,20 @@ def score_of(model: ToxicModel, m: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-(a + b * total + c * top))))
 
 
-def token_labels(texts: list[str], labels: np.ndarray) -> dict[str, float]:
+def tokens(text: str) -> tuple[list[str], np.ndarray]:
+    """The distinct lower-case words of a whole text, in order, and the place among them of each token."""
+    places: dict[str, int] = {}
+    at = np.fromiter((places.setdefault(w, len(places)) for w in WORD.findall(text.lower())), np.int32)
+    return list(places), at
+
+
+def token_labels(words: list[list[str]], labels: np.ndarray) -> dict[str, float]:
     """Features that occur nearly only in documents labelled 1, by smoothed log odds."""
     seen = [defaultdict(int), defaultdict(int)]
     for wanted in (1, 0):  # of the others only features of documents labelled 1 matter
-        for t, y in zip(texts, labels, strict=True):
+        for own, y in zip(words, labels, strict=True):
             if int(y) == wanted:
-                for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)}:
+                for f in {f for w in own for f in features(w)}:
                     if wanted or f in seen[1]:
                         seen[wanted][f] += 1
     ones, zeros = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
@@ -135,14 +145,19 @@ def token_labels(texts: list[str], labels: np.ndarray) -> dict[str, float]:
 
 def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> ToxicModel:
     """A model from labelled texts. Without any text, or without both labels, the prior score alone, under 1/2 without a label 1."""
+    return fit_tokens([tokens(t) for t in texts], labels, steps, rate, decay)
+
+
+def fit_tokens(documents: list[tuple[list[str], np.ndarray]], labels: list[int], steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> ToxicModel:
+    """The same from the tokens of the texts."""
     y = np.array(labels, np.float64)
     prior = (y.sum() + 0.5) / (len(y) + (1.0 if y.any() else 2.0))
     model = ToxicModel(curve=(float(np.log(prior / (1 - prior))), 0.0, 0.0))
     if not 0 < y.sum() < len(y):
         return model
-    marks = token_labels(texts, y)
+    marks = token_labels([words for words, _ in documents], y)
     places: dict[str, int] = {}
-    sequences = [np.fromiter((places.setdefault(w, len(places)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+    sequences = [np.array([places.setdefault(w, len(places)) for w in words], np.int32)[at] for words, at in documents]
     count = Counter(f for w in places for f in features(w))
     names = [f for f, _ in sorted(((f, n) for f, n in count.items() if f in marks or n >= 5), key=lambda p: (p[0] not in marks, -p[1], p[0]))[:MAX_FEATURES]]
     column = {f: i for i, f in enumerate(names)}
@@ -192,8 +207,9 @@ def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5,
         trans = np.clip(trans + rate * steps_of[2] / np.sqrt(squares[2]), -6, 6)
     model.weights = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3}
     model.bias, model.transitions = float(bias), tuple(map(float, trans))
-    parts = [texts[k : k + 100] for k in range(0, len(texts), 100)]
-    model.curve = _curve(np.array([summary(m) for part in parts for m in marginals(model, part)]), y)
+    parts = [documents[k : k + 100] for k in range(0, len(documents), 100)]
+    odds_of = ([np.array([model.odds(w) for w in words], np.float64)[at] for words, at in part] for part in parts)
+    model.curve = _curve(np.array([summary(m) for odds in odds_of for m in _marginals(model, odds)]), y)
     return model
 
 
@@ -215,13 +231,21 @@ def held_out(key) -> F.Column:
 def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_documents: int = MAX_DOCUMENTS) -> ToxicModel:
     """A model from at most max_documents labelled rows (those whose keys hash lowest), none of them held out.
 
-    The bound keeps the driver's memory fixed: max_documents texts of MAX_CHARS characters.
+    Only rows are bounded: whole texts are read, on the executors, and the driver gets each text's distinct words and
+    four bytes for each token.
     """
+
+    @F.arrow_udf("struct<words:array<string>,at:binary>")
+    def split(texts: pa.Array) -> pa.Array:
+        found = [tokens(t.as_py() or "") for t in texts]
+        made = [pa.array([w for w, _ in found], pa.list_(pa.string())), pa.array([a.tobytes() for _, a in found], pa.binary())]
+        return pa.StructArray.from_arrays(made, ["words", "at"])
+
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held_out("k"))
     some = marked.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_documents)
-    texts = documents.select(F.col(key).alias("k"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, MAX_CHARS).alias("t"))
-    rows = texts.join(F.broadcast(some), "k").orderBy("k", "t").limit(max_documents).collect()
-    return fit([r.t for r in rows], [r.y for r in rows])
+    texts = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(some), "k")
+    rows = texts.select("k", "y", F.xxhash64("t").alias("h"), split("t").alias("s")).orderBy("k", "h").limit(max_documents).collect()
+    return fit_tokens([(r.s.words, np.frombuffer(r.s["at"], np.int32)) for r in rows], [r.y for r in rows])
 
 
 FIELDS = ["score", "predicted", "n_toxic_tokens", "toxic_spans"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -146,3 +147,13 @@ def test_components(spark):
     more = {r.id: r.root for r in merged(first, frame([(300, 120), (500, 501), (7, 600)])).collect()}
     assert more == {i: 100 if r == 200 else r for i, r in got.items()} | {500: 500, 501: 500, 600: 1}
     assert components(frame([])).count() == 0 and merged(first, frame([])).count() == len(got)
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    long = prose(4000)  # 23,999 characters
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5][:120]
+    rows = docs(spark, [(i, long + (" vilewordly " if n % 2 else " ") + prose(20)) for n, i in enumerate(ids)])
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.learn(rows, labels)
+    scores = [toxicity.score_of(model, m) for m in toxicity.marginals(model, [prose(40), prose(30) + " vilewordly"])]
+    assert scores[0] < 0.5 < scores[1]
