@@ -26,10 +26,14 @@ from palimpsest.llm.common import with_struct
 
 BLANK = "▁"
 NEVER = 1 << 60
-#: Words whose ids a worker keeps at once, and characters of the longest; then it starts anew.
-KEPT_WORDS, KEPT_CHARS = 600_000, 64
-#: Pairs of pieces whose compatibility a worker keeps.
-KEPT_PAIRS = 500_000
+#: Bytes of words and ids that a worker keeps of each of two generations, and characters of the longest word.
+KEPT_BYTES, KEPT_CHARS = 40 << 20, 64
+#: Pairs of pieces whose compatibility a worker keeps (about 150 bytes each).
+KEPT_PAIRS = 100_000
+LETTER = re.compile(r"[^\W\d_]")
+MARKS = ",.!?;:"
+#: Letters before a mark in pieces, up to which the mark is cut from all others.
+FEW_LETTERS = 20
 
 
 class PieceEncoder:
@@ -64,27 +68,37 @@ class PieceEncoder:
             if split := self._last_merge(p):
                 self.left[p], self.right[p] = split
                 self.reachable.add(p)
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reachable), None) for p in self.reachable}
+        # Pieces by number, -1 for none: their last character's distance, next shorter prefix and ids.
+        self.names = sorted(self.reachable)
+        self.number = {p: k for k, p in enumerate(self.names)}
+        self.reach = [len(p) - 1 for p in self.names]
+        self.shorter = [next((self.number[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reachable), -1) for p in self.names]
+        self.ids_of = [(pieces[p],) if p in pieces else self._bytes(p) for p in self.names]
+        self.blank = self.number[BLANK]
         self.matcher = ahocorasick.Automaton()
-        for p in self.reachable:
-            self.matcher.add_word(p, p)
+        for k, p in enumerate(self.names):
+            self.matcher.add_word(p, k)
         self.matcher.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.split = re.compile(self._words_pattern())
         self.words = _Words(self)
+        self.written = [str(i) for i in range(sp.get_piece_size())]
 
     def _words_pattern(self) -> str:
         """A pattern whose matches, one after another, are the text cut where no piece can reach over.
 
-        That is before a run of blanks, around a character that no piece has (line end), and
-        between a letter and a mark if no piece has a letter with that mark behind it.
+        That is before a run of blanks, around a character that no piece has (line end), and between a letter
+        and a mark if no piece has that letter with a mark behind it: no merge can then join the two.
         """
-        after = {p[k + 1] for p in self.rank for k in range(len(p) - 1) if p[k].isalpha()}
-        marks = re.escape("".join(c for c in ",.!?;:" if c not in after))
+        before = {c: {p[k] for p in self.rank for k in range(len(p) - 1) if p[k + 1] == c and LETTER.match(p[k])} for c in MARKS}
+        chosen = [c for c in MARKS if len(before[c]) <= FEW_LETTERS]
+        joined = re.escape("".join(sorted(set().union(*(before[c] for c in chosen)))))
+        marks = re.escape("".join(chosen))
+        no, yes = (f"(?<![{joined}])", f"|(?<=[{joined}])") if joined else ("", "")
         end = "" if "\n" in self.chars else "\n"
-        starts = [f"{BLANK}+"] + [end] * bool(end) + [f"(?<=[^\\W\\d_])[{marks}]"] * bool(marks)
+        starts = [f"{BLANK}+"] + [end] * bool(end) + [f"(?<=[^\\W\\d_]){no}[{marks}]"] * bool(marks)
         stops = f"{BLANK}{end}{marks}"
-        more = f"(?:(?<![^\\W\\d_])[{marks}][^{stops}]*)*" * bool(marks)
+        more = f"(?:(?:(?<![^\\W\\d_]){yes})[{marks}][^{stops}]*)*" * bool(marks)
         return f"(?:{'|'.join(starts)})[^{stops}]*{more}"
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
@@ -115,40 +129,47 @@ class PieceEncoder:
             else:  # at equal rank the merge more to the left comes first
                 b, limit = self.left[b], of_b + 1
 
-    def _fit(self, a: str, b: str) -> bool:
-        """`compatible`, remembered."""
-        fit = self.fits.get((a, b))
-        if fit is None:
-            if len(self.fits) >= KEPT_PAIRS:
-                self.fits.clear()
-            fit = self.fits[a, b] = self.compatible(a, b)
+    def _bytes(self, text: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids[x] for x in text.encode("utf-8", "surrogatepass"))
+
+    def _fit(self, pair: int) -> bool:
+        """Whether the pieces of a pair of numbers are `compatible`, remembered."""
+        if len(self.fits) >= KEPT_PAIRS:
+            self.fits.clear()
+        fit = self.fits[pair] = self.compatible(self.names[pair >> 32], self.names[pair & 0xFFFFFFFF])
         return fit
 
-    def _known(self, text: str) -> list[str]:
-        """Pieces of a text whose characters all have pieces."""
-        n = len(text)
-        longest: list[str] = [""] * n
+    def _known(self, text: str) -> list[int]:
+        """Numbers of the pieces of a text whose characters all have pieces."""
+        n, reach, shorter, known = len(text), self.reach, self.shorter, self.fits.get
+        longest = [-1] * n
         for end, piece in self.matcher.iter(text):  # later ends are longer
-            longest[end - len(piece) + 1] = piece
+            longest[end - reach[piece]] = piece
         failed = None  # bit field of positions from which no encoding goes on
-        out: list[str] = []
-        at, piece, fit, shorter = 0, longest[0], self._fit, self.shorter
-        while at < n:
-            while piece is not None:
-                end = at + len(piece)
-                if not (failed and failed[end >> 3] >> (end & 7) & 1) and (not out or fit(out[-1], piece)):
-                    break
+        out: list[int] = []
+        at, last, piece = 0, -1, longest[0]
+        while True:
+            while piece >= 0:
+                end = at + reach[piece] + 1
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    if last < 0:
+                        break
+                    fit = known(last << 32 | piece)
+                    if fit or (fit is None and self._fit(last << 32 | piece)):
+                        break
                 piece = shorter[piece]
-            if piece is not None:
+            if piece >= 0:
                 out.append(piece)
-                at = end
-                piece = longest[at] if at < n else None
+                if end == n:
+                    return out
+                at, last, piece = end, piece, longest[end]
             else:
                 failed = failed or bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
-                at -= len(piece)
-        return out
+                at -= reach[piece] + 1
+                last = out[-1] if out else -1
+                piece = shorter[piece]
 
     def _blanks(self, n: int) -> list[int]:
         out = []
@@ -159,56 +180,63 @@ class PieceEncoder:
         return out
 
     def word(self, text: str) -> list[int]:
-        """Ids of a run of blanks and what follows it up to the next blank."""
+        """Ids of a run of blanks and what follows it up to the next cut."""
         body = text.lstrip(BLANK)
         blanks = len(text) - len(body)
-        ids: list[int] = []
         rest = BLANK + body if blanks else body
+        ids: list[int] = []
         if self.chars.issuperset(rest):
-            pieces = self._known(rest)
-        else:
-            pieces = []
-            for known, run in groupby(rest, self.chars.__contains__):
-                pieces += self._known("".join(run)) if known else run
-        if blanks:
-            free = pieces[0] == BLANK  # the last blank has not gone into a word
-            ids += self._blanks(blanks if free else blanks - 1)
-            pieces = pieces[free:]
-        for p in pieces:
-            if p in self.pieces:
-                ids.append(self.pieces[p])
+            found = self._known(rest)
+            if blanks:
+                free = found[0] == self.blank  # the last blank has not gone into a word
+                if blanks > 1 or free:
+                    ids = self._blanks(blanks if free else blanks - 1)
+                found = found[free:]
+            for k in found:
+                ids += self.ids_of[k]
+            return ids
+        for known, run in groupby(rest, self.chars.__contains__):
+            if known:
+                found = self._known("".join(run))
+                if blanks:
+                    free = found[0] == self.blank
+                    ids, found, blanks = self._blanks(blanks if free else blanks - 1), found[free:], 0
+                for k in found:
+                    ids += self.ids_of[k]
             else:
-                ids.extend(self.byte_ids[x] for x in p.encode())
+                for c in run:
+                    ids += self._bytes(c)
         return ids
 
-    def encode_parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """For each word: its ids as text joined by commas, and as numbers."""
+    def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        return list(map(self.words.__getitem__, self.split.findall(BLANK + text.replace(" ", BLANK))))
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for _, ids in self.encode_parts(text)))
+        return list(chain.from_iterable(map(self.words.__getitem__, self.split.findall(BLANK + text.replace(" ", BLANK)))))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids) if ids else ""
 
 
 class _Words(dict):
-    """Ids of the words seen so far."""
+    """Ids of the words seen lately: when a generation has KEPT_BYTES it becomes the old one, and the one before is let go."""
 
     def __init__(self, encoder: PieceEncoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old, self.size = encoder, {}, 0
+        self.shared = {i: i for i in range(encoder.library.get_piece_size())}  # one object for each id
 
     def __missing__(self, word: str):
-        ids = tuple(self.encoder.word(word))
-        made = (",".join(map(str, ids)), ids)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = tuple(map(self.shared.__getitem__, self.encoder.word(word)))
         if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
+            self.size += 220 + 2 * len(word) + 8 * len(ids)
+            if self.size > KEPT_BYTES:
+                self.old = dict(self)
                 self.clear()
-            self[word] = made
-        return made
+                self.size = 0
+            self[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=4)
@@ -258,10 +286,9 @@ def digest(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
         e = encoder(model_path)
         n, ids_sha, text_sha = [], [], []
         for t in texts:
-            parts = e.encode_parts(t.as_py() or "")
-            ids = list(chain.from_iterable([p[1] for p in parts]))
+            ids = e.encode(t.as_py() or "")
             n.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
+            ids_sha.append(hashlib.sha256(",".join(map(e.written.__getitem__, ids)).encode()).hexdigest())
             text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
