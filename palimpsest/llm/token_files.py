@@ -33,8 +33,12 @@ CHUNK_IDS = 1 << 20
 ID_BITS = 32
 #: Fixed value: the word pattern of byte-level tokenizers of this family.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A character beyond the Latin blocks; libraries may differ there in what they call a letter.
-BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
+#: Characters whose kind all libraries agree on: the Latin blocks without the controls that some call white space.
+KNOWN_CHARS = [chr(c) for c in range(0x250) if not 0x1C <= c <= 0x1F]
+#: Bytes of words and ids that a worker keeps of each of two generations, and characters of the longest word.
+KEPT_BYTES, KEPT_CHARS = 32 << 20, 64
+#: The key that stands for no key in files.
+NO_KEY = -(1 << 63)
 
 
 def to_planes(ids: np.ndarray, width: int) -> list[bytes]:
@@ -97,47 +101,56 @@ def decode_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class FileTokenizer:
-    """Ids as the tokenizers library gives them for a byte-level BPE file, add_special_tokens=False.
+    """Ids as the tokenizers library gives them for a file, add_special_tokens=False.
 
-    That library needs about 570 CPU seconds a GB of text, so texts of Latin characters go to the
-    faster tiktoken core, built from the vocabulary and word pattern of the same file; the ids are
-    the same (tests compare them). Texts with other characters or with the string of an added
-    token go to the tokenizers library itself, as does everything if the file is of another kind.
+    A byte-level BPE with WORD_PATTERN encodes each word of a text alone, so the library is asked once for
+    each word and its ids are remembered. Texts with other characters than KNOWN_CHARS or with the string
+    of an added token go to the library whole, as does everything if the file is of another kind.
     """
 
     def __init__(self, path: str):
-        import tiktoken
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         settings = json.loads(self.library.to_str())
-        before = settings["pre_tokenizer"] or {}
-        plain = settings["model"]["type"] == "BPE" and not settings["normalizer"] and before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.core = None
-        if plain:
-            letter = {c: b for b, c in byte_letters().items()}
-            vocabulary = {k: v for k, v in self.library.get_vocab(with_added_tokens=False).items() if k not in self.added}
-            merges = {"".join(m) for m in settings["model"]["merges"]}
-            ranks = {bytes(letter[c] for c in k): v for k, v in vocabulary.items()}
-            ordered = [vocabulary["".join(m)] for m in settings["model"]["merges"]]
-            if ordered == sorted(ordered) and all(len(k) == 1 or k in merges for k in vocabulary):  # ids follow the order of merges
-                self.core = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        model, before = settings["model"], settings["pre_tokenizer"] or {}
+        by_word = model["type"] == "BPE" and not model.get("dropout") and not settings["normalizer"] and not settings.get("truncation") and not settings.get("padding")
+        self.by_word = by_word and before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        kinds = {k: "".join(c for c in KNOWN_CHARS if regex.fullmatch(rf"\p{{{k}}}", c)) for k in "LN"}
+        letters, numbers = (re.escape(kinds[k]) for k in "LN")
+        pattern = WORD_PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+        self.split = re.compile(pattern).findall
+        self.other = re.compile(f"[^{re.escape(''.join(KNOWN_CHARS))}]").search
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, the new ones by the library."""
+        found = {w: self.old[w] for w in words if w in self.old}
+        new = [w for w in words if w not in found]
+        made = self.library.encode_batch_fast(new, add_special_tokens=False) if new else []
+        found |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, made, strict=True)}
+        for w, ids in found.items():
+            if len(w) <= KEPT_CHARS:
+                self.size += 200 + len(w) + len(ids)
+                if self.size > KEPT_BYTES:
+                    self.old, self.kept, self.size = self.kept, {}, 0
+                self.kept[w] = ids
+        return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian u32."""
-        if self.core is None or BEYOND_LATIN.search(text) or any(a in text for a in self.added):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.core.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
-
-
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if it can be seen, else one from U+0100 on."""
-    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = (b for b in range(256) if b not in seen)
-    return {b: chr(b) for b in seen} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+        if not self.by_word or self.other(text) or any(a in text for a in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = self.split(text)
+        ids = list(map(self.kept.get, words))
+        if None in ids:
+            found = self._learn(list({w for w, i in zip(words, ids, strict=True) if i is None}))
+            ids = [found[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=4)
@@ -154,12 +167,12 @@ CHUNK = "part int, chunk int, first_doc long, n_docs long, n_ids long, n_bytes l
 def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 8, chunk_ids: int = CHUNK_IDS) -> None:
     """Write the ids of df's texts, each followed by end_id, in ascending order of the integer key.
 
-    A null text counts as empty: only end_id. A null key sorts first and is stored as the least
-    64-bit integer. Rows of one key stay beside each other in the order of their texts. Other
+    A null text counts as empty: only end_id. A null key sorts first; NO_KEY stands for it in the files, and
+    `read` gives null back. Rows of one key stay beside each other in the order of their texts. Other
     columns are not read. An empty table gives an empty chunk table and index.
     """
     spark = df.sparkSession
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.expr("-9223372036854775808L")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
@@ -207,7 +220,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def fields(docs, starts, lengths, ids):
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return [pa.array(docs), pa.array(starts), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int64)))]
+        return [docs, pa.array(starts), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int64)))]
 
     return _scan(spark, path, "doc_id long, start long, n_tokens long, ids array<long>", fields)
 
@@ -219,7 +232,7 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
         ends = np.cumsum(lengths) * 4
         raw = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
         crcs = [zlib.crc32(raw[e - 4 * n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-        return [pa.array(docs), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64())]
+        return [docs, pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64())]
 
     return _scan(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", fields)
 
@@ -234,6 +247,7 @@ def _scan(spark: SparkSession, path: str, schema: str, fields) -> DataFrame:
             for start, data in zip(batch.column(0), batch.column(1), strict=True):
                 docs, lengths, ids = decode_chunk(data.as_py())
                 starts = start.as_py() + np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(fields(docs.astype(np.int64), starts, lengths.astype(np.int64), ids), names)
+                keys = pa.array(docs.astype(np.int64), mask=docs == NO_KEY)
+                yield pa.RecordBatch.from_arrays(fields(keys, starts, lengths.astype(np.int64), ids), names)
 
     return chunks.mapInArrow(opened, schema)
