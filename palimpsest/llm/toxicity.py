@@ -6,12 +6,13 @@ documents. A chain with two states (clean, toxic), with weights for words, begin
 transitions, is fitted on those token sequences by gradient ascent on the likelihood. A logistic
 curve, fitted on the documents' labels, turns a document's marginals into its score.
 
-Scoring. Every token of every text gets its forward-backward marginal; sequences are windows of
-WINDOW tokens. Two states need only the ratio of the two forward (backward) values, so a step of
-all windows of a batch is one vector operation.
+Scoring. Every token of every text gets its forward-backward marginal over the whole text. Two states
+need only the ratio of the two forward (backward) values. A text is cut into rows of ROW tokens
+so that a step of all rows of a batch is one vector operation: first the product of each row's
+transition matrices is made, then the ratios at the rows' borders are carried from row to row
+(all texts of a batch at once), then the ratios inside the rows follow from those at the borders.
 
-Only the text is an input of a score. The model is small: weights of at most MAX_FEATURES words
-and beginnings.
+Only the text is an input of a score.
 """
 
 from __future__ import annotations
@@ -28,15 +29,19 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import with_struct
 
 WORD = re.compile(r"[^\W_]+")
-WINDOW = 32
+ROW = 32
 #: Labelled documents that the driver learns from at most.
 MAX_DOCUMENTS = 4000
-MAX_FEATURES = 50_000
+#: Occurrences that a word or beginning needs to have a weight if it marks nothing.
+LEAST_SEEN = 5
 PREFIXES = (4, 5, 6, 7, 8)
-KEPT_WORDS = 300_000
-#: Windows that a step of learning works on at once.
-FIT_WINDOWS = 8192
+#: Words whose odds a worker keeps at once (about 24 MB); then it starts anew.
+KEPT_WORDS = 120_000
+#: Tokens that a step of learning works on at once, passes over the sample, its rate and its decay.
+FIT_TOKENS, PASSES, RATE, DECAY = 1 << 17, 6, 0.5, 1e-4
 ODDS_LIMIT = 1e12
+#: Characters of text that a worker tags at once; a longer text is tagged alone.
+TAGGED_CHARS = 1 << 20
 
 
 def features(word: str) -> list[str]:
@@ -65,46 +70,84 @@ class ToxicModel:
             found = float(np.exp(np.clip(self.bias + sum(self.weights.get(f, 0.0) for f in features(low)), -25, 25)))
             if len(self.kept) >= KEPT_WORDS:
                 self.kept.clear()
-            self.kept[word] = found
+            if len(word) <= 64:
+                self.kept[word] = found
         return found
 
 
-def ratios(x: np.ndarray, transitions: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward ratios (toxic against clean) of windows in rows; x: odds of each token."""
-    ct, tc, tt = np.exp(transitions)
-    forward, backward = np.empty_like(x), np.ones_like(x)
-    forward[:, 0] = x[:, 0]
-    for t in range(1, x.shape[1]):
-        r = forward[:, t - 1]
-        forward[:, t] = np.clip(x[:, t] * (ct + tt * r) / (1 + tc * r), 1 / ODDS_LIMIT, ODDS_LIMIT)
-    for t in range(x.shape[1] - 2, -1, -1):
-        r = x[:, t + 1] * backward[:, t + 1]
-        backward[:, t] = (tc + tt * r) / (1 + ct * r)
-    return forward, backward
+def rows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of so many tokens: the row where each begins (one more at the end), the places of all tokens in the rows, and which places have one."""
+    starts = np.concatenate([[0], np.cumsum(-(-lengths // ROW))]).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    at = np.arange(int(lengths.sum())) + np.repeat(starts[:-1] * ROW - before, lengths)
+    real = np.zeros(int(starts[-1]) * ROW, bool)
+    real[at] = True
+    return starts, at, real.reshape(-1, ROW)
+
 
+def _carried(starts: np.ndarray, step, forwards: bool) -> np.ndarray:
+    """The ratio that goes into each row: 0 at a text's first row (1 at its last if not forwards), then what `step` makes of it and the row."""
+    n = np.diff(starts)
+    out = np.full(int(starts[-1]), 0.0 if forwards else 1.0)
+    order = np.argsort(-n, kind="stable")
+    first, n = (starts[:-1] if forwards else starts[1:] - 1)[order], n[order]
+    sign = 1 if forwards else -1
+    for k in range(1, int(n.max(initial=0))):
+        row = first[: np.searchsorted(-n, -k, side="left")] + sign * k  # texts of more than k rows
+        out[row] = np.clip(step(row - sign, out[row - sign]), 1 / ODDS_LIMIT, ODDS_LIMIT)
+    return out
 
-def windows(odds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents' token odds as rows of WINDOW (the last padded with surely clean ones) and the row where each document begins."""
-    rows = [-(-len(o) // WINDOW) for o in odds]
-    starts = np.concatenate([[0], np.cumsum(rows)]).astype(np.int64)
-    flat = np.full(int(starts[-1]) * WINDOW, 1 / ODDS_LIMIT)
-    for o, s in zip(odds, starts, strict=False):
-        flat[s * WINDOW : s * WINDOW + len(o)] = o
-    return flat.reshape(-1, WINDOW), starts
+
+def ratios(x: np.ndarray, real: np.ndarray, starts: np.ndarray, transitions: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward ratios (toxic against clean) of every token of texts; x: odds of each token, in the rows of rows_of.
+
+    A forward ratio has the token's own odds in it. The first token's is its odds: as if from a state before
+    that leads to both alike. Places without a token leave everything as it is.
+    """
+    ct, tc, tt = np.exp(transitions)
+    # Products of (transition, token) of each row, kept near 1: from state i (clean 0, toxic 1) to state j.
+    a, b, c, d = np.ones(len(x)), np.zeros(len(x)), np.zeros(len(x)), np.ones(len(x))
+    begins = np.zeros(len(x), bool)
+    begins[starts[:-1][np.diff(starts) > 0]] = True
+    for t in range(x.shape[1]):
+        some = real[:, t]
+        ct_, tc_, tt_ = (np.where(begins, 1.0, v) for v in (ct, tc, tt)) if t == 0 else (ct, tc, tt)
+        na, nb = a + b * tc_, (a * ct_ + b * tt_) * x[:, t]
+        nc, nd = c + d * tc_, (c * ct_ + d * tt_) * x[:, t]
+        size = np.maximum(np.maximum(na, nb), np.maximum(nc, nd))
+        a, b, c, d = (np.where(some, new / size, old) for new, old in ((na, a), (nb, b), (nc, c), (nd, d)))
+    into = _carried(starts, lambda row, r: (b[row] + d[row] * r) / (a[row] + c[row] * r), True)
+    outof = _carried(starts, lambda row, r: (c[row] + d[row] * r) / (a[row] + b[row] * r), False)
+    forward, backward = np.empty_like(x), np.empty_like(x)
+    r = into
+    for t in range(x.shape[1]):
+        new = x[:, t] * (ct + tt * r) / (1 + tc * r)
+        if t == 0:
+            new = np.where(begins, x[:, 0], new)
+        r = np.where(real[:, t], np.clip(new, 1 / ODDS_LIMIT, ODDS_LIMIT), r)
+        forward[:, t] = r
+    r = outof
+    for t in range(x.shape[1] - 1, -1, -1):
+        backward[:, t] = r
+        q = x[:, t] * r
+        r = np.where(real[:, t], (tc + tt * q) / (1 + ct * q), r)
+    return forward, backward
 
 
 def marginals(model: ToxicModel, texts: list[str]) -> list[np.ndarray]:
-    """Odds toxic against clean of every token of every text."""
+    """Odds toxic against clean of every token of every text, each text one chain."""
     return _marginals(model, [np.fromiter(map(model.odds, WORD.findall(t)), np.float64) for t in texts])
 
 
 def _marginals(model: ToxicModel, odds: list[np.ndarray]) -> list[np.ndarray]:
-    x, starts = windows(odds)
-    if not len(x):
+    lengths = np.array([len(o) for o in odds], np.int64)
+    if not lengths.sum():
         return odds
-    forward, backward = ratios(x, model.transitions)
-    flat = (forward * backward).reshape(-1)
-    return [flat[s * WINDOW : s * WINDOW + len(o)] for o, s in zip(odds, starts, strict=False)]
+    starts, at, real = rows_of(lengths)
+    x = np.ones(real.size)
+    x[at] = np.concatenate(odds)
+    forward, backward = ratios(x.reshape(-1, ROW), real, starts, model.transitions)
+    return np.split((forward * backward).reshape(-1)[at], np.cumsum(lengths)[:-1])
 
 
 def summary(m: np.ndarray) -> tuple[float, float]:
@@ -143,13 +186,13 @@ def token_labels(words: list[list[str]], labels: np.ndarray) -> dict[str, float]
     return {f: o for f, o in odds.items() if o >= 4.0}
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> ToxicModel:
+def fit(texts: list[str], labels: list[int], passes: int = PASSES) -> ToxicModel:
     """A model from labelled texts. Without any text, or without both labels, the prior score alone, under 1/2 without a label 1."""
-    return fit_tokens([tokens(t) for t in texts], labels, steps, rate, decay)
+    return fit_tokens([tokens(t) for t in texts], labels, passes)
 
 
-def fit_tokens(documents: list[tuple[list[str], np.ndarray]], labels: list[int], steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> ToxicModel:
-    """The same from the tokens of the texts."""
+def fit_tokens(documents: list[tuple[list[str], np.ndarray]], labels: list[int], passes: int = PASSES) -> ToxicModel:
+    """The same from the tokens of the texts. A step takes the gradient over about FIT_TOKENS tokens of whole texts."""
     y = np.array(labels, np.float64)
     prior = (y.sum() + 0.5) / (len(y) + (1.0 if y.any() else 2.0))
     model = ToxicModel(curve=(float(np.log(prior / (1 - prior))), 0.0, 0.0))
@@ -159,57 +202,59 @@ def fit_tokens(documents: list[tuple[list[str], np.ndarray]], labels: list[int],
     places: dict[str, int] = {}
     sequences = [np.array([places.setdefault(w, len(places)) for w in words], np.int32)[at] for words, at in documents]
     count = Counter(f for w in places for f in features(w))
-    names = [f for f, _ in sorted(((f, n) for f, n in count.items() if f in marks or n >= 5), key=lambda p: (p[0] not in marks, -p[1], p[0]))[:MAX_FEATURES]]
+    names = sorted(f for f, n in count.items() if f in marks or n >= LEAST_SEEN)
     column = {f: i for i, f in enumerate(names)}
     pairs = np.array([(i, column[f]) for w, i in places.items() for f in features(w) if f in column], np.int64).reshape(-1, 2)
     toxic_word = np.array([any(f in marks for f in features(w)) for w in places])
-    starts = np.concatenate([[0], np.cumsum([-(-len(q) // WINDOW) for q in sequences])]).astype(np.int64)
-    at = np.zeros(int(starts[-1]) * WINDOW, np.int32)
-    real = np.zeros(at.size, bool)
-    for s, b in zip(sequences, starts, strict=False):
-        at[b * WINDOW : b * WINDOW + len(s)] = s
-        real[b * WINDOW : b * WINDOW + len(s)] = True
-    del sequences
-    at, real = at.reshape(-1, WINDOW), real.reshape(-1, WINDOW)
-    of_doc = np.repeat(y > 0, np.diff(starts))
-    truth = toxic_word[at] & of_doc[:, None] & real
-    scale = max(1.0, float(truth.sum()))
+
+    # Steps have texts of both labels in the sample's proportion, and whole texts.
+    mixed = np.argsort(np.concatenate([(np.arange(k) + 0.5) / k for k in (int((y == 0).sum()), int((y == 1).sum()))]), kind="stable")
+    mixed = np.concatenate([np.flatnonzero(y == 0), np.flatnonzero(y == 1)])[mixed]
+    mixed = [i for i in mixed.tolist() if len(sequences[i])]
+    step_of = np.cumsum([len(sequences[i]) for i in mixed]) // FIT_TOKENS
+    steps = np.split(np.array(mixed, np.int64), np.flatnonzero(np.diff(step_of)) + 1)
 
     weights, bias, trans = np.zeros(len(names)), -4.0, np.zeros(3)
     squares = [np.full(len(names), 1e-3), 1e-3, np.full(3, 1e-3)]
-    for _ in range(steps):
+    for own in steps * passes:
+        if not len(own):
+            continue
+        parts = [sequences[i] for i in own.tolist()]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        starts, at, real = rows_of(lengths)
+        word = np.concatenate(parts)
+        truth = np.zeros(real.size)
+        truth[at] = toxic_word[word] & (np.repeat(y[own], lengths) > 0)
         per_word = np.bincount(pairs[:, 0], weights=weights[pairs[:, 1]], minlength=len(places)) + bias
-        odds = np.exp(np.clip(per_word, -25, 25))
-        of_word, missed, of_pairs = np.zeros(len(places)), 0.0, np.zeros(3)
-        for c in range(0, len(at), FIT_WINDOWS):  # a part at a time: memory doesn't grow with the sample
-            a_, r_, t_ = at[c : c + FIT_WINDOWS], real[c : c + FIT_WINDOWS], truth[c : c + FIT_WINDOWS].astype(np.float64)
-            x = np.where(r_, odds[a_], 1 / ODDS_LIMIT)
-            f, b = ratios(x, tuple(trans))
-            m = f * b
-            miss = t_ - np.where(r_, m / (1 + m), 0)
-            of_word += np.bincount(a_[r_], weights=miss[r_], minlength=len(places))
-            missed += miss.sum()
-            # Pair marginals of neighbours: weights of (clean, toxic), (toxic, clean), (toxic, toxic) against (clean, clean).
-            r, q = f[:, :-1], x[:, 1:] * b[:, 1:]
-            parts = np.stack([np.exp(trans[0]) * q, np.exp(trans[1]) * r, np.exp(trans[2]) * r * q])
-            parts /= 1 + parts.sum(0)
-            was, now = t_[:, :-1], t_[:, 1:]
-            seen = np.stack([(1 - was) * now, was * (1 - now), was * now])
-            of_pairs += ((seen - parts) * (r_[:, 1:] & r_[:, :-1])).sum((1, 2))
-        steps_of = [
-            np.bincount(pairs[:, 1], weights=of_word[pairs[:, 0]], minlength=len(names)) / scale - decay * weights,
-            missed / scale,
-            of_pairs / scale - decay * trans,
+        x = np.ones(real.size)
+        x[at] = np.exp(np.clip(per_word[word], -25, 25))
+        f, b = (r.reshape(-1)[at] for r in ratios(x.reshape(-1, ROW), real, starts, tuple(trans)))
+        m, x, truth = f * b, x[at], truth[at]
+        miss = truth - m / (1 + m)
+        # Pair marginals of neighbours: weights of (clean, toxic), (toxic, clean), (toxic, toxic) against (clean, clean).
+        inside = np.ones(len(word), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        left = np.flatnonzero(inside)
+        r, q, was, now = f[left], x[left + 1] * b[left + 1], truth[left], truth[left + 1]
+        both = np.stack([np.exp(trans[0]) * q, np.exp(trans[1]) * r, np.exp(trans[2]) * r * q])
+        both /= 1 + both.sum(0)
+        seen = np.stack([(1 - was) * now, was * (1 - now), was * now])
+        scale = max(1.0, float(truth.sum()))
+        gradients = [
+            np.bincount(pairs[:, 1], weights=np.bincount(word, weights=miss, minlength=len(places))[pairs[:, 0]], minlength=len(names)) / scale - DECAY * weights,
+            miss.sum() / scale,
+            (seen - both).sum(1) / scale - DECAY * trans,
         ]
-        squares = [s + g * g for s, g in zip(squares, steps_of, strict=True)]
-        weights = weights + rate * steps_of[0] / np.sqrt(squares[0])
-        bias = bias + rate * steps_of[1] / np.sqrt(squares[1])
-        trans = np.clip(trans + rate * steps_of[2] / np.sqrt(squares[2]), -6, 6)
+        squares = [s + g * g for s, g in zip(squares, gradients, strict=True)]
+        weights = weights + RATE * gradients[0] / np.sqrt(squares[0])
+        bias = bias + RATE * gradients[1] / np.sqrt(squares[1])
+        trans = np.clip(trans + RATE * gradients[2] / np.sqrt(squares[2]), -6, 6)
     model.weights = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3}
     model.bias, model.transitions = float(bias), tuple(map(float, trans))
     parts = [documents[k : k + 100] for k in range(0, len(documents), 100)]
     odds_of = ([np.array([model.odds(w) for w in words], np.float64)[at] for words, at in part] for part in parts)
     model.curve = _curve(np.array([summary(m) for odds in odds_of for m in _marginals(model, odds)]), y)
+    model.kept.clear()
     return model
 
 
@@ -263,13 +308,25 @@ def tag(df: DataFrame, model: ToxicModel, text: str = "text", keep: list[str] |
     @F.arrow_udf("struct<score:double,predicted:int,n_toxic_tokens:bigint,toxic_spans:string>")
     def tagged(texts: pa.Array) -> pa.Array:
         m = sent.value
-        values = [t.as_py() or "" for t in texts]
         scores, counts, spans = [], [], []
-        for value, odds in zip(values, marginals(m, values), strict=True):
-            scores.append(score_of(m, odds))
-            hit = np.flatnonzero(odds >= 1)
-            counts.append(len(hit))
-            spans.append(_spans(value, hit) if len(hit) else "")
+        held: list[str] = []
+        size = 0
+
+        def flush():
+            for value, odds in zip(held, marginals(m, held), strict=True):
+                scores.append(score_of(m, odds))
+                hit = np.flatnonzero(odds >= 1)
+                counts.append(len(hit))
+                spans.append(_spans(value, hit) if len(hit) else "")
+            held.clear()
+
+        for t in texts:
+            held.append(t.as_py() or "")
+            size += len(held[-1])
+            if size >= TAGGED_CHARS:
+                flush()
+                size = 0
+        flush()
         made = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(counts, pa.int64()), pa.array(spans, pa.string())]
         return pa.StructArray.from_arrays(made, FIELDS)
 
