@@ -29,23 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application alone writes to."""
+    return f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: the lineage ends there.
 
-    A lost executor costs no recomputation beyond that table. The files stay until `clean`.
+    A lost executor costs no recomputation beyond that table. The files stay until `dropped` or `clean`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_path = path
+    return made
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete what `staged` has left; call it when the results that read it are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/palimpsest")
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `staged` has made and no result reads any more."""
+    for df in tables:
+        if path := getattr(df, "staged_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has staged; call it when the results that read it are written."""
+    _delete(spark, _own_dir(spark))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of df has it (in any case)."""
     taken = {c.lower() for c in df.columns}

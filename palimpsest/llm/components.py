@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import staged
+from palimpsest.llm.common import dropped, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is not None and both.isEmpty():
             return labels
         ends = _ends(staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "ends"))
-        labels = ends if labels is None else staged(_followed(labels, ends), "labels")
+        old, labels = labels, ends if labels is None else staged(_followed(labels, ends), "labels")
+        if old is not None:
+            dropped(old)
         to_a, to_b = (ends.select(F.col("id").alias(c), F.col("root").alias(f"end_{c}")) for c in "ab")
         left = both.where("a < b").join(to_a, "a").join(to_b, "b").where("end_a <> end_b").select(F.col("end_a").alias("a"), F.col("end_b").alias("b"))
 

@@ -3,20 +3,21 @@
 1. A document's shingles are hashed once each. The hash picks one of BINS bins, every bin keeps
    its least value, an empty bin copies a filled one picked by a fixed random walk of its own
    (optimal densification), so all bins agree between two sets with the chance of their similarity.
+   A byte of each bin is kept: 384 bytes a document.
 2. Documents with equal shingle sets are one class; only the least document of a class goes on.
 3. ROWS bins make a band, equal bands a bucket. In a bucket one member is the centre and only edges
-   to it are candidates: at most one for each member. Which member is the centre is drawn anew for
-   each bucket and round, so two members meet many different centres. A task makes the stars of its
+   to it are candidates: at most one for each member. The centre is the member that comes first in
+   one random order of all documents, so the buckets of a group of copies have few centres among
+   them, and the group's candidates collapse to a few for each member. A task makes the stars of its
    own documents first and passes on only their centres: a bucket with a third of all documents
-   costs one entry a task.
-4. Candidates are confirmed on the full sets. First each document tries the centre it shares most
-   buckets with; then ROUNDS rounds of all stars between documents not yet connected (the first of
-   these rounds makes the first stars anew). Rounds after the first have only documents that share a
-   bucket with another.
-5. Stars connect most copies but prove nothing about the rest: a member has met only the centres
-   drawn. So at last all pairs of a bucket that are still in different components are compared on
-   full sets, those outside its largest component with all its members, in blocks of bounded size.
-   A task gives a spanning forest of its links only. After this no pair that shares a bucket is open.
+   costs one entry a task. Candidates are confirmed on the full sets, stored once for each member.
+4. Stars connect most copies but prove nothing about the rest: a member has met only the centres. So
+   at last all pairs of a bucket that are still in different components are compared, those outside
+   its largest component with all its members, in blocks of bounded size. A pair is compared only
+   in the first bucket it shares, if its sizes allow the similarity and its bins don't rule it out
+   (DEVIATIONS standard deviations below it). First blocks of bins find the members that have
+   such a pair; only their full sets are shipped. A block gives a spanning forest of its links.
+   After this no pair that shares a bucket is open.
 
 Chance that two sets of similarity 0.85 share none of the 48 bands: (1 - 0.85^8)^48 = 2e-7.
 """
@@ -28,12 +29,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import parts_for, staged
+from palimpsest.llm.common import dropped, free_name, parts_for, staged
 from palimpsest.llm.components import components, merged
-from palimpsest.llm.hashing import mix, packed, pieces, powers, unpacked, windows_of, words_of
+from palimpsest.llm.hashing import mix, packed, pieces, powers, unpacked, words_of
 
 BANDS, ROWS = 48, 8
 BINS = BANDS * ROWS
@@ -43,10 +43,13 @@ TRIES = 64 * BINS
 BLOCKS = 2
 HELD = 1 << 21
 BLOCK = "part int, known boolean, block binary"
-#: Rounds of stars before all open pairs are compared: they only save comparisons.
-ROUNDS = 2
-#: Members outside a bucket's largest component, and members, that are compared at once; hashes a product of matrices has.
-OUTSIDE, MEMBERS, HASHES = 256, 512, 4096
+#: Bucket entries that one task joins, and bytes of sets that one task compares, at about.
+JOINED, COMPARED = 1 << 22, 1 << 26
+#: Members outside a bucket's largest component, and members, that are compared at once; bytes of their sets.
+OUTSIDE, MEMBERS, SET_BYTES = 256, 512, 1 << 24
+DEVIATIONS = 7
+#: Pairs whose sets are compared before what they connected is taken out.
+AT_ONCE = 32
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -97,43 +100,62 @@ def signatures(n: int, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """BANDS bucket keys for each row; keys of different bands differ."""
-    parts = sig.reshape(len(sig), BANDS, ROWS) * powers(np.uint64(0x9E3779B97F4A7C15), ROWS)
-    return mix(parts.sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    """BANDS bucket keys for each row of bytes (BINS of them); keys of different bands differ."""
+    parts = np.ascontiguousarray(sig).view("<u8")
+    return mix(parts + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def sketched(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if it is empty) and bands (binary) of each row."""
+    """doc_id, n_shingles, digest (of the set; null if it is empty) and sig (a byte of each bin) of each row."""
 
-    @F.arrow_udf("struct<n_shingles:bigint,digest:binary,bands:binary>")
+    @F.arrow_udf("struct<n_shingles:bigint,digest:binary,sig:binary>")
     def sketch(texts: pa.Array) -> pa.Array:
-        counts, digests, bands = [], [], []
+        counts, digests, sigs = [], [], []
         for a, b, owner, hashes in shingle_sets(texts, words):
             n = np.bincount(owner, minlength=b - a)
             ends = np.cumsum(n)
-            keys = band_keys(signatures(b - a, owner, hashes))
+            sig = (signatures(b - a, owner, hashes) & np.uint64(255)).astype(np.uint8)
             for i, (size, end) in enumerate(zip(n.tolist(), ends.tolist(), strict=True)):
                 counts.append(size)
                 digests.append(hashlib.blake2b(hashes[end - size : end].tobytes(), digest_size=16).digest() if size else None)
-                bands.append(keys[i].tobytes() if size else None)
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.binary())], ["n_shingles", "digest", "bands"])
+                sigs.append(sig[i].tobytes() if size else None)
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["n_shingles", "digest", "sig"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), sketch(F.col(f"`{text}`")).alias("s")).select("doc_id", "s.*")
+    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), sketch(F.col(f"`{text}`")).alias("s")).select("doc_id", "s.*")
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray, comps: np.ndarray, turn: int):
-    """Members sorted by bucket, and for each the place of its bucket's centre."""
-    rank = mix(ids.astype(np.uint64) ^ mix(keys + np.uint64(turn)))
-    order = np.lexsort((ids, rank, keys))
-    keys, ids, comps = keys[order], ids[order], comps[order]
+def set_column(words: int):
+    """An Arrow function: the sorted distinct shingle hashes of a text, as bytes."""
+
+    @F.arrow_udf("binary")
+    def shingles(given: pa.Array) -> pa.Array:
+        out = []
+        for a, b, owner, hashes in shingle_sets(given, words):
+            out += [s.tobytes() for s in np.split(hashes, np.cumsum(np.bincount(owner, minlength=b - a))[:-1])]
+        return pa.array(out, pa.binary())
+
+    return shingles
+
+
+def _stars(keys: np.ndarray, ids: np.ndarray):
+    """Members sorted by bucket, whether each is the first of its bucket, and the place of its bucket's centre."""
+    order = np.lexsort((ids, mix(ids.astype(np.uint64)), keys))
+    keys, ids = keys[order], ids[order]
     head = np.ones(len(keys), bool)
     head[1:] = keys[1:] != keys[:-1]
-    return keys, ids, comps, head, np.flatnonzero(head)[np.cumsum(head) - 1]
+    return keys, ids, head, np.flatnonzero(head)[np.cumsum(head) - 1]
+
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs (least, greatest) of two columns; equal ids are no pair."""
+    some = a != b
+    return np.unique(np.stack([np.minimum(a, b)[some], np.maximum(a, b)[some]]), axis=1)
 
-def candidates(classes: DataFrame, turn: int) -> DataFrame:
-    """Edges (a, b, n) of the stars of classes (id, comp, bands): n buckets have them, a and b are of different comp."""
-    parts = BLOCKS * parts_for(classes.sparkSession)
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) of the stars of all buckets of classes (id, sig)."""
+    spark = classes.sparkSession
+    parts = max(BLOCKS * parts_for(spark), classes.count() * BANDS // JOINED)
 
     def rows(where: np.ndarray, known: bool, columns: list[np.ndarray]):
         order = np.argsort(where, kind="stable")
@@ -147,137 +169,126 @@ def candidates(classes: DataFrame, turn: int) -> DataFrame:
 
         def flush():
             nonlocal held, size
-            ids, comps, keys = (np.concatenate(c) for c in zip(*held, strict=True))
+            ids, keys = (np.concatenate(c) for c in zip(*held, strict=True))
             held, size = [], 0
-            keys, ids, comps, head, centre = _stars(keys.reshape(-1), np.repeat(ids, BANDS), np.repeat(comps, BANDS), turn)
-            yield rows((keys[head] % np.uint64(parts)).astype(np.int64), False, [keys[head], ids[head], comps[head]])
-            edge = comps != comps[centre]
-            if edge.any():
-                yield rows((ids[edge] % parts).astype(np.int64), True, [keys[edge], ids[edge], ids[centre[edge]]])
+            keys, ids, head, centre = _stars(keys.reshape(-1), np.repeat(ids, BANDS))
+            yield rows((keys[head] % np.uint64(parts)).astype(np.int64), False, [keys[head], ids[head]])
+            a, b = _pairs(ids, ids[centre])
+            if len(a):
+                yield rows((mix(a.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), True, [a, b])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            comps = batch.column(1).to_numpy(zero_copy_only=False)
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BANDS)
-            held.append((ids, comps, keys))
-            size += keys.size
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BINS)
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), band_keys(sig)))
+            size += len(sig) * BANDS
             if size >= HELD:
                 yield from flush()
         if held:
             yield from flush()
 
     def joined(table: pa.Table) -> pa.Table:
-        centres, a, b = [], [], []
+        heads, found = [], [np.zeros((2, 0), np.int64)]
         for known, block in zip(table.column("known").to_pylist(), table.column("block"), strict=True):
-            k, x, y = unpacked(block.as_py(), "u8", "i8", "i8")
             if known:
-                a.append(x)
-                b.append(y)
+                found.append(np.stack(unpacked(block.as_py(), "i8", "i8")))
             else:
-                centres.append((k, x, y))
-        if centres:
-            _, ids, comps, _, centre = _stars(*(np.concatenate(c) for c in zip(*centres, strict=True)), turn)
-            edge = comps != comps[centre]
-            a.append(ids[edge])
-            b.append(ids[centre[edge]])
-        x, y = np.concatenate(a), np.concatenate(b)
-        pairs, n = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1, return_counts=True) if len(x) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        return pa.table([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+                heads.append(unpacked(block.as_py(), "u8", "i8"))
+        if heads:
+            _, ids, _, centre = _stars(*(np.concatenate(c) for c in zip(*heads, strict=True)))
+            found.append(_pairs(ids, ids[centre]))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+
+    blocks = classes.select("id", "sig").mapInArrow(sent, BLOCK)
+    return blocks.groupBy("part").applyInArrow(joined, "a long, b long").distinct()
 
-    blocks = classes.select("id", "comp", "bands").mapInArrow(sent, BLOCK)
-    edges = blocks.groupBy("part").applyInArrow(joined, "a long, b long, n long")
-    return edges.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
+def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Number of values that a sorted set has in common with each of the others (distinct values each)."""
+    ends = np.cumsum([len(s) for s in others])
+    values = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    return np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(one[at] == values)])[ends]]))
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of texts (id, text) whose full sets have 100 |A and B| >= percent |A or B|."""
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets (id, set) that have 100 |A and B| >= percent |A or B|."""
 
     @F.arrow_udf("boolean")
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        sets = []
-        for side in (left, right):
-            own = []
-            for a, b, owner, hashes in shingle_sets(side, words):
-                own += np.split(hashes, np.cumsum(np.bincount(owner, minlength=b - a))[:-1])
-            sets.append(own)
         out = []
-        for x, y in zip(*sets, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
+        for x, y in zip(left, right, strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = int(common(x, [y])[0])
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(alike("text_a", "text_b")).select("a", "b")
-
-
-def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Number of common values of each set in x with each in y; a set's values are distinct."""
-    out = np.zeros((len(x), len(y)), np.int64)
-    xo, yo = (np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (x, y))
-    values, first, xc = np.unique(np.concatenate(x), return_index=True, return_inverse=True)
-    ya = np.concatenate(y)
-    yc = np.minimum(np.searchsorted(values, ya), len(values) - 1)
-    same = values[yc] == ya
-    yo, yc = yo[same], yc[same]
-    # Columns are values of both sides in the order of x, so a slice of long sets has few rows.
-    both = np.zeros(len(values), bool)
-    both[yc] = True
-    place = np.full(len(values), -1)
-    order = np.argsort(first)
-    order = order[both[order]]
-    place[order] = np.arange(len(order))
-    xc, yc = place[xc], place[yc]
-    xo, xc = xo[xc >= 0], xc[xc >= 0]
-    sides = []
-    for owner, column in ((xo, xc), (yo, yc)):
-        by_column = np.argsort(column, kind="stable")
-        sides.append((owner[by_column], column[by_column]))
-    for start in range(0, len(order), HASHES):
-        rows, blocks = [], []
-        for owner, column in sides:
-            a, b = np.searchsorted(column, (start, start + HASHES))
-            have, row = np.unique(owner[a:b], return_inverse=True)
-            block = np.zeros((len(have), min(HASHES, len(order) - start)), np.float32)
-            block[row, column[a:b] - start] = 1
-            rows.append(have)
-            blocks.append(block)
-        out[np.ix_(*rows)] += (blocks[0] @ blocks[1].T).astype(np.int64)
-    return out
-
-
-def open_links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect all that is alike among classes (id, comp, bands): every pair of different comp in a bucket is compared."""
-    parts = BLOCKS * parts_for(classes.sparkSession)
+    left, right = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(alike("set_a", "set_b")).select("a", "b").distinct()
 
-    def spread(batches):
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            ids, comps = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(comps)], ["key", "id", "comp"])
 
-    @F.arrow_udf("binary")
-    def shingles(given: pa.Array) -> pa.Array:
-        out = []
-        for a, b, owner, hashes in shingle_sets(given, words):
-            out += [s.tobytes() for s in np.split(hashes, np.cumsum(np.bincount(owner, minlength=b - a))[:-1])]
-        return pa.array(out, pa.binary())
+def possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) in x and y, and common bins, of the pairs that `band` is the first shared one of and that may be alike.
 
-    def compared(table: pa.Table) -> pa.Table:
-        key, xblock, yblock, outside, ids, comps = (table.column(c).to_numpy() for c in ("key", "xblock", "yblock", "outside", "id", "comp"))
-        sets = table.column("set")
-        order = np.lexsort((ids, outside, yblock, xblock, key))
+    x, y: bytes of bins; nx, ny: sizes of the sets. The sizes rule a pair out surely, the bins almost surely.
+    """
+    kx, ky = np.ascontiguousarray(x).view("<u8"), np.ascontiguousarray(y).view("<u8")
+    earlier = np.zeros((len(x), len(y)), bool)
+    for k in range(band):
+        earlier |= kx[:, k][:, None] == ky[:, k][None]
+    low, high = np.minimum(nx[:, None], ny[None]), np.maximum(nx[:, None], ny[None])
+    i, j = np.nonzero(~earlier & (100 * low >= percent * high))
+    least = percent / 100
+    bins = np.concatenate([np.zeros(0, np.int64), *((x[i[a : a + 8192]] == y[j[a : a + 8192]]).sum(1) for a in range(0, len(i), 8192))])
+    # A set of n values fills BINS (1 - exp(-n / BINS)) bins; copies of filled ones say nothing new.
+    samples = BINS * -np.expm1(-low[i, j] / BINS) / 2
+    keep = bins / BINS >= least - DEVIATIONS * np.sqrt(least * (1 - least) / samples)
+    return i[keep], j[keep], bins[keep]
+
+
+def open_links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all that is alike among classes (id, comp, n, sig): every pair of different comp in a bucket is settled."""
+    spark = classes.sparkSession
+    least_parts = BLOCKS * parts_for(spark)
+
+    def spread(batches):
+        for batch in batches:
+            ids, comps, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in range(3))
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).reshape(-1).view(np.int64)), pa.array(band), pa.array(ids), pa.array(comps), pa.array(n)], ["key", "band", "id", "comp", "n"])
+
+    def blocks_of(table: pa.Table):
+        """Rows of each block, those outside the main component and all."""
+        key, xblock, yblock, outside = (table.column(c).to_numpy() for c in ("key", "xblock", "yblock", "outside"))
+        order = np.lexsort((table.column("id").to_numpy(), outside, yblock, xblock, key))
         new = np.zeros(len(order), bool)
         for c in (key, xblock, yblock):
             new[1:] |= c[order][1:] != c[order][:-1]
-        links = []
         for group in np.split(order, np.flatnonzero(new)):
             x, y = group[outside[group]], group[~outside[group]]
-            if not len(x) or not len(y):
-                continue
-            xs, ys = ([np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in side] for side in (x, y))
-            common = overlaps(xs, ys)
-            total = np.array([len(v) for v in xs])[:, None] + np.array([len(v) for v in ys])
+            if len(x) and len(y):
+                yield x, y
+
+    def columns(table: pa.Table):
+        ids, comps, n, band = (table.column(c).to_numpy() for c in ("id", "comp", "n", "band"))
+        return ids, comps, n, band, np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
+
+    def needed(table: pa.Table) -> pa.Table:
+        _, comps, n, band, sig = columns(table)
+        rows = [np.zeros(0, np.int64)]
+        for x, y in blocks_of(table):
+            i, j, _ = possible(sig[x], sig[y], n[x], n[y], int(band[x[0]]), percent)
+            some = comps[x[i]] != comps[y[j]]
+            rows += [x[np.unique(i[some])], y[np.unique(j[some])]]
+        return table.select(["key", "band", "xblock", "yblock", "outside", "id", "comp", "n"]).take(pa.array(np.concatenate(rows)))
+
+    def compared(table: pa.Table) -> pa.Table:
+        ids, comps, n, band, sig = columns(table)
+        data = table.column("set")
+        links = []
+        for x, y in blocks_of(table):
+            i, j, bins = possible(sig[x], sig[y], n[x], n[y], int(band[x[0]]), percent)
             root: dict[int, int] = {}
 
             def end(c, root=root):
@@ -285,25 +296,49 @@ def open_links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -
                     c = root[c]
                 return c
 
-            for i, j in np.argwhere((100 * common >= percent * (total - common)) & (comps[x][:, None] != comps[y])).tolist():
-                a, b = end(int(comps[x[i]])), end(int(comps[y[j]]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    links.append((ids[x[i]], ids[y[j]]))
+            of_y = {k: np.frombuffer(data[int(y[k])].as_py(), np.uint64) for k in np.unique(j).tolist()}
+            order = np.lexsort((-bins, i))
+            i, j = i[order], j[order]
+            for group in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+                if not len(group):
+                    continue
+                me = int(x[i[group[0]]])
+                own = np.frombuffer(data[me].as_py(), np.uint64)
+                for a in range(0, len(group), AT_ONCE):
+                    some = [k for k in j[group[a : a + AT_ONCE]].tolist() if end(int(comps[y[k]])) != end(int(comps[me]))]
+                    if not some:
+                        continue
+                    both = common(own, [of_y[k] for k in some])
+                    total = len(own) + np.array([len(of_y[k]) for k in some]) - both
+                    for k in np.flatnonzero(100 * both >= percent * total).tolist():
+                        p, q = end(int(comps[me])), end(int(comps[y[some[k]]]))
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            links.append((ids[me], ids[y[some[k]]]))
         made = np.array(links, np.int64).reshape(-1, 2)
         return pa.table([pa.array(made.min(1)), pa.array(made.max(1))], ["a", "b"])
 
-    members = staged(classes.select("id", "comp", "bands").mapInArrow(spread, "key long, id long, comp long"), "members")
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = mixed.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / OUTSIDE).alias("nx"), F.ceil(F.col("n") / MEMBERS).alias("ny"))
-    rows = staged(members.join(staged(blocks, "mixed"), "key"), "open")
-    some = texts.join(rows.select("id").distinct(), "id", "left_semi")
-    sets = staged(some.select("id", shingles("text").alias("set")), "sets")
-    every = rows.select("key", "id", "comp", F.lit(False).alias("outside"), F.explode(F.expr("sequence(0, nx - 1)")).alias("xblock"), F.expr("pmod(xxhash64(id), ny)").alias("yblock"))
-    outside = rows.where("comp <> main").select("key", "id", "comp", F.lit(True).alias("outside"), F.expr("pmod(xxhash64(id, key), nx)").alias("xblock"), F.explode(F.expr("sequence(0, ny - 1)")).alias("yblock"))
-    placed = every.unionByName(outside).withColumn("part", F.expr(f"pmod(xxhash64(key, xblock, yblock), {parts})"))
-    return placed.join(sets, "id").groupBy("part").applyInArrow(compared, "a long, b long").distinct()
+    member = "key long, band int, id long, comp long, n long"
+    members = staged(classes.select("id", "comp", "n", "sig").mapInArrow(spread, member), "members")
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "comp", "n")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    cuts = lambda m, n, most: F.greatest(F.ceil(m / F.lit(most)), F.ceil(8 * n / F.lit(SET_BYTES)))
+    blocks = staged(mixed.select("key", F.col("main.comp").alias("main"), cuts(F.col("m") - F.col("main.m"), F.col("n") - F.col("main.n"), OUTSIDE).alias("nx"), cuts(F.col("m"), F.col("n"), MEMBERS).alias("ny")), "mixed")
+    rows = staged(members.join(blocks, "key"), "open")
+    every = rows.select("key", "band", "id", "comp", "n", F.lit(False).alias("outside"), F.explode(F.expr("sequence(0L, nx - 1)")).alias("xblock"), F.expr("pmod(xxhash64(id), ny)").alias("yblock"))
+    outside = rows.where("comp <> main").select("key", "band", "id", "comp", "n", F.lit(True).alias("outside"), F.expr("pmod(xxhash64(id, key), nx)").alias("xblock"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("yblock"))
+    placed = staged(every.unionByName(outside), "placed")
+
+    def grouped(table: DataFrame, values: DataFrame, bytes_each: str):
+        total = table.agg(F.expr(f"sum({bytes_each})")).first()[0] or 0
+        parts = max(least_parts, total // COMPARED)
+        return table.withColumn("part", F.expr(f"pmod(xxhash64(key, xblock, yblock), {parts})")).join(values, "id").groupBy("part")
+
+    sig = classes.select("id", "sig")
+    some = staged(grouped(placed, sig, f"{BINS + 64}").applyInArrow(needed, "key long, band int, xblock long, yblock long, outside boolean, id long, comp long, n long"), "needed")
+    found = staged(grouped(some, sig.join(sets, "id"), f"8 * n + {BINS + 64}").applyInArrow(compared, "a long, b long").distinct(), "open_links")
+    dropped(members, blocks, rows, placed, some)
+    return found
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,39 +347,40 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     Documents are linked if the sets of their `words`-word shingles have a Jaccard similarity of
     percent / 100 or more; a component is what links connect, kept its document with the least id.
     Empty and null texts have no shingles and no links. A row without a key has no links, component_id null
-    and is kept. Rows that repeat a key with the same text give the same result each. Other columns
-    of df are not read; an empty table gives an empty result.
+    and is kept. Rows that repeat a key with the same text give the same result each; rows that repeat it with
+    other texts are judged each by its own text. Other columns of df are not read; an empty table gives an
+    empty result.
     """
     docs = staged(sketched(df, key, text, words), "sketches")
-    sets = docs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = staged(sets.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("digest", F.col("m.doc_id").alias("id"), F.col("m.bands").alias("bands")), "classes")
-    unjoined = classes.select("id", F.col("id").alias("comp"), "bands")
-    edges = staged(candidates(unjoined, 0), "candidates")
+    full = docs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = staged(full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m")).select("digest", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")), "classes")
+    edges = staged(candidates(classes), "candidates")
     met = staged(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct(), "met")
-    some = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(met, "id", "left_semi").dropDuplicates(["id"])
-    texts = staged(some, "texts")
-    unjoined = staged(unjoined.join(met, "id", "left_semi"), "unjoined")
-
-    # Each document's best centre first: most copies are connected by that alone.
-    best = W.partitionBy("member").orderBy(F.desc("n"), "centre")
-    sided = edges.select(F.col("b").alias("member"), F.col("a").alias("centre"), "n").withColumn("r", F.row_number().over(best)).where("r = 1")
-    links = staged(confirmed(sided.select(F.col("centre").alias("a"), F.col("member").alias("b")), texts, words, percent), "links")
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(met, "id", "left_semi")
+    sets = staged(texts.select("id", set_column(words)("text").alias("set")).where("octet_length(set) > 0").withColumn("h", F.xxhash64("set")).dropDuplicates(["id", "h"]).drop("h"), "sets")
+    links = staged(confirmed(edges, sets, percent), "links")
     roots = components(links)
-    for turn in range(ROUNDS):
-        now = unjoined.join(roots, "id", "left").select("id", F.coalesce("root", "comp").alias("comp"), "bands")
-        edges = candidates(now, turn)  # turn 0: the first stars, as far as they connect what is apart
-        roots = merged(roots, staged(confirmed(edges, texts, words, percent), "links"))
-    now = unjoined.join(roots, "id", "left").select("id", F.coalesce("root", "comp").alias("comp"), "bands")
-    roots = merged(roots, staged(open_links(now, texts, words, percent), "open_links"))
+    now = classes.join(met, "id", "left_semi").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("comp"), "n", "sig")
+    apart = staged(now, "apart")
+    more = open_links(apart, sets, percent)
+    roots = merged(roots, more)
     by_class = staged(classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "by_class")
+    dropped(classes, edges, met, sets, links, apart, more)
     # A class may hold a third of all rows: both sides come from tables, so Spark can split it.
     out = docs.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def dedup(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df of which near_duplicates keeps the document; rows that repeat its key stay once."""
-    keys = near_duplicates(df, words, percent, key, text).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = df.where(F.col(key).isNotNull()).dropDuplicates([key]).join(keys, F.col(key).cast("long") == F.col("_kept"), "left_semi")
-    return rows.unionByName(df.where(F.col(key).isNull()))
+    """The rows of df of which near_duplicates keeps the document, all columns as they were.
+
+    Rows that repeat both key and text stay once, rows that repeat a key with another text stay each; rows
+    without a key all stay.
+    """
+    mine, own = free_name(df, "_own"), F.col(f"`{key}`").cast("long")
+    found = staged(near_duplicates(df, words, percent, key, text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept").select(F.col("doc_id").alias(mine), "n"), "kept")
+    rows = df.withColumn(mine, own)
+    once = rows.join(found.where("n = 1").select(mine), mine, "left_semi")
+    often = rows.join(found.where("n > 1").select(mine), mine, "left_semi").dropDuplicates([mine, text])
+    return once.unionByName(often).unionByName(rows.where(F.col(mine).isNull())).drop(mine)
