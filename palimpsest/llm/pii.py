@@ -1,14 +1,19 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
-Four kinds are certain once they pass their own test (email, ip, card, phone). Two more kinds need
-more: an IBAN needs its mod-97 checksum, a number without a leading + needs a word like "phone"
-near it. All positions are code points, ends are exclusive.
+Every span has a score: its kind's own, more with a word of that kind near it, less with a word that
+speaks against it (a version number is no address). Four kinds are always spans once they pass
+their own test (email, ip, card, phone), and the score says how sure each is. Three more kinds are spans
+only from the score ACCEPTED on: an IBAN (length of its country, mod-97 checksum), a telephone number
+without a leading +, and a secret (a long value of letters and digits). The last two don't reach it
+without a word like "phone" or "token" near them. All positions are code points, ends are exclusive.
+All scans are linear in the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,26 +21,43 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import with_struct
 
-KINDS = ("email", "ip", "card", "phone", "iban", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "secret")
 BASE = KINDS[:4]
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can only begin where a run of digits does: what follows the run is the same from any of its digits.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?=\x20?[A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![+0-9A-Za-z.])\(?[0-9]{2,5}\)?(?:[\x20.-]\(?[0-9]{2,5}\)?){2,4}(?![0-9A-Za-z])")
-#: Score of a span by itself, what a word of its kind nearby adds, and the score from which it counts.
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.9, "local_phone": 0.3}
-CONTEXT_BONUS, ACCEPTED, CONTEXT_CHARS = 0.35, 0.6, 48
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{20,}={0,2}(?![A-Za-z0-9_+/=-])")
+# IBAN lengths by country (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Score of a span by itself, what words of its kind nearby add, words against it take away, and the score from which it counts.
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.8, "iban": 0.9, "local_phone": 0.3, "secret": 0.3}
+CONTEXT_BONUS, CONTEXT_MALUS, ACCEPTED, CONTEXT_CHARS = 0.35, 0.35, 0.6, 48
 CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|correo|courriel)\b", re.I),
-    "ip": re.compile(r"\b(?:ip|address|host|server|adresse)\b", re.I),
+    "ip": re.compile(r"\b(?:ip|address|host|server|adresse|direcci[oó]n)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta)\b", re.I),
     "phone": re.compile(r"\b(?:phone|tel|telephone|mobile|call|fax|telefon|tel[eé]fono|t[eé]l)\b", re.I),
     "iban": re.compile(r"\b(?:iban|account|bank|konto|compte|cuenta)\b", re.I),
+    "secret": re.compile(r"(?:\b|_)(?:token|password|passwd|secret|api[_-]?key|access[_-]?key|credential|passwort|contrase[nñ]a)\b", re.I),
 }
 CONTEXT["local_phone"] = CONTEXT["phone"]
+AGAINST = {
+    "ip": re.compile(r"\b(?:version|release|section|chapter|build|v)\b", re.I),
+    "card": re.compile(r"\b(?:isbn|order|invoice|serial|tracking|part)\b", re.I),
+    "local_phone": re.compile(r"\b(?:isbn|order|invoice|serial|date|version|pages?)\b", re.I),
+    "secret": re.compile(r"\b(?:commit|checksum|sha1|sha256|md5|hash|uuid|revision)\b", re.I),
+}
 
 
 def digits_of(text: str) -> str:
@@ -88,19 +110,52 @@ def _byte(part: str) -> bool:
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    """Score of a span: its kind's own, more with a word of that kind near it."""
+    """Score of a span from 0 to 1: its kind's own, changed by words of that kind or against it near the span."""
     near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
-    return min(1.0, SCORES[kind] + CONTEXT_BONUS * bool(CONTEXT[kind].search(near)))
+    made = SCORES[kind] + CONTEXT_BONUS * bool(CONTEXT[kind].search(near))
+    if kind in AGAINST:
+        made -= CONTEXT_MALUS * bool(AGAINST[kind].search(near))
+    return round(min(1.0, max(0.0, made)), 2)
+
+
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers of their country's length, in any case, in runs that single blanks may part, with the right checksum."""
+    out, end = [], 0
+    for m in IBAN.finditer(text):
+        wanted = IBAN_LENGTHS.get(m[0][:2].upper())
+        if wanted is None or m.start() < end:
+            continue
+        at, found = m.start(), []
+        while len(found) < wanted and at < len(text):
+            if text[at].isascii() and text[at].isalnum():
+                found.append(text[at].upper())
+            elif text[at] != " " or text[at - 1] == " ":
+                break
+            at += 1
+        if len(found) == wanted and not (text[at : at + 1].isascii() and text[at : at + 1].isalnum()) and mod97("".join(found)):
+            end = at
+            out.append((m.start(), at))
+    return out
 
 
 def find_more(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of the two kinds that need a checksum or context, where no certain span lies."""
-    found = [(m.start(), 4, m.end()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    """Spans of the kinds that need a score of ACCEPTED, where no certain span lies."""
+    found = [(a, 4, b) for a, b in ibans(text)]
     found += [(m.start(), 5, m.end()) for m in LOCAL_PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
+    found += [(m.start(), 6, m.end()) for m in SECRET.finditer(text) if any(c.isalpha() for c in m[0])]
     if not found:
         return []
-    taken = sorted((a, b) for a, _, b in base)
-    free = [s for s in found if not any(a < s[2] and s[0] < b for a, b in taken)]
+    # Starts of the certain spans and the furthest end up to each, so that one search tells whether any overlaps.
+    starts, ends, last = [], [], 0
+    for a, _, b in sorted(base):
+        last = max(last, b)
+        starts.append(a)
+        ends.append(last)
+    free = []
+    for a, k, b in found:
+        n = bisect_left(starts, b)
+        if not n or ends[n - 1] <= a:
+            free.append((a, k, b))
     return [(a, k, b) for a, k, b in free if score(text, KINDS[k], a, b) >= ACCEPTED]
 
 
@@ -125,12 +180,12 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-FIELDS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-TYPE = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string>"
+FIELDS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"]
+TYPE = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string,scores:string>"
 
 
 def detect(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df (or its columns in keep) with counts of the certain kinds, their digest, and all spans.
+    """df (or its columns in keep) with counts of the certain kinds, their digest, all spans and their scores in the same order.
 
     A null text counts as empty: no spans, the digest of ''. Columns of these names are replaced.
     Whole texts are read; repeated rows give repeated results.
@@ -138,14 +193,16 @@ def detect(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
     @F.arrow_udf(TYPE)
     def found(texts: pa.Array) -> pa.Array:
-        counts, shas, spans = [], [], []
+        counts, shas, spans, scores = [], [], [], []
         for t in texts:
-            base, every = spans_of(t.as_py())
+            value = t.as_py() or ""
+            base, every = spans_of(value)
             counts.append([sum(k == n for _, k, _ in base) for n in range(4)])
             shas.append(hashlib.sha256(written(base).encode()).hexdigest())
             spans.append(written(every))
+            scores.append(",".join(f"{score(value, KINDS[k], a, b):.2f}" for a, k, b in every))
         columns = [pa.array([c[n] for c in counts], pa.int64()) for n in range(4)]
-        return pa.StructArray.from_arrays([*columns, pa.array(shas, pa.string()), pa.array(spans, pa.string())], FIELDS)
+        return pa.StructArray.from_arrays([*columns, *(pa.array(c, pa.string()) for c in (shas, spans, scores))], FIELDS)
 
     return with_struct(df, found(F.col(f"`{text}`")), FIELDS, keep)
 
