@@ -1,16 +1,18 @@
 """Repeated word windows: level-wise doubling, only windows repeated at one length go to the next.
 
-Level 1 has windows of half the wanted length. Of the half windows inside each full window one is
-chosen by the least hash (so equal full windows choose equally), and only chosen ones are counted:
-about a sixth of all positions. Level 2 has the full windows whose chosen half window is repeated
-somewhere; the others can't be. A full window that starts at (document, place) is a repeat if an
-equal one starts at a smaller (document, place).
-
-Both levels use one kind of exchange. A task sorts its windows, settles what it can by itself (of
+The levels' lengths are FIRST (or the wanted length's share of it), twice that, and so on up to the wanted
+length. At a level below the last, one window of the level's length is chosen inside each full window that
+is still a candidate, by the least hash (so equal full windows choose equally), and only chosen ones are
+counted. A full window stays a candidate if its chosen window is repeated somewhere; the others can't be
+repeated. The loop ends when no candidate survives or the full windows themselves are compared: a
+full window that starts at (document, place) is a repeat if an equal one starts at a smaller one.
+
+All levels use one kind of exchange. A task sorts its windows, settles what it can by itself (of
 equal windows in one task only the first is passed on, the others are known to be repeats), and
 sends compressed blocks, one for each range of hashes. So a passage that a third of all documents
 share costs one entry a task, not one a document, and no group grows with the number of copies.
-Results come back to the documents as runs of places in a join on the document's id.
+The number of ranges grows with the bytes of text. Results come back to the documents as runs of
+places in a join on the document's id.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import parts_for
+from palimpsest.llm.common import parts_for, staged
 from palimpsest.llm.hashing import doubled, mix, packed, pieces, unpacked, windows_of, words_of
 
-#: Blocks for each shuffle partition.
-BLOCKS = 2
+#: Words of the shortest windows, about; the levels' lengths are the wanted length halved until it is reached.
+FIRST = 5
+#: Ranges of hashes for each shuffle partition, at least, and bytes of text for a range, at most.
+BLOCKS, RANGE_BYTES = 2, 1 << 25
 #: Windows a task gathers before it sorts and sends them.
 HELD = 1 << 21
 LEAST_ID = -(1 << 63)
@@ -34,13 +38,16 @@ RUNS = "doc long, runs binary"
 BLOCK = "part int, known boolean, block binary"
 
 
-def _cells(texts: pa.Array, ids: np.ndarray, length: int):
-    """For each piece of a batch: words' first places, chosen half window of each full window, hashes.
+def levels(length: int) -> list[int]:
+    """Lengths of the windows of each level, the last the wanted one."""
+    out = [length]
+    while out[0] >= 2 * FIRST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
-    Yields (document ids, place in document, hash of the half window at each word, place of the
-    chosen half window of each full window, start of each full window, hash of each full window).
-    """
-    half = length // 2
+
+def _full(texts: pa.Array, ids: np.ndarray, length: int):
+    """For each piece of a batch that has full windows: hashes of the words, document ids, places in the documents, starts of full windows."""
     for a, b in pieces(texts):
         words, first = words_of(texts.slice(a, b - a))
         n = len(words)
@@ -48,17 +55,30 @@ def _cells(texts: pa.Array, ids: np.ndarray, length: int):
             continue
         doc = np.repeat(np.arange(a, b), np.diff(first))
         start = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
-        if not len(start):
-            continue
-        halves = windows_of(words, half)
-        order = mix(halves)
-        best, at = order[start].copy(), start.copy()
-        for j in range(1, length - half + 1):
-            value = order[start + j]
-            less = value < best
-            best[less] = value[less]
-            at[less] = start[less] + j
-        yield ids[doc], np.arange(n) - first[doc - a], order, at, start, mix(doubled(halves, half))
+        if len(start):
+            yield words, ids[doc], np.arange(n) - first[doc - a], start
+
+
+def _chosen(words: np.ndarray, start: np.ndarray, length: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of `part` words, and the place of the chosen one of each full window."""
+    order = mix(windows_of(words, part))
+    best, at = order[start].copy(), start.copy()
+    for j in range(1, length - part + 1):
+        value = order[start + j]
+        less = value < best
+        best[less] = value[less]
+        at[less] = start[less] + j
+    return order, at
+
+
+def _marked(marks: list, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which (place of the text in its batch, place in the text) are in the marks of the texts."""
+    found = [_places(r) for r in marks]
+    known = np.unique(np.repeat(np.arange(len(found)), [len(f) for f in found]) * (1 << 32) + np.concatenate([np.zeros(0, np.int64), *found]))
+    if not len(known):
+        return np.zeros(len(docs), bool)
+    key = docs * (1 << 32) + places
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
 
 
 def _sent(parts: np.ndarray, known: bool, columns: list[np.ndarray]):
@@ -95,15 +115,15 @@ def _places(runs: list | None) -> np.ndarray:
     return np.concatenate([np.arange(a, a + n) for a, n in both.tolist()])
 
 
-def _level_one(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """Blocks of the chosen half windows: known repeats, and the only ones of a task."""
+def _candidates(rows: DataFrame, length: int, part: int, before: int | None, parts: int) -> DataFrame:
+    """Blocks of the chosen windows of `part` words in full windows whose chosen one of `before` words is marked: known repeats, and the only ones of a task."""
 
     def sent(batches):
         gathered: list[tuple] = []
-        held = turn = 0
+        held = 0
 
         def flush():
-            nonlocal gathered, held, turn
+            nonlocal gathered, held
             h, d, p = (np.concatenate(c) for c in zip(*gathered, strict=True))
             gathered, held = [], 0
             order = np.argsort(h, kind="stable")
@@ -118,15 +138,23 @@ def _level_one(rows: DataFrame, length: int, parts: int) -> DataFrame:
             if heads.any():
                 for _ in range(2):
                     yield _sent((h[heads] % np.uint64(parts)).astype(np.int64), False, [h[heads], d[heads], p[heads]])
-                turn += 1
                 rest = repeated & ~heads
                 yield _sent((d[rest] % parts).astype(np.int64), True, [h[rest], d[rest], p[rest]])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for docs, place, order, at, _, _ in _cells(batch.column(1), ids, length):
+            marks = batch.column(2).to_pylist() if before else []
+            if before and not any(marks):
+                continue
+            for words, docs, place, start in _full(batch.column(1), np.arange(len(ids)), length):
+                if before:
+                    _, at = _chosen(words, start, length, before)
+                    start = start[_marked(marks, docs[at], place[at])]
+                    if not len(start):
+                        continue
+                order, at = _chosen(words, start, length, part)
                 at = np.unique(at)
-                gathered.append((order[at], docs[at], place[at].astype(np.int32)))
+                gathered.append((order[at], ids[docs[at]], place[at].astype(np.int32)))
                 held += len(at)
                 if held >= HELD:
                     yield from flush()
@@ -137,7 +165,7 @@ def _level_one(rows: DataFrame, length: int, parts: int) -> DataFrame:
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Level 1 of one range of hashes: where repeated half windows are."""
+    """One range of hashes of a level below the last: where repeated windows are."""
     docs, places, hashes = [], [], []
     for known, block in zip(table.column("known").to_pylist(), table.column("block"), strict=True):
         h, d, p = unpacked(block.as_py(), "u8", "i8", "i4")
@@ -156,8 +184,8 @@ def _repeated(table: pa.Table) -> pa.Table:
     return _runs(d, p)
 
 
-def _level_two(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """Blocks of the full windows whose chosen half window is repeated."""
+def _windows(rows: DataFrame, length: int, before: int | None, parts: int) -> DataFrame:
+    """Blocks of the full windows whose chosen window of `before` words is marked; its hash and the full one's tell windows apart."""
 
     def sent(batches):
         gathered: list[tuple] = []
@@ -179,22 +207,19 @@ def _level_two(rows: DataFrame, length: int, parts: int) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = [_places(r) for r in batch.column(2).to_pylist()]
-            sizes = np.array([len(m) for m in marks])
-            if not sizes.sum():
+            marks = batch.column(2).to_pylist() if before else []
+            if before and not any(marks):
                 continue
-            place_of = np.concatenate(marks)
-            text_of = np.repeat(np.arange(len(marks)), sizes)
-            marked = np.unique(text_of * (1 << 32) + place_of)
-            rank = np.arange(len(ids), dtype=np.int64)
-            for docs, place, order, at, start, full in _cells(batch.column(1), rank, length):
-                key = docs[at] * (1 << 32) + place[at]
-                found = np.searchsorted(marked, key)
-                hit = (found < len(marked)) & (marked[np.minimum(found, len(marked) - 1)] == key)
-                if hit.any():
-                    s = start[hit]
-                    gathered.append((order[at[hit]], full[s], ids[docs[s]], place[s].astype(np.int32)))
-                    held += len(s)
+            for words, docs, place, start in _full(batch.column(1), np.arange(len(ids)), length):
+                if before:
+                    order, at = _chosen(words, start, length, before)
+                    kept = _marked(marks, docs[at], place[at])
+                    start, at = start[kept], at[kept]
+                if len(start):
+                    whole = doubled(windows_of(words, before), before) if before and length == 2 * before else windows_of(words, length)
+                    whole = mix(whole[start])
+                    gathered.append((order[at] if before else whole, whole, ids[docs[start]], place[start].astype(np.int32)))
+                    held += len(start)
                     if held >= HELD:
                         yield from flush()
         if gathered:
@@ -204,8 +229,8 @@ def _level_two(rows: DataFrame, length: int, parts: int) -> DataFrame:
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Level 2 of one range of hashes: where windows start that an equal one precedes."""
-    docs, places, windows = [], [], []
+    """One range of hashes of the last level: where windows start that an equal one precedes."""
+    docs, places, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
     for known, block in zip(table.column("known").to_pylist(), table.column("block"), strict=True):
         g, h, d, p = unpacked(block.as_py(), "u8", "u8", "i8", "i4")
         if known:
@@ -234,13 +259,19 @@ def _with_runs(rows: DataFrame, runs: DataFrame, name: str) -> DataFrame:
 
 def repeats(df: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """df's (key, text) as (_k, text), and runs (doc, runs) of the starts of repeated windows."""
-    if length < 2 or length % 2:
-        raise ValueError("the length of a window must be even")
-    parts = BLOCKS * parts_for(df.sparkSession)
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID)).alias("_k"), F.col(text).alias("text"))
-    one = _level_one(rows, length, parts).groupBy("part").applyInArrow(_repeated, RUNS)
-    two = _level_two(_with_runs(rows, one, "marks"), length, parts).groupBy("part").applyInArrow(_later, RUNS)
-    return rows, two
+    if length < 1:
+        raise ValueError("a window has at least one word")
+    spark = df.sparkSession
+    rows = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID)).alias("_k"), F.col(f"`{text}`").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(BLOCKS * parts_for(spark), size // RANGE_BYTES)
+    candidates, before = rows, None
+    for part in levels(length)[:-1]:
+        found = staged(_candidates(candidates, length, part, before, parts).groupBy("part").applyInArrow(_repeated, RUNS), f"windows-{part}")
+        candidates, before = _with_runs(rows, found, "marks"), part
+        if found.isEmpty():
+            break
+    return rows, _windows(candidates, length, before, parts).groupBy("part").applyInArrow(_later, RUNS)
 
 
 def dedup(df: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
