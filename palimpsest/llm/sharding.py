@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 CELL_ROWS = 20_000
 #: Ranges at least, so that small tables spread over many tasks too.
 LEAST_RANGES = 1024
+#: Ranges whose rows are summed up before one task orders the sums: 80 million rows a sum.
+RUN = 4096
 
 
 def stratified_shards(df: DataFrame, n_shards: int, stratum: str = "source", key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
     """One row per row of df: key, size, text_crc32, law, shard, slot, grown_shard, stratum.
 
     size: UTF-8 bytes of the text plus 1 (null text: 1). text_crc32: of the UTF-8 bytes, 0 for null.
+    The law `rows` is about single rows: equal texts are spread over shards and slots like any others.
     Nulls are a stratum of their own, null keys sort first. Rows alike in all of key, stratum and
     text are interchangeable, so the result is the same whatever order they are read in.
     An empty table gives an empty result. Other columns of df are not read.
@@ -59,14 +62,17 @@ def stratified_shards(df: DataFrame, n_shards: int, stratum: str = "source", key
         ((2 * (F.col("rows_before") + F.col("r")) - 1).cast("double") / (2 * F.col("stratum_rows")).cast("double")).alias("f"),
     ).withColumn("span", F.floor(F.col("f") * ranges).cast("long"))
 
-    spans = ranked.groupBy("span").agg(F.count("*").alias("n"))
-    # One row per range, so few thousand at any size of the table up to 10^8 rows.
-    order = W.orderBy("span")
-    spans = spans.select(
-        F.col("span").alias("span_"),
-        F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"),
+    # Rows before each range in two steps: of the runs of RUN ranges (few rows), then inside a run.
+    spans = ranked.groupBy("span").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("span") / RUN))
+    order = W.orderBy("run")
+    runs = spans.groupBy("run").agg(F.sum("n").alias("n")).select(
+        F.col("run").alias("run_"),
+        F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("run_before"),
         F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all_rows"),
     )
+    inside = W.partitionBy("run").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(runs, F.col("run") == F.col("run_"))
+    spans = spans.select(F.col("span").alias("span_"), (F.col("run_before") + F.col("inside")).alias("rows_before"), "all_rows")
     in_span = W.partitionBy("span").orderBy("f", "h", "stratum", "doc_id", "text_crc32", "size")
     placed = ranked.withColumn("r", F.row_number().over(in_span)).join(spans, F.col("span") == F.col("span_"))
     at = F.col("rows_before") + F.col("r") - 1  # 0-based place in the whole order

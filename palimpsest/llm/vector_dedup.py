@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import staged
+from palimpsest.llm.common import dropped, staged
 from palimpsest.llm.components import components
 
-SAMPLE, LISTS, SUBSPACES, CODES, STEPS = 16_384, 32, 8, 64, 8
+SAMPLE, SUBSPACES, CODES, STEPS = 16_384, 8, 64, 8
+#: Inverted lists at least and at most (a sixteenth of the sample), and rows of a list between.
+LEAST_LISTS, MOST_LISTS, LIST_ROWS = 32, 1024, 4096
 BLOCK, CHUNK = 1024, 64
 SLACK = 1e-5
 
@@ -54,8 +56,8 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Index:
     """Centroids and codebooks of vectors of one length."""
 
-    def __init__(self, x: np.ndarray):
-        self.centres = np.unique(k_means(x, LISTS, True), axis=0)
+    def __init__(self, x: np.ndarray, lists: int = LEAST_LISTS):
+        self.centres = np.unique(k_means(x, lists, True), axis=0)
         residuals = x - self.centres[_nearest(x, self.centres)]
         self.cuts = [c for c in np.array_split(np.arange(x.shape[1]), SUBSPACES) if len(c)]
         self.books = [k_means(residuals[:, c], CODES, False) for c in self.cuts]
@@ -112,7 +114,8 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
     by_length: dict[int, list] = {}
     for r in sample:
         by_length.setdefault(len(r.v), []).append(r.v)
-    indexes = spark.sparkContext.broadcast({n: Index(_unit(np.array(v))) for n, v in by_length.items()})
+    lists = min(MOST_LISTS, max(LEAST_LISTS, valid.count() // LIST_ROWS))
+    indexes = spark.sparkContext.broadcast({n: Index(_unit(np.array(v)), lists) for n, v in by_length.items()})
 
     @F.arrow_udf("struct<n:int,cell:int,probes:array<int>,codes:binary,error:double,v:binary>")
     def encoded(vectors: pa.Array) -> pa.Array:
@@ -179,6 +182,8 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
     counts = stars.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     roots = components(stars.select(F.col("id").alias("a"), F.col("root").alias("b")))
     found = staged(counts.join(roots, "id").select("id", "n_links", "root"), "linked")
+    indexes.destroy()
+    dropped(codes, cuts, stars)
     out = rows.select("id").join(found, "id", "left")
     out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
