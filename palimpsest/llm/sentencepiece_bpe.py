@@ -27,7 +27,7 @@ from palimpsest.llm.common import with_struct
 BLANK = "▁"
 NEVER = 1 << 60
 #: Bytes of words and ids that a worker keeps of each of two generations, and characters of the longest word.
-KEPT_BYTES, KEPT_CHARS = 40 << 20, 64
+KEPT_BYTES, KEPT_CHARS = 28 << 20, 64
 #: Pairs of pieces whose compatibility a worker keeps (about 150 bytes each).
 KEPT_PAIRS = 100_000
 LETTER = re.compile(r"[^\W\d_]")

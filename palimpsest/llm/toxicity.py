@@ -18,11 +18,13 @@ Only the text is an input of a score.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import struct
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from palimpsest.llm.common import with_struct
 WORD = re.compile(r"[^\W_]+")
 ROW = 32
 #: Labelled documents that the driver learns from at most.
-MAX_DOCUMENTS = 4000
+MAX_DOCUMENTS = 2000
 #: Occurrences that a word or beginning needs to have a weight if it marks nothing.
 LEAST_SEEN = 5
 PREFIXES = (4, 5, 6, 7, 8)
@@ -44,9 +46,14 @@ ODDS_LIMIT = 1e12
 TAGGED_CHARS = 1 << 20
 
 
+def feature(word: str, kind: int) -> str | None:
+    """The word itself (kind 0) or its first `kind` characters, which a mark at the end tells from whole words; None if it is shorter."""
+    return word if not kind else f"{word[:kind]}*" if kind <= len(word) else None
+
+
 def features(word: str) -> list[str]:
-    """The word and its beginnings, which a mark at the end tells from whole words."""
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if n <= len(word))]
+    """The word and its beginnings."""
+    return [f for k in (0, *PREFIXES) if (f := feature(word, k))]
 
 
 @dataclass
@@ -171,19 +178,34 @@ def tokens(text: str) -> tuple[list[str], np.ndarray]:
     return list(places), at
 
 
-def token_labels(words: list[list[str]], labels: np.ndarray) -> dict[str, float]:
-    """Features that occur nearly only in documents labelled 1, by smoothed log odds."""
-    seen = [defaultdict(int), defaultdict(int)]
-    for wanted in (1, 0):  # of the others only features of documents labelled 1 matter
-        for own, y in zip(words, labels, strict=True):
-            if int(y) == wanted:
-                for f in {f for w in own for f in features(w)}:
-                    if wanted or f in seen[1]:
-                        seen[wanted][f] += 1
+def packed_tokens(words: list[str], at: np.ndarray) -> bytes:
+    """The same as one compressed value."""
+    text = " ".join(words).encode("utf-8", "surrogatepass")
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<I", len(text)) + text + at.tobytes())
+
+
+def unpacked_tokens(data: bytes) -> tuple[list[str], np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    end = 4 + struct.unpack_from("<I", raw)[0]
+    return raw[4:end].decode("utf-8", "surrogatepass").split(), np.frombuffer(raw[end:], np.int32)
+
+
+def token_labels(words: list[list[str]], labels: np.ndarray) -> set[str]:
+    """Features that occur nearly only in documents labelled 1, by smoothed log odds. One kind is counted at a time."""
     ones, zeros = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     least = max(3, round(0.003 * ones))
-    odds = {f: np.log((n + 0.1) / (ones + 0.2)) - np.log((seen[0].get(f, 0) + 0.1) / (zeros + 0.2)) for f, n in seen[1].items() if n >= least}
-    return {f: o for f, o in odds.items() if o >= 4.0}
+    out: set[str] = set()
+    for kind in (0, *PREFIXES):
+        seen = [Counter(), Counter()]
+        for wanted in (1, 0):  # of the others only features of documents labelled 1 matter
+            for own, y in zip(words, labels, strict=True):
+                if int(y) == wanted:
+                    found = {f for w in own if (f := feature(w, kind))}
+                    seen[wanted].update(found if wanted else found & seen[1].keys())
+            if wanted:
+                seen[1] = Counter({f: n for f, n in seen[1].items() if n >= least})
+        out |= {f for f, n in seen[1].items() if np.log((n + 0.1) / (ones + 0.2)) - np.log((seen[0][f] + 0.1) / (zeros + 0.2)) >= 4.0}
+    return out
 
 
 def fit(texts: list[str], labels: list[int], passes: int = PASSES) -> ToxicModel:
@@ -201,8 +223,12 @@ def fit_tokens(documents: list[tuple[list[str], np.ndarray]], labels: list[int],
     marks = token_labels([words for words, _ in documents], y)
     places: dict[str, int] = {}
     sequences = [np.array([places.setdefault(w, len(places)) for w in words], np.int32)[at] for words, at in documents]
-    count = Counter(f for w in places for f in features(w))
-    names = sorted(f for f, n in count.items() if f in marks or n >= LEAST_SEEN)
+    names: list[str] = []
+    for kind in (0, *PREFIXES):
+        count = Counter(f for w in places if (f := feature(w, kind)))
+        names += [f for f, n in count.items() if f in marks or n >= LEAST_SEEN]
+    del count
+    names.sort()
     column = {f: i for i, f in enumerate(names)}
     pairs = np.array([(i, column[f]) for w, i in places.items() for f in features(w) if f in column], np.int64).reshape(-1, 2)
     toxic_word = np.array([any(f in marks for f in features(w)) for w in places])
@@ -277,20 +303,18 @@ def learn(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     """A model from at most max_documents labelled rows (those whose keys hash lowest), none of them held out.
 
     Only rows are bounded: whole texts are read, on the executors, and the driver gets each text's distinct words and
-    four bytes for each token.
+    four bytes for each token, compressed.
     """
 
-    @F.arrow_udf("struct<words:array<string>,at:binary>")
+    @F.arrow_udf("binary")
     def split(texts: pa.Array) -> pa.Array:
-        found = [tokens(t.as_py() or "") for t in texts]
-        made = [pa.array([w for w, _ in found], pa.list_(pa.string())), pa.array([a.tobytes() for _, a in found], pa.binary())]
-        return pa.StructArray.from_arrays(made, ["words", "at"])
+        return pa.array([packed_tokens(*tokens(t.as_py() or "")) for t in texts], pa.binary())
 
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held_out("k"))
     some = marked.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_documents)
     texts = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(some), "k")
     rows = texts.select("k", "y", F.xxhash64("t").alias("h"), split("t").alias("s")).orderBy("k", "h").limit(max_documents).collect()
-    return fit_tokens([(r.s.words, np.frombuffer(r.s["at"], np.int32)) for r in rows], [r.y for r in rows])
+    return fit_tokens([unpacked_tokens(r.s) for r in rows], [r.y for r in rows])
 
 
 FIELDS = ["score", "predicted", "n_toxic_tokens", "toxic_spans"]
