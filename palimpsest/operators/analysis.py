@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.operators.retrieval import cosine
 from palimpsest.operators.scoring import act_r, days_between
 
 
@@ -25,12 +24,15 @@ def strengthen(records: DataFrame) -> DataFrame:
     return records.where((F.col("access_count") > 3) & (c < 0.95)).select("id", F.round(F.least(c + 0.05, F.lit(0.95)), 6).alias("confidence"))
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b) of one concept whose vectors have a cosine of `least` or more."""
-    a = vectors.selectExpr("concept", "id AS a", "embedding AS va")
-    b = vectors.selectExpr("concept", "id AS b", "embedding AS vb")
-    pairs = a.join(b, "concept").where("a < b").withColumn("similarity", F.round(cosine("va", "vb"), 6))
-    return pairs.where(F.col("similarity") >= least).select("a", "b", "similarity")
+def similar_pairs(vectors: DataFrame, least: float, limit: int | None = None) -> DataFrame:
+    """(a < b, similarity): pairs of vectors (id, embedding) with a cosine of `least` or more, the `limit` most alike if given.
+
+    Every block of vectors meets every other in one product of matrices; only the hits leave it.
+    """
+    from palimpsest.operators.retrieval import semantic_pairs
+
+    pairs = semantic_pairs(vectors, least)
+    return pairs if limit is None else pairs.orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -55,13 +57,21 @@ def shared_targets(edges: DataFrame, k: int = 5) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("a", "b", F.col("to_id").alias("target"))
 
 
-def drift(snapshots: DataFrame) -> DataFrame:
-    """(concept, cycle, churn, drift5): Jaccard distance to the cycle before, and its sum over 5 cycles."""
+def drift(members: DataFrame, window: int = 5) -> DataFrame:
+    """(concept, cycle, churn, drift5) of members (concept, cycle, member): Jaccard distance to the cycle before, and its sum over `window` cycles.
+
+    Common members are counted in a join on (concept, cycle, member): no row holds all members of a concept.
+    """
+    rows = members.select("concept", "cycle", "member").distinct()
+    sizes = rows.groupBy("concept", "cycle").agg(F.count("*").alias("n"))
     by = W.partitionBy("concept").orderBy("cycle")
-    rows = snapshots.withColumn("before", F.lag("members").over(by))
-    churn = F.expr("CASE WHEN before IS NULL THEN 0D ELSE 1D - coalesce(try_divide(size(array_intersect(members, before)), size(array_union(members, before))), 1D) END")
-    rows = rows.withColumn("churn", F.round(churn, 6))
-    return rows.select("concept", "cycle", "churn", F.round(F.sum("churn").over(by.rowsBetween(-4, 0)), 6).alias("drift5"))
+    sizes = sizes.withColumn("before", F.lag("cycle").over(by)).withColumn("m", F.lag("n").over(by))
+    now = rows.join(sizes.select("concept", "cycle", "before"), ["concept", "cycle"])
+    was = rows.select("concept", F.col("cycle").alias("before"), "member")
+    common = now.join(was, ["concept", "before", "member"]).groupBy("concept", "cycle").agg(F.count("*").alias("both"))
+    churn = F.expr("CASE WHEN m IS NULL THEN 0D ELSE 1D - coalesce(both, 0) / cast(n + m - coalesce(both, 0) as double) END")
+    made = sizes.join(common, ["concept", "cycle"], "left").withColumn("churn", F.round(churn, 6))
+    return made.select("concept", "cycle", "churn", F.round(F.sum("churn").over(by.rowsBetween(1 - window, 0)), 6).alias("drift5"))
 
 
 def empty_runs(searches: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,29 +29,30 @@ STOP_WORDS = (
 ).split()
 
 
-def any_of(phrases) -> str:
-    """A pattern that finds any of the phrases."""
-    return "|".join(re.sub(r"([.:?*+()\[\]{}|\\^$])", r"\\\1", p) for p in phrases)
+def any_of(low: Column, phrases) -> Column:
+    """Whether a text holds any of the phrases, as they are."""
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(low, F.lit(p))
+    return out
 
 
-def classify(content: Column) -> Column:
-    """First type of which a phrase is in the text, else note."""
-    low, out = F.lower(content), None
+def classify(low: Column) -> Column:
+    """First type of which a phrase is in the lower-case text, else note."""
+    out = None
     for name, phrases in TYPE_PHRASES.items():
-        hit = low.rlike(any_of(phrases))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = F.when(any_of(low, phrases), name) if out is None else out.when(any_of(low, phrases), name)
     return out.otherwise("note")
 
 
-def importance(content: Column, kind: Column) -> Column:
+def importance(low: Column, content: Column, kind: Column) -> Column:
     """0.5, more by type and words, less if under 20 bytes, more if over 200; between 0.1 and 1."""
-    low, score = F.lower(content), F.lit(0.5)
-    boost = None
+    score, boost = F.lit(0.5), None
     for name, value in TYPE_BOOST.items():
         boost = F.when(kind == name, value) if boost is None else boost.when(kind == name, value)
     score = score + boost.otherwise(0.0)
     for words, value in WORD_BOOST:
-        score = score + F.when(low.rlike(any_of(words)), value).otherwise(0.0)
+        score = score + F.when(any_of(low, words), value).otherwise(0.0)
     n = F.octet_length(content)
     score = score + F.when(n < 20, -0.1).when(n > 200, 0.05).otherwise(0.0)
     return F.greatest(F.lit(0.1), F.least(F.lit(1.0), score))
@@ -69,8 +68,8 @@ def tags(df: DataFrame, k: int = 5, key: str = "id", content: str = "content") -
 
 
 def noise(content: Column) -> Column:
-    """Under 50 bytes; under 200 with the opening of a reply; under 500 in braces."""
-    text = F.trim(content)
+    """Under 50 bytes; under 200 with the opening of a reply; under 500 in braces; without the white space around the text."""
+    text = F.regexp_replace(content, r"^\s+|\s+$", "")
     n = F.octet_length(text)
     opening = F.lit(False)
     for phrase in NOISE_OPENINGS:
@@ -89,11 +88,15 @@ def exact_copies(df: DataFrame, key: str = "id", group: str = "project_id", cont
 
 
 def recent_similar(df: DataFrame, newest: int = 20, least: float = 0.85) -> DataFrame:
-    """Pairs (id, other): word sets of other, among a project's `newest` newest, have a Jaccard over `least`; the newest hit."""
+    """Pairs (id, other): word sets of other, among a project's `newest` newest, have a Jaccard over `least`; the newest hit.
+
+    Words are exchanged as hashes, and only pairs whose sizes allow the likeness are compared.
+    """
     order = W.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id"))
-    words = df.select("id", "project_id", "created_at", F.array_distinct(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != "")).alias("words"))
-    recent = words.withColumn("r", F.row_number().over(order)).where(F.col("r") <= newest)
-    other = recent.select("project_id", F.col("id").alias("other"), F.col("words").alias("theirs"), F.col("r").alias("place"))
-    pairs = words.join(other, "project_id").where("id <> other").withColumn("both", F.size(F.array_intersect("words", "theirs")))
-    pairs = pairs.withColumn("jaccard", F.expr("both / cast(size(words) + size(theirs) - both as double)")).where(F.col("jaccard") > least)
+    recent = df.select("project_id", "id", "created_at").withColumn("place", F.row_number().over(order)).where(F.col("place") <= newest)
+    words = F.array_distinct(F.transform(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    sets = df.select("id", "project_id", words.alias("words")).withColumn("n", F.size("words"))
+    other = recent.select("id", "place").join(sets, "id").select("project_id", F.col("id").alias("other"), F.col("words").alias("theirs"), F.col("n").alias("m"), "place")
+    small = sets.select("id", "project_id", "n", "words").join(other, "project_id").where((F.col("id") != F.col("other")) & (F.least("n", "m") > least * F.greatest("n", "m")))
+    pairs = small.withColumn("both", F.size(F.array_intersect("words", "theirs"))).withColumn("jaccard", F.expr("both / cast(n + m - both as double)")).where(F.col("jaccard") > least)
     return pairs.groupBy("id").agg(F.min_by("other", "place").alias("other"), F.round(F.min_by("jaccard", "place"), 6).alias("jaccard"))

@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.predicates import active, valid_at
-from palimpsest.operators.scoring import PATHS, RRF_K, RRF_WEIGHTS, recency
+from palimpsest.operators.scoring import PATHS, QUALITY_SHARE, RRF_K, RRF_WEIGHTS, SUPERSEDED, composite, quality, recency, retention, weights
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Stripped from both ends of words.
+PUNCTUATION = ".,;:!?()[]{}\"'"
+# Weight of a neighbour by a shared target, score of a word in a concept's name or description.
+SHARED_WEIGHT, WORD_SCORE = 0.3, 0.3
 
 
 def terms(text) -> F.Column:
@@ -29,41 +34,72 @@ def top(scored: DataFrame, k: int, key: str = "id") -> DataFrame:
     return scored.withColumn("score", F.round("score", 6)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
+def scoped(queries: DataFrame) -> DataFrame:
+    """Each query once for its project and once for all projects, so that scope is an equal join on project_id."""
+    return queries.withColumn("project_id", F.explode(F.array_distinct(F.array(F.col("project"), F.lit("global")))))
+
+
 def in_scope(records: DataFrame, queries: DataFrame) -> DataFrame:
     """Active records of a query's project or of all projects, with the query's columns."""
-    return records.where(active()).join(queries, (F.col("project_id") == F.col("project")) | (F.col("project_id") == "global"))
+    return records.where(active()).join(scoped(queries), "project_id")
+
+
+def postings(records: DataFrame) -> DataFrame:
+    """(term, id, project_id, len, tf) of the active records: the inverted index, to be written once and joined by term."""
+    docs = records.where(active()).select("id", "project_id", terms(F.col("content")).alias("words")).withColumn("len", F.size("words").cast("long"))
+    return docs.select("id", "project_id", "len", F.explode("words").alias("term")).groupBy("term", "id", "project_id", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Records that hold all terms of the query, by BM25; score 1 / (1 + bm25) as the store's order gives it, best first.
+def bm25(records: DataFrame, queries: DataFrame, k: int, monotone: bool = True, any_term: bool = False, sparse: str | None = None) -> DataFrame:
+    """(query_id, id, score): records by BM25 (or, not monotone, 1 / (1 + BM25), the greater the worse), best first.
 
-    Only postings of query terms are shuffled: the query's words filter the exploded words first.
+    All terms of the query must be in a record, with any_term one of them. `sparse`: a column of further terms
+    (array) of which none must be there but each counts. Only postings of query terms are shuffled.
     """
     docs = records.where(active()).select("id", "project_id", terms(F.col("content")).alias("words")).withColumn("len", F.size("words").cast("long"))
     total = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query_id", "project", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).where(F.octet_length("term") > 1)
-    needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
-    postings = docs.select("id", "project_id", "len", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("id", "project_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    hits = postings.join(df, "term").join(asked, "term").where("project_id = project OR project_id = 'global'").crossJoin(F.broadcast(total))  # one row
+    wanted = F.filter(F.array_distinct(terms(F.col("text"))), lambda w: F.octet_length(w) > 1)
+    asked = queries.select("query_id", "project", F.explode(wanted).alias("term")).withColumn("must", F.lit(1))
+    if sparse:
+        more = queries.select("query_id", "project", F.explode(F.array_except(F.array_distinct(sparse), wanted)).alias("term")).withColumn("must", F.lit(0))
+        asked = asked.unionByName(more)
+    needed = asked.groupBy("query_id").agg(F.sum("must").alias("needed"))
+    found = docs.select("id", "project_id", "len", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = found.groupBy("id", "project_id", "len", "term").agg(F.count("*").alias("tf"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    hits = found.join(df, "term").join(scoped(asked), ["term", "project_id"]).crossJoin(F.broadcast(total))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(idf * norm).alias("score"), F.count("*").alias("found")).join(needed, "query_id").where("found = needed")
-    return top(scored.select("query_id", "id", "score"), k)
+    scored = hits.groupBy("query_id", "id").agg(F.sum(idf * norm).alias("score"), F.sum("must").alias("found"))
+    if not any_term:
+        scored = scored.join(needed, "query_id").where("found = needed")
+    best = top(scored.select("query_id", "id", "score"), k)
+    return best if monotone else best.withColumn("score", F.round(1 / (1 + F.col("score")), 6))
 
 
 def like(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Records that hold the query's text as it is; score: share of its words they hold."""
+    """Records that hold the query's text as it is (any case); score: share of its words they hold; ties by confidence, importance, id where they are."""
     rows = in_scope(records, queries).where(F.contains(F.lower("content"), F.lower("text")))
     words = F.filter(F.split(F.lower("text"), " "), lambda w: F.octet_length(w) > 1)
     held = F.size(F.filter(words, lambda w: F.contains(F.lower(F.col("content")), w)))
-    return top(rows.select("query_id", "id", (held / F.greatest(F.size(words), F.lit(1))).alias("score")), k)
+    by = [F.desc_nulls_last(c) for c in ("confidence", "importance") if c in records.columns]
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), *by, "id")
+    scored = rows.withColumn("score", F.round(held / F.greatest(F.size(words), F.lit(1)), 6))
+    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "id", "score")
 
 
 def temporal(records: DataFrame, queries: DataFrame, k: int, now) -> DataFrame:
-    """Records valid at the query's time, newest validity first; score: recency."""
-    rows = in_scope(records, queries).where(valid_at(F.col("as_of"))).withColumn("score", F.round(recency(F.coalesce("valid_from", "created_at"), now), 6))
+    """Records valid at the query's time, newest validity first; score: recency.
+
+    Where the queries have them, columns after (inclusive) and before (exclusive) bound the beginning of validity
+    (records without one are then out), and phrase must be in the text.
+    """
+    rows = in_scope(records, queries).where(valid_at(F.col("as_of")))
+    if "after" in queries.columns:
+        rows = rows.where("(after IS NULL OR valid_from >= after) AND (before IS NULL OR valid_from < before)")
+    if "phrase" in queries.columns:
+        rows = rows.where(F.col("phrase").isNull() | F.contains(F.lower("content"), F.lower("phrase")))
+    rows = rows.withColumn("score", F.round(recency(F.coalesce("valid_from", "created_at"), now), 6))
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("valid_from"), "id")
     return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "id", "score")
 
@@ -75,10 +111,92 @@ def cosine(a: str, b: str) -> F.Column:
     return F.expr(f"CASE WHEN size({a}) = size({b}) THEN coalesce(try_divide({dot}, {norm.format(a)} * {norm.format(b)}), 0D) ELSE 0D END")
 
 
-def semantic(records: DataFrame, queries: DataFrame, k: int, least: float = 0.3) -> DataFrame:
-    """Records by cosine of their vector with the query's (column vector), over `least`."""
-    rows = in_scope(records.where("embedding IS NOT NULL"), queries.where("vector IS NOT NULL"))
-    return top(rows.withColumn("score", cosine("embedding", "vector")).where(F.col("score") > least).select("query_id", "id", "score"), k)
+#: Vectors that one block of records, and one of queries, holds.
+RECORD_BLOCK, QUERY_BLOCK = 4096, 512
+
+
+def _blocks(rows: DataFrame, vector: str, size: int) -> DataFrame:
+    """Rows (id, scope, vector) as blocks (n, ids, scopes, data): unit vectors of one length n, in double precision."""
+
+    def packed(batches):
+        held: dict[int, list] = {}
+
+        def block(n):
+            ids, scopes, x = zip(*held.pop(n), strict=True)
+            x = np.array(x)
+            x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            return pa.RecordBatch.from_pylist([{"n": n, "ids": list(ids), "scopes": list(scopes), "data": x.tobytes()}], schema)
+
+        schema = pa.schema([("n", pa.int32()), ("ids", pa.list_(pa.string())), ("scopes", pa.list_(pa.string())), ("data", pa.binary())])
+        for batch in batches:
+            for i, s, v in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held.setdefault(len(v), []).append((i, s, [0.0 if c is None else c for c in v]))
+                if len(held[len(v)]) >= size:
+                    yield block(len(v))
+        for n in list(held):
+            yield block(n)
+
+    return rows.select(F.col("id").cast("string"), "scope", F.col(vector).cast("array<double>")).mapInArrow(packed, "n int, ids array<string>, scopes array<string>, data binary")
+
+
+def semantic(records: DataFrame, queries: DataFrame, k: int, least: float = 0.3, rescaled: bool = False) -> DataFrame:
+    """(query_id, id, score): records by cosine of their vector with the query's (column vector), over `least`.
+
+    Vectors are normalised once and packed into blocks; every block of records meets every block of queries in one
+    product of matrices, which gives at most k rows for a query. rescaled: the score is (1 + cosine) / 2.
+    """
+    key = dict(records.dtypes)["id"]
+    base = _blocks(records.where(active() & F.col("embedding").isNotNull()).select("id", F.col("project_id").alias("scope"), "embedding"), "embedding", RECORD_BLOCK)
+    asked = _blocks(queries.where("vector IS NOT NULL").select(F.col("query_id").alias("id"), F.col("project").alias("scope"), "vector"), "vector", QUERY_BLOCK)
+    asked = asked.select("n", F.col("ids").alias("query_ids"), F.col("scopes").alias("projects"), F.col("data").alias("asked"))
+
+    def scored(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, q = (np.frombuffer(row[c], np.float64).reshape(-1, row["n"]) for c in ("data", "asked"))
+                score = np.round(q @ x.T, 6)
+                scopes, projects = np.array(row["scopes"], object), np.array(row["projects"], object)
+                score[~((scopes[None] == projects[:, None]) | (scopes[None] == "global"))] = -2
+                ids = np.array(row["ids"], object)
+                made = {"query_id": [], "id": [], "score": []}
+                for j, own in enumerate(score):
+                    some = np.flatnonzero(own > least)
+                    if len(some) > k:
+                        some = some[own[some] >= np.partition(own[some], -k)[-k]]  # ties at the border all stay
+                    made["query_id"] += [row["query_ids"][j]] * len(some)
+                    made["id"] += ids[some].tolist()
+                    made["score"] += own[some].tolist()
+                yield pa.RecordBatch.from_pydict(made, pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())]))
+
+    pairs = base.join(asked, "n").mapInArrow(scored, "query_id string, id string, score double")
+    found = pairs.select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]), F.col("id").cast(key), "score")
+    best = top(found, k)
+    return best.withColumn("score", F.round((1 + F.col("score")) / 2, 7)) if rescaled else best
+
+
+def semantic_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(a < b, similarity) of vectors (id, embedding) with a cosine of `least` or more, in blocks.
+
+    A pair of blocks meets once: the one whose first id is less leads.
+    """
+    key = dict(vectors.dtypes)["id"]
+    own = _blocks(vectors.where("embedding IS NOT NULL AND id IS NOT NULL").select("id", F.lit("").alias("scope"), "embedding"), "embedding", RECORD_BLOCK).select("n", "ids", "data")
+    other = own.select("n", F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
+
+    def compared(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[c], np.float64).reshape(-1, row["n"]) for c in ("data", "data_b"))
+                same = row["ids"][0] == row["ids_b"][0]
+                score = np.round(x @ y.T, 6)
+                i, j = np.nonzero(np.triu(score >= least, 1) if same else score >= least)
+                a, b = (np.array(row[c], object) for c in ("ids", "ids_b"))
+                yield pa.RecordBatch.from_pydict({"a": a[i].tolist(), "b": b[j].tolist(), "similarity": score[i, j].tolist()}, pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())]))
+
+    pairs = own.join(other, "n").where("ids[0] <= ids_b[0]").mapInArrow(compared, "a string, b string, similarity double")
+    a, b = (F.col(c).cast(key) for c in "ab")
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -93,16 +211,21 @@ def strongest(edges: DataFrame, k: int, least: float = 0.05) -> DataFrame:
     return both_ways(edges).where(F.col("weight") >= least).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def graph(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """Seeds (query_id, id) score 1, their neighbours 0.3 + 0.6 of the largest weight."""
+def graph(seeds: DataFrame, edges: DataFrame, k: int, scope=None) -> DataFrame:
+    """Seeds (query_id, id) score 1, their neighbours 0.3 + 0.6 of the largest weight. scope: what may be found, as a function of (query_id, id, score)."""
     near = seeds.join(strongest(edges, 10), F.col("id") == F.col("src")).groupBy("query_id", F.col("dst").alias("id")).agg((0.3 + 0.6 * F.max("weight")).alias("score"))
-    both = near.unionByName(seeds.select("query_id", "id", F.lit(1.0).alias("score")))
-    return top(both.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+    both = near.unionByName(seeds.select("query_id", "id", F.lit(1.0).alias("score"))).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top(scope(both) if scope else both, k)
 
 
-def spreading(seeds: DataFrame, edges: DataFrame, k: int, hops: int = 2, decay: float = 0.6, least: float = 0.05) -> DataFrame:
-    """Activation from seeds over `hops` hops, each weight times decay; the largest counts; seeds are left out."""
-    near = strongest(edges, 10)
+def spreading(seeds: DataFrame, edges: DataFrame, k: int, hops: int = 2, decay: float = 0.6, least: float = 0.05, shared: DataFrame | None = None, scope=None) -> DataFrame:
+    """Activation from seeds over `hops` hops, each weight times decay; the largest counts; seeds are left out.
+
+    shared: (a, b, target), sources of one target; they are neighbours of weight SHARED_WEIGHT.
+    """
+    near = strongest(edges, 10).select("src", "dst", "weight")
+    if shared is not None:
+        near = near.unionByName(shared.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct().withColumn("weight", F.lit(SHARED_WEIGHT)))
     front = seeds.select("query_id", "id", F.lit(1.0).alias("score"))
     levels = []
     for _ in range(hops):
@@ -112,36 +235,93 @@ def spreading(seeds: DataFrame, edges: DataFrame, k: int, hops: int = 2, decay:
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    found = every.groupBy("query_id", "id").agg(F.max("score").alias("score")).join(seeds, ["query_id", "id"], "left_anti")
-    return top(found, k)
-
+    found = every.groupBy("query_id", "id").agg(F.max("score").alias("score")).join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return top(scope(found) if scope else found, k)
 
-def concepts(members: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, least: float = 0.3) -> DataFrame:
-    """Members of the 5 concepts nearest to a query's vector, by cosine; members (concept, id, probability)."""
-    near = queries.where("vector IS NOT NULL").crossJoin(F.broadcast(centroids.orderBy(F.desc("size"), "concept").limit(50)))  # 50 rows at most
-    best = top(near.withColumn("score", cosine("centroid", "vector")).where(F.col("score") >= least).select("query_id", "concept", "score"), 5, "concept")
-    found = best.join(members, "concept").select("query_id", "id", (F.col("score") * F.col("probability")).alias("score"))
-    return top(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
+def concepts(members: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, least: float = 0.3, n_nodes: int = 50, scope=None) -> DataFrame:
+    """(query_id, id, score): members (concept, id, probability) of the 5 concepts nearest to a query.
 
-def fuse(paths: dict[str, DataFrame], intent: str) -> DataFrame:
+    nodes: (concept, centroid, size) and, if there, label, a text whose words count WORD_SCORE each where the query
+    has them. Only the n_nodes largest nodes are compared. A member counts once, by its greatest
+    probability, among equals by the least concept. queries: query_id, vector and, with labels, text.
+    """
+    largest = nodes.orderBy(F.desc("size"), "concept").limit(n_nodes)
+    cos = F.coalesce(cosine("centroid", "vector"), F.lit(0.0))
+    score = F.when(cos >= least, cos).otherwise(0.0)
+    if "label" in nodes.columns:
+        words = F.filter(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda w: F.octet_length(w) > 2)
+        score = score + WORD_SCORE * F.size(F.filter(words, lambda w: F.contains(F.lower(F.col("label")), w)))
+    near = queries.crossJoin(F.broadcast(largest)).withColumn("score", score).where(F.col("score") > 0)  # n_nodes rows at most
+    best = top(near.select("query_id", "concept", "score"), 5, "concept")
+    found = best.join(members, "concept")
+    once = found.withColumn("r", F.row_number().over(W.partitionBy("query_id", "id").orderBy(F.desc("probability"), "concept"))).where("r = 1")
+    found = once.select("query_id", "id", (F.col("score") * F.col("probability")).alias("score"))
+    return top(scope(found) if scope else found, k)
+
+
+def in_reach(records: DataFrame, queries: DataFrame):
+    """A scope for paths that go over ids alone: found records must be active and in the query's project or in all projects."""
+    alive = records.where(active()).select("id", "project_id")
+    asked = scoped(queries.select("query_id", "project")).select("query_id", "project_id")
+    return lambda found: found.join(alive, "id").join(asked, ["query_id", "project_id"]).select("query_id", "id", "score")
+
+
+def seeds_of(keyword: DataFrame, semantic: DataFrame, k: int = 6) -> DataFrame:
+    """The k records of each query that are best by word or by vector."""
+    both = keyword.select("query_id", "id", "score").unionByName(semantic.select("query_id", "id", "score"))
+    return top(both.groupBy("query_id", "id").agg(F.max("score").alias("score")), k).select("query_id", "id")
+
+
+def fuse(paths: dict[str, DataFrame], intents: str | DataFrame) -> DataFrame:
     """(query_id, id, rrf): weighted reciprocal ranks; a record that a path hasn't found has the rank after its last.
 
-    One aggregation over all paths in long form instead of a chain of outer joins.
+    intents: one intent, or (query_id, intent). One aggregation over all paths in long form instead of a
+    chain of outer joins.
     """
     long = None
     for name, found in paths.items():
         part = found.select("query_id", "id", F.lit(name).alias("path"), "score")
         long = part if long is None else long.unionByName(part)
     merged = long.groupBy("query_id", "id").agg(*(F.max(F.when(F.col("path") == p, F.col("score"))).alias(p) for p in PATHS))
+    merged = merged.withColumn("intent", F.lit(intents)) if isinstance(intents, str) else merged.join(intents.select("query_id", "intent"), "query_id")
+    w = weights(F.col("intent"), RRF_WEIGHTS, PATHS)
     n = F.count("*").over(W.partitionBy("query_id"))
     total = F.lit(0.0)
-    for p, w in zip(PATHS, RRF_WEIGHTS[intent], strict=True):
+    for p in PATHS:
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last(p), "id"))
-        total = total + w / (RRF_K + F.when(F.col(p) > 0, place).otherwise(n + 1))
+        total = total + w[p] / (RRF_K + F.when(F.col(p) > 0, place).otherwise(n + 1))
     return merged.select("query_id", "id", total.alias("rrf"))
 
 
+def hybrid(records: DataFrame, queries: DataFrame, edges: DataFrame, shared: DataFrame, nodes: DataFrame, members: DataFrame, now, k: int = 10, paths: int = 20) -> DataFrame:
+    """(query_id, id, rrf): six paths of `paths` results each, fused by each query's intent. The flagship's first half.
+
+    queries: query_id, text, project, as_of, vector, intent; edges: (memory_a, memory_b, weight) of record ids;
+    shared: (a, b, target) of record ids; nodes and members: see `concepts`.
+    """
+    scope = in_reach(records, queries)
+    keyword = bm25(records, queries, paths).withColumn("score", F.round(F.col("score") / (1 + F.col("score")), 6))
+    by_vector = semantic(records, queries, paths)
+    seeds = seeds_of(keyword, by_vector)
+    found = {
+        "keyword": keyword, "semantic": by_vector, "temporal": temporal(records, queries, paths, now), "graph": graph(seeds, edges, paths, scope),
+        "concept": concepts(members, nodes, queries, paths, scope=scope), "activation": spreading(seeds, edges, paths, shared=shared, scope=scope),
+    }
+    return fuse(found, queries)
+
+
+def ranked(fused: DataFrame, records: DataFrame, queries: DataFrame, edges: DataFrame, now, k: int = 10) -> DataFrame:
+    """(query_id, id, score): the k best of fused (query_id, id, rrf) by composite score, links to each other, and quality."""
+    rows = fused.join(records, "id").join(hebbian_boost(fused, edges), ["query_id", "id"], "left").join(queries.select("query_id", "intent"), "query_id")
+    signals = {
+        "rrf": F.col("rrf"), "recency": recency(F.col("created_at"), now), "importance": F.col("importance"), "confidence": F.coalesce("confidence", F.lit(0.5)),
+        "hebbian": F.coalesce("boost", F.lit(0.0)), "retention": retention(F.col("last_accessed"), F.col("strength"), now), "depth": F.col("processing_depth"),
+    }
+    base = composite(signals, F.col("intent")) * F.when(F.col("superseded_by").isNotNull(), SUPERSEDED).otherwise(1.0)
+    return top(rows.select("query_id", "id", ((1 - QUALITY_SHARE) * base + QUALITY_SHARE * quality(now)).alias("score")), k)
+
+
 def hebbian_boost(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, id, boost): weights to other records found for the same query, 0.2 of their sum, 0.5 at most."""
     a, b = found.select("query_id", F.col("id").alias("src")), found.select("query_id", F.col("id").alias("dst"))
@@ -150,22 +330,71 @@ def hebbian_boost(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def diverse(found: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
-    """Greedy choice of k records of each query (query_id, id, score, embedding) by relevance less likeness to those chosen.
+    """(query_id, id, place): greedy choice of k records of each query by relevance less likeness to those chosen.
 
+    found: query_id, id, score, embedding and, if there, content. Two records are alike by the cosine of their vectors, or,
+    if one has none, by the Jaccard similarity of the words of their contents. Relevance is the score scaled to 0 to
+    1 within a query (1 if all are equal); ties go by id. A query with k records or fewer has them by score.
     A group is what the paths have found for one query, so it is small.
     """
 
+    def word_set(text):
+        return {w for w in (x.strip(PUNCTUATION) for x in (text or "").lower().split()) if len(w.encode()) > 2}
+
     def chosen(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+        n = len(group)
         span = group.score.max() - group.score.min()
         relevance = ((group.score - group.score.min()) / span if span > 0 else pd.Series(1.0, group.index)).to_numpy()
-        x = np.stack([np.zeros(1) if v is None else np.asarray(v, float) for v in group.embedding]) if group.embedding.map(lambda v: v is not None).all() else np.zeros((len(group), 1))
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        like, picked = x @ x.T, [0]
-        while len(picked) < min(k, len(group)):
-            value = trade * relevance - (1 - trade) * np.maximum(like[:, picked].max(1), 0)
-            value[picked] = -np.inf
-            picked.append(int(value.argmax()))
+        vectors = [None if v is None else np.asarray(v, float) for v in group.embedding]
+        words = [word_set(t) for t in group.content] if "content" in group else [set()] * n
+
+        def like(i, j):
+            a, b = vectors[i], vectors[j]
+            if a is not None and b is not None:
+                size = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0
+                return float(a @ b / size) if size > 0 else 0.0
+            both = len(words[i] & words[j])
+            return both / max(1, len(words[i]) + len(words[j]) - both)
+
+        if n <= k:
+            picked = list(range(n))
+        else:
+            picked, most = [0], np.zeros(n)
+            while len(picked) < k:
+                most = np.maximum(most, [like(i, picked[-1]) for i in range(n)])
+                value = np.round(trade * relevance - (1 - trade) * most, 9)
+                value[picked] = -np.inf
+                picked.append(int(value.argmax()))
         return pd.DataFrame({"query_id": group.query_id.iloc[0], "id": group.id[picked], "place": range(1, len(picked) + 1)})
 
     return found.groupBy("query_id").applyInPandas(chosen, "query_id long, id string, place long")
+
+
+def reranked(found: DataFrame, scorer, share: float = 0.85) -> DataFrame:
+    """(query_id, id, score) of found (query_id, id, score, text, content): the scorer's logit as a probability, blended with the score.
+
+    scorer: a function of the columns (text, content) that gives a logit; a null logit counts as 0.
+    """
+    made = 1 / (1 + F.exp(-F.coalesce(scorer(F.col("text"), F.col("content")), F.lit(0.0))))
+    return found.select("query_id", "id", F.round(share * made + (1 - share) * F.col("score"), 6).alias("score"))
+
+
+def answers(found: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, answer, confidence, sources): the best record's content and confidence, and the ids of the k best in order."""
+    best = top(found, k).join(records.select("id", "content", F.coalesce("confidence", F.lit(0.5)).alias("sure")), "id")
+    lists = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "content", "sure"))).alias("b"))  # k rows
+    return lists.select("query_id", F.expr("b[0].content").alias("answer"), F.expr("b[0].sure").alias("confidence"), F.expr("transform(b, x -> x.id)").alias("sources"))
+
+
+def co_retrieved(found: DataFrame, k: int = 5) -> DataFrame:
+    """(memory_a < memory_b, n, weight): records among the k best of the same query; a pair gains 0.1 for each query, up to 1."""
+    best = top(found, k).select("query_id", "id")
+    pairs = best.withColumnRenamed("id", "memory_a").join(best.withColumnRenamed("id", "memory_b"), "query_id").where("memory_a < memory_b")  # k * (k - 1) / 2 a query
+    counted = pairs.groupBy("memory_a", "memory_b").agg(F.count("*").alias("n"))
+    return counted.withColumn("weight", F.round(F.least(0.1 * F.col("n"), F.lit(1.0)), 6))
+
+
+def search_hits(found: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, search_hit_count) of the records that were found: one more for each query."""
+    return found.groupBy("id").agg(F.count("*").alias("hits")).join(records.select("id", "search_hit_count"), "id").select("id", (F.col("search_hit_count") + F.col("hits")).alias("search_hit_count"))

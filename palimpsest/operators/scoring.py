@@ -60,9 +60,15 @@ def effective_confidence(now: Column) -> Column:
     return clamp(c, F.when(F.col("importance") >= 0.8, 0.4).when(F.col("importance") >= 0.5, 0.2).otherwise(0.1), 1.0)
 
 
+# Quality by length of the text, by its tags and by its type.
+FALLBACK_BYTES, FALLBACK = 20, {"long": 0.5, "short": 0.2, "tags": 0.3, "type": 0.2}
+
+
 def quality_fallback() -> Column:
-    """By length of the text and presence of a type."""
-    return F.when(F.octet_length("content") > 20, 0.5).otherwise(0.2) + F.when(F.coalesce(F.col("type"), F.lit("")) != "", 0.2).otherwise(0.0)
+    """By length of the text, presence of tags and of a type."""
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    value = F.when(F.octet_length("content") > FALLBACK_BYTES, FALLBACK["long"]).otherwise(FALLBACK["short"])
+    return value + F.when(some("tags"), FALLBACK["tags"]).otherwise(0.0) + F.when(some("type"), FALLBACK["type"]).otherwise(0.0)
 
 
 def act_r(days: Column, tier: Column) -> Column:
@@ -77,24 +83,38 @@ def retention(last: Column, strength: Column, now: Column) -> Column:
     return F.coalesce(F.exp(-days_between(now, last) * 24 * 0.05 / (F.greatest(strength, F.lit(0.1)) * 24)), F.lit(0.5))
 
 
-def composite(signals: dict[str, Column], intent: str) -> Column:
-    """Weighted sum of signals; the weight of a missing one goes to its neighbours."""
-    w = dict(zip(SIGNALS, SIGNAL_WEIGHTS[intent], strict=True))
+# Shares of a missing rerank weight; empty searches in a row from which recency and links count double and retention half as much again.
+RERANK_TO = {"rrf": 0.70, "confidence": 0.15, "importance": 0.15}
+MANY_EMPTY, EMPTY_FACTORS = 3, {"recency": 2.0, "hebbian": 2.0, "retention": 1.5}
+RRF_FULL, HEBBIAN_GAIN, SUPERSEDED, QUALITY_SHARE = 0.05, 2, 0.5, 0.15
+
+
+def weights(intent: Column | str, table: dict[str, tuple], names: tuple) -> dict[str, Column]:
+    """Weight of each name for an intent, or for a column of intents; an unknown intent counts as factual."""
+    if isinstance(intent, str):
+        return dict(zip(names, map(F.lit, table[intent]), strict=True))
+    return {name: by_value({i: values[k] for i, values in table.items()}, intent, table["factual"][k]) for k, name in enumerate(names)}
+
+
+def composite(signals: dict[str, Column], intent: Column | str, empty_searches: Column | None = None) -> Column:
+    """Weighted sum of signals between 0 and 1; the weight of a missing one goes to its neighbours."""
+    w = weights(intent, SIGNAL_WEIGHTS, SIGNALS)
+    if empty_searches is not None:
+        for name, factor in EMPTY_FACTORS.items():
+            w[name] = w[name] * F.when(empty_searches >= MANY_EMPTY, factor).otherwise(1.0)
     if "rerank" not in signals:
-        w["rrf"] += 0.70 * w["rerank"]
-        w["confidence"] += 0.15 * w["rerank"]
-        w["importance"] += 0.15 * w["rerank"]
+        for name, share in RERANK_TO.items():
+            w[name] = w[name] + share * w["rerank"]
     if "credibility" not in signals:
-        w["confidence"] += w["credibility"]
-    importance = F.lit(w["importance"])
-    total = F.lit(0.0)
+        w["confidence"] = w["confidence"] + w["credibility"]
+    importance, total = w["importance"], F.lit(0.0)
     if "depth" in signals:
         importance = importance + F.when(signals["depth"].isNull(), w["depth"]).otherwise(0.0)
         total = total + w["depth"] * F.coalesce(signals["depth"], F.lit(0.0))
     else:
         importance = importance + w["depth"]
-    total = total + importance * signals["importance"] + w["rrf"] * F.least(signals["rrf"] / 0.05, F.lit(1.0))
-    total = total + w["hebbian"] * F.least(2 * signals["hebbian"], F.lit(1.0))
+    total = total + importance * signals["importance"] + w["rrf"] * F.least(signals["rrf"] / RRF_FULL, F.lit(1.0))
+    total = total + w["hebbian"] * F.least(HEBBIAN_GAIN * signals["hebbian"], F.lit(1.0))
     for name in ("rerank", "recency", "confidence", "retention", "credibility"):
         if name in signals:
             total = total + w[name] * signals[name]

@@ -1,398 +1,4 @@
-"""The queries over the record tables, and the same in DuckDB's SQL."""
+"""All queries of the library and their SQL: importing the modules registers them."""
 
-from __future__ import annotations
-
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from palimpsest.operators import analysis, enrichment, graph, ingest, retrieval, scoring
-from palimpsest.operators.predicates import active, confident, in_project, valid_at, visible_to
-from palimpsest.sources.tables import MARKERS, co_retrieval_edges, memories, table, tool_calls
-
-QUERIES, SQL = {}, {}
-def now():
-    return F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
-
-TS = "TIMESTAMP '2024-02-01 00:00:00'"
-ASKED = [(1, "this from", "src1"), (2, "with was are", "src2"), (3, "be this by", "src3")]
-
-
-def _quoted(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-
-
-def _has(phrases, text: str = "lower(content)") -> str:
-    return "(" + " OR ".join(f"contains({text}, '{p.replace(chr(39), chr(39) * 2)}')" for p in phrases) + ")"
-
-
-KIND_SQL = "CASE " + " ".join(f"WHEN {_has(p)} THEN '{t}'" for t, p in enrichment.TYPE_PHRASES.items()) + " ELSE 'note' END"
-IMPORTANCE_SQL = (
-    "greatest(0.1::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE type " + " ".join(f"WHEN '{t}' THEN {v}::DOUBLE" for t, v in enrichment.TYPE_BOOST.items()) + " ELSE 0 END"
-    + "".join(f" + CASE WHEN {_has(w)} THEN {v}::DOUBLE ELSE 0 END" for w, v in enrichment.WORD_BOOST)
-    + " + CASE WHEN strlen(content) < 20 THEN -0.1::DOUBLE WHEN strlen(content) > 200 THEN 0.05::DOUBLE ELSE 0 END))"
-)
-MEMORIES_SQL = f"""
-raw AS (
-  SELECT d.doc_id, 'm' || lpad(d.doc_id::VARCHAR, 8, '0') AS id, CASE WHEN source = 'src0' THEN 'global' ELSE source END AS project_id,
-    CASE d.doc_id % 12 {" ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MARKERS))} ELSE '' END || coalesce(d.text, '') AS content,
-    CASE WHEN d.doc_id % 7 <> 0 THEN 0.3::DOUBLE + 0.6::DOUBLE * coalesce(l.quality::DOUBLE, 0.5) END AS confidence,
-    TIMESTAMP '2023-11-01 00:00:00' + to_days((d.doc_id % 90)::INTEGER) + to_seconds(d.doc_id) AS created_at,
-    l.toxic, e.embedding, e.label AS concept
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id
-), typed AS (SELECT *, {KIND_SQL} AS type FROM raw
-), memories AS (
-  SELECT *, created_at + to_days((doc_id % 5)::INTEGER) AS last_accessed, CASE WHEN doc_id % 11 <> 0 THEN created_at END AS valid_from,
-    CASE WHEN doc_id % 6 = 0 THEN created_at + INTERVAL 20 DAY END AS valid_to, CASE WHEN doc_id % 17 = 0 THEN {TS} END AS deleted_at,
-    CASE WHEN doc_id % 13 = 0 THEN 'm' || lpad((doc_id + 1)::VARCHAR, 8, '0') END AS superseded_by,
-    CASE doc_id % 3 WHEN 1 THEN 'system' WHEN 2 THEN 'agent-a' END AS agent_id, ['ephemeral', 'relevant', 'established', 'core'][doc_id % 4 + 1] AS tier,
-    doc_id % 12 AS access_count, doc_id % 9 AS search_hit_count, coalesce(toxic, 0) * (doc_id % 5) AS contradiction_count, 1 + doc_id % 3 AS source_count,
-    1.0::DOUBLE AS strength, CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 5) / 5.0::DOUBLE END AS processing_depth, {IMPORTANCE_SQL} AS importance
-  FROM typed
-)"""
-ASKED_SQL = "asked(query_id, text, project, as_of) AS (VALUES " + ", ".join(f"({q}::BIGINT, '{t}', '{p}', TIMESTAMP '2024-01-15 00:00:00')" for q, t, p in ASKED) + ")"
-EDGES_SQL = """
-steps AS (SELECT event_id % 200 AS x, lag(event_id % 200) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS y FROM events),
-edges AS (SELECT least(x, y) AS memory_a, greatest(x, y) AS memory_b, count(*) AS n, least(0.1::DOUBLE * count(*), 1.0) AS weight FROM steps WHERE y IS NOT NULL AND x <> y GROUP BY 1, 2),
-ways AS (SELECT memory_a AS src, memory_b AS dst, weight FROM edges UNION ALL SELECT memory_b, memory_a, weight FROM edges),
-strong AS (SELECT * FROM ways WHERE weight >= 0.05 QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 10),
-seeds AS (SELECT range AS query_id, range AS id FROM range(0, 200, 20))"""
-
-
-def days_sql(at: str) -> str:
-    return f"((epoch_us({TS}) - epoch_us({at})) / 86400e6)"
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def asked(spark):
-    return spark.createDataFrame(ASKED, "query_id long, text string, project string").withColumn("as_of", F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))
-
-
-def seeds(spark):
-    return spark.range(0, 200, 20).selectExpr("id AS query_id", "id")
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT id, project_id, type, round(importance, 6) AS importance, round(confidence, 6) AS confidence, created_at, tier, agent_id FROM memories")
-def enriched_records(spark, sf_dir):
-    m = memories(spark, sf_dir)
-    return m.select("id", "project_id", "type", F.round("importance", 6).alias("importance"), F.round("confidence", 6).alias("confidence"), "created_at", "tier", "agent_id")
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT project_id, count(*) FILTER (deleted_at IS NULL) AS n_active, count(*) FILTER (deleted_at IS NOT NULL) AS n_deleted, count(*) FILTER (created_at > {TS} - INTERVAL 7 DAY) AS n_new FROM memories GROUP BY 1")
-def status_counts(spark, sf_dir):
-    return memories(spark, sf_dir).groupBy("project_id").agg(
-        F.count_if(active()).alias("n_active"), F.count_if(~active()).alias("n_deleted"), F.count_if(F.expr("created_at > TIMESTAMP_NTZ '2024-02-01 00:00:00' - INTERVAL '7' DAY")).alias("n_new")
-    )
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT type, count(*) AS n, round(coalesce(avg(importance), 0), 6) AS importance, round(coalesce(avg(confidence), 0.5), 6) AS confidence FROM memories WHERE deleted_at IS NULL GROUP BY 1")
-def count_by_type(spark, sf_dir):
-    rows = memories(spark, sf_dir).where(active()).groupBy("type")
-    return rows.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("importance"), F.lit(0.0)), 6).alias("importance"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.5)), 6).alias("confidence"))
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT project_id, count(*) AS n FROM memories GROUP BY 1")
-def count_by_project(spark, sf_dir):
-    return memories(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM memories WHERE deleted_at IS NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 30")
-def daily_histogram(spark, sf_dir):
-    return memories(spark, sf_dir).where(active()).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("day")).limit(30)
-
-
-@query("SELECT event_type AS tool_name, count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_ok, round(avg(value), 6) AS avg_ms, max(value) AS max_ms, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
-def tool_stats(spark, sf_dir):
-    return tool_calls(spark, sf_dir).groupBy("tool_name").agg(
-        F.count("*").alias("n"), F.count_if("success").alias("n_ok"), F.round(F.avg("duration_ms"), 6).alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at")
-    )
-
-
-@query("SELECT 'src' || (user_id % 20)::VARCHAR AS project_id, event_id AS id, ts AS timestamp FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, event_id DESC) <= 20")
-def recent_tool_calls(spark, sf_dir):
-    order = W.partitionBy("project_id").orderBy(F.desc("timestamp"), F.desc("id"))
-    return tool_calls(spark, sf_dir).withColumn("r", F.row_number().over(order)).where("r <= 20").select("project_id", "id", "timestamp")
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT id, substr(content, 1, 500) AS content, length(content) > 500 AS truncated FROM memories WHERE deleted_at IS NULL AND project_id IN ('src1', 'global') ORDER BY created_at DESC, id LIMIT 50")
-def list_recent(spark, sf_dir):
-    rows = memories(spark, sf_dir).where(active() & in_project("src1")).orderBy(F.desc("created_at"), "id").limit(50)
-    return rows.select("id", F.substring("content", 1, 500).alias("content"), (F.char_length("content") > 500).alias("truncated"))
-
-
-@query(f"""WITH {MEMORIES_SQL} SELECT id FROM memories WHERE deleted_at IS NULL AND (agent_id IS NULL OR agent_id IN ('agent-a', 'system')) AND coalesce(confidence, 0.5) >= 0.5
-  AND (valid_from IS NULL OR valid_from <= TIMESTAMP '2024-01-15') AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15')""")
-def valid_as_of(spark, sf_dir):
-    return memories(spark, sf_dir).where(active() & visible_to("agent-a") & confident(0.5) & valid_at(F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))).select("id")
-
-
-KEYWORD_SQL = f"""{MEMORIES_SQL}, {ASKED_SQL},
-words AS (SELECT id, project_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM memories WHERE deleted_at IS NULL),
-total AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM words),
-query_terms AS (SELECT DISTINCT query_id, project, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM asked),
-postings AS (SELECT id, project_id, n_words, term, count(*) AS tf FROM (SELECT id, project_id, len(w) AS n_words, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM query_terms) GROUP BY ALL),
-dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
-keyword_all AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * n_words / avg_len))), 6) AS score
-  FROM postings JOIN dfs USING (term) JOIN query_terms USING (term), total WHERE project_id IN (project, 'global') GROUP BY 1, 2
-  HAVING count(*) = (SELECT count(*) FROM query_terms q WHERE q.query_id = query_terms.query_id)),
-keyword AS (SELECT * FROM keyword_all QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20),
-temporal AS (SELECT query_id, id, round(exp(-ln(2) * greatest({days_sql("coalesce(valid_from, created_at)")}, 0) / 30), 6) AS score FROM memories JOIN asked ON project_id IN (project, 'global')
-  WHERE deleted_at IS NULL AND (valid_from IS NULL OR valid_from <= as_of) AND (valid_to IS NULL OR valid_to > as_of)
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY valid_from DESC NULLS LAST, id) <= 20)"""
-
-
-@query(f"WITH {KEYWORD_SQL} SELECT * FROM keyword")
-def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(memories(spark, sf_dir), asked(spark), 20)
-
-
-@query(f"WITH {MEMORIES_SQL}, {ASKED_SQL} SELECT query_id, id, 1.0::DOUBLE AS score FROM memories JOIN asked ON project_id IN (project, 'global') WHERE deleted_at IS NULL AND contains(lower(content), lower(asked.text)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 20")
-def like_overlap(spark, sf_dir):
-    return retrieval.like(memories(spark, sf_dir), asked(spark), 20)
-
-
-@query(f"WITH {KEYWORD_SQL} SELECT * FROM temporal")
-def temporal_path(spark, sf_dir):
-    return retrieval.temporal(memories(spark, sf_dir), asked(spark), 20, now())
-
-
-FUSED_SQL = f"""{KEYWORD_SQL},
-merged AS (SELECT query_id, id, max(k) AS k, max(t) AS t FROM (SELECT query_id, id, score AS k, NULL::DOUBLE AS t FROM keyword UNION ALL SELECT query_id, id, NULL, score FROM temporal) GROUP BY 1, 2),
-placed AS (SELECT *, count(*) OVER (PARTITION BY query_id) + 1 AS missing, row_number() OVER (PARTITION BY query_id ORDER BY k DESC NULLS LAST, id) AS rk, row_number() OVER (PARTITION BY query_id ORDER BY t DESC NULLS LAST, id) AS rt FROM merged),
-fused AS (SELECT query_id, id, 0.27::DOUBLE / (60 + CASE WHEN k > 0 THEN rk ELSE missing END) + 0.09::DOUBLE / (60 + CASE WHEN t > 0 THEN rt ELSE missing END) + 0.64::DOUBLE / (60 + missing) AS rrf FROM placed)"""
-
-
-def _fused(spark, sf_dir):
-    m = memories(spark, sf_dir)
-    return m, retrieval.fuse({"keyword": retrieval.bm25(m, asked(spark), 20), "temporal": retrieval.temporal(m, asked(spark), 20, now())}, "factual")
-
-
-@query(f"WITH {FUSED_SQL} SELECT query_id, id, round(rrf, 6) AS rrf FROM fused")
-def rrf_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir)[1].withColumn("rrf", F.round("rrf", 6))
-
-
-QUALITY_SQL = f"""greatest(0, least(1, CASE WHEN access_count > 0 THEN least(log10(access_count + 1.0::DOUBLE) / 2, 1) * 0.25 ELSE 0 END + CASE WHEN search_hit_count > 0 THEN least(log10(search_hit_count + 1.0::DOUBLE) / 2, 1) * 0.2 ELSE 0 END
-  - CASE WHEN {days_sql("last_accessed")} > 30 AND access_count <= 1 THEN least(log10({days_sql("last_accessed")} / 30 + 1), 1) * 0.15 ELSE 0 END + CASE tier WHEN 'core' THEN 0.15 WHEN 'established' THEN 0.1 WHEN 'relevant' THEN 0.05 ELSE 0 END
-  + coalesce(confidence, 0.5) * 0.15 - least(least(contradiction_count, 10) * 0.05, 1) * 0.05))"""
-CONFIDENCE_SQL = f"""greatest(CASE WHEN importance >= 0.8 THEN 0.4 WHEN importance >= 0.5 THEN 0.2 ELSE 0.1 END, least(1.0, coalesce(confidence, 0.5) - greatest({days_sql("last_accessed")}, 0) * 0.001
-  + CASE WHEN source_count > 1 THEN (source_count - 1) * 0.15 ELSE 0 END - least(contradiction_count, 3) * 0.05 + CASE WHEN importance > 0.7 THEN 0.1 ELSE 0 END
-  - CASE WHEN superseded_by IS NOT NULL THEN 0.15 ELSE 0 END - CASE WHEN valid_to < {TS} THEN 0.25 ELSE 0 END))"""
-
-
-@query(f"""WITH {FUSED_SQL}, scored AS (
-  SELECT query_id, id, least(1.0, greatest(0.0, (0.05::DOUBLE * greatest(0, 1) * exp(-ln(2) * greatest({days_sql("created_at")}, 0) / 30)) + (0.08 + 0.15 * 0.23 + CASE WHEN processing_depth IS NULL THEN 0.07 ELSE 0 END) * importance
-    + 0.07 * coalesce(processing_depth, 0) + (0.37 + 0.7 * 0.23) * least(rrf / 0.05, 1) + (0.05 + 0.15 * 0.23 + 0.05) * coalesce(confidence, 0.5) + 0.05 * exp(-{days_sql("last_accessed")} * 24 * 0.05 / 24)))
-    * CASE WHEN superseded_by IS NOT NULL THEN 0.5 ELSE 1 END AS base, {QUALITY_SQL} AS quality FROM fused JOIN memories USING (id))
-SELECT query_id, id, round(0.85 * base + 0.15 * quality, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.85 * base + 0.15 * quality, 6) DESC, id) <= 10""")
-def hybrid_search(spark, sf_dir):
-    m, fused = _fused(spark, sf_dir)
-    rows = fused.join(m, "id")
-    signals = {
-        "rrf": F.col("rrf"), "recency": scoring.recency(F.col("created_at"), now()), "importance": F.col("importance"), "confidence": F.coalesce("confidence", F.lit(0.5)),
-        "hebbian": F.lit(0.0), "retention": scoring.retention(F.col("last_accessed"), F.col("strength"), now()), "depth": F.col("processing_depth"),
-    }
-    base = scoring.composite(signals, "factual") * F.when(F.col("superseded_by").isNotNull(), 0.5).otherwise(1.0)
-    return retrieval.top(rows.select("query_id", "id", (0.85 * base + 0.15 * scoring.quality(now())).alias("score")), 10)
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT id, round({CONFIDENCE_SQL}, 6) AS effective FROM memories")
-def effective_confidence(spark, sf_dir):
-    return memories(spark, sf_dir).select("id", F.round(scoring.effective_confidence(now()), 6).alias("effective"))
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT id, round({QUALITY_SQL}, 6) AS quality FROM memories")
-def quality_score(spark, sf_dir):
-    return memories(spark, sf_dir).select("id", F.round(scoring.quality(now()), 6).alias("quality"))
-
-
-ACT_R_SQL = f"pow(1 + {{b}} * greatest({days_sql('last_accessed')}, 0), -{{c}})".format(
-    b="CASE tier " + " ".join(f"WHEN '{t}' THEN {p[0]}" for t, p in scoring.TIERS.items()) + " END", c="CASE tier " + " ".join(f"WHEN '{t}' THEN {p[1]}" for t, p in scoring.TIERS.items()) + " END"
-)
-
-
-@query(f"WITH {MEMORIES_SQL}, r AS (SELECT *, {ACT_R_SQL} AS r FROM memories WHERE deleted_at IS NULL AND importance < 0.9), s AS (SELECT id, round(greatest(strength * (r + (1 - r) * coalesce(processing_depth, 0) * 0.3), 0.1), 6) AS new, strength AS was FROM r) SELECT id, new AS strength FROM s WHERE abs(was - new) > 0.001")
-def act_r_decay(spark, sf_dir):
-    return analysis.decay(memories(spark, sf_dir), now())
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT id, round(least(coalesce(confidence, 0.5) + 0.05, 0.95), 6) AS confidence FROM memories WHERE access_count > 3 AND coalesce(confidence, 0.5) < 0.95")
-def strengthen(spark, sf_dir):
-    return analysis.strengthen(memories(spark, sf_dir))
-
-
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.35")
-def similar_pairs(spark, sf_dir):
-    return analysis.similar_pairs(table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding", "label AS concept"), 0.35)
-
-
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0)
-SELECT query_id, e.vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM q, embeddings e WHERE list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) > 0.2
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) DESC, e.vec_id) <= 10""")
-def semantic_topk(spark, sf_dir):
-    return _nearest(spark, sf_dir, 100)
-
-
-def _nearest(spark, sf_dir, every: int):
-    e = table(spark, sf_dir, "embeddings")
-    rows = e.selectExpr("vec_id AS id", "embedding", "'global' AS project_id", "CAST(NULL AS TIMESTAMP_NTZ) AS deleted_at")
-    return retrieval.semantic(rows, e.where(f"vec_id % {every} = 0").selectExpr("vec_id AS query_id", "embedding AS vector", "'global' AS project"), 10, 0.2)
-
-
-@query(f"WITH {EDGES_SQL} SELECT memory_a, memory_b, n, round(weight, 6) AS weight FROM edges")
-def co_retrieval(spark, sf_dir):
-    return co_retrieval_edges(spark, sf_dir).withColumn("weight", F.round("weight", 6))
-
-
-@query(f"""WITH {EDGES_SQL}, near AS (SELECT query_id, dst AS id, 0.3 + 0.6 * max(weight) AS score FROM seeds JOIN strong ON id = src GROUP BY 1, 2),
-every AS (SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT * FROM near UNION ALL SELECT query_id, id, 1.0 FROM seeds) GROUP BY 1, 2) SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20""")
-def graph_path(spark, sf_dir):
-    return retrieval.graph(seeds(spark), co_retrieval_edges(spark, sf_dir), 20)
-
-
-@query(f"""WITH {EDGES_SQL}, one AS (SELECT query_id, dst AS id, max(weight * 0.6::DOUBLE) AS score FROM seeds JOIN strong ON id = src WHERE weight * 0.6::DOUBLE >= 0.05 GROUP BY 1, 2),
-two AS (SELECT query_id, dst AS id, max(score * weight * 0.6::DOUBLE) AS score FROM one JOIN strong ON id = src WHERE score * weight * 0.6::DOUBLE >= 0.05 GROUP BY 1, 2),
-every AS (SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY 1, 2)
-SELECT * FROM every WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM seeds) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20""")
-def spreading_activation(spark, sf_dir):
-    return retrieval.spreading(seeds(spark), co_retrieval_edges(spark, sf_dir), 20)
-
-
-@query(f"WITH {MEMORIES_SQL}, firsts AS (SELECT id, min(id) OVER (PARTITION BY project_id, sha256(content)) AS first FROM memories) SELECT * FROM firsts")
-def exact_dedup(spark, sf_dir):
-    return enrichment.exact_copies(memories(spark, sf_dir))
-
-
-@query(f"""WITH {MEMORIES_SQL}, words AS (SELECT id, project_id, created_at, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda w: w <> '')) AS w FROM memories),
-recent AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS r FROM words QUALIFY r <= 20),
-pairs AS (SELECT a.id, b.id AS other, b.r, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS m FROM words a JOIN recent b ON a.project_id = b.project_id AND a.id <> b.id)
-SELECT id, other, round(n / (m - n)::DOUBLE, 6) AS jaccard FROM pairs WHERE n / (m - n)::DOUBLE > 0.85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY r) = 1""")
-def near_dedup(spark, sf_dir):
-    return enrichment.recent_similar(memories(spark, sf_dir))
-
-
-@query(f"""WITH {MEMORIES_SQL}, w AS (SELECT id, regexp_replace(unnest(string_split_regex(lower(content), '\\s+')), '[^\\p{{L}}\\p{{N}}_-]', '', 'g') AS tag FROM memories)
-SELECT id, tag, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, tag) AS r FROM w WHERE strlen(tag) >= 3 AND tag NOT IN ({_quoted(enrichment.STOP_WORDS)}) GROUP BY id, tag QUALIFY r <= 5""")
-def tags(spark, sf_dir):
-    return enrichment.tags(memories(spark, sf_dir))
-
-
-@query("SELECT conv_id, turn, strlen(trim(coalesce(text, ''))) < 50 OR (strlen(trim(text)) < 500 AND starts_with(trim(text), '{') AND ends_with(trim(text), '}')) OR (strlen(trim(text)) < 200 AND ("
-       + " OR ".join(f"starts_with(trim(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in enrichment.NOISE_OPENINGS) + ")) AS noise FROM conversations")
-def noise_filter(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", enrichment.noise(F.coalesce("text", F.lit(""))).alias("noise"))
-
-
-@query("""WITH s AS (SELECT event_type AS concept, week(ts) AS cycle, list(DISTINCT user_id) AS members FROM events GROUP BY 1, 2), b AS (SELECT *, lag(members) OVER (PARTITION BY concept ORDER BY cycle) AS before FROM s),
-c AS (SELECT concept, cycle, round(CASE WHEN before IS NULL THEN 0 ELSE 1 - len(list_intersect(members, before)) / len(list_distinct(list_concat(members, before)))::DOUBLE END, 6) AS churn FROM b)
-SELECT concept, cycle, churn, round(sum(churn) OVER (PARTITION BY concept ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS drift5 FROM c""")
-def concept_drift(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("concept"), F.weekofyear("ts").cast("long").alias("cycle")).agg(F.collect_set("user_id").alias("members"))
-    return analysis.drift(rows)
-
-
-@query("""WITH l AS (SELECT DISTINCT event_id % 300 AS f, user_id AS t FROM events) SELECT a.f AS a, b.f AS b, a.t AS target FROM l a JOIN l b ON a.t = b.t AND a.f <> b.f
-QUALIFY row_number() OVER (PARTITION BY a.f, a.t ORDER BY b.f) <= 5""")
-def shared_targets(spark, sf_dir):
-    return analysis.shared_targets(table(spark, sf_dir, "events").selectExpr("event_id % 300 AS from_id", "user_id AS to_id"))
-
-
-@query("""WITH i AS (SELECT user_id, event_id, ts, event_type = 'error' AS e, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)
-SELECT user_id, event_id, (sum(e::INTEGER) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS empty_run FROM i""")
-def empty_search_runs(spark, sf_dir):
-    return analysis.empty_runs(table(spark, sf_dir, "events").withColumn("empty", F.col("event_type") == "error"))
-
-
-@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING count(*) >= 3""")
-def event_bursts(spark, sf_dir):
-    return analysis.bursts(table(spark, sf_dir, "events"), "6 hours")
-
-
-@query("SELECT user_id, arg_max(event_id, struct_pack(ts, event_id)) AS event_id FROM events GROUP BY 1")
-def latest_per_key(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
-@query()
-def mmr_select(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    found = _nearest(spark, sf_dir, 20).join(e.selectExpr("vec_id AS id", "embedding"), "id").withColumn("id", F.col("id").cast("string"))
-    return retrieval.diverse(found, 5)
-
-
-@query()
-def concept_path(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding", "label AS concept", "1.0D AS probability")
-    asked_for = e.where("id % 20 = 0").selectExpr("id AS query_id", "embedding AS vector")
-    return retrieval.concepts(e, analysis.centroids(e), asked_for, 10, 0.1)
-
-
-@query(f"""WITH {MEMORIES_SQL} SELECT id, CASE WHEN access_count >= 10 THEN 'core' WHEN tier = 'ephemeral' AND access_count >= 5 THEN 'established' WHEN tier = 'ephemeral' AND access_count >= 2 THEN 'relevant' ELSE tier END AS tier
-  FROM memories WHERE deleted_at IS NULL""")
-def tier_backfill(spark, sf_dir):
-    return memories(spark, sf_dir).where(active()).select("id", ingest.tier_by_use(F.col("access_count"), F.col("tier")).alias("tier"))
-
-
-@query(f"WITH {MEMORIES_SQL} SELECT id, coalesce(valid_from, created_at) AS valid_from FROM memories")
-def valid_from_backfill(spark, sf_dir):
-    return memories(spark, sf_dir).select("id", F.coalesce("valid_from", "created_at").alias("valid_from"))
-
-
-@query("""SELECT conv_id, turn, 0::BIGINT AS part, CASE WHEN strlen(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END AS content FROM conversations WHERE strlen(text) >= 50
-UNION ALL SELECT conv_id, turn, 1, CASE WHEN strlen(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END FROM conversations WHERE strlen(text) >= 50 AND turn % 3 = 1""")
-def transcript_extract(spark, sf_dir):
-    """Conversations as transcript lines: message with text, message with two equal blocks, or content at the top."""
-    c = table(spark, sf_dir, "conversations")
-    blocks = F.expr("to_json(named_struct('message', named_struct('role', role, 'content', array(named_struct('type', 'text', 'text', text), named_struct('type', 'text', 'text', text)))))")
-    line = F.when(c.turn % 3 == 0, F.expr("to_json(named_struct('message', named_struct('role', role, 'content', text)))")).when(c.turn % 3 == 1, blocks).otherwise(F.expr("to_json(named_struct('content', text))"))
-    return ingest.transcript_texts(c.select(F.struct("conv_id", "turn").alias("line_id"), line.alias("line"))).select("line_id.*", "part", "content")
-
-
-RELATIONS_SQL = """relations AS (SELECT event_id % 300 AS from_id, user_id AS to_id, event_type AS relation_type, value AS weight FROM events WHERE event_type <> 'error')"""
-
-
-def relations(spark, sf_dir):
-    """Entity edges out of events; errors are invalidated ones."""
-    return table(spark, sf_dir, "events").selectExpr("event_id % 300 AS from_id", "user_id AS to_id", "event_type AS relation_type", "value AS weight", "CASE WHEN event_type = 'error' THEN ts END AS valid_to")
-
-
-@query(f"""WITH {RELATIONS_SQL} SELECT from_id AS id, to_id AS other, relation_type, weight, 'outgoing' AS direction FROM relations WHERE from_id IN (SELECT range FROM range(0, 200, 20))
-UNION ALL SELECT to_id, from_id, relation_type, weight, 'incoming' FROM relations WHERE to_id IN (SELECT range FROM range(0, 200, 20))""")
-def edge_query(spark, sf_dir):
-    return graph.edges_of(relations(spark, sf_dir), spark.range(0, 200, 20))
-
-
-@query("""WITH RECURSIVE links AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem WHERE l_quantity = 1), seeds AS (SELECT DISTINCT src AS seed FROM links WHERE src % 50 = 0),
-both_ways AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), walk AS (SELECT seed, seed AS id, 0 AS steps FROM seeds UNION SELECT seed, dst, steps + 1 FROM walk JOIN both_ways ON id = src WHERE steps < 3)
-SELECT seed, id, min(steps) AS steps FROM walk GROUP BY 1, 2 HAVING min(steps) > 0""")
-def code_neighbours(spark, sf_dir):
-    """Parts and suppliers as a catalogue of linked items: three steps from the parts asked for."""
-    links = table(spark, sf_dir, "lineitem").where("l_quantity = 1").selectExpr("l_partkey AS src", "l_suppkey + 1000000 AS dst")
-    return graph.reached(links.union(links.select("dst", "src")), links.where("src % 50 = 0").selectExpr("src AS id"), 3)
-
-
-TYPES_SQL = "types AS (SELECT 'region ' || r_name AS name, 'place' AS parent FROM region UNION ALL SELECT 'place', NULL UNION ALL SELECT 'nation ' || n_name, 'region ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
-
-
-@query(f"""WITH RECURSIVE {TYPES_SQL}, up AS (SELECT name, parent AS ancestor, 1 AS steps FROM types WHERE parent IS NOT NULL UNION ALL SELECT up.name, parent, steps + 1 FROM up JOIN types t ON t.name = ancestor WHERE parent IS NOT NULL),
-own AS (SELECT t.name, count(s_suppkey) AS n FROM types t LEFT JOIN (SELECT s_suppkey, 'nation ' || n_name AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON type = t.name GROUP BY 1)
-SELECT own.name, coalesce((SELECT max(steps) FROM up WHERE up.name = own.name), 0)::BIGINT AS depth, (SELECT count(*) FROM up WHERE ancestor = own.name) AS n_subtypes,
-  (n + coalesce((SELECT sum(b.n) FROM up JOIN own b ON b.name = up.name WHERE up.ancestor = own.name), 0))::BIGINT AS n_entities FROM own""")
-def type_hierarchy(spark, sf_dir):
-    """Places: a top type, regions, nations; suppliers are the entities of nations."""
-    region, nation, supplier = (table(spark, sf_dir, n) for n in ("region", "nation", "supplier"))
-    within = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("'nation ' || n_name AS name", "'region ' || r_name AS parent")
-    types = region.selectExpr("'region ' || r_name AS name", "'place' AS parent").union(spark.createDataFrame([("place", None)], "name string, parent string")).union(within)
-    entities = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("'nation ' || n_name AS type")
-    return graph.type_summary(types, entities)
+from palimpsest.plans import graphs, records, search, understanding  # noqa: F401
+from palimpsest.plans.base import QUERIES, SQL  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.enrichment import classify, importance
@@ -16,19 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text records with project, validity, confidence, tier, counters, label quality and vector."""
-    d, lab, e = (table(spark, sf_dir, n) for n in ("documents", "labels", "embeddings"))
+#: Columns of memories that need the labels, the vectors, or the text's type.
+LABELLED, VECTOR, TYPED = ("confidence", "contradiction_count"), ("embedding", "concept"), ("type", "importance")
+
+
+def memories(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Text records with project, validity, tier and counters; `extra`: further columns of LABELLED, VECTOR and TYPED.
+
+    Only the tables that the wanted columns need are read and joined. A record with several labels takes the greatest.
+    """
+    rows = table(spark, sf_dir, "documents")
+    if set(extra) & set(LABELLED):
+        labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        rows = rows.join(labels, "doc_id", "left")
+    if set(extra) & set(VECTOR):
+        rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("concept")), "doc_id", "left")
     marker = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MARKERS)) + " ELSE '' END"
-    rows = (
-        d.join(lab, "doc_id", "left").join(e.select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("concept")), "doc_id", "left")
-        .withColumn("created_at", F.expr("timestamp_ntz'2023-11-01 00:00:00' + make_dt_interval(cast(doc_id % 90 as int), 0, 0, cast(doc_id as decimal(18,6)))"))
-    )
+    rows = rows.withColumn("created_at", F.expr("timestamp_ntz'2023-11-01 00:00:00' + make_dt_interval(cast(doc_id % 90 as int), 0, 0, cast(doc_id as decimal(18,6)))"))
+    given = {
+        "confidence": "CASE WHEN doc_id % 7 <> 0 THEN 0.3D + 0.6D * coalesce(cast(quality as double), 0.5D) END",
+        "contradiction_count": "coalesce(toxic, 0) * (doc_id % 5)", "embedding": "embedding", "concept": "concept",
+    }
     rows = rows.selectExpr(
         "doc_id", "'m' || lpad(cast(doc_id as string), 8, '0') AS id",
         "CASE WHEN source = 'src0' THEN 'global' ELSE source END AS project_id",
         f"{marker} || coalesce(text, '') AS content",
-        "CASE WHEN doc_id % 7 <> 0 THEN 0.3D + 0.6D * coalesce(cast(quality as double), 0.5D) END AS confidence",
         "created_at", "created_at + make_dt_interval(cast(doc_id % 5 as int)) AS last_accessed",
         "CASE WHEN doc_id % 11 <> 0 THEN created_at END AS valid_from",
         "CASE WHEN doc_id % 6 = 0 THEN created_at + INTERVAL '20' DAY END AS valid_to",
@@ -36,20 +49,42 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN doc_id % 13 = 0 THEN 'm' || lpad(cast(doc_id + 1 as string), 8, '0') END AS superseded_by",
         "CASE doc_id % 3 WHEN 1 THEN 'system' WHEN 2 THEN 'agent-a' END AS agent_id",
         "element_at(array('ephemeral', 'relevant', 'established', 'core'), cast(doc_id % 4 as int) + 1) AS tier",
-        "doc_id % 12 AS access_count", "doc_id % 9 AS search_hit_count",
-        "coalesce(toxic, 0) * (doc_id % 5) AS contradiction_count", "1 + doc_id % 3 AS source_count",
+        "doc_id % 12 AS access_count", "doc_id % 9 AS search_hit_count", "1 + doc_id % 3 AS source_count",
         "1.0D AS strength", "CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 5) / 5.0D END AS processing_depth",
-        "embedding", "concept",
+        *(f"{given[c]} AS {c}" for c in extra if c in given),
     )
-    rows = rows.withColumn("type", classify(F.col("content")))
-    return rows.withColumn("importance", importance(F.col("content"), F.col("type")))
+    if not set(extra) & set(TYPED):
+        return rows
+    rows = rows.withColumn("low", F.lower("content")).withColumn("type", classify(F.col("low")))
+    return (rows.withColumn("importance", importance(F.col("low"), F.col("content"), F.col("type"))) if "importance" in extra else rows).drop("low")
+
+
+def asked(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    """Queries made of every record whose doc_id is divisible by 20: its third and fourth word, its project, a date."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    rows = d.selectExpr(
+        "doc_id AS query_id", "array_join(slice(filter(split(text, '[^A-Za-z]+'), w -> length(w) > 1), 3, 2), ' ') AS text",
+        "CASE WHEN source = 'src0' THEN 'global' ELSE source END AS project", "TIMESTAMP_NTZ '2024-01-15 00:00:00' AS as_of",
+    )
+    if vectors:
+        rows = rows.join(table(spark, sf_dir, "embeddings").selectExpr("vec_id AS query_id", "embedding AS vector"), "query_id", "left")
+    return rows.where("text <> ''")
+
 
+def co_retrieval_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(memory_a < memory_b, n, weight): consecutive events of a user, on records event_id mod the number of documents.
 
-def co_retrieval_edges(spark: SparkSession, sf_dir: str, n_docs: int = 200) -> DataFrame:
-    """(memory_a < memory_b, n, weight): consecutive events of a user, on memories event_id mod n_docs."""
-    pairs = table(spark, sf_dir, "events").selectExpr(
-        f"event_id % {n_docs} AS x", f"lag(event_id % {n_docs}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS y"
-    ).where("y IS NOT NULL AND x <> y")
+    The events of a user are put in order within a project's day first (user_id, day), then the last of a day meets
+    the first of the next, so that no window holds all events of one user.
+    """
+    n_docs = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"))
+    events = table(spark, sf_dir, "events").crossJoin(F.broadcast(n_docs))  # one row
+    events = events.selectExpr("user_id", "ts", "event_id", "event_id % n_docs AS x", "to_date(ts) AS day")
+    inside = W.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    steps = events.withColumn("y", F.lag("x").over(inside))
+    ends = events.groupBy("user_id", "day").agg(F.min_by("x", F.struct("ts", "event_id")).alias("x"), F.max_by("x", F.struct("ts", "event_id")).alias("last"))
+    across = ends.withColumn("y", F.lag("last").over(W.partitionBy("user_id").orderBy("day")))
+    pairs = steps.select("x", "y").union(across.select("x", "y")).where("y IS NOT NULL AND x <> y")
     counted = pairs.selectExpr("least(x, y) AS memory_a", "greatest(x, y) AS memory_b").groupBy("memory_a", "memory_b").agg(F.count("*").alias("n"))
     return counted.withColumn("weight", F.expr("least(0.1D * n, 1.0D)"))
 
