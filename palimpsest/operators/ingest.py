@@ -36,3 +36,50 @@ def tier_by_use(reads: Column, tier: Column) -> Column:
     """core from 10 reads on; an ephemeral record is established from 5, relevant from 2; else the tier stays."""
     fresh = tier == "ephemeral"
     return F.when(reads >= 10, "core").when(fresh & (reads >= 5), "established").when(fresh & (reads >= 2), "relevant").otherwise(tier)
+
+
+def folder_summary(files: DataFrame) -> DataFrame:
+    """(folder, n_files, n_bytes) of files (path, length), and a row with the totals (folder null)."""
+    return files.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).rollup("folder").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+def list_files(spark, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, length) of the files below a folder; their contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+
+
+def read_lines(spark, folder: str) -> DataFrame:
+    """(line_id, line) of transcript files: line_id has the file and the line's place in it among those that Spark reads together."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
+    return rows.select(F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).alias("line_id"), F.col("value").alias("line"))
+
+
+def bad_lines(lines: DataFrame, group: str = "file", line: str = "line") -> DataFrame:
+    """(group, n_lines, n_bad): lines that aren't JSON are counted, they end nothing."""
+    bad = F.expr(f"try_parse_json(`{line}`) IS NULL AND trim(`{line}`) <> ''")
+    return lines.groupBy(group).agg(F.count("*").alias("n_lines"), F.count_if(bad).alias("n_bad"))
+
+
+def ingested(texts: DataFrame, known: DataFrame, confidence: float = 0.7, agent: str = "transcript_ingest") -> DataFrame:
+    """Records out of texts (id, project_id, content, created_at) that say something and aren't there yet, with type, importance and hash.
+
+    known: (content_hash) of earlier records. Of equal texts the earliest (then least id) is taken.
+    """
+    from palimpsest.operators.enrichment import classify, importance, noise
+
+    rows = texts.where(~noise(F.col("content"))).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+    fresh = rows.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
+    firsts = fresh.groupBy("content_hash").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
+    fresh = fresh.join(firsts, ["content_hash", "id"], "left_semi").withColumn("low", F.lower("content")).withColumn("type", classify(F.col("low")))
+    fresh = fresh.withColumn("importance", importance(F.col("low"), F.col("content"), F.col("type")))
+    return fresh.select("id", "project_id", "content", "content_hash", "type", "importance", F.lit(confidence).alias("confidence"), F.lit(agent).alias("agent_id"), "created_at")
+
+
+def ingest_counts(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(project_id, n_new, n_noise, n_duplicate): what ingesting would do; all duplicates but the first taken are counted."""
+    from palimpsest.operators.enrichment import noise
+
+    rows = texts.select("project_id", "id", noise(F.col("content")).alias("noise"))
+    new = ingested(texts, known).select("id").withColumn("new", F.lit(True))
+    marked = rows.join(new, "id", "left")
+    return marked.groupBy("project_id").agg(F.count_if("new").alias("n_new"), F.count_if("noise").alias("n_noise"), F.count_if(F.col("new").isNull() & ~F.col("noise")).alias("n_duplicate"))

@@ -1,4 +1,4 @@
 """All queries of the library and their SQL: importing the modules registers them."""
 
-from palimpsest.plans import graphs, records, search, understanding  # noqa: F401
+from palimpsest.plans import catalogue, graphs, records, search, understanding, writes  # noqa: F401
 from palimpsest.plans.base import QUERIES, SQL  # noqa: F401
