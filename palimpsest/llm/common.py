@@ -2,66 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import ctypes.util
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.staging import clean, dropped, own_dir, shared_dir, staged
+
+__all__ = ["clean", "dropped", "free_name", "own_dir", "parts_for", "released", "shared_dir", "staged", "table", "with_struct"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; any path that Spark's readers open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset and Spark runs in one JVM (tests), a local folder is made for it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not hasattr(spark, "_palimpsest_dir"):
-            spark._palimpsest_dir = tempfile.mkdtemp(prefix="palimpsest-")
-        folder = spark._palimpsest_dir
-    return folder.rstrip("/")
-
-
-def _own_dir(spark: SparkSession) -> str:
-    """The part of the shared folder that this application alone writes to."""
-    return f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: the lineage ends there.
-
-    A lost executor costs no recomputation beyond that table. The files stay until `dropped` or `clean`.
-    """
-    spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made.staged_path = path
-    return made
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables that `staged` has made and no result reads any more."""
-    for df in tables:
-        if path := getattr(df, "staged_path", None):
-            _delete(df.sparkSession, path)
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's malloc_trim, where it has one."""
+    return getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete all that this application has staged; call it when the results that read it are written."""
-    _delete(spark, _own_dir(spark))
+def released() -> None:
+    """Give memory that a Python worker has freed back to the system: workers live on, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -11,8 +11,8 @@ _RANDOM = np.random.Generator(np.random.PCG64(0x5EED))
 BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
-#: Bytes of text hashed at once; a longer text is a piece alone.
-PIECE_BYTES = 1 << 21
+#: Bytes and number of texts hashed at once; a longer text is a piece alone.
+PIECE_BYTES, PIECE_ROWS = 1 << 19, 2048
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,11 +31,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def pieces(texts: pa.Array):
-    """Runs [a, b) of texts that together have about PIECE_BYTES bytes."""
+    """Runs [a, b) of at most PIECE_ROWS texts that together have about PIECE_BYTES bytes."""
     ends = np.cumsum([0, *(0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist())])
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + PIECE_BYTES, side="right")) - 1)
+        b = min(a + PIECE_ROWS, max(a + 1, int(np.searchsorted(ends, ends[a] + PIECE_BYTES, side="right")) - 1))
         yield a, b
         a = b
 

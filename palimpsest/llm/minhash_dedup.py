@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import dropped, free_name, parts_for, staged
+from palimpsest.llm.common import dropped, free_name, parts_for, released, staged
 from palimpsest.llm.components import components, merged
 from palimpsest.llm.hashing import mix, packed, pieces, powers, unpacked, words_of
 
@@ -41,12 +41,12 @@ EMPTY = np.uint64(2**64 - 1)
 #: Tries of an empty bin before it takes the first filled one.
 TRIES = 64 * BINS
 BLOCKS = 2
-HELD = 1 << 21
+HELD = 1 << 19
 BLOCK = "part int, known boolean, block binary"
 #: Bucket entries that one task joins, and bytes of sets that one task compares, at about.
-JOINED, COMPARED = 1 << 22, 1 << 26
+JOINED, COMPARED = 1 << 20, 1 << 25
 #: Members outside a bucket's largest component, and members, that are compared at once; bytes of their sets.
-OUTSIDE, MEMBERS, SET_BYTES = 256, 512, 1 << 24
+OUTSIDE, MEMBERS, SET_BYTES = 256, 512, 1 << 23
 DEVIATIONS = 7
 #: Pairs whose sets are compared before what they connected is taken out.
 AT_ONCE = 32
@@ -119,6 +119,7 @@ def sketched(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 counts.append(size)
                 digests.append(hashlib.blake2b(hashes[end - size : end].tobytes(), digest_size=16).digest() if size else None)
                 sigs.append(sig[i].tobytes() if size else None)
+        released()
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["n_shingles", "digest", "sig"])
 
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), sketch(F.col(f"`{text}`")).alias("s")).select("doc_id", "s.*")
@@ -132,6 +133,7 @@ def set_column(words: int):
         out = []
         for a, b, owner, hashes in shingle_sets(given, words):
             out += [s.tobytes() for s in np.split(hashes, np.cumsum(np.bincount(owner, minlength=b - a))[:-1])]
+        released()
         return pa.array(out, pa.binary())
 
     return shingles
@@ -185,6 +187,7 @@ def candidates(classes: DataFrame) -> DataFrame:
                 yield from flush()
         if held:
             yield from flush()
+        released()
 
     def joined(table: pa.Table) -> pa.Table:
         heads, found = [], [np.zeros((2, 0), np.int64)]
@@ -316,6 +319,7 @@ def open_links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                             root[max(p, q)] = min(p, q)
                             links.append((ids[me], ids[y[some[k]]]))
         made = np.array(links, np.int64).reshape(-1, 2)
+        released()
         return pa.table([pa.array(made.min(1)), pa.array(made.max(1))], ["a", "b"])
 
     member = "key long, band int, id long, comp long, n long"
@@ -357,7 +361,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     edges = staged(candidates(classes), "candidates")
     met = staged(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct(), "met")
     texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(met, "id", "left_semi")
-    sets = staged(texts.select("id", set_column(words)("text").alias("set")).where("octet_length(set) > 0").withColumn("h", F.xxhash64("set")).dropDuplicates(["id", "h"]).drop("h"), "sets")
+    texts = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # the others' sets are empty
+    sets = staged(texts.select("id", set_column(words)("text").alias("set")), "all_sets")
+    every, sets = sets, staged(sets.withColumn("h", F.xxhash64("set")).dropDuplicates(["id", "h"]).drop("h"), "sets")
     links = staged(confirmed(edges, sets, percent), "links")
     roots = components(links)
     now = classes.join(met, "id", "left_semi").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("comp"), "n", "sig")
@@ -365,7 +371,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     more = open_links(apart, sets, percent)
     roots = merged(roots, more)
     by_class = staged(classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "by_class")
-    dropped(classes, edges, met, sets, links, apart, more)
+    dropped(classes, edges, met, every, sets, links, apart, more)
     # A class may hold a third of all rows: both sides come from tables, so Spark can split it.
     out = docs.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))

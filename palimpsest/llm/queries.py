@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from palimpsest.llm import decontamination, html_text, minhash_dedup, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity, vector_dedup
-from palimpsest.llm.common import shared_dir, table
+from palimpsest.llm.common import own_dir, table
 
 
 def model_path(name: str) -> str:
@@ -45,7 +45,7 @@ def op7_minhash_dedup(spark, sf_dir):
 
 
 def op8_token_files(spark, sf_dir):
-    path = f"{shared_dir(spark)}/palimpsest/tokens-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), path, model_path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_digest(spark, path)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import parts_for, staged
+from palimpsest.llm.common import parts_for, released, staged
 from palimpsest.llm.hashing import doubled, mix, packed, pieces, unpacked, windows_of, words_of
 
 #: Words of the shortest windows, about; the levels' lengths are the wanted length halved until it is reached.
@@ -32,7 +32,7 @@ FIRST = 5
 #: Ranges of hashes for each shuffle partition, at least, and bytes of text for a range, at most.
 BLOCKS, RANGE_BYTES = 2, 1 << 25
 #: Windows a task gathers before it sorts and sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 LEAST_ID = -(1 << 63)
 RUNS = "doc long, runs binary"
 BLOCK = "part int, known boolean, block binary"
@@ -160,6 +160,7 @@ def _candidates(rows: DataFrame, length: int, part: int, before: int | None, par
                     yield from flush()
         if gathered:
             yield from flush()
+        released()
 
     return rows.mapInArrow(sent, BLOCK)
 
@@ -180,8 +181,9 @@ def _repeated(table: pa.Table) -> pa.Table:
         more = count[back] > 1
         docs.append(d[more])
         places.append(p[more])
-    d, p = np.concatenate(docs), np.concatenate(places)
-    return _runs(d, p)
+    made = _runs(np.concatenate(docs), np.concatenate(places))
+    released()
+    return made
 
 
 def _windows(rows: DataFrame, length: int, before: int | None, parts: int) -> DataFrame:
@@ -224,6 +226,7 @@ def _windows(rows: DataFrame, length: int, before: int | None, parts: int) -> Da
                         yield from flush()
         if gathered:
             yield from flush()
+        released()
 
     return rows.mapInArrow(sent, BLOCK)
 
@@ -248,7 +251,9 @@ def _later(table: pa.Table) -> pa.Table:
         later = (d != d[first]) | (p != p[first])
         docs.append(d[later])
         places.append(p[later])
-    return _runs(np.concatenate(docs), np.concatenate(places))
+    made = _runs(np.concatenate(docs), np.concatenate(places))
+    released()
+    return made
 
 
 def _with_runs(rows: DataFrame, runs: DataFrame, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import with_struct
+from palimpsest.llm.common import released, with_struct
 
 WORD = re.compile(r"[^\W_]+")
 ROW = 32
@@ -351,6 +351,7 @@ def tag(df: DataFrame, model: ToxicModel, text: str = "text", keep: list[str] |
                 flush()
                 size = 0
         flush()
+        released()
         made = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(counts, pa.int64()), pa.array(spans, pa.string())]
         return pa.StructArray.from_arrays(made, FIELDS)
 
