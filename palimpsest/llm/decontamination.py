@@ -92,28 +92,34 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     wanted = staged(windows.select("item", F.col("w.place").alias("item_place"), "w.hash"), "wanted")
     totals = wanted.groupBy("item").agg(F.count("*").alias("n_windows"))
 
-    docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID)).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = docs.select("doc", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False, bare))).alias("w")).select("doc", F.col("w.place").alias("place"), "w.hash")
-    hits = found.join(wanted, "hash").select("doc", "item", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+    # h tells rows apart that share a key: each text is matched alone.
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(body).alias("h"), body.alias("text"))
+    found = docs.select("doc", "h", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False, bare))).alias("w")).select("doc", "h", F.col("w.place").alias("place"), "w.hash")
+    hits = found.join(wanted, "hash").select("doc", "h", "item", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     hits = staged(hits, "hits")
 
     # Slots of the copies: places of the item that a hit covers and that hold a placeholder.
-    slots = items.select("item", "n", F.posexplode("c").alias("p", "w")).where("left(w.t, 1) = '<' and right(w.t, 1) = '>'").select("item", "n", (F.col("p") + 1).alias("slot"), F.col("w.raw").alias("value"))
-    covered = hits.join(slots, "item").where("slot >= item_place AND slot < item_place + n").select("doc", "item", "diagonal", "slot", "value").distinct()
+    placeholder = "left(w.t, 1) = '<' and right(w.t, 1) = '>'"
+    slots = items.select("item", "n", F.posexplode("c").alias("p", "w")).where(placeholder).select("item", "n", (F.col("p") + 1).alias("slot"), F.col("w.raw").alias("value"))
+    copy = ["doc", "h", "item", "diagonal"]
+    covered = hits.join(slots, "item").where("slot >= item_place AND slot < item_place + n").select(*copy, "slot", "value").distinct()
     covered = staged(covered.withColumn("place", F.col("diagonal") + F.col("slot")), "covered")
-    some = docs.join(covered.select("doc").distinct(), "doc", "left_semi")
-    words = some.select("doc", F.posexplode(F.expr(template_sql("text"))).alias("p", "w")).select("doc", (F.col("p") + 1).alias("place"), F.col("w.raw").alias("filled"))
-    values = covered.join(words, ["doc", "place"]).groupBy("doc", "item", "diagonal", "value").agg(F.min("filled").alias("a"), F.max("filled").alias("b"))
-    broken = values.where("a <> b").select("doc", "item", "diagonal").distinct()
-    good = hits.join(broken, ["doc", "item", "diagonal"], "left_anti").select("doc", "item", "item_place").distinct()
-    return good.groupBy("doc", "item").agg(F.count("*").alias("n_found")).join(totals, "item")
+    some = docs.join(covered.select("doc", "h").distinct(), ["doc", "h"], "left_semi")
+    words = some.select("doc", "h", F.posexplode(F.expr(template_sql("text"))).alias("p", "w")).select("doc", "h", (F.col("p") + 1).alias("place"), F.col("w.raw").alias("filled"))
+    values = covered.join(words, ["doc", "h", "place"]).groupBy(*copy, "value").agg(F.min("filled").alias("a"), F.max("filled").alias("b"))
+    broken = values.where("a <> b").select(*copy).distinct()
+    good = hits.join(broken, copy, "left_anti").select("doc", "h", "item", "item_place").distinct()
+    by_text = good.groupBy("doc", "h", "item").agg(F.count("*").alias("n_found"))
+    return by_text.groupBy("doc", "item").agg(F.max("n_found").alias("n_found")).join(totals, "item")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """One row per row of df: key, n_items (benchmark items in it), first_item (the least), n_found (their windows), contaminated.
 
     Null and empty texts hold no item; null and empty items are in no document. Rows that repeat a key are
-    judged together, so are rows without a key. Other columns are not read.
+    judged together, so are rows without a key. Other columns are not read. Without items, or without rows, nothing
+    is contaminated.
     """
     pairs = matches(df, benchmark, key, text).where(F.col("n_found") >= share * F.col("n_windows"))
     by_doc = staged(pairs.groupBy("doc").agg(F.count("*").alias("n_items"), F.min("item").alias("first_item"), F.sum("n_found").alias("n_found")), "contaminated")
@@ -124,8 +130,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def clean(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """The rows of df whose document holds no benchmark item, with all columns."""
+    """The rows of df whose document holds no benchmark item, with all columns, whatever they are called.
+
+    Rows that repeat a key, and rows without one, are judged together: if one holds an item, all go.
+    """
     pairs = matches(df, benchmark, key, text).where(F.col("n_found") >= share * F.col("n_windows"))
-    bad = staged(pairs.select(F.col("doc").alias("_bad")).distinct(), "bad")
     own = free_name(df, "_own")
-    return df.withColumn(own, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID))).join(bad, F.col(own) == F.col("_bad"), "left_anti").drop(own)
+    bad = staged(pairs.select(F.col("doc").alias(own)).distinct(), "bad")
+    return df.withColumn(own, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID))).join(bad, own, "left_anti").drop(own)
