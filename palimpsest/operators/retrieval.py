@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.predicates import active, valid_at
 from palimpsest.operators.scoring import PATHS, QUALITY_SHARE, RRF_K, RRF_WEIGHTS, SUPERSEDED, composite, quality, recency, retention, weights
+from palimpsest.sources.staging import dropped, staged
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Stripped from both ends of words.
@@ -211,19 +212,22 @@ def strongest(edges: DataFrame, k: int, least: float = 0.05) -> DataFrame:
     return both_ways(edges).where(F.col("weight") >= least).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def graph(seeds: DataFrame, edges: DataFrame, k: int, scope=None) -> DataFrame:
-    """Seeds (query_id, id) score 1, their neighbours 0.3 + 0.6 of the largest weight. scope: what may be found, as a function of (query_id, id, score)."""
-    near = seeds.join(strongest(edges, 10), F.col("id") == F.col("src")).groupBy("query_id", F.col("dst").alias("id")).agg((0.3 + 0.6 * F.max("weight")).alias("score"))
-    both = near.unionByName(seeds.select("query_id", "id", F.lit(1.0).alias("score"))).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+def graph(seeds: DataFrame, near: DataFrame, k: int, scope=None) -> DataFrame:
+    """Seeds (query_id, id) score 1, their neighbours in near (src, dst, weight) 0.3 + 0.6 of the largest weight.
+
+    near: the strongest neighbours of each vertex. scope: what may be found, as a function of (query_id, id, score).
+    """
+    found = seeds.join(near, F.col("id") == F.col("src")).groupBy("query_id", F.col("dst").alias("id")).agg((0.3 + 0.6 * F.max("weight")).alias("score"))
+    both = found.unionByName(seeds.select("query_id", "id", F.lit(1.0).alias("score"))).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return top(scope(both) if scope else both, k)
 
 
-def spreading(seeds: DataFrame, edges: DataFrame, k: int, hops: int = 2, decay: float = 0.6, least: float = 0.05, shared: DataFrame | None = None, scope=None) -> DataFrame:
-    """Activation from seeds over `hops` hops, each weight times decay; the largest counts; seeds are left out.
+def spreading(seeds: DataFrame, near: DataFrame, k: int, hops: int = 2, decay: float = 0.6, least: float = 0.05, shared: DataFrame | None = None, scope=None) -> DataFrame:
+    """Activation from seeds over `hops` hops in near (src, dst, weight), each weight times decay; the largest counts; seeds are left out.
 
-    shared: (a, b, target), sources of one target; they are neighbours of weight SHARED_WEIGHT.
+    near: the strongest neighbours of each vertex. shared: (a, b, target), sources of one target; they are neighbours of weight SHARED_WEIGHT.
     """
-    near = strongest(edges, 10).select("src", "dst", "weight")
+    near = near.select("src", "dst", "weight")
     if shared is not None:
         near = near.unionByName(shared.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct().withColumn("weight", F.lit(SHARED_WEIGHT)))
     front = seeds.select("query_id", "id", F.lit(1.0).alias("score"))
@@ -301,14 +305,19 @@ def hybrid(records: DataFrame, queries: DataFrame, edges: DataFrame, shared: Dat
     shared: (a, b, target) of record ids; nodes and members: see `concepts`.
     """
     scope = in_reach(records, queries)
-    keyword = bm25(records, queries, paths).withColumn("score", F.round(F.col("score") / (1 + F.col("score")), 6))
-    by_vector = semantic(records, queries, paths)
-    seeds = seeds_of(keyword, by_vector)
+    # Tables that several paths read are written once: each path's plan then begins at them.
+    queries = staged(queries, "queries")
+    keyword = staged(bm25(records, queries, paths).withColumn("score", F.round(F.col("score") / (1 + F.col("score")), 6)), "keyword")
+    by_vector = staged(semantic(records, queries, paths), "semantic")
+    seeds = staged(seeds_of(keyword, by_vector), "seeds")
+    near = staged(strongest(edges, 10).select("src", "dst", "weight"), "near")
     found = {
-        "keyword": keyword, "semantic": by_vector, "temporal": temporal(records, queries, paths, now), "graph": graph(seeds, edges, paths, scope),
-        "concept": concepts(members, nodes, queries, paths, scope=scope), "activation": spreading(seeds, edges, paths, shared=shared, scope=scope),
+        "keyword": keyword, "semantic": by_vector, "temporal": temporal(records, queries, paths, now), "graph": graph(seeds, near, paths, scope),
+        "concept": concepts(members, nodes, queries, paths, scope=scope), "activation": spreading(seeds, near, paths, shared=shared, scope=scope),
     }
-    return fuse(found, queries)
+    fused = staged(fuse(found, queries), "fused")
+    dropped(queries, keyword, by_vector, seeds, near)
+    return fused
 
 
 def ranked(fused: DataFrame, records: DataFrame, queries: DataFrame, edges: DataFrame, now, k: int = 10) -> DataFrame:

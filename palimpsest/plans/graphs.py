@@ -8,6 +8,7 @@ from palimpsest.functions import vectors as V
 from palimpsest.operators import analysis, clusters, graph, retrieval
 from palimpsest.plans.base import EDGES_SQL, MEMORIES_SQL, query
 from palimpsest.plans.search import NODES_SQL
+from palimpsest.sources.staging import staged
 from palimpsest.sources.tables import co_retrieval_edges, memories, table
 
 SEEDS_SQL = "seeds AS (SELECT doc_id AS query_id, doc_id AS id FROM documents WHERE doc_id % 20 = 0)"
@@ -26,7 +27,7 @@ def co_retrieval(spark, sf_dir):
 every AS (SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT * FROM near UNION ALL SELECT query_id, id, 1.0 FROM seeds) GROUP BY 1, 2)
 SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20""")
 def graph_path(spark, sf_dir):
-    return retrieval.graph(seeds(spark, sf_dir), co_retrieval_edges(spark, sf_dir), 20)
+    return retrieval.graph(seeds(spark, sf_dir), retrieval.strongest(co_retrieval_edges(spark, sf_dir), 10), 20)
 
 
 LINKS_SQL = "links AS (SELECT DISTINCT x AS f, user_id AS t FROM folded)"
@@ -53,7 +54,7 @@ SELECT * FROM every ANTI JOIN seeds USING (query_id, id) QUALIFY row_number() OV
 def spreading_activation(spark, sf_dir):
     """Activation over links and shared targets."""
     shared = analysis.shared_targets(record_links(spark, sf_dir))
-    return retrieval.spreading(seeds(spark, sf_dir), co_retrieval_edges(spark, sf_dir), 20, shared=shared)
+    return retrieval.spreading(seeds(spark, sf_dir), staged(retrieval.strongest(co_retrieval_edges(spark, sf_dir), 10), "near"), 20, shared=shared)
 
 
 PAIRS_SQL = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"

@@ -9,6 +9,7 @@ from palimpsest.operators import analysis, retrieval, understanding
 from palimpsest.operators.scoring import PATHS, RRF_WEIGHTS, SIGNAL_WEIGHTS, SIGNALS
 from palimpsest.operators.understanding import COMPOUND, COMPOUND_BONUS, INTENTS
 from palimpsest.plans.base import ASKED_SQL, EDGES_SQL, MEMORIES_SQL, QUALITY_SQL, days_sql, now, query
+from palimpsest.sources.staging import staged
 from palimpsest.sources.tables import asked, co_retrieval_edges, memories, table
 
 #: What a question opens with, by its number, so that every intent occurs.
@@ -213,6 +214,7 @@ def graph_tables(spark, sf_dir):
 def fused(spark, sf_dir):
     m, queries = memories(spark, sf_dir, "confidence", "contradiction_count", "embedding", "type", "importance"), asked_for(spark, sf_dir)
     edges, shared, nodes, members = graph_tables(spark, sf_dir)
+    edges = staged(edges, "edges")
     return m, queries, edges, retrieval.hybrid(m, queries, edges, shared, nodes, members, now())
 
 
