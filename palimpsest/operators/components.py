@@ -22,13 +22,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = staged(left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
         if labels is not None and both.isEmpty():
+            dropped(both)
             return labels
-        ends = _ends(staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "ends"))
+        firsts = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "ends")
+        ends = _ends(firsts)
         old, labels = labels, ends if labels is None else staged(_followed(labels, ends), "labels")
-        if old is not None:
-            dropped(old)
         to_a, to_b = (ends.select(F.col("id").alias(c), F.col("root").alias(f"end_{c}")) for c in "ab")
-        left = both.where("a < b").join(to_a, "a").join(to_b, "b").where("end_a <> end_b").select(F.col("end_a").alias("a"), F.col("end_b").alias("b"))
+        apart = both.where("a < b").join(to_a, "a").join(to_b, "b").where("end_a <> end_b").select(F.col("end_a").alias("a"), F.col("end_b").alias("b"))
+        left = staged(apart.distinct(), "apart")
+        dropped(both, *([old] if old is not None else []))
 
 
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,7 +38,9 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     to_a, to_b = (labels.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     between = edges.select("a", "b").join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     new = components(between)
-    return staged(_followed(labels, new).union(new.join(labels, "id", "left_anti").select("id", "root")), "labels")
+    made = staged(_followed(labels, new).union(new.join(labels, "id", "left_anti").select("id", "root")), "labels")
+    dropped(new)
+    return made
 
 
 def _followed(labels: DataFrame, ends: DataFrame) -> DataFrame:
@@ -45,10 +49,13 @@ def _followed(labels: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def _ends(pointers: DataFrame) -> DataFrame:
-    """Pointers (id, root) followed until they end; their reach doubles each time."""
+    """Pointers (id, root) followed until they end; their reach doubles each time. The given table is dropped."""
     while True:
         further = _followed(pointers.select("id", "root"), pointers).withColumnRenamed("root", "end")
-        new = staged(pointers.join(further, "id").select("id", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")), "ends")
-        pointers = new.select("id", "root")
+        new = staged(pointers.select("id", "root").join(further, "id").select("id", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")), "ends")
+        dropped(pointers)
+        pointers = new
         if new.where("moved").isEmpty():
-            return pointers
+            out = new.select("id", "root")
+            out.staged_path = new.staged_path
+            return out
