@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.sources.staging import clean, dropped, own_dir, shared_dir, staged
 
-__all__ = ["clean", "dropped", "free_name", "own_dir", "parts_for", "released", "shared_dir", "staged", "table", "with_struct"]
+__all__ = ["clean", "dropped", "free_name", "own_dir", "parts_for", "released", "shared_dir", "short_list", "staged", "table", "with_struct"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,18 @@ def released() -> None:
         trim(0)
 
 
+#: Keys that are broadcast at most: 16 MB of them.
+MOST_BROADCAST = 1 << 20
+
+
+def short_list(keys: DataFrame) -> DataFrame:
+    """keys (one column of a written table) to be broadcast if there are at most MOST_BROADCAST of them, else as it is.
+
+    A join with a short list then doesn't shuffle the texts of the other side; the result is the same.
+    """
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of df has it (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import free_name, staged
+from palimpsest.llm.common import free_name, short_list, staged
 
 WINDOW, SHORTEST, SHARE = 8, 5, 0.5
 #: Placeholders that a window may hold at most, as a share.
@@ -137,4 +137,4 @@ def clean(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     pairs = matches(df, benchmark, key, text).where(F.col("n_found") >= share * F.col("n_windows"))
     own = free_name(df, "_own")
     bad = staged(pairs.select(F.col("doc").alias(own)).distinct(), "bad")
-    return df.withColumn(own, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID))).join(bad, own, "left_anti").drop(own)
+    return df.withColumn(own, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID))).join(short_list(bad), own, "left_anti").drop(own)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import dropped, free_name, parts_for, released, staged
+from palimpsest.llm.common import dropped, free_name, parts_for, released, short_list, staged
 from palimpsest.llm.components import components, merged
 from palimpsest.llm.hashing import mix, packed, pieces, powers, unpacked, words_of
 
@@ -360,7 +360,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     classes = staged(full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m")).select("digest", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")), "classes")
     edges = staged(candidates(classes), "candidates")
     met = staged(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct(), "met")
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(met, "id", "left_semi")
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(short_list(met), "id", "left_semi")
     texts = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # the others' sets are empty
     sets = staged(texts.select("id", set_column(words)("text").alias("set")), "all_sets")
     every, sets = sets, staged(sets.withColumn("h", F.xxhash64("set")).dropDuplicates(["id", "h"]).drop("h"), "sets")
@@ -384,9 +384,12 @@ def dedup(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
     Rows that repeat both key and text stay once, rows that repeat a key with another text stay each; rows
     without a key all stay.
     """
-    mine, own = free_name(df, "_own"), F.col(f"`{key}`").cast("long")
-    found = staged(near_duplicates(df, words, percent, key, text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept").select(F.col("doc_id").alias(mine), "n"), "kept")
-    rows = df.withColumn(mine, own)
-    once = rows.join(found.where("n = 1").select(mine), mine, "left_semi")
-    often = rows.join(found.where("n > 1").select(mine), mine, "left_semi").dropDuplicates([mine, text])
-    return once.unionByName(often).unionByName(rows.where(F.col(mine).isNull())).drop(mine)
+    mine = free_name(df, "_own")
+    judged = near_duplicates(df, words, percent, key, text).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(mine))
+    found = staged(judged.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"), "found")
+    gone, often = (staged(found.where(w).select(mine), name) for w, name in (("NOT kept", "gone"), ("kept AND n > 1", "often")))
+    rows = df.withColumn(mine, F.col(f"`{key}`").cast("long")).join(short_list(gone), mine, "left_anti")
+    if not often.isEmpty():
+        repeated = rows.join(short_list(often), mine, "left_semi").dropDuplicates([mine, text])
+        rows = rows.join(short_list(often), mine, "left_anti").unionByName(repeated)
+    return rows.drop(mine)
