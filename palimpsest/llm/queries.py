@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from palimpsest.llm import decontamination, html_text, minhash_dedup, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity, vector_dedup
+from palimpsest.llm import decontamination, html_text, minhash_dedup, oracles, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity, vector_dedup
 from palimpsest.llm.common import own_dir, table
 
 
@@ -62,4 +62,4 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring_dedup, op4_vector_dedup, op5_html_text, op6_decontamination, op7_minhash_dedup, op8_token_files, op9_pii, op10_toxicity)}
-SQL = {"op2_sharding": sharding.SHARDING_SQL}
+SQL = {"op2_sharding": sharding.SHARDING_SQL, "op3_substring_dedup": oracles.SUBSTRING_SQL, "op4_vector_dedup": oracles.VECTOR_SQL, "op7_minhash_dedup": oracles.NEAR_SQL}
