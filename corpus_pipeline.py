@@ -9,34 +9,40 @@ from palimpsest.llm import decontamination, minhash_dedup, pii, sentencepiece_bp
 from palimpsest.llm.common import staged, table
 from palimpsest.llm.queries import model_path
 
-#: No SQL: a trained model decides in the first stage. The stages are tested against brute force.
+#: No SQL: a trained model decides in the first stage. tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject (predicted 0)."""
+    """Documents that the toxicity model doesn't reject (predicted 0).
+
+    Null and empty texts count as empty ones; repeated rows are judged alike. Without labels nothing is rejected.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.tag(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Null and empty texts are like no other. Rows that repeat key and text stay once; rows without a key all stay.
+    """
     return minhash_dedup.dedup(docs, words=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; rows that share a key go together."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars is that of the new text."""
+    """All documents, personal data replaced by its kind; n_chars is that of the new text, null for a null one."""
     masked = pii.mask(docs)
     return masked.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, their number and digest, and the digest of the decoded text."""
+    """Ids, their number and digest, and the digest of the decoded text; a null text counts as empty."""
     return sentencepiece_bpe.digest(docs, model_path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source"])
 
 
