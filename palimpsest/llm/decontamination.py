@@ -95,7 +95,10 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     # h tells rows apart that share a key: each text is matched alone.
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(body).alias("h"), body.alias("text"))
-    found = docs.select("doc", "h", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False, bare))).alias("w")).select("doc", "h", F.col("w.place").alias("place"), "w.hash")
+    found = (
+        docs.select("doc", "h", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False, bare))).alias("w"))
+        .select("doc", "h", F.col("w.place").alias("place"), "w.hash")
+    )
     hits = found.join(wanted, "hash").select("doc", "h", "item", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     hits = staged(hits, "hits")
 

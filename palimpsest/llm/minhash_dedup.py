@@ -164,7 +164,8 @@ def candidates(classes: DataFrame) -> DataFrame:
         where, columns = where[order], [c[order] for c in columns]
         edges = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
         made = [(int(where[a]), known, packed(*(c[a:b] for c in columns))) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), pa.array([known] * len(made), pa.bool_()), pa.array([r[2] for r in made], pa.binary())], ["part", "known", "block"])
+        columns = [pa.array([r[0] for r in made], pa.int32()), pa.array([known] * len(made), pa.bool_()), pa.array([r[2] for r in made], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "known", "block"])
 
     def sent(batches):
         held, size = [], 0
@@ -259,7 +260,8 @@ def open_links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ids, comps, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in range(3))
             sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
             band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).reshape(-1).view(np.int64)), pa.array(band), pa.array(ids), pa.array(comps), pa.array(n)], ["key", "band", "id", "comp", "n"])
+            keys = band_keys(sig).reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, band, ids, comps, n)], ["key", "band", "id", "comp", "n"])
 
     def blocks_of(table: pa.Table):
         """Rows of each block, those outside the main component and all."""
@@ -325,12 +327,22 @@ def open_links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     member = "key long, band int, id long, comp long, n long"
     members = staged(classes.select("id", "comp", "n", "sig").mapInArrow(spread, member), "members")
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "comp", "n")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    cuts = lambda m, n, most: F.greatest(F.ceil(m / F.lit(most)), F.ceil(8 * n / F.lit(SET_BYTES)))
-    blocks = staged(mixed.select("key", F.col("main.comp").alias("main"), cuts(F.col("m") - F.col("main.m"), F.col("n") - F.col("main.n"), OUTSIDE).alias("nx"), cuts(F.col("m"), F.col("n"), MEMBERS).alias("ny")), "mixed")
+    mixed = sizes.groupBy("key").agg(
+        F.max(F.struct("m", "comp", "n")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")
+    ).where("comps > 1")
+
+    def cuts(m, n, most):
+        """Blocks of at most so many members, and of about SET_BYTES of sets."""
+        return F.greatest(F.ceil(m / F.lit(most)), F.ceil(8 * n / F.lit(SET_BYTES)))
+
+    outer = cuts(F.col("m") - F.col("main.m"), F.col("n") - F.col("main.n"), OUTSIDE)
+    blocks = staged(mixed.select("key", F.col("main.comp").alias("main"), outer.alias("nx"), cuts(F.col("m"), F.col("n"), MEMBERS).alias("ny")), "mixed")
     rows = staged(members.join(blocks, "key"), "open")
-    every = rows.select("key", "band", "id", "comp", "n", F.lit(False).alias("outside"), F.explode(F.expr("sequence(0L, nx - 1)")).alias("xblock"), F.expr("pmod(xxhash64(id), ny)").alias("yblock"))
-    outside = rows.where("comp <> main").select("key", "band", "id", "comp", "n", F.lit(True).alias("outside"), F.expr("pmod(xxhash64(id, key), nx)").alias("xblock"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("yblock"))
+    row = ["key", "band", "id", "comp", "n"]
+    every = rows.select(*row, F.lit(False).alias("outside"), F.explode(F.expr("sequence(0L, nx - 1)")).alias("xblock"), F.expr("pmod(xxhash64(id), ny)").alias("yblock"))
+    outside = rows.where("comp <> main").select(
+        *row, F.lit(True).alias("outside"), F.expr("pmod(xxhash64(id, key), nx)").alias("xblock"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("yblock")
+    )
     placed = staged(every.unionByName(outside), "placed")
 
     def grouped(table: DataFrame, values: DataFrame, bytes_each: str):
@@ -357,7 +369,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     """
     docs = staged(sketched(df, key, text, words), "sketches")
     full = docs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = staged(full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m")).select("digest", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")), "classes")
+    least = full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
+    classes = staged(least.select("digest", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")), "classes")
     edges = staged(candidates(classes), "candidates")
     met = staged(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct(), "met")
     texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(short_list(met), "id", "left_semi")

@@ -17,15 +17,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, s
 
 #: From links (a, b) and the ids of all rows to the least id that each reaches.
 COMPONENTS = """
-both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), walk AS (SELECT DISTINCT a AS id, a AS seen FROM both_ways UNION SELECT id, b FROM walk JOIN both_ways ON seen = a),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), walk AS (SELECT DISTINCT a AS id, a AS seen FROM both_ways UNION SELECT id, b FROM walk
+  JOIN both_ways ON seen = a),
 roots AS (SELECT id, min(seen) AS root FROM walk GROUP BY 1)"""
 
 VECTOR_SQL = f"""
 WITH RECURSIVE fine AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.98), {COMPONENTS},
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98), {COMPONENTS},
 counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY 1)
-SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN counts c ON c.id = vec_id LEFT JOIN roots r ON r.id = vec_id
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM embeddings LEFT
+  JOIN counts c ON c.id = vec_id LEFT JOIN roots r ON r.id = vec_id
 """
 
 NEAR_SQL = f"""
@@ -35,5 +38,6 @@ shingles AS (SELECT DISTINCT doc_id, hash(s) AS s FROM (SELECT doc_id, unnest(CA
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)), {COMPONENTS}
-SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON id = doc_id
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM documents LEFT
+  JOIN sizes USING (doc_id) LEFT JOIN roots ON id = doc_id
 """

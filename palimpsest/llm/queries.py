@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from palimpsest.llm import decontamination, html_text, minhash_dedup, oracles, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity, vector_dedup
@@ -61,5 +62,5 @@ def op10_toxicity(spark, sf_dir):
     return made.withColumn("held_out", toxicity.held_out("doc_id")).select("doc_id", "held_out", "score", "predicted", "n_toxic_tokens", "toxic_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_substring_dedup, op4_vector_dedup, op5_html_text, op6_decontamination, op7_minhash_dedup, op8_token_files, op9_pii, op10_toxicity)}
+QUERIES = {name: f for name, f in dict(globals()).items() if re.match(r"op\d+_", name)}
 SQL = {"op2_sharding": sharding.SHARDING_SQL, "op3_substring_dedup": oracles.SUBSTRING_SQL, "op4_vector_dedup": oracles.VECTOR_SQL, "op7_minhash_dedup": oracles.NEAR_SQL}

@@ -88,7 +88,8 @@ def _sent(parts: np.ndarray, known: bool, columns: list[np.ndarray]):
     cut = np.flatnonzero(np.diff(parts)) + 1
     edges = [0, *cut.tolist(), len(parts)]
     rows = [(int(parts[a]), known, packed(*(c[a:b] for c in columns))) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["part", "known", "block"])
+    kinds = (pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["part", "known", "block"])
 
 
 def _runs(docs: np.ndarray, places: np.ndarray) -> pa.Table:
