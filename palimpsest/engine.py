@@ -45,7 +45,10 @@ class Engine:
         queries, records = self.asked(questions), self.memories
         edges = self.tables["co_retrieval_edges"].select("memory_a", "memory_b", "weight")
         shared = analysis.shared_targets(self.tables["edges"].where("valid_to IS NULL").select("from_id", "to_id"))
-        nodes = self.tables["concept_nodes"].where("cluster_size > 0").selectExpr("id AS concept", "cast(centroid as array<double>) AS centroid", "cluster_size AS size", "concat_ws(' ', name, description) AS label")
+        nodes = (
+            self.tables["concept_nodes"].where("cluster_size > 0")
+            .selectExpr("id AS concept", "cast(centroid as array<double>) AS centroid", "cluster_size AS size", "concat_ws(' ', name, description) AS label")
+        )
         members = self.tables["concept_memberships"].selectExpr("concept_id AS concept", "memory_id AS id", "probability")
         fused = retrieval.hybrid(records, queries, edges, shared, nodes, members, self.now, k, 2 * max(k, 10))
         found = retrieval.ranked(fused, records, queries, edges, self.now, 3 * k if rerank else k)
@@ -65,7 +68,10 @@ class Engine:
 
     def suggest(self, contexts: DataFrame, k: int = 5) -> DataFrame:
         """What fits a context: a search on its most frequent words."""
-        words = tags(contexts.selectExpr("query_id", "text AS content"), 5, "query_id").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), " ").alias("text"))
+        words = (
+            tags(contexts.selectExpr("query_id", "text AS content"), 5, "query_id").groupBy("query_id")
+            .agg(F.array_join(F.array_sort(F.collect_list("tag")), " ").alias("text"))
+        )
         rest = contexts.drop("text")
         return self.search(rest.join(words, "query_id"), k)
 
@@ -113,7 +119,10 @@ class Engine:
 
     def learn(self, found: DataFrame) -> Engine:
         """The engine after a search: links between results that were found together grow, and so do hit counters."""
-        new = retrieval.co_retrieved(found).selectExpr("concat(memory_a, '-', memory_b) AS id", "'global' AS project_id", "memory_a", "memory_b", "n AS co_retrieval_count", "weight")
+        new = (
+            retrieval.co_retrieved(found)
+            .selectExpr("concat(memory_a, '-', memory_b) AS id", "'global' AS project_id", "memory_a", "memory_b", "n AS co_retrieval_count", "weight")
+        )
         old = self.tables["co_retrieval_edges"]
         both = old.unionByName(new.withColumn("last_co_retrieved", self.now).withColumn("created_at", self.now))
         edges = both.groupBy("project_id", "memory_a", "memory_b").agg(
@@ -134,7 +143,10 @@ class Engine:
 
     def status(self) -> DataFrame:
         """Active, deleted and all records by project, with the totals (project null)."""
-        return self.memories.rollup("project_id").agg(F.count_if(predicates.active()).alias("n_active"), F.count_if(~predicates.active()).alias("n_deleted"), F.count("*").alias("n"))
+        return (
+            self.memories.rollup("project_id")
+            .agg(F.count_if(predicates.active()).alias("n_active"), F.count_if(~predicates.active()).alias("n_deleted"), F.count("*").alias("n"))
+        )
 
     def briefing(self, tokens: int = 500) -> DataFrame:
         return entities.briefing(self.memories, tokens)

@@ -104,7 +104,10 @@ def alerts(rows: DataFrame) -> DataFrame:
 def named(memberships: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, concepts): names and probabilities of each record's concepts, the most probable first; names are null for unknown ones."""
     rows = memberships.join(nodes.select("concept", "name"), "concept", "left")
-    return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("p"), "concept", "name"))), lambda s: F.struct(s["name"].alias("name"), (-s["p"]).alias("probability"))).alias("concepts"))
+    return (
+        rows.groupBy("id")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("p"), "concept", "name"))), lambda s: F.struct(s["name"].alias("name"), (-s["p"]).alias("probability"))).alias("concepts"))
+    )
 
 
 def without_orphans(memberships: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -98,5 +98,8 @@ def recent_similar(df: DataFrame, newest: int = 20, least: float = 0.85) -> Data
     sets = df.select("id", "project_id", words.alias("words")).withColumn("n", F.size("words"))
     other = recent.select("id", "place").join(sets, "id").select("project_id", F.col("id").alias("other"), F.col("words").alias("theirs"), F.col("n").alias("m"), "place")
     small = sets.select("id", "project_id", "n", "words").join(other, "project_id").where((F.col("id") != F.col("other")) & (F.least("n", "m") > least * F.greatest("n", "m")))
-    pairs = small.withColumn("both", F.size(F.array_intersect("words", "theirs"))).withColumn("jaccard", F.expr("both / cast(n + m - both as double)")).where(F.col("jaccard") > least)
+    pairs = (
+        small.withColumn("both", F.size(F.array_intersect("words", "theirs")))
+        .withColumn("jaccard", F.expr("both / cast(n + m - both as double)")).where(F.col("jaccard") > least)
+    )
     return pairs.groupBy("id").agg(F.min_by("other", "place").alias("other"), F.round(F.min_by("jaccard", "place"), 6).alias("jaccard"))

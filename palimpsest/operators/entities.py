@@ -35,7 +35,10 @@ def described(entities: DataFrame, observations: DataFrame, n: int = 10) -> Data
     keys = ["project_id", "name"]
     counts = observations.groupBy(*keys).agg(F.count("*").alias("n_notes"))
     newest = newest_of(observations, keys, [F.desc("at"), "note"], n)
-    lists = newest.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("at").cast("timestamp"))).alias("t"), "note"))), lambda s: s["note"]).alias("notes"))
+    lists = (
+        newest.groupBy(*keys)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("at").cast("timestamp"))).alias("t"), "note"))), lambda s: s["note"]).alias("notes"))
+    )
     rows = entities.join(counts, keys, "left").join(lists, keys, "left")
     return rows.withColumn("n_notes", F.coalesce("n_notes", F.lit(0))).withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
 

@@ -82,4 +82,7 @@ def ingest_counts(texts: DataFrame, known: DataFrame) -> DataFrame:
     rows = texts.select("project_id", "id", noise(F.col("content")).alias("noise"))
     new = ingested(texts, known).select("id").withColumn("new", F.lit(True))
     marked = rows.join(new, "id", "left")
-    return marked.groupBy("project_id").agg(F.count_if("new").alias("n_new"), F.count_if("noise").alias("n_noise"), F.count_if(F.col("new").isNull() & ~F.col("noise")).alias("n_duplicate"))
+    return (
+        marked.groupBy("project_id")
+        .agg(F.count_if("new").alias("n_new"), F.count_if("noise").alias("n_noise"), F.count_if(F.col("new").isNull() & ~F.col("noise")).alias("n_duplicate"))
+    )

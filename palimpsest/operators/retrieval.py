@@ -182,7 +182,10 @@ def semantic_pairs(vectors: DataFrame, least: float) -> DataFrame:
     A pair of blocks meets once: the one whose first id is less leads.
     """
     key = dict(vectors.dtypes)["id"]
-    own = _blocks(vectors.where("embedding IS NOT NULL AND id IS NOT NULL").select("id", F.lit("").alias("scope"), "embedding"), "embedding", RECORD_BLOCK).select("n", "ids", "data")
+    own = (
+        _blocks(vectors.where("embedding IS NOT NULL AND id IS NOT NULL").select("id", F.lit("").alias("scope"), "embedding"), "embedding", RECORD_BLOCK)
+        .select("n", "ids", "data")
+    )
     other = own.select("n", F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
 
     def compared(batches):
@@ -406,4 +409,7 @@ def co_retrieved(found: DataFrame, k: int = 5) -> DataFrame:
 
 def search_hits(found: DataFrame, records: DataFrame) -> DataFrame:
     """(id, search_hit_count) of the records that were found: one more for each query."""
-    return found.groupBy("id").agg(F.count("*").alias("hits")).join(records.select("id", "search_hit_count"), "id").select("id", (F.col("search_hit_count") + F.col("hits")).alias("search_hit_count"))
+    return (
+        found.groupBy("id").agg(F.count("*").alias("hits")).join(records.select("id", "search_hit_count"), "id")
+        .select("id", (F.col("search_hit_count") + F.col("hits")).alias("search_hit_count"))
+    )

@@ -18,7 +18,10 @@ def named(spark, sf_dir):
 
 
 def notes(spark, sf_dir):
-    return table(spark, sf_dir, "events").selectExpr("'src' || (user_id % 5) AS project_id", "'Supplier#' || lpad(cast(user_id as string), 9, '0') AS name", "event_type || ' ' || event_id AS note", "ts AS at")
+    return (
+        table(spark, sf_dir, "events")
+        .selectExpr("'src' || (user_id % 5) AS project_id", "'Supplier#' || lpad(cast(user_id as string), 9, '0') AS name", "event_type || ' ' || event_id AS note", "ts AS at")
+    )
 
 
 @query(f"""WITH {NAMED_SQL}, fresh AS (SELECT project_id, name, min('seen ' || split_part(note, ' ', 1)) AS type FROM notes GROUP BY 1, 2)
@@ -31,7 +34,8 @@ def entity_create(spark, sf_dir):
 
 @query(f"""WITH {NAMED_SQL}, newest AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY moment DESC, note) AS r FROM notes QUALIFY r <= 10),
 lists AS (SELECT project_id, name, string_agg(note, ',' ORDER BY r) AS notes FROM newest GROUP BY 1, 2), counts AS (SELECT project_id, name, count(*) AS n FROM notes GROUP BY 1, 2)
-SELECT project_id, name, type, coalesce(n, 0) AS n_notes, coalesce(notes, '') AS notes FROM named LEFT JOIN lists USING (project_id, name) LEFT JOIN counts USING (project_id, name)""")
+SELECT project_id, name, type, coalesce(n, 0) AS n_notes, coalesce(notes, '') AS notes FROM named LEFT JOIN lists USING (project_id, name) LEFT
+  JOIN counts USING (project_id, name)""")
 def entity_get(spark, sf_dir):
     return entities.described(named(spark, sf_dir), notes(spark, sf_dir)).withColumn("notes", F.array_join("notes", ","))
 
@@ -40,15 +44,20 @@ LINKS_SQL = "links AS (SELECT DISTINCT 'src' || (user_id % 5) AS project_id, 'Su
 
 
 def links(spark, sf_dir):
-    return table(spark, sf_dir, "events").selectExpr("'src' || (user_id % 5) AS project_id", "'Supplier#' || lpad(cast(user_id as string), 9, '0') AS from_name", "'Supplier#' || lpad(cast(event_id % 400 as string), 9, '0') AS to_name", "event_type AS relation")
+    return (
+        table(spark, sf_dir, "events")
+        .selectExpr("'src' || (user_id % 5) AS project_id", "'Supplier#' || lpad(cast(user_id as string), 9, '0') AS from_name", "'Supplier#' || lpad(cast(event_id % 400 as string), 9, '0') AS to_name", "event_type AS relation")
+    )
 
 
-@query(f"""WITH {NAMED_SQL}, {LINKS_SQL} SELECT * FROM links WHERE (project_id, from_name) IN (SELECT (project_id, name) FROM named) AND (project_id, to_name) IN (SELECT (project_id, name) FROM named)""")
+@query(f"""WITH {NAMED_SQL}, {LINKS_SQL} SELECT * FROM links WHERE (project_id, from_name) IN (SELECT (project_id, name)
+  FROM named) AND (project_id, to_name) IN (SELECT (project_id, name) FROM named)""")
 def entity_link(spark, sf_dir):
     return entities.linked(named(spark, sf_dir), links(spark, sf_dir))
 
 
-@query(f"""WITH {NAMED_SQL}, {LINKS_SQL}, gone AS (SELECT project_id, name FROM named WHERE type LIKE '%1') SELECT * FROM links WHERE (project_id, from_name) NOT IN (SELECT (project_id, name) FROM gone)
+@query(f"""WITH {NAMED_SQL}, {LINKS_SQL}, gone AS (SELECT project_id, name FROM named WHERE type LIKE '%1') SELECT * FROM links
+  WHERE (project_id, from_name) NOT IN (SELECT (project_id, name) FROM gone)
   AND (project_id, to_name) NOT IN (SELECT (project_id, name) FROM gone)""")
 def entity_delete(spark, sf_dir):
     """Entities of some types go, and the relations that they take part in."""
@@ -69,7 +78,8 @@ def pages_as_files(spark, sf_dir):
 
 FILES_SQL = """files AS (SELECT CASE page_id % 6 WHEN 0 THEN 'a/node_modules/x/' WHEN 1 THEN 'a/.hidden/' WHEN 2 THEN 'b/target/' ELSE 'lib/' END || 'page' || page_id
   || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '.py' ELSE '.rs' END AS path, html AS content FROM pages),
-code AS (SELECT path, split_part(path, '.', -1) AS language, len(string_split(content, chr(10)))::BIGINT AS n_lines, sha256(content) AS hash FROM files WHERE path LIKE 'lib/%.%')"""
+code AS (SELECT path, split_part(path, '.', -1) AS language, len(string_split(content, chr(10)))::BIGINT AS n_lines, sha256(content) AS hash FROM files
+  WHERE path LIKE 'lib/%.%')"""
 
 
 @query(f"WITH {FILES_SQL} SELECT * FROM code")
@@ -115,7 +125,8 @@ _ACTION = "CASE event_type WHEN 'signup' THEN 'set' WHEN 'purchase' THEN 'clear'
 
 
 @query(f"""WITH t AS (SELECT 'src' || (user_id % 20) AS project_id, 'task' || user_id AS task, ts AS moment, {_ACTION} AS action, event_type || event_id AS detail FROM events)
-SELECT project_id, task, coalesce(arg_max(CASE action WHEN 'set' THEN 'active' WHEN 'clear' THEN 'cleared' END, struct_pack(moment, detail)) FILTER (action <> 'update'), 'active') AS status, arg_max(detail, struct_pack(moment, detail)) AS detail FROM t GROUP BY 1, 2""")
+SELECT project_id, task, coalesce(arg_max(CASE action WHEN 'set' THEN 'active' WHEN 'clear' THEN 'cleared' END, struct_pack(moment,
+  detail)) FILTER (action <> 'update'), 'active') AS status, arg_max(detail, struct_pack(moment, detail)) AS detail FROM t GROUP BY 1, 2""")
 def task_states(spark, sf_dir):
     return entities.latest_tasks(table(spark, sf_dir, "events").selectExpr("'src' || (user_id % 20) AS project_id", "'task' || user_id AS task", "ts AS at", f"{_ACTION} AS action", "event_type || event_id AS detail"))
 
@@ -139,8 +150,10 @@ def paged_list(spark, sf_dir):
     return rows.offset(10).limit(30).select("id", "created_at")
 
 
-@query(f"""WITH {MEMORIES_SQL}, five AS (SELECT id, regexp_replace(unnest(string_split_regex(lower(substr(content, 1, 200)), '\\s+')), '[^\\p{{L}}\\p{{N}}_-]', '', 'g') AS tag FROM memories)
-SELECT id, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) ELSE content END AS content, length(content) > 500 AS truncated, round(coalesce(confidence, 0.5), 6) AS confidence,
+@query(f"""WITH {MEMORIES_SQL}, five AS (SELECT id, regexp_replace(unnest(string_split_regex(lower(substr(content, 1, 200)), '\\s+')), '[^\\p{{L}}\\p{{N}}_-]',
+  '', 'g') AS tag FROM memories)
+SELECT id, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) ELSE content END AS content, length(content) > 500 AS truncated,
+  round(coalesce(confidence, 0.5), 6) AS confidence,
   coalesce(agent_id, 'system') AS agent_id, round(CASE WHEN strlen(content) > 20 THEN 0.5::DOUBLE ELSE 0.2 END + CASE WHEN doc_id % 2 = 0 THEN 0.3::DOUBLE ELSE 0 END + 0.2::DOUBLE, 6) AS quality FROM memories WHERE deleted_at IS NULL""")
 def shaped_results(spark, sf_dir):
     """Records as a search shows them: content cut, defaults filled, quality by length, tags and type."""
@@ -151,16 +164,22 @@ def shaped_results(spark, sf_dir):
                        F.coalesce("agent_id", F.lit("system")).alias("agent_id"), F.round(quality_fallback(), 6).alias("quality"))
 
 
-@query(f"""WITH {MEMORIES_SQL}, {EDGES_SQL} SELECT (SELECT count(*) FROM edges) AS n_edges, round((SELECT avg(weight) FROM edges), 6) AS avg_weight, round((SELECT max(weight) FROM edges), 6) AS max_weight,
-  (SELECT count(DISTINCT label) FROM embeddings) AS n_concepts, count(*) FILTER (tier = 'core') AS n_core, count(*) FILTER (tier = 'ephemeral') AS n_ephemeral, round(avg(processing_depth), 6) AS avg_depth FROM memories""")
+@query(f"""WITH {MEMORIES_SQL}, {EDGES_SQL} SELECT (SELECT count(*) FROM edges) AS n_edges, round((SELECT avg(weight)
+  FROM edges), 6) AS avg_weight, round((SELECT max(weight) FROM edges), 6) AS max_weight,
+  (SELECT count(DISTINCT label) FROM embeddings) AS n_concepts, count(*) FILTER (tier = 'core') AS n_core, count(*) FILTER (tier = 'ephemeral') AS n_ephemeral,
+  round(avg(processing_depth), 6) AS avg_depth FROM memories""")
 def system_stats(spark, sf_dir):
     edges = co_retrieval_edges(spark, sf_dir).agg(F.count("*").alias("n_edges"), F.round(F.avg("weight"), 6).alias("avg_weight"), F.round(F.max("weight"), 6).alias("max_weight"))
     nodes = table(spark, sf_dir, "embeddings").agg(F.count_distinct("label").alias("n_concepts"))
-    rows = memories(spark, sf_dir).agg(F.count_if(F.col("tier") == "core").alias("n_core"), F.count_if(F.col("tier") == "ephemeral").alias("n_ephemeral"), F.round(F.avg("processing_depth"), 6).alias("avg_depth"))
+    rows = (
+        memories(spark, sf_dir)
+        .agg(F.count_if(F.col("tier") == "core").alias("n_core"), F.count_if(F.col("tier") == "ephemeral").alias("n_ephemeral"), F.round(F.avg("processing_depth"), 6).alias("avg_depth"))
+    )
     return edges.crossJoin(nodes).crossJoin(rows)  # one row each
 
 
-@query("""SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'labels', count(*) FROM labels""")
+@query("""SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'embeddings', count(*)
+  FROM embeddings UNION ALL SELECT 'labels', count(*) FROM labels""")
 def health(spark, sf_dir):
     """Rows of each table."""
     counts = [table(spark, sf_dir, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("documents", "events", "embeddings", "labels")]
@@ -171,7 +190,8 @@ def health(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT CASE page_id % 4 WHEN 0 THEN '-var-home-user-Project-Lake' || page_id WHEN 1 THEN '-home-src' WHEN 2 THEN '-a-b-River-Desktop' ELSE 'Sea-x' END AS folder FROM pages)
-SELECT DISTINCT folder, CASE WHEN folder LIKE '%Lake%' THEN lower(split_part(folder, '-', -1)) WHEN folder = '-home-src' THEN 'workspace' WHEN folder LIKE '%River%' THEN 'river' ELSE 'sea' END AS project FROM f""")
+SELECT DISTINCT folder, CASE WHEN folder LIKE '%Lake%' THEN lower(split_part(folder, '-',
+  -1)) WHEN folder = '-home-src' THEN 'workspace' WHEN folder LIKE '%River%' THEN 'river' ELSE 'sea' END AS project FROM f""")
 def project_slugs(spark, sf_dir):
     folder = F.expr("CASE page_id % 4 WHEN 0 THEN '-var-home-user-Project-Lake' || page_id WHEN 1 THEN '-home-src' WHEN 2 THEN '-a-b-River-Desktop' ELSE 'Sea-x' END")
     return table(spark, sf_dir, "pages").select(folder.alias("folder")).distinct().withColumn("project", entities.project_slug(F.col("folder")))

@@ -18,7 +18,8 @@ _SETS = """sets AS (SELECT id, list_distinct(string_split_regex(lower(text), '[^
 met AS (SELECT a, b, x.w AS wa, y.w AS wb FROM close JOIN sets x ON x.id = a JOIN sets y ON y.id = b)"""
 _NOT = f"[{quoted(NEGATIONS)}]"
 _OPPOSITE = " OR ".join(f"(list_contains({x}, '{p.split()[0]}') AND list_contains({y}, '{p.split()[1]}'))" for p in ANTONYMS for x, y in (("wa", "wb"), ("wb", "wa")))
-CONTRA_SQL = f"""{PAIRS_SQL}, {_TEXTS}, {_SETS}, contra AS (SELECT a, b, 'negation' AS kind, 0.08::DOUBLE AS penalty FROM met WHERE list_has_any(wa, {_NOT}) <> list_has_any(wb, {_NOT})
+CONTRA_SQL = f"""{PAIRS_SQL}, {_TEXTS}, {_SETS}, contra AS (SELECT a, b, 'negation' AS kind, 0.08::DOUBLE AS penalty FROM met
+  WHERE list_has_any(wa, {_NOT}) <> list_has_any(wb, {_NOT})
   UNION ALL SELECT a, b, 'antonym', 0.05 FROM met WHERE {_OPPOSITE})"""
 
 
@@ -51,15 +52,20 @@ def source_credibility(spark, sf_dir):
 
 
 @query(f"""WITH {CONTRA_SQL}, {_CREDIBLE}, scored AS (SELECT vec_id AS id, round(0.4 * coalesce(CASE WHEN vec_id % 3 > 0 THEN (vec_id % 10) / 10.0::DOUBLE END, 0.5)
-  + 0.3 * exp(-ln(2) * greatest({days_sql("TIMESTAMP '2023-11-01' + to_days((vec_id % 90)::INTEGER)")}, 0) / 30) + 0.3 * coalesce(credibility, 0.5), 6) AS score FROM embeddings LEFT JOIN credible ON source = vec_id)
+  + 0.3 * exp(-ln(2) * greatest({days_sql("TIMESTAMP '2023-11-01' + to_days((vec_id % 90)::INTEGER)")}, 0) / 30) + 0.3 * coalesce(credibility, 0.5), 6) AS score
+  FROM embeddings LEFT JOIN credible ON source = vec_id)
 SELECT DISTINCT a, b, CASE WHEN x.score >= y.score THEN a ELSE b END AS chosen FROM contra JOIN scored x ON x.id = a JOIN scored y ON y.id = b""")
 def contradiction_resolution(spark, sf_dir):
-    records = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "CASE WHEN vec_id % 3 > 0 THEN (vec_id % 10) / 10.0D END AS confidence", "TIMESTAMP_NTZ '2023-11-01 00:00:00' + make_dt_interval(cast(vec_id % 90 as int)) AS created_at")
+    records = (
+        table(spark, sf_dir, "embeddings")
+        .selectExpr("vec_id AS id", "CASE WHEN vec_id % 3 > 0 THEN (vec_id % 10) / 10.0D END AS confidence", "TIMESTAMP_NTZ '2023-11-01 00:00:00' + make_dt_interval(cast(vec_id % 90 as int)) AS created_at")
+    )
     return extensions.resolved(found(spark, sf_dir), records.join(credible(spark, sf_dir).withColumnRenamed("source", "id"), "id", "left"), now())
 
 
 @query(f"""WITH {PAIRS_SQL}, kinds AS (SELECT vec_id AS id, CASE vec_id % 2 WHEN 0 THEN 'fact' ELSE 'error' END AS type FROM embeddings)
-SELECT a, b, least(1, similarity * 2) AS similarity, x.type FROM pairs JOIN kinds x ON x.id = a JOIN kinds y ON y.id = b AND x.type = y.type WHERE least(1, similarity * 2) >= {cases('x.type', DEDUP_LIKENESS, 0.9)}""")
+SELECT a, b, least(1, similarity * 2) AS similarity, x.type FROM pairs JOIN kinds x ON x.id = a JOIN kinds y ON y.id = b AND x.type = y.type
+  WHERE least(1, similarity * 2) >= {cases('x.type', DEDUP_LIKENESS, 0.9)}""")
 def same_by_type(spark, sf_dir):
     """Likeness is doubled, as these vectors are hardly alike."""
     pairs = analysis.similar_pairs(vectors(spark, sf_dir), 0.3).withColumn("similarity", F.least(F.lit(1.0), F.col("similarity") * 2))
@@ -78,7 +84,8 @@ _PARTS = "links AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM line
 
 @query(f"""WITH {_PARTS}, o AS (SELECT src AS id, count(*) AS n_out FROM links GROUP BY 1), i AS (SELECT dst AS id, count(*) AS n_in FROM links GROUP BY 1),
 r AS (SELECT id, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM parts LEFT JOIN o USING (id) LEFT JOIN i USING (id))
-SELECT id, 'many dependencies' AS insight, n_out AS n FROM r WHERE n_out >= 15 UNION ALL SELECT id, 'hotspot', n_in + n_out FROM r WHERE n_in + n_out >= 10 UNION ALL SELECT id, 'unused', 0 FROM r WHERE n_in = 0""")
+SELECT id, 'many dependencies' AS insight, n_out AS n FROM r WHERE n_out >= 15 UNION ALL SELECT id, 'hotspot', n_in + n_out FROM r WHERE n_in + n_out >= 10
+  UNION ALL SELECT id, 'unused', 0 FROM r WHERE n_in = 0""")
 def architecture_insights(spark, sf_dir):
     links = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS src", "l_partkey AS dst")
     return extensions.insights(links, links.select(F.col("src").alias("id")).union(links.select("dst")).distinct())

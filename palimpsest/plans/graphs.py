@@ -109,8 +109,10 @@ def concept_splits(spark, sf_dir):
     return clusters.splits(vectors(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH RECURSIVE {NODES_SQL}, links AS (SELECT a.concept AS a, b.concept AS b FROM nodes a JOIN nodes b ON a.concept <> b.concept WHERE round(list_cosine_similarity(a.centroid, b.centroid), 6) >= 0.1),
-walk AS (SELECT DISTINCT a AS id, a AS seen FROM links UNION SELECT id, b FROM walk JOIN links ON seen = a) SELECT id AS concept, min(seen) AS "into" FROM walk GROUP BY 1 HAVING id <> min(seen)""")
+@query(f"""WITH RECURSIVE {NODES_SQL}, links AS (SELECT a.concept AS a, b.concept AS b FROM nodes a JOIN nodes b ON a.concept <> b.concept
+  WHERE round(list_cosine_similarity(a.centroid, b.centroid), 6) >= 0.1),
+walk AS (SELECT DISTINCT a AS id, a AS seen FROM links UNION SELECT id, b FROM walk JOIN links ON seen = a) SELECT id AS concept, min(seen) AS "into" FROM walk
+  GROUP BY 1 HAVING id <> min(seen)""")
 def concept_merges(spark, sf_dir):
     """Concepts that are alike by 0.1, as these are hardly alike."""
     return clusters.merges(analysis.centroids(vectors(spark, sf_dir)), 0.1)
@@ -124,10 +126,13 @@ def concept_assignment(spark, sf_dir):
 
 
 CYCLES_SQL = """keyed AS (SELECT label AS concept, vec_id % 4 AS cycle, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-parts AS (SELECT concept, cycle, unnest(range(1, len(v) + 1)) AS p, unnest(v) AS x FROM keyed), means AS (SELECT concept, cycle, p, avg(x) AS x, count(*) AS n FROM parts GROUP BY 1, 2, 3),
+parts AS (SELECT concept, cycle, unnest(range(1, len(v) + 1)) AS p, unnest(v) AS x FROM keyed), means AS (SELECT concept, cycle, p, avg(x) AS x, count(*) AS n
+  FROM parts GROUP BY 1, 2, 3),
 shots AS (SELECT concept, cycle, list(x ORDER BY p) AS c, max(n) AS n FROM means GROUP BY 1, 2),
-tight AS (SELECT a.concept, a.cycle, avg(list_cosine_similarity(a.v, b.v)) AS cohesion FROM keyed a JOIN keyed b ON a.concept = b.concept AND a.cycle = b.cycle AND a.vec_id <> b.vec_id GROUP BY 1, 2),
-moved AS (SELECT concept, cycle, n, cohesion, round(coalesce(1 - list_cosine_similarity(c, lag(c) OVER w), 0), 6) AS drift, round(coalesce(cohesion - lag(cohesion) OVER w, 0), 6) AS cohesion_delta
+tight AS (SELECT a.concept, a.cycle, avg(list_cosine_similarity(a.v, b.v)) AS cohesion FROM keyed a
+  JOIN keyed b ON a.concept = b.concept AND a.cycle = b.cycle AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+moved AS (SELECT concept, cycle, n, cohesion, round(coalesce(1 - list_cosine_similarity(c, lag(c)
+  OVER w), 0), 6) AS drift, round(coalesce(cohesion - lag(cohesion) OVER w, 0), 6) AS cohesion_delta
   FROM shots LEFT JOIN tight USING (concept, cycle) WINDOW w AS (PARTITION BY concept ORDER BY cycle))"""
 
 
@@ -141,9 +146,12 @@ def concept_history(spark, sf_dir):
     return clusters.history(clusters.snapshots(cycles(spark, sf_dir)), keep=3)
 
 
-@query(f"""WITH {CYCLES_SQL}, rows AS (SELECT *, CASE WHEN cycle = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS churn, round(sum(drift) OVER (PARTITION BY concept ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS total FROM moved)
-SELECT concept, cycle, 'rapid_drift' AS alert, drift AS value, 0.3::DOUBLE AS threshold FROM rows WHERE drift >= 0.3 UNION ALL SELECT concept, cycle, 'cohesion_loss', cohesion_delta, -0.2 FROM rows WHERE cohesion_delta <= -0.2
-UNION ALL SELECT concept, cycle, 'member_exodus', churn, 0.5 FROM rows WHERE churn >= 0.5 UNION ALL SELECT concept, cycle, 'identity_shift', total, 0.5 FROM rows WHERE total >= 0.5""")
+@query(f"""WITH {CYCLES_SQL}, rows AS (SELECT *, CASE WHEN cycle = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS churn, round(sum(drift)
+  OVER (PARTITION BY concept ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS total FROM moved)
+SELECT concept, cycle, 'rapid_drift' AS alert, drift AS value, 0.3::DOUBLE AS threshold FROM rows WHERE drift >= 0.3 UNION ALL
+  SELECT concept, cycle, 'cohesion_loss', cohesion_delta, -0.2 FROM rows WHERE cohesion_delta <= -0.2
+UNION ALL SELECT concept, cycle, 'member_exodus', churn, 0.5 FROM rows WHERE churn >= 0.5 UNION ALL SELECT concept, cycle, 'identity_shift', total, 0.5
+  FROM rows WHERE total >= 0.5""")
 def drift_alerts(spark, sf_dir):
     rows = cycles(spark, sf_dir)
     churn = analysis.drift(rows.select("concept", "cycle", F.col("id").alias("member"))).select("concept", "cycle", "churn")
@@ -197,7 +205,8 @@ def edge_query(spark, sf_dir):
     return graph.edges_of(relations(spark, sf_dir), seeds(spark, sf_dir))
 
 
-@query(f"""WITH {RELATIONS_SQL}, asked AS (SELECT doc_id FROM documents WHERE doc_id % 20 = 0) SELECT from_id AS id, to_id AS other, relation_type, weight, 'outgoing' AS direction FROM relations WHERE from_id IN (FROM asked)
+@query(f"""WITH {RELATIONS_SQL}, asked AS (SELECT doc_id FROM documents WHERE doc_id % 20 = 0)
+  SELECT from_id AS id, to_id AS other, relation_type, weight, 'outgoing' AS direction FROM relations WHERE from_id IN (FROM asked)
 QUALIFY row_number() OVER (PARTITION BY from_id ORDER BY weight DESC, to_id, relation_type) <= 3""")
 def strongest_edges(spark, sf_dir):
     """The three heaviest outgoing edges of each entity that is asked for."""
@@ -219,7 +228,8 @@ TYPES_SQL = """types AS (SELECT 'region ' || r_name AS name, 'place' AS parent F
 
 @query(f"""WITH RECURSIVE {TYPES_SQL}, up AS (SELECT name, parent AS ancestor, 1 AS steps FROM types WHERE parent IS NOT NULL
   UNION ALL SELECT up.name, parent, steps + 1 FROM up JOIN types t ON t.name = ancestor WHERE parent IS NOT NULL),
-own AS (SELECT t.name, count(s_suppkey) AS n FROM types t LEFT JOIN (SELECT s_suppkey, 'nation ' || n_name AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON type = t.name GROUP BY 1)
+own AS (SELECT t.name, count(s_suppkey) AS n FROM types t LEFT JOIN (SELECT s_suppkey, 'nation ' || n_name AS type FROM supplier
+  JOIN nation ON s_nationkey = n_nationkey) ON type = t.name GROUP BY 1)
 SELECT own.name, coalesce((SELECT max(steps) FROM up WHERE up.name = own.name), 0)::BIGINT AS depth, (SELECT count(*) FROM up WHERE ancestor = own.name) AS n_subtypes,
   (n + coalesce((SELECT sum(b.n) FROM up JOIN own b ON b.name = up.name WHERE up.ancestor = own.name), 0))::BIGINT AS n_entities FROM own""")
 def type_hierarchy(spark, sf_dir):
@@ -231,23 +241,32 @@ def type_hierarchy(spark, sf_dir):
     return graph.type_summary(types, entities)
 
 
-@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size, sqrt(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE * x::DOUBLE))) AS part FROM embeddings),
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size,
+  sqrt(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE * x::DOUBLE))) AS part FROM embeddings),
 m AS (SELECT *, list_max(v[1:5]) AS top, list_sum(list_transform(v[1:5], lambda x: exp(x - list_max(v[1:5])))) AS total FROM n)
 SELECT vec_id, round(v[1] / size, 6) AS unit1, round(v[16] / part, 6) AS part16, round(1 / (1 + exp(-v[1])), 6) AS sigmoid1, round(exp(v[2] - top) / total, 6) AS softmax2,
   round((v[1] * 1 + v[3] * 1) / 2, 6) AS pooled1 FROM m""")
 def vector_functions(spark, sf_dir):
     """Normalising, truncating, sigmoid, softmax and pooling (of two tokens of two numbers, the middle one masked)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    e = e.withColumn("tokens", F.expr("array(slice(v, 1, 2), slice(v, 2, 2), slice(v, 3, 2))")).withColumn("mask", F.expr("array(1, 0, 1)")).withColumn("five", F.expr("slice(v, 1, 5)"))
+    e = (
+        e.withColumn("tokens", F.expr("array(slice(v, 1, 2), slice(v, 2, 2), slice(v, 3, 2))"))
+        .withColumn("mask", F.expr("array(1, 0, 1)")).withColumn("five", F.expr("slice(v, 1, 5)"))
+    )
     six = lambda c, name: F.round(c, 6).alias(name)
     return e.select("vec_id", six(V.normalised("v")[0], "unit1"), six(V.truncated("v", 16)[15], "part16"), six(V.sigmoid(F.col("v")[0]), "sigmoid1"), six(V.softmax("five")[1], "softmax2"), six(V.mean_pooled("tokens", "mask")[0], "pooled1"))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(1, 9)) AS i FROM embeddings), q AS (SELECT vec_id, v, i, unnest(range(i, least(8, i + 2) + 1)) AS j FROM p)
+@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(1, 9)) AS i
+  FROM embeddings), q AS (SELECT vec_id, v, i, unnest(range(i, least(8, i + 2) + 1)) AS j FROM p)
 SELECT vec_id, i - 1 AS first, j - 1 AS last, round(v[i] + v[8 + j], 6) AS score FROM q QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v[i] + v[8 + j] DESC, i, j) = 1""")
 def best_spans(spark, sf_dir):
     """Eight start and eight end logits of each vector; spans of three at most."""
-    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "slice(embedding, 1, 8) AS s", "slice(embedding, 9, 8) AS e").selectExpr("vec_id", "cast(s as array<double>) AS s", "cast(e as array<double>) AS e")
+    e = (
+        table(spark, sf_dir, "embeddings")
+        .selectExpr("vec_id", "slice(embedding, 1, 8) AS s", "slice(embedding, 9, 8) AS e")
+        .selectExpr("vec_id", "cast(s as array<double>) AS s", "cast(e as array<double>) AS e")
+    )
     best = e.select("vec_id", V.best_span("s", "e", 3).alias("b"))
     return best.selectExpr("vec_id", "cast(b.first as bigint) AS first", "cast(b.last as bigint) AS last", "round(b.score, 6) AS score")
 

@@ -29,7 +29,8 @@ def status_counts(spark, sf_dir):
     )
 
 
-@query(f"""WITH {MEMORIES_SQL} SELECT type, count(*) AS n, format('{{:.3f}}', coalesce(avg(importance), 0)) AS importance, format('{{:.3f}}', coalesce(avg(confidence), 0.5)) AS confidence
+@query(f"""WITH {MEMORIES_SQL} SELECT type, count(*) AS n, format('{{:.3f}}', coalesce(avg(importance), 0)) AS importance, format('{{:.3f}}',
+  coalesce(avg(confidence), 0.5)) AS confidence
   FROM memories WHERE deleted_at IS NULL GROUP BY 1""")
 def count_by_type(spark, sf_dir):
     rows = memories(spark, sf_dir, "confidence", "type", "importance").where(active()).groupBy("type")
@@ -97,7 +98,8 @@ def act_r_decay(spark, sf_dir):
     return analysis.decay(memories(spark, sf_dir, "type", "importance"), now())
 
 
-@query(f"""WITH {MEMORIES_SQL} SELECT id, round(least(coalesce(confidence, 0.5) + 0.05, 0.95), 6) AS confidence FROM memories WHERE access_count > 3 AND coalesce(confidence, 0.5) < 0.95""")
+@query(f"""WITH {MEMORIES_SQL} SELECT id, round(least(coalesce(confidence, 0.5) + 0.05, 0.95), 6) AS confidence FROM memories
+  WHERE access_count > 3 AND coalesce(confidence, 0.5) < 0.95""")
 def strengthen(spark, sf_dir):
     return analysis.strengthen(memories(spark, sf_dir, "confidence"))
 
@@ -107,7 +109,8 @@ def exact_dedup(spark, sf_dir):
     return enrichment.exact_copies(memories(spark, sf_dir))
 
 
-@query(f"""WITH {MEMORIES_SQL}, words AS (SELECT id, project_id, created_at, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda w: w <> '')) AS w FROM memories),
+@query(f"""WITH {MEMORIES_SQL}, words AS (SELECT id, project_id, created_at, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'),
+  lambda w: w <> '')) AS w FROM memories),
 recent AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS r FROM words QUALIFY r <= 20),
 pairs AS (SELECT a.id, b.id AS other, b.r, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS m FROM words a JOIN recent b ON a.project_id = b.project_id AND a.id <> b.id)
 SELECT id, other, round(n / (m - n)::DOUBLE, 6) AS jaccard FROM pairs WHERE n / (m - n)::DOUBLE > 0.85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY r) = 1""")
@@ -134,7 +137,8 @@ def noise_filter(spark, sf_dir):
 
 @query("""WITH s AS (SELECT event_type AS concept, week(ts) AS cycle, list(DISTINCT user_id) AS members FROM events GROUP BY 1, 2),
 b AS (SELECT *, lag(members) OVER (PARTITION BY concept ORDER BY cycle) AS before FROM s),
-c AS (SELECT concept, cycle, round(CASE WHEN before IS NULL THEN 0 ELSE 1 - len(list_intersect(members, before)) / len(list_distinct(list_concat(members, before)))::DOUBLE END, 6) AS churn FROM b)
+c AS (SELECT concept, cycle, round(CASE WHEN before IS NULL THEN 0 ELSE 1 - len(list_intersect(members, before)) / len(list_distinct(list_concat(members,
+  before)))::DOUBLE END, 6) AS churn FROM b)
 SELECT concept, cycle, churn, round(sum(churn) OVER (PARTITION BY concept ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS drift5 FROM c""")
 def concept_drift(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("concept"), F.weekofyear("ts").cast("long").alias("cycle"), F.col("user_id").alias("member"))
@@ -149,7 +153,8 @@ def empty_search_runs(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING count(*) >= 3""")
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s
+  GROUP BY user_id, k HAVING count(*) >= 3""")
 def event_bursts(spark, sf_dir):
     return analysis.bursts(table(spark, sf_dir, "events"), "6 hours")
 
@@ -170,7 +175,8 @@ def valid_from_backfill(spark, sf_dir):
     return memories(spark, sf_dir).select("id", F.coalesce("valid_from", "created_at").alias("valid_from"))
 
 
-@query("""SELECT conv_id, turn, 0::BIGINT AS part, CASE WHEN strlen(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END AS content FROM conversations WHERE strlen(text) >= 50
+@query("""SELECT conv_id, turn, 0::BIGINT AS part, CASE WHEN strlen(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END AS content FROM conversations
+  WHERE strlen(text) >= 50
 UNION ALL SELECT conv_id, turn, 1, CASE WHEN strlen(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END FROM conversations WHERE strlen(text) >= 50 AND turn % 3 = 1""")
 def transcript_extract(spark, sf_dir):
     """Conversations as transcript lines: message with text, message with two equal blocks, or content at the top."""

@@ -20,7 +20,8 @@ KEYWORD_SQL = f"""{MEMORIES_SQL}, {ASKED_SQL},
 words AS (SELECT id, project_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM memories WHERE deleted_at IS NULL),
 total AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM words),
 query_terms AS (SELECT DISTINCT query_id, project, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM asked),
-postings AS (SELECT id, project_id, n_words, term, count(*) AS tf FROM (SELECT id, project_id, len(w) AS n_words, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM query_terms) GROUP BY ALL),
+postings AS (SELECT id, project_id, n_words, term, count(*) AS tf FROM (SELECT id, project_id, len(w) AS n_words, unnest(w) AS term FROM words)
+  WHERE term IN (SELECT term FROM query_terms) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
 needed AS (SELECT query_id, count(*) AS needed FROM query_terms GROUP BY 1),
 word_hits AS (SELECT query_id, id, count(*) AS n_found,
@@ -28,7 +29,8 @@ word_hits AS (SELECT query_id, id, count(*) AS n_found,
   FROM postings JOIN dfs USING (term) JOIN query_terms USING (term), total WHERE project_id IN (project, 'global') GROUP BY 1, 2),
 keyword_all AS (SELECT query_id, id, score FROM word_hits JOIN needed USING (query_id) WHERE n_found = needed),
 keyword AS (SELECT * FROM keyword_all QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20),
-temporal AS (SELECT query_id, id, round(exp(-ln(2) * greatest({days_sql("coalesce(valid_from, created_at)")}, 0) / 30), 6) AS score FROM memories JOIN asked ON project_id IN (project, 'global')
+temporal AS (SELECT query_id, id, round(exp(-ln(2) * greatest({days_sql("coalesce(valid_from, created_at)")}, 0) / 30), 6) AS score FROM memories
+  JOIN asked ON project_id IN (project, 'global')
   WHERE deleted_at IS NULL AND (valid_from IS NULL OR valid_from <= as_of) AND (valid_to IS NULL OR valid_to > as_of)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY valid_from DESC NULLS LAST, id) <= 20)"""
 
@@ -48,7 +50,8 @@ def bm25_any_term(spark, sf_dir):
 SPARSE_SQL = KEYWORD_SQL.replace("needed AS (SELECT query_id, count(*) AS needed FROM query_terms GROUP BY 1)", "needed AS (SELECT query_id, count(*) FILTER (must = 1) AS needed FROM query_terms GROUP BY 1)").replace(
     "query_terms AS (SELECT DISTINCT query_id, project, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM asked)",
     """own_terms AS (SELECT DISTINCT query_id, project, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM asked),
-query_terms AS (SELECT *, 1 AS must FROM own_terms UNION ALL SELECT query_id, project, t, 0 FROM (SELECT query_id, project, unnest(['with', 'from']) AS t FROM asked) WHERE (query_id, t) NOT IN (SELECT (query_id, term) FROM own_terms))""",
+query_terms AS (SELECT *, 1 AS must FROM own_terms UNION ALL SELECT query_id, project, t, 0 FROM (SELECT query_id, project, unnest(['with', 'from']) AS t
+  FROM asked) WHERE (query_id, t) NOT IN (SELECT (query_id, term) FROM own_terms))""",
 ).replace("count(*) AS n_found", "sum(must) AS n_found")
 
 
@@ -66,10 +69,12 @@ def postings_build(spark, sf_dir):
     return retrieval.postings(memories(spark, sf_dir))
 
 
-@query(f"""WITH {MEMORIES_SQL}, {ASKED_SQL}, hits AS (SELECT query_id, id, confidence, importance, len(list_filter(w, lambda x: contains(lower(content), x))) / greatest(len(w), 1)::DOUBLE AS score
+@query(f"""WITH {MEMORIES_SQL}, {ASKED_SQL}, hits AS (SELECT query_id, id, confidence, importance, len(list_filter(w, lambda x: contains(lower(content),
+  x))) / greatest(len(w), 1)::DOUBLE AS score
   FROM (SELECT *, list_filter(string_split(lower(text), ' '), lambda x: strlen(x) > 1) AS w FROM asked) JOIN memories ON project_id IN (project, 'global')
   WHERE deleted_at IS NULL AND contains(lower(content), lower(text)))
-SELECT query_id, id, round(score, 6) AS score FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, confidence DESC NULLS LAST, importance DESC NULLS LAST, id) <= 20""")
+SELECT query_id, id, round(score, 6) AS score FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC,
+  confidence DESC NULLS LAST, importance DESC NULLS LAST, id) <= 20""")
 def like_overlap(spark, sf_dir):
     return retrieval.like(memories(spark, sf_dir, "confidence", "type", "importance"), asked(spark, sf_dir), 20)
 
@@ -82,10 +87,13 @@ def temporal_path(spark, sf_dir):
 _BOUNDED = """(query_id // 20) % 2 = 0 AS bounded"""
 
 
-@query(f"""WITH {MEMORIES_SQL}, {ASKED_SQL}, bounds AS (SELECT *, CASE WHEN (query_id // 20) % 2 = 0 THEN TIMESTAMP '2023-12-01' END AS since, CASE WHEN (query_id // 20) % 3 = 0 THEN TIMESTAMP '2024-01-10' END AS until,
+@query(f"""WITH {MEMORIES_SQL}, {ASKED_SQL}, bounds AS (SELECT *, CASE WHEN (query_id // 20) % 2 = 0 THEN TIMESTAMP '2023-12-01' END AS since,
+  CASE WHEN (query_id // 20) % 3 = 0 THEN TIMESTAMP '2024-01-10' END AS until,
   CASE WHEN (query_id // 20) % 4 = 0 THEN split_part(text, ' ', 1) END AS phrase FROM asked)
-SELECT query_id, id, round(exp(-ln(2) * greatest({days_sql("coalesce(valid_from, created_at)")}, 0) / 30), 6) AS score FROM memories JOIN bounds ON project_id IN (project, 'global')
-  WHERE deleted_at IS NULL AND (valid_from IS NULL OR valid_from <= as_of) AND (valid_to IS NULL OR valid_to > as_of) AND (since IS NULL OR valid_from >= since) AND (until IS NULL OR valid_from < until)
+SELECT query_id, id, round(exp(-ln(2) * greatest({days_sql("coalesce(valid_from, created_at)")}, 0) / 30), 6) AS score FROM memories
+  JOIN bounds ON project_id IN (project, 'global')
+  WHERE deleted_at IS NULL AND (valid_from IS NULL OR valid_from <= as_of) AND (valid_to IS NULL OR valid_to > as_of) AND (since IS NULL OR valid_from >= since)
+  AND (until IS NULL OR valid_from < until)
     AND (phrase IS NULL OR contains(lower(content), lower(phrase)))
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY valid_from DESC NULLS LAST, id) <= 20""")
 def temporal_bounds(spark, sf_dir):
@@ -139,8 +147,10 @@ def concept_path(spark, sf_dir):
 
 
 _MMR_STEP = """step{n} AS (SELECT query_id, id, {n} AS place FROM (SELECT r.query_id, r.id, round(0.7::DOUBLE * rel - 0.3::DOUBLE * greatest(max(alike), 0), 9) AS value FROM rel r
-  JOIN chosen{m} c ON c.query_id = r.query_id JOIN pairs p ON p.query_id = r.query_id AND p.a = r.id AND p.b = c.id WHERE (r.query_id, r.id) NOT IN (SELECT (query_id, id) FROM chosen{m})
-  GROUP BY r.query_id, r.id, rel, ord QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY round(0.7::DOUBLE * rel - 0.3::DOUBLE * greatest(max(alike), 0), 9) DESC, ord) = 1)),
+  JOIN chosen{m} c ON c.query_id = r.query_id JOIN pairs p ON p.query_id = r.query_id AND p.a = r.id AND p.b = c.id
+  WHERE (r.query_id, r.id) NOT IN (SELECT (query_id, id) FROM chosen{m})
+  GROUP BY r.query_id, r.id, rel, ord QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY round(0.7::DOUBLE * rel - 0.3::DOUBLE * greatest(max(alike),
+  0), 9) DESC, ord) = 1)),
 chosen{n} AS (SELECT * FROM chosen{m} UNION ALL SELECT * FROM step{n})"""
 MMR_SQL = f"""{VECTOR_SQL}, rel AS (SELECT query_id, id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 1) AS rel,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR) AS ord, count(*) OVER w AS n FROM closest WINDOW w AS (PARTITION BY query_id)),
@@ -226,14 +236,16 @@ def rrf_fusion(spark, sf_dir):
 
 _S = {s: _weight_sql(SIGNALS, SIGNAL_WEIGHTS, s) for s in SIGNALS}
 RANKED_SQL = f"""{HYBRID_SQL},
-boosts AS (SELECT a.query_id, a.id, least(sum(weight) * 0.2, 0.5) AS boost FROM fused a JOIN (SELECT 'm' || lpad(src::VARCHAR, 8, '0') AS src, 'm' || lpad(dst::VARCHAR, 8, '0') AS dst, weight
+boosts AS (SELECT a.query_id, a.id, least(sum(weight) * 0.2, 0.5) AS boost FROM fused a
+  JOIN (SELECT 'm' || lpad(src::VARCHAR, 8, '0') AS src, 'm' || lpad(dst::VARCHAR, 8, '0') AS dst, weight
   FROM ways QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 20) w ON a.id = w.src JOIN fused b ON b.query_id = a.query_id AND b.id = w.dst GROUP BY 1, 2),
 scored AS (SELECT query_id, id, least(1.0, greatest(0.0, {_S["recency"]} * exp(-ln(2) * greatest({days_sql("created_at")}, 0) / 30)
   + ({_S["importance"]} + 0.15 * {_S["rerank"]} + CASE WHEN processing_depth IS NULL THEN {_S["depth"]} ELSE 0 END) * importance + {_S["depth"]} * coalesce(processing_depth, 0)
   + ({_S["rrf"]} + 0.7 * {_S["rerank"]}) * least(rrf / 0.05, 1) + {_S["hebbian"]} * least(2 * coalesce(boost, 0), 1)
   + ({_S["confidence"]} + 0.15 * {_S["rerank"]} + {_S["credibility"]}) * coalesce(confidence, 0.5) + {_S["retention"]} * exp(-{days_sql("last_accessed")} * 24 * 0.05 / 24)))
   * CASE WHEN superseded_by IS NOT NULL THEN 0.5 ELSE 1 END AS base, {QUALITY_SQL} AS quality FROM fused JOIN memories USING (id) LEFT JOIN boosts USING (query_id, id)),
-found AS (SELECT query_id, id, round(0.85 * base + 0.15 * quality, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.85 * base + 0.15 * quality, 6) DESC, id) <= 10)"""
+found AS (SELECT query_id, id, round(0.85 * base + 0.15 * quality, 6) AS score FROM scored QUALIFY row_number()
+  OVER (PARTITION BY query_id ORDER BY round(0.85 * base + 0.15 * quality, 6) DESC, id) <= 10)"""
 
 
 @query(f"WITH {RANKED_SQL} SELECT * FROM found")
@@ -265,14 +277,16 @@ def rerank(spark, sf_dir):
 
 
 @query(f"""WITH {FOUND_SQL}, five AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM found QUALIFY r <= 5)
-SELECT query_id, first(content ORDER BY r) AS answer, round(first(coalesce(confidence, 0.5) ORDER BY r), 6) AS confidence, string_agg(id, ',' ORDER BY r) AS sources FROM five JOIN memories USING (id) GROUP BY 1""")
+SELECT query_id, first(content ORDER BY r) AS answer, round(first(coalesce(confidence, 0.5) ORDER BY r), 6) AS confidence, string_agg(id,
+  ',' ORDER BY r) AS sources FROM five JOIN memories USING (id) GROUP BY 1""")
 def answer(spark, sf_dir):
     m, found = by_keyword(spark, sf_dir, "confidence")
     return retrieval.answers(found, m).select("query_id", "answer", F.round("confidence", 6).alias("confidence"), F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"""WITH {FOUND_SQL}, five AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5)
-SELECT a.id AS memory_a, b.id AS memory_b, count(*) AS n, round(least(0.1::DOUBLE * count(*), 1), 6) AS weight FROM five a JOIN five b ON a.query_id = b.query_id AND a.id < b.id GROUP BY 1, 2""")
+SELECT a.id AS memory_a, b.id AS memory_b, count(*) AS n, round(least(0.1::DOUBLE * count(*), 1), 6) AS weight FROM five a
+  JOIN five b ON a.query_id = b.query_id AND a.id < b.id GROUP BY 1, 2""")
 def co_retrieval_learning(spark, sf_dir):
     return retrieval.co_retrieved(by_keyword(spark, sf_dir)[1])
 
@@ -283,8 +297,10 @@ def search_hit_counter(spark, sf_dir):
     return retrieval.search_hits(found, m)
 
 
-@query(f"""WITH {FOUND_SQL}, {EDGES_SQL}, wide AS (SELECT 'm' || lpad(src::VARCHAR, 8, '0') AS src, 'm' || lpad(dst::VARCHAR, 8, '0') AS dst, weight FROM ways QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 20)
-SELECT a.query_id, a.id, round(least(sum(weight) * 0.2, 0.5), 6) AS boost FROM found a JOIN wide ON a.id = src JOIN found b ON b.query_id = a.query_id AND b.id = dst GROUP BY 1, 2""")
+@query(f"""WITH {FOUND_SQL}, {EDGES_SQL}, wide AS (SELECT 'm' || lpad(src::VARCHAR, 8, '0') AS src, 'm' || lpad(dst::VARCHAR, 8, '0') AS dst, weight FROM ways
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 20)
+SELECT a.query_id, a.id, round(least(sum(weight) * 0.2, 0.5), 6) AS boost FROM found a JOIN wide ON a.id = src
+  JOIN found b ON b.query_id = a.query_id AND b.id = dst GROUP BY 1, 2""")
 def hebbian_boost(spark, sf_dir):
     _, found = by_keyword(spark, sf_dir)
     return retrieval.hebbian_boost(found, graph_tables(spark, sf_dir)[0]).withColumn("boost", F.round("boost", 6))

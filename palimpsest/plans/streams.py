@@ -53,7 +53,10 @@ def stream_first_arrivals(spark, sf_dir):
     """Texts of events, the first arrival of each."""
     text = F.expr("'the value of this event is ' || user_id || event_type || ' and it says something'")
     rows = pipelines.first_arrivals(events(spark, sf_dir).withColumn("content", text), "60 days")
-    return ran(rows.select("content_hash")).join(table(spark, sf_dir, "events").select(F.sha2(text.cast("binary"), 256).alias("content_hash"), "ts").groupBy("content_hash").agg(F.min("ts").alias("ts")), "content_hash")
+    return (
+        ran(rows.select("content_hash"))
+        .join(table(spark, sf_dir, "events").select(F.sha2(text.cast("binary"), 256).alias("content_hash"), "ts").groupBy("content_hash").agg(F.min("ts").alias("ts")), "content_hash")
+    )
 
 
 @query()

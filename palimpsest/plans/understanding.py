@@ -79,8 +79,10 @@ for _p in OPERATORS.values():
 _DAYS = f"(TRY_CAST({_found('last')} AS BIGINT) * CASE lower({_found('last', 2)}) WHEN 'w' THEN 7 WHEN 'm' THEN 30 ELSE 1 END)"
 _MONTH = _found("during")
 _NEXT = f"CASE WHEN substr({_MONTH}, 6, 2) = '12' THEN format('{{:04d}}-01-01', substr({_MONTH}, 1, 4)::INTEGER + 1) WHEN {_MONTH} IS NOT NULL THEN format('{{:04d}}-{{:02d}}-01', substr({_MONTH}, 1, 4)::INTEGER, substr({_MONTH}, 6, 2)::INTEGER + 1) END"
-TIMES_SQL = f"""times AS (SELECT conv_id, turn, text, trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')) AS clean, coalesce({_found("between", 2)}, {_NEXT}, {_found("before")}) AS before,
-  coalesce({_found("between")}, {_MONTH} || '-01', CASE WHEN {_DAYS} > 0 THEN strftime(DATE '2024-02-01' - {_DAYS}::INTEGER, '%Y-%m-%d') END, {_found("after")}) AS after, {_found("as_of")} AS as_of FROM questions)"""
+TIMES_SQL = f"""times AS (SELECT conv_id, turn, text, trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')) AS clean, coalesce({_found("between", 2)}, {_NEXT},
+  {_found("before")}) AS before,
+  coalesce({_found("between")}, {_MONTH} || '-01', CASE WHEN {_DAYS} > 0 THEN strftime(DATE '2024-02-01' - {_DAYS}::INTEGER, '%Y-%m-%d') END,
+  {_found("after")}) AS after, {_found("as_of")} AS as_of FROM questions)"""
 
 
 @query(f"WITH {QUESTIONS_SQL}, {TIMES_SQL} SELECT conv_id, turn, clean, before, after, as_of FROM times")

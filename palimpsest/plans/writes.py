@@ -21,7 +21,10 @@ def date():
 
 @query("SELECT event_id AS id, event_type AS tool_name, coalesce(nullif(event_type, 'error'), 'unknown') AS kind, coalesce(CASE WHEN event_id % 3 > 0 THEN value END, 0.5) AS importance, 'system' AS agent_id FROM events")
 def insert_with_defaults(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").selectExpr("event_id AS id", "event_type AS tool_name", "nullif(event_type, 'error') AS kind", "CASE WHEN event_id % 3 > 0 THEN value END AS importance")
+    rows = (
+        table(spark, sf_dir, "events")
+        .selectExpr("event_id AS id", "event_type AS tool_name", "nullif(event_type, 'error') AS kind", "CASE WHEN event_id % 3 > 0 THEN value END AS importance")
+    )
     return store.with_defaults(rows, {"kind": F.lit("unknown"), "importance": F.lit(0.5), "agent_id": F.lit("system")})
 
 
@@ -41,7 +44,8 @@ def partial_update(spark, sf_dir):
     return store.patched(memories(spark, sf_dir).select("id", "tier", "agent_id"), patch)
 
 
-@query("""WITH b AS (SELECT user_id AS key, event_type AS value, ts AS moment, 0 AS new FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, 'new ' || event_type, ts, 1 FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0)
+@query("""WITH b AS (SELECT user_id AS key, event_type AS value, ts AS moment, 0 AS new FROM events WHERE event_id % 2 = 0 UNION ALL
+  SELECT user_id, 'new ' || event_type, ts, 1 FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0)
 SELECT key, arg_max(value, struct_pack(moment, new, value)) AS value FROM b GROUP BY 1""")
 def upsert(spark, sf_dir):
     """The newest value of each key out of an old and a new table."""
@@ -106,9 +110,11 @@ def confirmations(spark, sf_dir):
     return store.judged(memories(spark, sf_dir, "confidence"), votes)
 
 
-@query(f"""WITH {MEMORIES_SQL}, incoming AS (SELECT 'n' || lpad(doc_id::VARCHAR, 8, '0') AS id, project_id, CASE WHEN doc_id % 4 = 0 THEN content ELSE 'note: ' || content END AS content FROM memories),
+@query(f"""WITH {MEMORIES_SQL}, incoming AS (SELECT 'n' || lpad(doc_id::VARCHAR, 8, '0') AS id, project_id,
+  CASE WHEN doc_id % 4 = 0 THEN content ELSE 'note: ' || content END AS content FROM memories),
 valid AS (SELECT *, sha256(content) AS content_hash FROM incoming WHERE strlen(content) <= 100000 AND trim(content) <> ''),
-fresh AS (SELECT * FROM valid WHERE (project_id, content_hash) NOT IN (SELECT (project_id, sha256(content)) FROM memories WHERE deleted_at IS NULL) QUALIFY row_number() OVER (PARTITION BY project_id, content_hash ORDER BY id) = 1),
+fresh AS (SELECT * FROM valid WHERE (project_id, content_hash) NOT IN (SELECT (project_id, sha256(content)) FROM memories WHERE deleted_at IS NULL)
+  QUALIFY row_number() OVER (PARTITION BY project_id, content_hash ORDER BY id) = 1),
 kinds AS (SELECT *, {KIND_SQL} AS type FROM fresh) SELECT id, project_id, content_hash, type, round({IMPORTANCE_SQL}, 6) AS importance, 0.5::DOUBLE AS confidence FROM kinds""")
 def store_records(spark, sf_dir):
     """Storing all records again, three quarters of them changed."""
@@ -136,7 +142,8 @@ RELATIONS = "SELECT event_id % (SELECT count(*) FROM documents) AS from_id, user
 
 
 @query(f"""WITH r AS ({RELATIONS}), n AS (SELECT DISTINCT from_id, to_id, 'knows' AS relation_type FROM r UNION SELECT from_id, to_id, relation_type FROM r WHERE from_id % 3 = 0)
-SELECT from_id, to_id, relation_type, valid_to FROM r UNION ALL SELECT *, NULL FROM n WHERE (from_id, to_id, relation_type) NOT IN (SELECT (from_id, to_id, relation_type) FROM r WHERE valid_to IS NULL)""")
+SELECT from_id, to_id, relation_type, valid_to FROM r UNION ALL SELECT *, NULL FROM n WHERE (from_id, to_id, relation_type) NOT IN (SELECT (from_id, to_id,
+  relation_type) FROM r WHERE valid_to IS NULL)""")
 def edge_create(spark, sf_dir):
     r = relations(spark, sf_dir).drop("weight")
     new = r.selectExpr("from_id", "to_id", "'knows' AS relation_type").union(r.where("from_id % 3 = 0").select("from_id", "to_id", "relation_type"))
@@ -149,13 +156,18 @@ def edge_invalidate(spark, sf_dir):
     return graph.invalidated(r, r.where("from_id % 20 = 0 AND relation_type = 'click'"), now())
 
 
-TEXTS_SQL = """texts AS (SELECT 't' || conv_id || '-' || turn AS id, 'src' || (conv_id % 5) AS project_id, CASE WHEN turn % 3 = 2 THEN 'Sure, ' || substr(text, 1, 100) ELSE text END AS content,
-  TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS created_at FROM conversations UNION ALL SELECT 'u' || conv_id || '-' || turn, 'src9', text, TIMESTAMP '2024-01-02' FROM conversations WHERE turn = 1)"""
+TEXTS_SQL = """texts AS (SELECT 't' || conv_id || '-' || turn AS id, 'src' || (conv_id % 5) AS project_id, CASE WHEN turn % 3 = 2 THEN 'Sure, ' || substr(text,
+  1, 100) ELSE text END AS content,
+  TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS created_at FROM conversations UNION ALL
+  SELECT 'u' || conv_id || '-' || turn, 'src9', text, TIMESTAMP '2024-01-02' FROM conversations WHERE turn = 1)"""
 _TRIMMED = "regexp_replace(content, '^\\s+|\\s+$', '', 'g')"
-_NOISE = f"""(strlen({_TRIMMED}) < 50 OR (strlen({_TRIMMED}) < 500 AND starts_with({_TRIMMED}, '{{') AND ends_with({_TRIMMED}, '}}')) OR (strlen({_TRIMMED}) < 200 AND (""" + " OR ".join(
+_NOISE = f"""(strlen({_TRIMMED}) < 50 OR (strlen({_TRIMMED}) < 500 AND starts_with({_TRIMMED},
+  '{{') AND ends_with({_TRIMMED}, '}}')) OR (strlen({_TRIMMED}) < 200 AND (""" + " OR ".join(
     f"starts_with({_TRIMMED}, '{p.replace(chr(39), chr(39) * 2)}')" for p in NOISE_OPENINGS) + ")))"
-INGEST_SQL = f"""{TEXTS_SQL}, hashed AS (SELECT *, sha256(content) AS content_hash, {_NOISE} AS noise FROM texts WHERE content IS NOT NULL), known AS (SELECT DISTINCT sha256(text) AS h FROM conversations WHERE conv_id % 10 = 0),
-fresh AS (SELECT * FROM hashed WHERE NOT noise AND content_hash NOT IN (SELECT h FROM known WHERE h IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) = 1)"""
+INGEST_SQL = f"""{TEXTS_SQL}, hashed AS (SELECT *, sha256(content) AS content_hash, {_NOISE} AS noise FROM texts
+  WHERE content IS NOT NULL), known AS (SELECT DISTINCT sha256(text) AS h FROM conversations WHERE conv_id % 10 = 0),
+fresh AS (SELECT * FROM hashed WHERE NOT noise AND content_hash NOT IN (SELECT h FROM known WHERE h IS NOT NULL) QUALIFY row_number()
+  OVER (PARTITION BY content_hash ORDER BY created_at, id) = 1)"""
 
 
 def texts(spark, sf_dir):
@@ -180,14 +192,20 @@ def ingest_dry_run(spark, sf_dir):
 @query("SELECT conv_id AS file, count(*) AS n_lines, count(*) FILTER (turn % 5 = 4) AS n_bad FROM conversations GROUP BY 1")
 def transcript_bad_lines(spark, sf_dir):
     """Every fifth line is cut off in the middle."""
-    lines = transcript_lines(spark, sf_dir).select(F.col("line_id.conv_id").alias("file"), F.expr("CASE WHEN line_id.turn % 5 = 4 THEN substring(line, 1, 12) ELSE line END").alias("line"))
+    lines = (
+        transcript_lines(spark, sf_dir)
+        .select(F.col("line_id.conv_id").alias("file"), F.expr("CASE WHEN line_id.turn % 5 = 4 THEN substring(line, 1, 12) ELSE line END").alias("line"))
+    )
     return ingest.bad_lines(lines)
 
 
 @query("""SELECT 'dir' || (conv_id % 7) || '/sub' AS folder, count(*) AS n_files, sum(coalesce(strlen(text), 0))::BIGINT AS n_bytes FROM conversations GROUP BY ROLLUP (folder)""")
 def folder_summary(spark, sf_dir):
     """Turns as files of folders, with the totals."""
-    c = table(spark, sf_dir, "conversations").selectExpr("'dir' || (conv_id % 7) || '/sub/' || conv_id || '.jsonl' AS path", "cast(coalesce(octet_length(text), 0) as bigint) AS length")
+    c = (
+        table(spark, sf_dir, "conversations")
+        .selectExpr("'dir' || (conv_id % 7) || '/sub/' || conv_id || '.jsonl' AS path", "cast(coalesce(octet_length(text), 0) as bigint) AS length")
+    )
     return ingest.folder_summary(c)
 
 

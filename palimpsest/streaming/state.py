@@ -94,7 +94,10 @@ def averages(events: DataFrame) -> DataFrame:
 
     A user's vectors are gathered in one row: use it where a user's events fit a task.
     """
-    lists = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("vector").cast("array<double>").alias("v"), F.col("weight").cast("double").alias("w")))).alias("rows"))
+    lists = (
+        events.groupBy("user_id")
+        .agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("vector").cast("array<double>").alias("v"), F.col("weight").cast("double").alias("w")))).alias("rows"))
+    )
     unit = "transform(array(sqrt(aggregate({0}, 0D, (s, x) -> s + x * x))), n -> transform({0}, x -> if(n > 0, x / n, x)))[0]"
     mixed = f"zip_with(m, r.v, (a, b) -> (1 - {ALPHA}D * r.w) * a + {ALPHA}D * r.w * b)"
     step = f"transform(array(if(size(m) = size(r.v), {mixed}, r.v)), y -> {unit.format('y')})[0]"
@@ -113,7 +116,10 @@ def breakers_stream(calls: DataFrame) -> DataFrame:
         state.update(now)
         yield pd.DataFrame({"tool_name": key[0], "event_id": rows["event_id"], "state": names})
 
-    return calls.groupBy("tool_name").applyInPandasWithState(update, "tool_name string, event_id long, state string", "name string, failures long, opened double", "append", GroupStateTimeout.NoTimeout)
+    return (
+        calls.groupBy("tool_name")
+        .applyInPandasWithState(update, "tool_name string, event_id long, state string", "name string, failures long, opened double", "append", GroupStateTimeout.NoTimeout)
+    )
 
 
 def limited_stream(calls: DataFrame, rate: float, most: float) -> DataFrame:
@@ -130,4 +136,7 @@ def limited_stream(calls: DataFrame, rate: float, most: float) -> DataFrame:
         state.update((tokens, last))
         yield pd.DataFrame({"tool_name": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    return calls.groupBy("tool_name").applyInPandasWithState(update, "tool_name string, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return (
+        calls.groupBy("tool_name")
+        .applyInPandasWithState(update, "tool_name string, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    )
