@@ -17,6 +17,7 @@ Only the text is an input of a score.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections import Counter
@@ -56,6 +57,22 @@ def features(word: str) -> list[str]:
     return [f for k in (0, *PREFIXES) if (f := feature(word, k))]
 
 
+class _Odds(dict):
+    """Odds of the words seen lately."""
+
+    def __init__(self, model: ToxicModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        found = self.model.odds(word)
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 @dataclass
 class ToxicModel:
     """Weights of the chain (toxic against clean) and of the curve from marginals to a score."""
@@ -64,22 +81,21 @@ class ToxicModel:
     bias: float = -4.0
     transitions: tuple[float, float, float] = (0.0, 0.0, 0.0)  # clean-toxic, toxic-clean, toxic-toxic
     curve: tuple[float, float, float] = (-2.0, 0.0, 0.0)
-    kept: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def __post_init__(self):
+        self.kept = _Odds(self)
 
     def __getstate__(self):
-        return {**self.__dict__, "kept": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.kept = _Odds(self)
 
     def odds(self, word: str) -> float:
         """exp of the state score of a token, toxic against clean."""
-        found = self.kept.get(word)
-        if found is None:
-            low = word.lower()
-            found = float(np.exp(np.clip(self.bias + sum(self.weights.get(f, 0.0) for f in features(low)), -25, 25)))
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            if len(word) <= 64:
-                self.kept[word] = found
-        return found
+        get = self.weights.get
+        return math.exp(min(25.0, max(-25.0, self.bias + sum(get(f, 0.0) for f in features(word.lower())))))
 
 
 def rows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,42 +124,41 @@ def _carried(starts: np.ndarray, step, forwards: bool) -> np.ndarray:
 def ratios(x: np.ndarray, real: np.ndarray, starts: np.ndarray, transitions: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward ratios (toxic against clean) of every token of texts; x: odds of each token, in the rows of rows_of.
 
-    A forward ratio has the token's own odds in it. The first token's is its odds: as if from a state before
-    that leads to both alike. Places without a token leave everything as it is.
+    A forward ratio has the token's own odds in it. The first token's is its odds. Places without a token leave
+    everything as it is. No ratio overflows: each is bounded by its token's odds and the transitions.
     """
-    ct, tc, tt = np.exp(transitions)
+    # One array a step: a step of all rows then reads memory in order. Weights of (clean, toxic), (toxic, clean), (toxic, toxic).
+    x, real = np.ascontiguousarray(x.T), np.ascontiguousarray(real.T)
+    ct, tc, tt = (np.where(real, weight, nothing) for weight, nothing in zip(np.exp(transitions), (0.0, 0.0, 1.0), strict=True))
+    begins = starts[:-1][np.diff(starts) > 0]
+    ct[0, begins], tc[0, begins], tt[0, begins] = 1.0, 0.0, 0.0
     # Products of (transition, token) of each row, kept near 1: from state i (clean 0, toxic 1) to state j.
-    a, b, c, d = np.ones(len(x)), np.zeros(len(x)), np.zeros(len(x)), np.ones(len(x))
-    begins = np.zeros(len(x), bool)
-    begins[starts[:-1][np.diff(starts) > 0]] = True
-    for t in range(x.shape[1]):
-        some = real[:, t]
-        ct_, tc_, tt_ = (np.where(begins, 1.0, v) for v in (ct, tc, tt)) if t == 0 else (ct, tc, tt)
-        na, nb = a + b * tc_, (a * ct_ + b * tt_) * x[:, t]
-        nc, nd = c + d * tc_, (c * ct_ + d * tt_) * x[:, t]
-        size = np.maximum(np.maximum(na, nb), np.maximum(nc, nd))
-        a, b, c, d = (np.where(some, new / size, old) for new, old in ((na, a), (nb, b), (nc, c), (nd, d)))
+    n = x.shape[1]
+    a, b, c, d = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)
+    for t in range(len(x)):
+        a, b = a + b * tc[t], (a * ct[t] + b * tt[t]) * x[t]
+        c, d = c + d * tc[t], (c * ct[t] + d * tt[t]) * x[t]
+        if t % 4 == 3:
+            size = np.maximum(np.maximum(a, b), np.maximum(c, d))
+            a, b, c, d = a / size, b / size, c / size, d / size
     into = _carried(starts, lambda row, r: (b[row] + d[row] * r) / (a[row] + c[row] * r), True)
     outof = _carried(starts, lambda row, r: (c[row] + d[row] * r) / (a[row] + b[row] * r), False)
     forward, backward = np.empty_like(x), np.empty_like(x)
     r = into
-    for t in range(x.shape[1]):
-        new = x[:, t] * (ct + tt * r) / (1 + tc * r)
-        if t == 0:
-            new = np.where(begins, x[:, 0], new)
-        r = np.where(real[:, t], np.clip(new, 1 / ODDS_LIMIT, ODDS_LIMIT), r)
-        forward[:, t] = r
+    for t in range(len(x)):
+        r = forward[t] = x[t] * (ct[t] + tt[t] * r) / (1 + tc[t] * r)
     r = outof
-    for t in range(x.shape[1] - 1, -1, -1):
-        backward[:, t] = r
-        q = x[:, t] * r
-        r = np.where(real[:, t], (tc + tt * q) / (1 + ct * q), r)
-    return forward, backward
+    for t in range(len(x) - 1, -1, -1):
+        backward[t] = r
+        q = x[t] * r
+        r = (tc[t] + tt[t] * q) / (1 + ct[t] * q)
+    return forward.T, backward.T
 
 
 def marginals(model: ToxicModel, texts: list[str]) -> list[np.ndarray]:
     """Odds toxic against clean of every token of every text, each text one chain."""
-    return _marginals(model, [np.fromiter(map(model.odds, WORD.findall(t)), np.float64) for t in texts])
+    words = [WORD.findall(t) for t in texts]
+    return _marginals(model, [np.fromiter(map(model.kept.__getitem__, w), np.float64, len(w)) for w in words])
 
 
 def _marginals(model: ToxicModel, odds: list[np.ndarray]) -> list[np.ndarray]:
