@@ -13,6 +13,7 @@ Characters that no piece has are written as UTF-8 byte pieces and separate what
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from functools import lru_cache
@@ -27,9 +28,9 @@ from palimpsest.llm.common import with_struct
 BLANK = "▁"
 NEVER = 1 << 60
 #: Bytes of words and ids that a worker keeps of each of two generations, and characters of the longest word.
-KEPT_BYTES, KEPT_CHARS = 28 << 20, 64
-#: Pairs of pieces whose compatibility a worker keeps (about 150 bytes each).
-KEPT_PAIRS = 100_000
+KEPT_BYTES, KEPT_CHARS = 36 << 20, 64
+#: Pairs of pieces whose compatibility a worker keeps (about 140 bytes each).
+KEPT_PAIRS = 250_000
 LETTER = re.compile(r"[^\W\d_]")
 MARKS = ",.!?;:"
 #: Letters before a mark in pieces, up to which the mark is cut from all others.
@@ -285,11 +286,15 @@ def digest(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
     def made(texts: pa.Array) -> pa.Array:
         e = encoder(model_path)
         n, ids_sha, text_sha = [], [], []
-        for t in texts:
-            ids = e.encode(t.as_py() or "")
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(e.written.__getitem__, ids)).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
+        gc.disable()  # no cycles are made here, and looking for them goes over all words kept
+        try:
+            for t in texts:
+                ids = e.encode(t.as_py() or "")
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(",".join(map(e.written.__getitem__, ids)).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
+        finally:
+            gc.enable()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return with_struct(df, made(F.col(f"`{text}`")), ["n_tokens", "ids_sha256", "decoded_sha256"], keep)
