@@ -40,41 +40,49 @@ def _in(values) -> str:
     return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL of body in which name stands for value, which is made once for a row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def template_sql(text: str) -> str:
     """SQL of array<struct<t, raw>>: the template word and the bare word of each word of a text.
 
-    Each array is bound to a lambda variable so that it is made once for a text, not for each word.
+    r: the words; b: without the punctuation around them; l: those in lower case.
     """
     words = f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
     bare = f"transform(r, w -> coalesce(nullif(btrim(w, '{PUNCTUATION}'), ''), w))"
-    number = "(left({0}, 1) between '0' and '9' or lower({0}) in " + _in(NUMBERS) + ")"
+    before = "get(l, i - 1)"
     kind = f"""case
-      when left(w, 1) between '0' and '9' then case when w rlike '^[0-9][0-9.,:/]*%?$' then '<number>' when w rlike '^[0-9][0-9.,]*[A-Za-z]+$' then '<quantity>' else lower(w) end
-      when lower(w) in {_in(NUMBERS)} then '<number>'
-      when lower(w) in {_in(UNITS)} and i > 0 and {number.format("get(b, i - 1)")} then '<unit>'
-      when lower(w) <> w and i > 0 and right(get(r, i - 1), 1) not in {_in(SENTENCE_ENDS)} and w rlike '^\\\\p{{Lu}}\\\\p{{Ll}}+$' then '<name>'
-      else lower(w) end"""
-    made = f"transform(b, (w, i) -> struct({kind} as t, lower(w) as raw))"
-    return f"element_at(transform(array({words}), r -> element_at(transform(array({bare}), b -> {made}), 1)), 1)"
+      when left(w, 1) between '0' and '9' then case when w rlike '^[0-9][0-9.,:/]*%?$' then '<number>' when w rlike '^[0-9][0-9.,]*[a-z]+$' then '<quantity>' else w end
+      when w in {_in(NUMBERS)} then '<number>'
+      when w in {_in(UNITS)} and i > 0 and (left({before}, 1) between '0' and '9' or {before} in {_in(NUMBERS)}) then '<unit>'
+      when w <> get(b, i) and i > 0 and right(get(r, i - 1), 1) not in {_in(SENTENCE_ENDS)} and get(b, i) rlike '^\\\\p{{Lu}}\\\\p{{Ll}}+$' then '<name>'
+      else w end"""
+    made = f"transform(l, (w, i) -> struct({kind} as t, w as raw))"
+    return _bound(words, "r", _bound(bare, "b", _bound("transform(b, w -> lower(w))", "l", made)))
 
 
 def windows_sql(template: str, lengths: list[int], few_slots: bool, bare: list[int] | None = None) -> str:
     """SQL of array<struct<place, hash>>: the windows of a template, of each of the lengths, and of its bare words, of the lengths in bare.
 
     few_slots: only windows that are mostly words. The benchmark's are chosen so; a document's
-    other windows then have no equal among them. The words are bound once, not taken from the structs for each window.
+    other windows then have no equal among them, and its windows that begin with a name are hashed with the plain word too.
+    Each word is hashed once (t: template words, b: bare words), a window from its words' hashes.
     """
     every = []
     for n in lengths:
         places = f"if(size(t) >= {n}, sequence(1, size(t) - {n} + 1), array())"
         if few_slots:
-            places = f"filter({places}, i -> size(filter(slice(t, i, {n}), w -> left(w, 1) = '<' and right(w, 1) = '>')) <= {int(n * MOST_SLOTS)})"
+            places = f"filter({places}, i -> size(filter(slice(c.t, i, {n}), w -> left(w, 1) = '<' and right(w, 1) = '>')) <= {int(n * MOST_SLOTS)})"
         every.append(f"transform({places}, i -> struct(i as place, xxhash64(slice(t, i, {n})) as hash))")
         if not few_slots:
-            every.append(f"transform(filter({places}, i -> t[i - 1] = '<name>'), i -> struct(i as place, xxhash64(concat(slice(b, i, 1), slice(t, i + 1, {n - 1}))) as hash))")
+            named = f"filter({places}, i -> t[i - 1] = xxhash64('<name>'))"
+            every.append(f"transform({named}, i -> struct(i as place, xxhash64(concat(slice(b, i, 1), slice(t, i + 1, {n - 1}))) as hash))")
     for n in bare or []:
         every.append(f"transform(if(size(b) >= {n}, sequence(1, size(b) - {n} + 1), array()), i -> struct(i as place, xxhash64(slice(b, i, {n}), 'bare') as hash))")
-    return f"element_at(transform(array({template}), c -> element_at(transform(array(c.t), t -> element_at(transform(array(c.raw), b -> concat({', '.join(every)})), 1)), 1)), 1)"
+    hashes = lambda of: f"transform(c.{of}, w -> xxhash64(w))"
+    return _bound(template, "c", _bound(hashes("t"), "t", _bound(hashes("raw"), "b", f"concat({', '.join(every)})")))
 
 
 def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
