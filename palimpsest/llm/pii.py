@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import with_struct
+from palimpsest.llm.common import released, with_struct
 
 KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "secret")
 BASE = KINDS[:4]
@@ -201,6 +201,7 @@ def detect(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
             shas.append(hashlib.sha256(written(base).encode()).hexdigest())
             spans.append(written(every))
             scores.append(",".join(f"{score(value, KINDS[k], a, b):.2f}" for a, k, b in every))
+        released()
         columns = [pa.array([c[n] for c in counts], pa.int64()) for n in range(4)]
         return pa.StructArray.from_arrays([*columns, *(pa.array(c, pa.string()) for c in (shas, spans, scores))], FIELDS)
 
@@ -212,6 +213,8 @@ def mask(df: DataFrame, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([None if (x := t.as_py()) is None else masked(x, spans_of(x)[1]) for t in texts], pa.string())
+        made = pa.array([None if (x := t.as_py()) is None else masked(x, spans_of(x)[1]) for t in texts], pa.string())
+        released()
+        return made
 
     return df.withColumn(text, clean(F.col(f"`{text}`")))

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import with_struct
+from palimpsest.llm.common import released, with_struct
 
 BLANK = "▁"
 NEVER = 1 << 60
 #: Bytes of words and ids that a worker keeps of each of two generations, and characters of the longest word.
-KEPT_BYTES, KEPT_CHARS = 36 << 20, 64
+KEPT_BYTES, KEPT_CHARS = 28 << 20, 64
 #: Pairs of pieces whose compatibility a worker keeps (about 140 bytes each).
-KEPT_PAIRS = 250_000
+KEPT_PAIRS = 200_000
 LETTER = re.compile(r"[^\W\d_]")
 MARKS = ",.!?;:"
 #: Letters before a mark in pieces, up to which the mark is cut from all others.
@@ -295,6 +295,7 @@ def digest(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
                 text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
         finally:
             gc.enable()
+        released()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return with_struct(df, made(F.col(f"`{text}`")), ["n_tokens", "ids_sha256", "decoded_sha256"], keep)
