@@ -95,14 +95,18 @@ def temporal(records: DataFrame, queries: DataFrame, k: int, now) -> DataFrame:
     Where the queries have them, columns after (inclusive) and before (exclusive) bound the beginning of validity
     (records without one are then out), and phrase must be in the text.
     """
-    rows = in_scope(records, queries).where(valid_at(F.col("as_of")))
-    if "after" in queries.columns:
+    keys = [c for c in ("project", "as_of", "after", "before", "phrase") if c in queries.columns]
+    asked = queries.select("query_id", *keys).withColumn("scope", F.to_json(F.struct(*keys)))
+    scopes = asked.drop("query_id").dropDuplicates(["scope"])  # queries that ask the same are answered once
+    rows = in_scope(records, scopes).where(valid_at(F.col("as_of")))
+    if "after" in keys:
         rows = rows.where("(after IS NULL OR valid_from >= after) AND (before IS NULL OR valid_from < before)")
-    if "phrase" in queries.columns:
+    if "phrase" in keys:
         rows = rows.where(F.col("phrase").isNull() | F.contains(F.lower("content"), F.lower("phrase")))
     rows = rows.withColumn("score", F.round(recency(F.coalesce("valid_from", "created_at"), now), 6))
-    order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("valid_from"), "id")
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "id", "score")
+    order = W.partitionBy("scope").orderBy(F.desc_nulls_last("valid_from"), "id")
+    best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("scope", "id", "score")
+    return best.join(asked.select("query_id", "scope"), "scope").select("query_id", "id", "score")
 
 
 def cosine(a: str, b: str) -> F.Column:
@@ -141,6 +145,13 @@ def _blocks(rows: DataFrame, vector: str, size: int) -> DataFrame:
     return rows.select(F.col("id").cast("string"), "scope", F.col(vector).cast("array<double>")).mapInArrow(packed, "n int, ids array<string>, scopes array<string>, data binary")
 
 
+def _met(blocks: DataFrame, other: DataFrame) -> DataFrame:
+    """Each block beside each of the other side with vectors of its length: blocks are dealt over slots, the others go to every slot."""
+    slots = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+    return dealt.join(other.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))), ["n", "slot"]).drop("slot")
+
+
 def semantic(records: DataFrame, queries: DataFrame, k: int, least: float = 0.3, rescaled: bool = False) -> DataFrame:
     """(query_id, id, score): records by cosine of their vector with the query's (column vector), over `least`.
 
@@ -170,7 +181,7 @@ def semantic(records: DataFrame, queries: DataFrame, k: int, least: float = 0.3,
                     made["score"] += own[some].tolist()
                 yield pa.RecordBatch.from_pydict(made, pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())]))
 
-    pairs = base.join(asked, "n").mapInArrow(scored, "query_id string, id string, score double")
+    pairs = _met(base, asked).mapInArrow(scored, "query_id string, id string, score double")
     found = pairs.select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]), F.col("id").cast(key), "score")
     best = top(found, k)
     return best.withColumn("score", F.round((1 + F.col("score")) / 2, 7)) if rescaled else best
@@ -198,7 +209,7 @@ def semantic_pairs(vectors: DataFrame, least: float) -> DataFrame:
                 a, b = (np.array(row[c], object) for c in ("ids", "ids_b"))
                 yield pa.RecordBatch.from_pydict({"a": a[i].tolist(), "b": b[j].tolist(), "similarity": score[i, j].tolist()}, pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())]))
 
-    pairs = own.join(other, "n").where("ids[0] <= ids_b[0]").mapInArrow(compared, "a string, b string, similarity double")
+    pairs = _met(own, other).where("ids[0] <= ids_b[0]").mapInArrow(compared, "a string, b string, similarity double")
     a, b = (F.col(c).cast(key) for c in "ab")
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity")
 
