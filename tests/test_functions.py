@@ -99,3 +99,11 @@ def test_averages_batch_as_the_fold(spark):
         for r in sorted((r for r in rows if r[0] == user), key=lambda r: (r[2], r[1])):
             mean = state.average_step(mean, r[3], r[4])
         assert np.allclose(got[user].mean, mean) and got[user].n == sum(r[0] == user for r in rows)
+
+
+def test_weights_sum_to_one():
+    from palimpsest.operators.extensions import HEALTH, RESOLUTION
+    from palimpsest.operators.scoring import RERANK_TO, RRF_WEIGHTS, SIGNAL_WEIGHTS
+
+    for weights in (*RRF_WEIGHTS.values(), *SIGNAL_WEIGHTS.values(), HEALTH.values(), RESOLUTION.values(), RERANK_TO.values()):
+        assert abs(sum(weights) - 1) < 1e-9
