@@ -60,21 +60,33 @@ def _full(texts: pa.Array, ids: np.ndarray, length: int):
 
 
 def _chosen(words: np.ndarray, start: np.ndarray, length: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of `part` words, and the place of the chosen one of each full window."""
+    """Hashes of the windows of `part` words, and the place of the chosen one of each full window: the least hash, the leftmost of equal ones.
+
+    Minima of runs of 1, 2, 4, ... places are made from one another; two of them cover the places of a full window.
+    """
     order = mix(windows_of(words, part))
-    best, at = order[start].copy(), start.copy()
-    for j in range(1, length - part + 1):
-        value = order[start + j]
-        less = value < best
-        best[less] = value[less]
-        at[less] = start[less] + j
-    return order, at
-
-
-def _marked(marks: list, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which (place of the text in its batch, place in the text) are in the marks of the texts."""
-    found = [_places(r) for r in marks]
-    known = np.unique(np.repeat(np.arange(len(found)), [len(f) for f in found]) * (1 << 32) + np.concatenate([np.zeros(0, np.int64), *found]))
+    places = length - part + 1
+    best, at, size = order, np.arange(len(order)), 1
+    while 2 * size <= places:
+        less = best[size:] < best[:-size]
+        best, at = np.where(less, best[size:], best[:-size]), np.where(less, at[size:], at[:-size])
+        size *= 2
+    if rest := places - size:
+        at = np.where(best[rest:] < best[:-rest], at[rest:], at[:-rest])
+    return order, at[start]
+
+
+def _known(marks: list) -> np.ndarray:
+    """Sorted keys (place of the text in its batch, place in the text) of all runs of the texts' marks."""
+    both = np.frombuffer(b"".join(r for own in marks if own for r in own), "<i4").reshape(-1, 2).astype(np.int64)
+    owner = np.repeat(np.arange(len(marks)), [sum(map(len, own)) // 8 if own else 0 for own in marks])
+    n = both[:, 1]
+    firsts = owner * (1 << 32) + both[:, 0]
+    return np.unique(np.repeat(firsts - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+
+
+def _marked(known: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which (place of the text in its batch, place in the text) are known."""
     if not len(known):
         return np.zeros(len(docs), bool)
     key = docs * (1 << 32) + places
@@ -108,14 +120,6 @@ def _runs(docs: np.ndarray, places: np.ndarray) -> pa.Table:
     return pa.table([pa.array(owners[edges[:-1]], pa.int64()), pa.array([both[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["doc", "runs"])
 
 
-def _places(runs: list | None) -> np.ndarray:
-    """All places in the runs of one document."""
-    if not runs:
-        return np.zeros(0, np.int64)
-    both = np.concatenate([np.frombuffer(r, "<i4").reshape(-1, 2) for r in runs]).astype(np.int64)
-    return np.concatenate([np.arange(a, a + n) for a, n in both.tolist()])
-
-
 def _candidates(rows: DataFrame, length: int, part: int, before: int | None, parts: int) -> DataFrame:
     """Blocks of the chosen windows of `part` words in full windows whose chosen one of `before` words is marked: known repeats, and the only ones of a task."""
 
@@ -144,13 +148,13 @@ def _candidates(rows: DataFrame, length: int, part: int, before: int | None, par
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = batch.column(2).to_pylist() if before else []
-            if before and not any(marks):
+            known = _known(batch.column(2).to_pylist()) if before else None
+            if before and not len(known):
                 continue
             for words, docs, place, start in _full(batch.column(1), np.arange(len(ids)), length):
                 if before:
                     _, at = _chosen(words, start, length, before)
-                    start = start[_marked(marks, docs[at], place[at])]
+                    start = start[_marked(known, docs[at], place[at])]
                     if not len(start):
                         continue
                 order, at = _chosen(words, start, length, part)
@@ -210,13 +214,13 @@ def _windows(rows: DataFrame, length: int, before: int | None, parts: int) -> Da
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = batch.column(2).to_pylist() if before else []
-            if before and not any(marks):
+            known = _known(batch.column(2).to_pylist()) if before else None
+            if before and not len(known):
                 continue
             for words, docs, place, start in _full(batch.column(1), np.arange(len(ids)), length):
                 if before:
                     order, at = _chosen(words, start, length, before)
-                    kept = _marked(marks, docs[at], place[at])
+                    kept = _marked(known, docs[at], place[at])
                     start, at = start[kept], at[kept]
                 if len(start):
                     whole = doubled(windows_of(words, before), before) if before and length == 2 * before else windows_of(words, length)
