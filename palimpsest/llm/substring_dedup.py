@@ -29,8 +29,8 @@ from palimpsest.llm.hashing import doubled, mix, packed, pieces, unpacked, windo
 
 #: Words of the shortest windows, about; the levels' lengths are the wanted length halved until it is reached.
 FIRST = 5
-#: Ranges of hashes for each shuffle partition, at least, and bytes of text for a range, at most.
-BLOCKS, RANGE_BYTES = 2, 1 << 25
+#: Bytes of text for a range of hashes, at most. A document has a row in each range that its repeats lie in, so ranges are few.
+RANGE_BYTES = 1 << 25
 #: Windows a task gathers before it sorts and sends them.
 HELD = 1 << 20
 LEAST_ID = -(1 << 63)
@@ -274,7 +274,7 @@ def repeats(df: DataFrame, length: int = 20, key: str = "doc_id", text: str = "t
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID)).alias("_k"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(BLOCKS * parts_for(spark), size // RANGE_BYTES)
+    parts = max(parts_for(spark), size // RANGE_BYTES)
     candidates, before = rows, None
     for part in levels(length)[:-1]:
         found = staged(_candidates(candidates, length, part, before, parts).groupBy("part").applyInArrow(_repeated, RUNS), f"windows-{part}")
