@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from palimpsest.llm import decontamination, html_text, minhash_dedup, oracles, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity, vector_dedup
+from palimpsest.llm import decontamination, fingerprints, hard_negatives, html_text, minhash_dedup, oracles, pii, sentencepiece_bpe, sharding, substring_dedup, token_files, toxicity
+from palimpsest.llm import vector_codes, vector_dedup
 from palimpsest.llm.common import own_dir, table
 
 
@@ -62,5 +63,18 @@ def op10_toxicity(spark, sf_dir):
     return made.withColumn("held_out", toxicity.held_out("doc_id")).select("doc_id", "held_out", "score", "predicted", "n_toxic_tokens", "toxic_spans")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in dict(globals()).items() if re.match(r"op\d+_", name)}
 SQL = {"op2_sharding": sharding.SHARDING_SQL, "op3_substring_dedup": oracles.SUBSTRING_SQL, "op4_vector_dedup": oracles.VECTOR_SQL, "op7_minhash_dedup": oracles.NEAR_SQL}
+SQL |= {"op11_hard_negatives": hard_negatives.NEGATIVES_SQL, "op12_vector_codes": vector_codes.CODES_SQL}
