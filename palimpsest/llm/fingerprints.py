@@ -99,7 +99,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     by_cell = W.orderBy(F.desc("cell"))
     following = tops.select("cell", F.coalesce(F.lead("cell").over(by_cell), F.first("cell").over(by_cell)).alias("next_cell"))
     heads = rows.join(F.broadcast(tops.select("k")), "k", "left_semi").withColumn("r", F.row_number().over(order)).where("r = 1")
-    heads = heads.select(F.col("cell").alias("next_cell"), *(F.col(c).alias(f"head_{c}") for c in columns)).join(F.broadcast(following), "next_cell")
+    heads = staged(heads.select(F.col("cell").alias("next_cell"), *(F.col(c).alias(f"head_{c}") for c in columns)), "heads").join(F.broadcast(following), "next_cell")
     heads = heads.select(F.col("cell").alias("of"), *(f"head_{c}" for c in columns))
     met = inside.join(heads, (F.col("cell") == F.col("of")) & F.col("more").isNull(), "left")
     return met.select(*rows.columns, *(F.when(F.col("more"), F.col(f"in_{c}")).otherwise(F.col(f"head_{c}")).alias(f"next_{c}") for c in columns)).drop("cell")
