@@ -82,7 +82,10 @@ def _celled(rows: DataFrame) -> DataFrame:
     cuts = rows.agg(F.percentile_approx("k", [i / cells for i in range(1, cells)], 100 * cells)).first()[0] or []
     cuts = sorted(set(cuts)) or [0]
     steps = [1 << j for j in reversed(range(len(cuts).bit_length()))]
-    place = F.aggregate(F.lit(steps), F.lit(0), lambda p, s: F.when(F.col("k") >= F.get(F.lit(cuts), p + s - 1), p + s).otherwise(p))
+    # The key goes along in the state: a lambda that names a column of the row confuses the inference of join filters.
+    state = F.struct(F.lit(0).alias("at"), F.col("k").alias("k"))
+    further = lambda a, s: F.struct(F.when(a["k"] >= F.get(F.lit(cuts), a["at"] + s - 1), a["at"] + s).otherwise(a["at"]).alias("at"), a["k"].alias("k"))
+    place = F.aggregate(F.lit(steps), state, further, lambda a: a["at"])
     return rows.withColumn("cell", place)
 
 
