@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, with DataFrame and SQL functions only.
 
 1. A text's tokens are its runs of letters, marks and digits in lower case, and each other character that isn't
-   white space, also each character of scripts without spaces between words.
+   white space, also each Chinese and Japanese character, as no spaces stand between their words.
 2. A gram is GRAM tokens in a row. Its hash is the cyclic polynomial of the tokens' hashes: the next one follows from
    it by a rotation and the exchange of two tokens. A text with fewer tokens is one gram.
 3. Of each WINDOW grams in a row the least is chosen, of equal ones the rightmost. What is chosen, with its
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import staged
 
 GRAM, WINDOW = 3, 8
-#: A window is at most this share of a text's grams: one in LEAST_GRAMS.
+#: A window has at most so many of a text's grams: one in LEAST_GRAMS. Windows are WINDOW halved until they fit.
 LEAST_GRAMS = 8
 #: Places that a text may have.
 PLACES = 1 << 30
-TOKEN = r"[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+|[^\x20\x09-\x0D]"
+TOKEN = r"[\p{L}\p{M}\p{N}&&[^぀-ヿ㐀-鿿豈-﫿]]+|[^\x20\x09-\x0D]"
 #: Rows that a cell of neighbouring keys is meant to hold, cells at least and at most.
 CELL_ROWS, LEAST_CELLS, MOST_CELLS = 20_000, 1024, 4096
 LEAST_ID = -(1 << 63)
@@ -52,9 +52,14 @@ def fingerprint(text: str, gram: int = GRAM, window: int = WINDOW) -> Column:
     grams = f"""CASE WHEN size(t) = 0 THEN array() WHEN size(t) < {gram} THEN array(aggregate(t, 0L, (h, x) -> {_turned('h', 1)} ^ x))
       ELSE transform(sequence(0, size(t) - {gram}), i -> {rolled}) END"""
     keys = f"transform(g, (h, i) -> (h & {-PLACES}L) | ({PLACES - 1}L - i))"
-    width = f"least({window}, greatest(1, size(k) div {LEAST_GRAMS}))"
-    least = f"transform(sequence(1, size(k) - cast(w as int) + 1), i -> array_min(slice(k, i, cast(w as int))))"
-    chosen = f"if(size(k) = 0, array(), array_distinct({_bound(width, 'w', least)}))"
+    widths = [window]
+    while widths[-1] > 1:
+        widths.append(widths[-1] // 2)
+    least = " ".join(
+        f"WHEN size(k) >= {w * LEAST_GRAMS if w > 1 else 1} THEN transform(sequence(0, size(k) - {w}), i -> {'least(' + ', '.join(f'get(k, i + {j})' for j in range(w)) + ')' if w > 1 else 'get(k, i)'})"
+        for w in widths
+    )
+    chosen = f"array_distinct(CASE {least} ELSE array() END)"
     place = f"cast({PLACES - 1}L - (c & {PLACES - 1}L) as int)"
     places = f"transform({_bound(keys, 'k', chosen)}, c -> {place})"
     made = f"named_struct('hashes', transform(p, i -> get(g, i)), 'places', p)"
@@ -89,23 +94,23 @@ def _celled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cell", place)
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows (k, text, columns...) with next_<column> of the next row, by k descending, then text; after the last comes the first.
+def with_next(rows: DataFrame, add, columns: list[str]) -> DataFrame:
+    """add(rows (k, text)) with next_<column> of the next row, by k descending, then text; after the last comes the first.
 
     Rows are dealt to cells of neighbouring keys and put in order within a cell. The last row of a cell
     meets the first of the next cell in a join with one row for each cell. No window holds more than a cell. Rows of one k lie in one cell.
     """
     rows = _celled(rows)
     order = W.partitionBy("cell").orderBy(F.desc("k"), "text")
-    inside = rows.select("*", *(F.lead(c).over(order).alias(f"in_{c}") for c in columns), F.lead(F.lit(True)).over(order).alias("more"))
+    inside = add(rows).select("*", *(F.lead(c).over(order).alias(f"in_{c}") for c in columns), F.lead(F.lit(True)).over(order).alias("more"))
     tops = staged(rows.groupBy("cell").agg(F.max("k").alias("k")), "tops")  # MOST_CELLS rows at most
     by_cell = W.orderBy(F.desc("cell"))
     following = tops.select("cell", F.coalesce(F.lead("cell").over(by_cell), F.first("cell").over(by_cell)).alias("next_cell"))
     heads = rows.join(F.broadcast(tops.select("k")), "k", "left_semi").withColumn("r", F.row_number().over(order)).where("r = 1")
-    heads = staged(heads.select(F.col("cell").alias("next_cell"), *(F.col(c).alias(f"head_{c}") for c in columns)), "heads").join(F.broadcast(following), "next_cell")
+    heads = staged(add(heads).select(F.col("cell").alias("next_cell"), *(F.col(c).alias(f"head_{c}") for c in columns)), "heads").join(F.broadcast(following), "next_cell")
     heads = heads.select(F.col("cell").alias("of"), *(f"head_{c}" for c in columns))
     met = inside.join(heads, (F.col("cell") == F.col("of")) & F.col("more").isNull(), "left")
-    return met.select(*rows.columns, *(F.when(F.col("more"), F.col(f"in_{c}")).otherwise(F.col(f"head_{c}")).alias(f"next_{c}") for c in columns)).drop("cell")
+    return met.select(*(c for c in add(rows).columns if c != "cell"), *(F.when(F.col("more"), F.col(f"in_{c}")).otherwise(F.col(f"head_{c}")).alias(f"next_{c}") for c in columns))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,8 +122,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     are each other's next. Keys are whole numbers. Other columns of df are not read; an empty table gives an empty result.
     """
     rows = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID)).alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = rows.withColumn("f", fingerprint("text")).select("k", "text", F.col("f.hashes").alias("hashes"), F.col("f.places").alias("places"))
-    rows = with_next(rows, ["text", "hashes"]).withColumn("n", F.char_length("text"))
+    add = lambda r: r.withColumn("f", fingerprint("text")).select("k", "text", "cell", F.col("f.hashes").alias("hashes"), F.col("f.places").alias("places"))
+    rows = with_next(rows, add, ["text", "hashes"]).withColumn("n", F.char_length("text"))
     edited = F.expr("concat(substring(text, 1, n - n div 3), substring(next_text, 1, cast(n div 3 as int)))")
     rows = rows.select("k", "n", "hashes", "places", "next_hashes", edited.alias("edited")).withColumn("e", fingerprint("edited"))
     back = F.when(F.col("k") == LEAST_ID, F.lit(None)).otherwise(F.col("k")).cast(df.schema[key].dataType)

@@ -136,7 +136,7 @@ def test_exponion_looks_at_a_share_of_the_entries():
         assert (at == start).all() and (d == every.min(1)).all()
 
 
-TOKEN = regex.compile(r"(?V1)[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}]]+|[^\x20\x09-\x0D]")
+TOKEN = regex.compile(r"(?V1)[[\p{L}\p{M}\p{N}]--[぀-ヿ㐀-鿿豈-﫿]]+|[^\x20\x09-\x0D]")
 
 
 def winnowed(text, gram=3, window=8):
@@ -148,7 +148,9 @@ def winnowed(text, gram=3, window=8):
         h = turn(h, 1) ^ x ^ (turn(t[i - gram], gram) if i >= gram else 0)
         if i >= min(gram, len(t)) - 1:
             grams.append(h)
-    w = min(window, max(1, len(grams) // 8))
+    w = window
+    while w > max(1, len(grams) // 8):
+        w //= 2
     signed = [g - 2**64 if g >= 2**63 else g for g in grams]
     picked = [min(range(i, i + w), key=lambda j: (signed[j] >> 30, -j)) for i in range(len(grams) - w + 1)]
     return [(grams[j], j) for j in dict.fromkeys(picked)]
