@@ -28,7 +28,7 @@ SAMPLE, MOST_LEAVES = 16_384, 1024
 #: Candidates of a block and of its last nodes; the same of anchors.
 BLOCK, LEAF, GROUP, FEW = 4096, 64, 512, 16
 #: Last nodes that are scored before the windows are raised.
-CHUNK = 16
+CHUNK = 4
 SCALE, OPEN = 256, 1 << 62
 FINE = "id IS NOT NULL AND label IS NOT NULL AND {0} IS NOT NULL AND forall({0}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
 

@@ -65,7 +65,7 @@ def test_node_pairs_are_pruned(monkeypatch):
     """Whole groups of anchors are pruned where vectors lie apart, and nothing is lost."""
     for name, value in {"LEAF": 16, "FEW": 4, "CHUNK": 2}.items():
         monkeypatch.setattr(hard_negatives, name, value)
-    x = np.floor(256 * RNG.normal(size=(2048, 3))).astype(np.int64)
+    x = np.floor(256 * RNG.normal(size=(2048, 2))).astype(np.int64)
     x = x[hard_negatives.ordered(x.astype(float), hard_negatives.LEAF)]
     block = {"id": np.arange(len(x)), "label": np.zeros(len(x), int), "x": x}
     n = hard_negatives.OPEN
