@@ -12,7 +12,8 @@ equal windows in one task only the first is passed on, the others are known to b
 sends compressed blocks, one for each range of hashes. So a passage that a third of all documents
 share costs one entry a task, not one a document, and no group grows with the number of copies.
 The number of ranges grows with the bytes of text. Results come back to the documents as runs of
-places in a join on the document's id.
+places: packed from each range to each destination of documents, then joined by the document's id.
+Windows are told apart by their hashes alone: 128 bits at the last level where a level precedes it, else 64.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from palimpsest.llm.hashing import doubled, mix, packed, pieces, unpacked, windo
 
 #: Words of the shortest windows, about; the levels' lengths are the wanted length halved until it is reached.
 FIRST = 5
-#: Bytes of text for a range of hashes, at most. A document has a row in each range that its repeats lie in, so ranges are few.
+#: Bytes of text for a range of hashes, at most.
 RANGE_BYTES = 1 << 25
 #: Windows a task gathers before it sorts and sends them.
 HELD = 1 << 20
@@ -104,20 +105,41 @@ def _sent(parts: np.ndarray, known: bool, columns: list[np.ndarray]):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["part", "known", "block"])
 
 
-def _runs(docs: np.ndarray, places: np.ndarray) -> pa.Table:
-    """Places of each document as (first, number) runs, a row for each document."""
+def _runs(docs: np.ndarray, places: np.ndarray, parts: int) -> pa.Table:
+    """Places of documents as runs (document, first, number), packed in a row for each destination of documents."""
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
-    if not len(docs):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["doc", "runs"])
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (places[1:] > places[:-1] + 1)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(docs)) - 1
-    firsts, counts, owners = places[at].astype("<i4"), (places[last] - places[at] + 1).astype("<i4"), docs[at]
-    both = np.stack([firsts, counts], axis=1)
+    owners, firsts, counts = docs[at], places[at].astype("<i4"), (places[last] - places[at] + 1).astype("<i4") if len(at) else np.zeros(0, "<i4")
+    dest = (mix(owners.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    rows = []
+    for d in np.unique(dest).tolist():
+        own = dest == d
+        rows.append((d, packed(owners[own], firsts[own], counts[own])))
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["dest", "block"])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """One destination: the runs (first, number) of each of its documents, a row for each document."""
+    owners, firsts, counts = (np.concatenate(c) for c in zip(*(unpacked(b.as_py(), "i8", "i4", "i4") for b in table.column("block")), strict=True))
+    order = np.lexsort((firsts, owners))
+    owners, both = owners[order], np.stack([firsts[order], counts[order]], axis=1).astype("<i4")
     edges = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(owners)]
-    return pa.table([pa.array(owners[edges[:-1]], pa.int64()), pa.array([both[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["doc", "runs"])
+    made = pa.table([pa.array(owners[edges[:-1]], pa.int64()), pa.array([both[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["doc", "runs"])
+    released()
+    return made
+
+
+def _settled(blocks: DataFrame, settle, parts: int) -> DataFrame:
+    """Runs (doc, runs) of the places that `settle` finds in each range of hashes; a document's runs of all ranges are one row.
+
+    Between the two steps there is a row for each range and destination, not one for each range and document.
+    """
+    sent = blocks.groupBy("part").applyInArrow(lambda table: settle(table, parts), "dest int, block binary")
+    return sent.groupBy("dest").applyInArrow(_gathered, RUNS)
 
 
 def _candidates(rows: DataFrame, length: int, part: int, before: int | None, parts: int) -> DataFrame:
@@ -170,7 +192,7 @@ def _candidates(rows: DataFrame, length: int, part: int, before: int | None, par
     return rows.mapInArrow(sent, BLOCK)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _repeated(table: pa.Table, parts: int) -> pa.Table:
     """One range of hashes of a level below the last: where repeated windows are."""
     docs, places, hashes = [], [], []
     for known, block in zip(table.column("known").to_pylist(), table.column("block"), strict=True):
@@ -186,7 +208,7 @@ def _repeated(table: pa.Table) -> pa.Table:
         more = count[back] > 1
         docs.append(d[more])
         places.append(p[more])
-    made = _runs(np.concatenate(docs), np.concatenate(places))
+    made = _runs(np.concatenate(docs), np.concatenate(places), parts)
     released()
     return made
 
@@ -236,7 +258,7 @@ def _windows(rows: DataFrame, length: int, before: int | None, parts: int) -> Da
     return rows.mapInArrow(sent, BLOCK)
 
 
-def _later(table: pa.Table) -> pa.Table:
+def _later(table: pa.Table, parts: int) -> pa.Table:
     """One range of hashes of the last level: where windows start that an equal one precedes."""
     docs, places, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
     for known, block in zip(table.column("known").to_pylist(), table.column("block"), strict=True):
@@ -256,14 +278,14 @@ def _later(table: pa.Table) -> pa.Table:
         later = (d != d[first]) | (p != p[first])
         docs.append(d[later])
         places.append(p[later])
-    made = _runs(np.concatenate(docs), np.concatenate(places))
+    made = _runs(np.concatenate(docs), np.concatenate(places), parts)
     released()
     return made
 
 
 def _with_runs(rows: DataFrame, runs: DataFrame, name: str) -> DataFrame:
     """rows with the list of runs of their document, null if it has none."""
-    lists = runs.groupBy("doc").agg(F.collect_list("runs").alias(name))
+    lists = runs.select("doc", F.array("runs").alias(name))
     return rows.join(lists.hint("shuffle_hash"), F.col("_k") == F.col("doc"), "left").drop("doc")
 
 
@@ -277,11 +299,11 @@ def repeats(df: DataFrame, length: int = 20, key: str = "doc_id", text: str = "t
     parts = max(parts_for(spark), size // RANGE_BYTES)
     candidates, before = rows, None
     for part in levels(length)[:-1]:
-        found = staged(_candidates(candidates, length, part, before, parts).groupBy("part").applyInArrow(_repeated, RUNS), f"windows-{part}")
+        found = staged(_settled(_candidates(candidates, length, part, before, parts), _repeated, parts), f"windows-{part}")
         candidates, before = _with_runs(rows, found, "marks"), part
         if found.isEmpty():
             break
-    return rows, _windows(candidates, length, before, parts).groupBy("part").applyInArrow(_later, RUNS)
+    return rows, _settled(_windows(candidates, length, before, parts), _later, parts)
 
 
 def dedup(df: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ from palimpsest.llm.components import components
 SAMPLE, SUBSPACES, CODES, STEPS = 16_384, 8, 64, 8
 #: Inverted lists at least and at most (a sixteenth of the sample), and rows of a list between.
 LEAST_LISTS, MOST_LISTS, LIST_ROWS = 32, 1024, 4096
-BLOCK, CHUNK = 1024, 64
+BLOCK, CHUNK, AT_ONCE = 1024, 64, 1024
 SLACK = 1e-5
 
 
@@ -61,13 +61,19 @@ class Index:
         residuals = x - self.centres[_nearest(x, self.centres)]
         self.cuts = [c for c in np.array_split(np.arange(x.shape[1]), SUBSPACES) if len(c)]
         self.books = [k_means(residuals[:, c], CODES, False) for c in self.cuts]
+        # Distances of the centres, from their products: lists times lists numbers, made once.
+        self.gaps = np.sqrt(np.maximum(0, 2 - 2 * self.centres @ self.centres.T))
 
     def encode(self, x: np.ndarray, radius: float):
-        """Own list, probed lists, codes and rounding error of each unit vector."""
+        """Own list, probed lists, codes and rounding error of each unit vector; AT_ONCE of them are compared with all centres at once."""
+        some = [self._encoded(x[a : a + AT_ONCE], radius) for a in range(0, len(x), AT_ONCE)]
+        own, probes, codes, error = zip(*some, strict=True)
+        return np.concatenate(own), [p for part in probes for p in part], np.concatenate(codes), np.concatenate(error)
+
+    def _encoded(self, x: np.ndarray, radius: float):
         dots = x @ self.centres.T
         own = _nearest(x, self.centres)
-        gap = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)[own]
-        ahead = (dots[np.arange(len(x)), own][:, None] - dots) <= (radius + SLACK) * gap
+        ahead = (dots[np.arange(len(x)), own][:, None] - dots) <= (radius + SLACK) * self.gaps[own] + SLACK
         residuals = x - self.centres[own]
         codes = np.stack([_nearest(residuals[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
         rounded = np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], axis=1)
