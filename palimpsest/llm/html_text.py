@@ -1,13 +1,17 @@
 """Main text of web pages: site templates are removed, then the article's blocks are written out.
 
 1. A page is parsed into elements. Elements that are never main text go by their tag, role or a whole class
-   name (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, comments).
-2. The main part is the page's articles, without any its main elements, without any the whole page. An
-   element that is unwanted by its role or class but holds the only article (or main) is entered.
-3. Every block outside of articles is hashed from its tag, its own text and the hashes of its children. Spark
-   counts for each host on how many pages with different text a subtree recurs. A block that recurs on
-   at least LEAST_PAGES such pages and on SHARE of them is the site's template: it is deleted from all
-   pages of that host. Nothing inside an article is a template, and inline elements never are one alone.
+   name (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, comments). Class names
+   say nothing about an inline element inside a paragraph, a heading or an item.
+2. The main part is the page's articles, unless the main element holds more text outside of them; without articles the
+   main elements, without any the whole page. An element that is unwanted by its role or class but holds the only
+   article (or main) is entered.
+3. Every block is hashed from its tag, its own text and the hashes of its children. Spark
+   counts for each host on how many pages with different text a subtree recurs. A subtree that recurs on
+   at least LEAST_PAGES such pages and on SHARE of them belongs to the site. It is deleted from all
+   pages of that host where only such subtrees stand before it or after it, or where most of its text is links.
+   A single heading, item, cell or inline element is no such subtree, nor is a paragraph inside an article, so
+   what recurs between a page's own blocks stays.
 
 Counting is a two-step aggregation with partial sums, so a host with a third of all pages is no
 single task. Templates go to the pages by broadcast if there are at most MAX_BROADCAST of them, and
@@ -51,6 +55,14 @@ CONTAINER_JUNK = frozenset("nav menu navigation header footer masthead banner sh
 COMMENTS = frozenset("comment comments comment-list comment-section comment-form comments-area comments-section commentlist user-comments reader-comments disqus disqus_thread replies responses".split())
 CONTAINERS = frozenset("div section aside nav header footer ul ol dl table form td".split())
 ROOTS = frozenset(["html", "body", "main", "article"])
+#: Blocks of running text: class names of inline elements inside them say nothing.
+FLOW = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th blockquote figcaption caption pre summary address".split())
+#: Subtrees that can be a site's: containers, and outside of articles paragraphs.
+SITE_TAGS = frozenset("aside div dl details fieldset figure footer form header hgroup hr menu nav ol section table ul address center dir".split())
+#: Share of a subtree's text that is links, from which it is one for finding the way.
+LINKS = 0.5
+# Whole class names of articles that only point to others.
+TEASERS = frozenset("teaser teasers card preview related related-article promo sponsored ad advert".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 #: A tag that ends itself; a slash that belongs to an unquoted value doesn't.
 CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
@@ -63,17 +75,18 @@ WANTED, BY_NAME, NEVER = 0, 1, 2
 class Element:
     """An element; parts are its texts and elements in page order.
 
-    junk: WANTED; BY_NAME (unwanted by role or class, unless the only article is inside); NEVER.
+    junk: WANTED; BY_NAME (unwanted by role or class, unless the only article is inside); NEVER. flow: inside running text.
+    size, linked: characters of text below it, and of those inside links; set with the digest.
     """
 
-    __slots__ = ("tag", "junk", "parts", "digest")
+    __slots__ = ("tag", "junk", "parts", "digest", "flow", "size", "linked")
 
-    def __init__(self, tag: str, junk: int):
-        self.tag, self.junk, self.parts, self.digest = tag, junk, [], None
+    def __init__(self, tag: str, junk: int, flow: bool = False):
+        self.tag, self.junk, self.parts, self.digest, self.flow, self.size, self.linked = tag, junk, [], None, flow, 0, 0
 
 
-def junk_of(tag: str, attributes: str, in_article: bool) -> int:
-    """Whether an element is never main text, by its tag, role, class or id."""
+def junk_of(tag: str, attributes: str, in_article: bool, in_flow: bool = False) -> int:
+    """Whether an element is never main text, by its tag, role, class or id. in_flow: it stands inside running text."""
     if tag in DROPPED or (tag == "header" and not in_article):
         return NEVER
     if not attributes.strip():
@@ -81,7 +94,9 @@ def junk_of(tag: str, attributes: str, in_article: bool) -> int:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     names = {*found.get("class", "").lower().split(), found.get("id", "").lower().strip()}
     if tag in ROOTS:
-        return NEVER if tag == "article" and names & (COMMENTS | {"ad", "advert", "sponsored"}) else WANTED
+        return NEVER if tag == "article" and names & COMMENTS else BY_NAME if tag == "article" and names & TEASERS else WANTED
+    if in_flow and tag not in BLOCK:
+        return NEVER if "hidden" in found or found.get("aria-hidden", "").lower() == "true" else WANTED
     if names & COMMENTS or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return NEVER
     if found.get("role", "").lower() in DROPPED_ROLES or names & JUNK or (tag in CONTAINERS and not (in_article and tag == "div" and "header" in names) and names & CONTAINER_JUNK):
@@ -148,7 +163,8 @@ def parse(html: str) -> Element:
             stack.cut(k)
         if tag in CLOSES and (k := max(map(stack.last, CLOSES[tag]))) > stack.tables[-1]:
             stack.cut(k)
-        one = Element(tag, junk_of(tag, attributes, bool(stack.places.get("article"))))
+        flow = stack.open[-1].flow
+        one = Element(tag, junk_of(tag, attributes, bool(stack.places.get("article")), flow), tag in FLOW if tag in BLOCK else flow)
         stack.open[-1].parts.append(one)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -158,82 +174,101 @@ def parse(html: str) -> Element:
 
 
 def main_parts(root: Element) -> list[Element]:
-    """The outermost articles, else the main elements, else the whole page."""
-    for wanted in ("article", "main"):
-        for most in (WANTED, BY_NAME):
-            found, todo = [], [root]
-            while todo:
-                one = todo.pop()
-                if one.tag == wanted:
-                    found.append(one)
-                else:
-                    todo += [p for p in reversed(one.parts) if isinstance(p, Element) and p.junk <= most]
-            if found:
-                return found
+    """The outermost articles, else the main elements, else the whole page; the main elements also where most of their text is outside of articles."""
+    for most in (WANTED, BY_NAME):
+        if found := outermost(root, "article", most):
+            mains = outermost(root, "main", most)
+            inside = {id(p) for m in mains for p in outermost(m, "article", most)}
+            held = sum(len(written([p])) for p in found if id(p) in inside)
+            return found if not inside or 2 * held >= sum(len(written([m])) for m in mains) else mains
+        if written(outermost(root, "main", WANTED)):
+            break
+    for most in (WANTED, BY_NAME):
+        if found := outermost(root, "main", most):
+            return found
     return [root]
 
 
+def outermost(root: Element, tag: str, most: int) -> list[Element]:
+    """The outermost elements of a tag, in page order, outside of elements that are more unwanted than `most`."""
+    found, todo = [], [root]
+    while todo:
+        one = todo.pop()
+        if one.tag == tag:
+            found.append(one)
+        else:
+            todo += [p for p in reversed(one.parts) if isinstance(p, Element) and p.junk <= most]
+    return found
+
+
 def hashed(root: Element) -> list[int]:
-    """Sets the digest of every block outside of articles; gives those that have text and hold no article."""
+    """Sets digest, size and linked of every wanted element; gives the digests of the subtrees that can be a site's: they have text and hold no article."""
     out: list[int] = []
-    holding: set[int] = set()  # elements with an article inside
-    todo = [(root, False)]
+    holding: set[int] = set()  # articles, and elements with one inside
+    todo = [(root, False, root.tag == "article")]
     while todo:
-        one, done = todo.pop()
+        one, done, in_article = todo.pop()
         children = [p for p in one.parts if isinstance(p, Element) and not p.junk]
         if not done:
-            if one.tag == "article":
-                holding.add(id(one))
-                one.digest = 0
-                continue
-            todo.append((one, True))
-            todo += [(p, False) for p in children]
+            todo.append((one, True, in_article))
+            todo += [(p, False, in_article or one.tag == "article") for p in children]
             continue
-        h, some = blake2b(one.tag.encode(), digest_size=8), False
+        h = blake2b(one.tag.encode(), digest_size=8)
+        size = linked = 0
         for p in one.parts:
             if isinstance(p, str):
                 if words := " ".join(p.split()):
                     h.update(b"\0" + words.encode("utf-8", "surrogatepass"))
-                    some = True
+                    size += len(words)
             elif not p.junk:
                 h.update(b"\1" + p.digest.to_bytes(8, "little", signed=True))
-                some = True
-        one.digest = int.from_bytes(h.digest(), "little", signed=True)
-        if not holding.isdisjoint(map(id, children)):
+                size, linked = size + p.size, linked + p.linked
+        one.digest, one.size, one.linked = int.from_bytes(h.digest(), "little", signed=True), size, size if one.tag == "a" else linked
+        if one.tag == "article" or not holding.isdisjoint(map(id, children)):
             holding.add(id(one))
-        elif some and one.tag in BLOCK and one.tag not in ROOTS:
+        elif size and (one.tag in SITE_TAGS or (one.tag == "p" and not in_article)):
             out.append(one.digest)
     return out
 
 
 def written(mains: list[Element], template: frozenset = frozenset()) -> str:
-    """Blocks in page order, without blocks of the template, white space in a block as one space, joined by line ends."""
-    blocks: list[str] = []
+    """Blocks in page order, white space in a block as one space, joined by line ends.
+
+    Blocks in subtrees of the template go before the first and after the last other block, and everywhere if the subtree is mostly links.
+    """
+    blocks: list[tuple[str, bool]] = []
     run: list[str] = []
+    inside = 0  # open subtrees of the template
 
     def end():
         if block := " ".join("".join(run).split()):
-            blocks.append(block)
+            blocks.append((block, inside > 0))
         run.clear()
 
-    todo: list = list(reversed(mains))
+    todo: list = [(m, m.tag == "article") for m in reversed(mains)]
     while todo:
-        one = todo.pop()
+        one, in_article = todo.pop()
         if one is None:
             end()
+            inside -= in_article
         elif isinstance(one, str):
             run.append(one)
-        elif (not one.junk or one in mains) and not (one.tag in BLOCK and one.digest in template):
+        elif not one.junk or one in mains:
             if one.tag == "br":
                 run.append(" ")
                 continue
             block = one.tag in BLOCK or one.tag == "#page"
             if block:
                 end()
-                todo.append(None)
-            todo += reversed(one.parts)
+                site = one.digest in template and one.size > 0 and (one.tag in SITE_TAGS or (one.tag == "p" and not in_article))
+                if site and one.linked >= LINKS * one.size:
+                    continue
+                inside += site
+                todo.append((None, site))
+            todo += [(p, in_article or one.tag == "article") for p in reversed(one.parts)]
     end()
-    return "\n".join(blocks)
+    own = [k for k, (_, site) in enumerate(blocks) if not site]
+    return "\n".join(b for b, _ in blocks[own[0] : own[-1] + 1]) if own else ""
 
 
 def _host(url):
@@ -284,7 +319,7 @@ def main_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[st
             root = parse(page.as_py() or "")
             parts = main_parts(root)
             template = frozenset(own.as_py() or ())
-            if template and parts[0].tag != "article":
+            if template:
                 hashed(root)
             out.append(written(parts, template))
         released()
