@@ -2,7 +2,10 @@
 
 1. Words become a template: numbers, names and units are typed placeholders, other words are in
    lower case without the punctuation around them. So a question whose numbers or names were
-   changed keeps its template.
+   changed keeps its template. A run of names is one placeholder: Paris may become New York.
+   An item has up to three templates (views), a document one. The first is the item's own. In the second names are
+   plain words: a copy in lower or upper case has no names either. In the third, of items that begin with a run of names,
+   that run is a name, as it is inside a sentence.
 2. Windows of WINDOW template words are hashed and joined with the benchmark's by hash. A window
    of placeholders mostly says nothing and isn't used. Items of SHORTEST to WINDOW - 1 words are one window
    of their own length. Shorter items, and those that have only windows of placeholders, are matched
@@ -11,7 +14,7 @@
    is therefore hashed with the plain word too.
 3. Hits of a document and an item on one diagonal (equal difference of places) are one copy. Slots
    must be consistent in it: a value of the item has one value in the document. Others are out.
-4. An item is in a document if SHARE of its windows or more are in consistent copies.
+4. An item is in a document if SHARE of a view's windows or more are in consistent copies.
 
 Windows of a document stay with its row until they meet the benchmark; what is shuffled are hits.
 Spark broadcasts the benchmark's windows if their size is under its threshold, and otherwise
@@ -29,6 +32,12 @@ WINDOW, SHORTEST, SHARE = 8, 5, 0.5
 #: Placeholders that a window may hold at most, as a share.
 MOST_SLOTS = 0.5
 LEAST_ID = -(1 << 63)
+#: Stands for the space between the names of a run.
+JOINED = "\\u0002"
+NAME = r"\\p{Lu}\\p{Ll}+"
+#: Space between two names of which the first doesn't begin a sentence.
+BETWEEN_NAMES = rf"(?<=[^.!?:\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]\\p{{Lu}}\\p{{Ll}}{{1,40}})[\\x20\\x09-\\x0D]+(?={NAME}(?![\\p{{L}}\\p{{N}}\\x27’-]))"
+RUN_FIRST = rf"^[\\x20\\x09-\\x0D]*{NAME}[\\x20\\x09-\\x0D]+{NAME}(?![\\p{{L}}\\p{{N}}\\x27’-])"
 # Punctuation stripped from words, ends of sentences, words for numbers, units.
 PUNCTUATION = ".,;:!?()[]{}\"«»“”„¿¡…"
 SENTENCE_ENDS = (".", "!", "?", ":")
@@ -45,19 +54,22 @@ def _bound(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def template_sql(text: str) -> str:
-    """SQL of array<struct<t, raw>>: the template word and the bare word of each word of a text.
+def template_sql(text: str, names: bool = True) -> str:
+    """SQL of array<struct<t, raw>>: the template word and the bare word of each word of a text, a run of names being one word.
 
-    r: the words; b: without the punctuation around them; l: those in lower case.
+    r: the words; b: without the punctuation around them; l: those in lower case. Without `names` they are plain words.
     """
+    if names:
+        text = f"regexp_replace({text}, '{BETWEEN_NAMES}', '{JOINED}')"
+    name = f"""
+      when w <> get(b, i) and i > 0 and right(get(r, i - 1), 1) not in {_in(SENTENCE_ENDS)} and get(b, i) rlike '^{NAME}({JOINED}{NAME})*$' then '<name>'""" * names
     words = f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
     bare = f"transform(r, w -> coalesce(nullif(btrim(w, '{PUNCTUATION}'), ''), w))"
     before = "get(l, i - 1)"
     kind = f"""case
       when left(w, 1) between '0' and '9' then case when w rlike '^[0-9][0-9.,:/]*%?$' then '<number>' when w rlike '^[0-9][0-9.,]*[a-z]+$' then '<quantity>' else w end
       when w in {_in(NUMBERS)} then '<number>'
-      when w in {_in(UNITS)} and i > 0 and (left({before}, 1) between '0' and '9' or {before} in {_in(NUMBERS)}) then '<unit>'
-      when w <> get(b, i) and i > 0 and right(get(r, i - 1), 1) not in {_in(SENTENCE_ENDS)} and get(b, i) rlike '^\\\\p{{Lu}}\\\\p{{Ll}}+$' then '<name>'
+      when w in {_in(UNITS)} and i > 0 and (left({before}, 1) between '0' and '9' or {before} in {_in(NUMBERS)}) then '<unit>'{name}
       else w end"""
     made = f"transform(l, (w, i) -> struct({kind} as t, w as raw))"
     return _bound(words, "r", _bound(bare, "b", _bound("transform(b, w -> lower(w))", "l", made)))
@@ -86,19 +98,23 @@ def windows_sql(template: str, lengths: list[int], few_slots: bool, bare: list[i
 
 
 def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, item, n_windows, n_found) of each document and item with a consistent hit; n_found of the item's n_windows windows."""
+    """(doc, item, n_windows, n_found) of each document and item with a consistent hit; n_found of the n_windows windows of the item's best view."""
     items = benchmark.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text")).where("item IS NOT NULL").dropDuplicates(["item"])
-    items = staged(items.select("item", F.expr(template_sql("text")).alias("c")).withColumn("n", F.least(F.size("c"), F.lit(WINDOW))).where("n > 0"), "items")
+    first_names = f"CASE WHEN text RLIKE '{RUN_FIRST}' THEN {_bound(template_sql("concat('x ', text)"), 'c', 'slice(c, 2, greatest(size(c) - 1, 0))')} END"
+    views = items.select("item", F.expr(template_sql("text")).alias("c0"), F.expr(template_sql("text", False)).alias("c1"), F.expr(first_names).alias("c2"))
+    each = F.expr("array(struct(0 AS view, c0 AS c), struct(1 AS view, if(transform(c0, w -> w.t) = transform(c1, w -> w.t), NULL, c1) AS c), struct(2 AS view, c2 AS c))")
+    items = views.select("item", F.explode(each).alias("v")).select("item", "v.view", "v.c").withColumn("n", F.least(F.size("c"), F.lit(WINDOW)))
+    items = staged(items.where("c IS NOT NULL AND n > 0"), "items")
     lengths = sorted(r.n for r in items.where(F.col("n") >= SHORTEST).select("n").distinct().collect()) or [WINDOW]
     own = "CASE n " + " ".join(f"WHEN {n} THEN {windows_sql('c', [n], True)}" for n in lengths) + " END"
-    made = staged(items.select("item", "n", "c", F.expr(own).alias("w")), "own")
-    few = made.where("w IS NULL OR size(w) = 0")
+    made = staged(items.select("item", "view", "n", "c", F.expr(own).alias("w")), "own")
+    few = made.where("view = 0 AND (w IS NULL OR size(w) = 0)")
     bare = sorted(r.n for r in few.select("n").distinct().collect())
-    windows = made.where("size(w) > 0").select("item", F.explode("w").alias("w"))
+    windows = made.where("size(w) > 0").select("item", "view", F.explode("w").alias("w"))
     for n in bare:
-        windows = windows.unionByName(few.where(F.col("n") == n).select("item", F.explode(F.expr(windows_sql("c", [], True, [n]))).alias("w")))
-    wanted = staged(windows.select("item", F.col("w.place").alias("item_place"), "w.hash"), "wanted")
-    totals = wanted.groupBy("item").agg(F.count("*").alias("n_windows"))
+        windows = windows.unionByName(few.where(F.col("n") == n).select("item", "view", F.explode(F.expr(windows_sql("c", [], True, [n]))).alias("w")))
+    wanted = staged(windows.select("item", "view", F.col("w.place").alias("item_place"), "w.hash"), "wanted")
+    totals = wanted.groupBy("item", "view").agg(F.count("*").alias("n_windows"))
 
     # h tells rows apart that share a key: each text is matched alone.
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -107,22 +123,23 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         docs.select("doc", "h", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False, bare))).alias("w"))
         .select("doc", "h", F.col("w.place").alias("place"), "w.hash")
     )
-    hits = found.join(wanted, "hash").select("doc", "h", "item", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+    hits = found.join(wanted, "hash").select("doc", "h", "item", "view", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     hits = staged(hits, "hits")
 
     # Slots of the copies: places of the item that a hit covers and that hold a placeholder.
     placeholder = "left(w.t, 1) = '<' and right(w.t, 1) = '>'"
-    slots = items.select("item", "n", F.posexplode("c").alias("p", "w")).where(placeholder).select("item", "n", (F.col("p") + 1).alias("slot"), F.col("w.raw").alias("value"))
-    copy = ["doc", "h", "item", "diagonal"]
-    covered = hits.join(slots, "item").where("slot >= item_place AND slot < item_place + n").select(*copy, "slot", "value").distinct()
+    slots = items.select("item", "view", "n", F.posexplode("c").alias("p", "w")).where(placeholder).select("item", "view", "n", (F.col("p") + 1).alias("slot"), F.col("w.raw").alias("value"))
+    copy = ["doc", "h", "item", "view", "diagonal"]
+    covered = hits.join(slots, ["item", "view"]).where("slot >= item_place AND slot < item_place + n").select(*copy, "slot", "value").distinct()
     covered = staged(covered.withColumn("place", F.col("diagonal") + F.col("slot")), "covered")
     some = docs.join(covered.select("doc", "h").distinct(), ["doc", "h"], "left_semi")
     words = some.select("doc", "h", F.posexplode(F.expr(template_sql("text"))).alias("p", "w")).select("doc", "h", (F.col("p") + 1).alias("place"), F.col("w.raw").alias("filled"))
     values = covered.join(words, ["doc", "h", "place"]).groupBy(*copy, "value").agg(F.min("filled").alias("a"), F.max("filled").alias("b"))
     broken = values.where("a <> b").select(*copy).distinct()
-    good = hits.join(broken, copy, "left_anti").select("doc", "h", "item", "item_place").distinct()
-    by_text = good.groupBy("doc", "h", "item").agg(F.count("*").alias("n_found"))
-    return by_text.groupBy("doc", "item").agg(F.max("n_found").alias("n_found")).join(totals, "item")
+    good = hits.join(broken, copy, "left_anti").select("doc", "h", "item", "view", "item_place").distinct()
+    by_text = good.groupBy("doc", "h", "item", "view").agg(F.count("*").alias("n_found")).join(totals, ["item", "view"])
+    best = by_text.groupBy("doc", "item").agg(F.max_by(F.struct("n_found", "n_windows"), F.struct(F.col("n_found") / F.col("n_windows"), "n_found")).alias("b"))
+    return best.select("doc", "item", "b.n_found", "b.n_windows")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:

@@ -89,6 +89,20 @@ def test_near_vectors(spark):
     assert got[105].n_links == 1 and got[106].component_id == 105
 
 
+def test_encoding_needs_little_memory():
+    """1,024 lists of 768 components: what a batch needs beside its own vectors is under 200 MB."""
+    import tracemalloc
+
+    x = RNG.normal(size=(4096, 768))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vector_dedup.Index(x[:1500], 1024)
+    tracemalloc.start()
+    own, probes, codes, _ = index.encode(x, 0.2)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert len(own) == len(probes) == len(codes) == len(x) and all(o in p for o, p in zip(own.tolist(), probes, strict=True))
+
+
 def test_html(spark):
     page = "<html><head><title>T</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one<br>two   three<p>x &lt; y<div class='comments'>no</div></article><footer>f</footer></body></html>"
     plain = "<body><div>own text {0}</div><div>Every page says this</div></body>"
@@ -119,6 +133,17 @@ def test_decontamination_of_short_items(spark):
     assert got == {1: 1, 2: 1, 3: 2, 4: 3, 5: None, 6: None, 7: None, 8: None}
 
 
+def test_decontamination_of_copies_in_any_case(spark):
+    item = "The engineer said that Anna drove 300 km from Paris to the small harbour near Bremen and paid 45 euros for the old ferry"
+    run = "Angela Smith was born in the old town of Hamburg and moved away after 30 years"
+    bench = spark.createDataFrame([(1, item), (2, run)], "item_id long, text string")
+    around = lambda t: f"{prose(9)} {t} {prose(9)}"
+    rows = [(1, item.lower()), (2, around(item.lower())), (3, around(item.upper())), (4, around(item.replace("Paris", "New York"))), (5, around(item.replace("Anna", "Maria Anna Lopez").replace("300", "70"))),
+            (6, around(item)), (7, around(run)), (8, around(run.lower())), (9, around(run.replace("Angela Smith", "Peter"))), (10, prose(60)), (11, f"{prose(9)}. {run}")]
+    got = {r.doc_id: r.first_item for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 2, 8: 2, 9: 2, 10: None, 11: 2}
+
+
 def test_toxicity_learns_marked_words():
     clean, toxic = [prose(40) for _ in range(60)], [prose(20) + " vilewordly " + prose(20) for _ in range(60)]
     model = toxicity.fit(clean + toxic, [0] * 60 + [1] * 60)
