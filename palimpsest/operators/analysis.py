@@ -75,11 +75,22 @@ def drift(members: DataFrame, window: int = 5) -> DataFrame:
 
 
 def empty_runs(searches: DataFrame) -> DataFrame:
-    """(user_id, event_id, empty_run): consecutive empty searches up to each one, by gaps and islands."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    island = searches.withColumn("island", F.sum(F.when(F.col("empty"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    run = F.sum(F.when(F.col("empty"), 1).otherwise(0)).over(W.partitionBy("user_id", "island").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
-    return island.select("user_id", "event_id", run.cast("long").alias("empty_run"))
+    """(user_id, event_id, empty_run): consecutive empty searches up to each one.
+
+    Runs are counted inside a user's day. Where the day's searches up to one are all empty, those at the end of the days before are added,
+    from one row for each user and day; no window holds all searches of a user.
+    """
+    inside = W.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = searches.select("user_id", "event_id", "ts", "empty", F.to_date("ts").alias("day")).withColumn("place", F.count("*").over(inside))
+    hit = F.when(~F.col("empty"), F.col("place"))
+    rows = rows.withColumn("hit", F.max(hit).over(inside))
+    days = rows.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.max("hit").alias("last"))
+    before = W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("mark", F.col("n_before") + F.col("last"))
+    carried = days.select("user_id", "day", (F.col("n_before") - F.coalesce(F.last("mark", ignorenulls=True).over(before), F.lit(0))).alias("carried"))
+    joined = rows.join(carried, ["user_id", "day"])
+    run = F.col("place") - F.coalesce("hit", -F.col("carried"))
+    return joined.select("user_id", "event_id", run.cast("long").alias("empty_run"))
 
 
 def bursts(events: DataFrame, gap: str = "30 minutes", least: int = 3) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.analysis import centroids
-from palimpsest.operators.components import components
+from palimpsest.operators.components import components, merged
 from palimpsest.operators.retrieval import cosine, semantic_pairs
+from palimpsest.operators.vector_join import alike
 
 # Likeness that links two vectors, members of a cluster, likeness of a centroid that is the same concept, of two that are merged.
 LINK, LEAST_MEMBERS, SAME, MERGE = 0.70, 5, 0.70, 0.90
@@ -23,18 +24,37 @@ def clusters(vectors: DataFrame, least: float = LINK, members: int = LEAST_MEMBE
 
     All vectors take part: pairs are found in blocks, components in rounds over links, neither on the driver.
     """
-    links = semantic_pairs(vectors, least).select("a", "b")
-    roots = components(links)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= members)
-    return roots.join(sizes, "root").select("id", F.col("root").alias("cluster"), "size")
+    return members_of(extended(None, None, vectors, least), members)
+
+
+def extended(labels: DataFrame | None, old: DataFrame | None, new: DataFrame, least: float = LINK) -> DataFrame:
+    """(id, root): components after vectors new (id, embedding) are added to old ones, whose components are labels (None: there are none).
+
+    New vectors meet each other and the old ones, old ones don't meet again; the old components that a link joins are merged.
+    """
+    links = semantic_pairs(new, least).select("a", "b")
+    if labels is None or old is None:
+        return components(links)
+    key = dict(new.dtypes)["id"]
+    across = alike(new, old, least)
+    return merged(labels, links.unionByName(across.select(F.col("a").cast(key).alias("a"), F.col("b").cast(key).alias("b"))))
+
+
+def members_of(labels: DataFrame, members: int = LEAST_MEMBERS) -> DataFrame:
+    """(id, cluster, size) of the components (id, root) with `members` or more."""
+    sizes = labels.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= members)
+    return labels.join(sizes, "root").select("id", F.col("root").alias("cluster"), "size")
+
+
+def moved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows (id, root) of after that before doesn't have: the memberships to be rewritten."""
+    return after.select("id", "root").join(before.select("id", F.col("root").alias("was")), "id", "left").where("was IS NULL OR was <> root").select("id", "root")
 
 
 def matched(found: DataFrame, known: DataFrame, least: float = SAME) -> DataFrame:
     """(cluster, concept) of found and known (concept, centroid) nodes: the most alike known concept of likeness `least` or more, else null (a new one)."""
-    near = found.select(F.col("concept").alias("cluster"), F.col("centroid").alias("v")).crossJoin(F.broadcast(known.select("concept", "centroid")))
-    near = near.withColumn("c", F.round(cosine("centroid", "v"), 6)).where(F.col("c") >= least)
-    best = near.groupBy("cluster").agg(F.min_by("concept", F.struct(-F.col("c"), "concept")).alias("concept"))
-    return found.select(F.col("concept").alias("cluster")).join(best, "cluster", "left")
+    best = assigned(found.select(F.col("concept").alias("id"), F.col("centroid").alias("embedding")), known, least)
+    return found.select(F.col("concept").alias("cluster")).join(best.select(F.col("id").alias("cluster"), "concept"), "cluster", "left")
 
 
 def merges(nodes: DataFrame, least: float = MERGE) -> DataFrame:
@@ -64,9 +84,12 @@ def splits(vectors: DataFrame, members: int = SPLIT_MEMBERS, distance: float = S
 
 
 def assigned(vectors: DataFrame, nodes: DataFrame, least: float = SAME) -> DataFrame:
-    """(id, concept, likeness): the nearest concept of each vector, if it is alike by `least` or more. nodes are few and broadcast."""
-    near = vectors.select("id", F.col("embedding").alias("v")).crossJoin(F.broadcast(nodes.select("concept", "centroid")))
-    near = near.withColumn("likeness", F.round(cosine("centroid", "v"), 6)).where(F.col("likeness") >= least)
+    """(id, concept, likeness): the nearest concept of each vector, the least of equally near ones, if it is alike by `least` or more.
+
+    An exact join of blocks of vectors and blocks of centroids, however many nodes there are.
+    """
+    near = alike(vectors.select("id", "embedding"), nodes.select(F.col("concept").alias("id"), F.col("centroid").alias("embedding")), least)
+    near = near.select(F.col("a").cast(dict(vectors.dtypes)["id"]).alias("id"), F.col("b").cast(dict(nodes.dtypes)["concept"]).alias("concept"), F.col("similarity").alias("likeness"))
     best = near.groupBy("id").agg(F.min_by(F.struct("concept", "likeness"), F.struct(-F.col("likeness"), "concept")).alias("b"))
     return best.select("id", "b.concept", "b.likeness")
 

@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.operators.predicates import active, valid_at
+from palimpsest.operators.grams import containing, grams
+from palimpsest.operators.predicates import active
 from palimpsest.operators.scoring import PATHS, QUALITY_SHARE, RRF_K, RRF_WEIGHTS, SUPERSEDED, composite, quality, recency, retention, weights
+from palimpsest.operators.validity import as_of
+from palimpsest.operators.vector_join import alike
 from palimpsest.sources.staging import dropped, staged
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -51,22 +54,19 @@ def postings(records: DataFrame) -> DataFrame:
     return docs.select("id", "project_id", "len", F.explode("words").alias("term")).groupBy("term", "id", "project_id", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25(records: DataFrame, queries: DataFrame, k: int, monotone: bool = True, any_term: bool = False, sparse: str | None = None) -> DataFrame:
-    """(query_id, id, score): records by BM25 (or, not monotone, 1 / (1 + BM25), the greater the worse), best first.
-
-    All terms of the query must be in a record, with any_term one of them. `sparse`: a column of further terms
-    (array) of which none must be there but each counts. Only postings of query terms are shuffled.
-    """
-    docs = records.where(active()).select("id", "project_id", terms(F.col("content")).alias("words")).withColumn("len", F.size("words").cast("long"))
-    total = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+def asked_terms(queries: DataFrame, sparse: str | None = None) -> DataFrame:
+    """(query_id, project, term, must): the terms of each query's text, must 1, and of the column `sparse` (array), must 0."""
     wanted = F.filter(F.array_distinct(terms(F.col("text"))), lambda w: F.octet_length(w) > 1)
     asked = queries.select("query_id", "project", F.explode(wanted).alias("term")).withColumn("must", F.lit(1))
-    if sparse:
-        more = queries.select("query_id", "project", F.explode(F.array_except(F.array_distinct(sparse), wanted)).alias("term")).withColumn("must", F.lit(0))
-        asked = asked.unionByName(more)
+    if not sparse:
+        return asked
+    more = queries.select("query_id", "project", F.explode(F.array_except(F.array_distinct(sparse), wanted)).alias("term")).withColumn("must", F.lit(0))
+    return asked.unionByName(more)
+
+
+def ranked_postings(found: DataFrame, total: DataFrame, asked: DataFrame, k: int, monotone: bool = True, any_term: bool = False) -> DataFrame:
+    """(query_id, id, score) by BM25 from postings (term, id, project_id, len, tf) of the asked terms, and total (n, avg_len), one row."""
     needed = asked.groupBy("query_id").agg(F.sum("must").alias("needed"))
-    found = docs.select("id", "project_id", "len", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    found = found.groupBy("id", "project_id", "len", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     hits = found.join(df, "term").join(scoped(asked), ["term", "project_id"]).crossJoin(F.broadcast(total))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
@@ -78,9 +78,29 @@ def bm25(records: DataFrame, queries: DataFrame, k: int, monotone: bool = True,
     return best if monotone else best.withColumn("score", F.round(1 / (1 + F.col("score")), 6))
 
 
-def like(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Records that hold the query's text as it is (any case); score: share of its words they hold; ties by confidence, importance, id where they are."""
-    rows = in_scope(records, queries).where(F.contains(F.lower("content"), F.lower("text")))
+def bm25(records: DataFrame, queries: DataFrame, k: int, monotone: bool = True, any_term: bool = False, sparse: str | None = None) -> DataFrame:
+    """(query_id, id, score): records by BM25 (or, not monotone, 1 / (1 + BM25), the greater the worse), best first.
+
+    All terms of the query must be in a record, with any_term one of them. `sparse`: a column of further terms
+    (array) of which none must be there but each counts. Only postings of query terms are shuffled. For an index that is
+    kept between searches see `postings.Postings`.
+    """
+    docs = records.where(active()).select("id", "project_id", terms(F.col("content")).alias("words")).withColumn("len", F.size("words").cast("long"))
+    total = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    asked = asked_terms(queries, sparse)
+    found = docs.select("id", "project_id", "len", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = found.groupBy("id", "project_id", "len", "term").agg(F.count("*").alias("tf"))
+    return ranked_postings(found, total, asked, k, monotone, any_term)
+
+
+def like(records: DataFrame, queries: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+    """Records that hold the query's text as it is (any case); score: share of its words they hold; ties by confidence, importance, id where they are.
+
+    index: the grams of the active records (`grams.grams`), if they are kept.
+    """
+    live = records.where(active())
+    index = staged(grams(live), "grams") if index is None else index
+    rows = containing(live, index, scoped(queries))
     words = F.filter(F.split(F.lower("text"), " "), lambda w: F.octet_length(w) > 1)
     held = F.size(F.filter(words, lambda w: F.contains(F.lower(F.col("content")), w)))
     by = [F.desc_nulls_last(c) for c in ("confidence", "importance") if c in records.columns]
@@ -98,7 +118,7 @@ def temporal(records: DataFrame, queries: DataFrame, k: int, now) -> DataFrame:
     keys = [c for c in ("project", "as_of", "after", "before", "phrase") if c in queries.columns]
     asked = queries.select("query_id", *keys).withColumn("scope", F.to_json(F.struct(*keys)))
     scopes = asked.drop("query_id").dropDuplicates(["scope"])  # queries that ask the same are answered once
-    rows = in_scope(records, scopes).where(valid_at(F.col("as_of")))
+    rows = as_of(records.where(active()), scoped(scopes), ["project_id"])
     if "after" in keys:
         rows = rows.where("(after IS NULL OR valid_from >= after) AND (before IS NULL OR valid_from < before)")
     if "phrase" in keys:
@@ -188,28 +208,9 @@ def semantic(records: DataFrame, queries: DataFrame, k: int, least: float = 0.3,
 
 
 def semantic_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """(a < b, similarity) of vectors (id, embedding) with a cosine of `least` or more, in blocks.
-
-    A pair of blocks meets once: the one whose first id is less leads.
-    """
+    """(a < b, similarity) of vectors (id, embedding) with a cosine of `least` or more: an exact join of blocks, see vector_join."""
     key = dict(vectors.dtypes)["id"]
-    own = (
-        _blocks(vectors.where("embedding IS NOT NULL AND id IS NOT NULL").select("id", F.lit("").alias("scope"), "embedding"), "embedding", RECORD_BLOCK)
-        .select("n", "ids", "data")
-    )
-    other = own.select("n", F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
-
-    def compared(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, y = (np.frombuffer(row[c], np.float64).reshape(-1, row["n"]) for c in ("data", "data_b"))
-                same = row["ids"][0] == row["ids_b"][0]
-                score = np.round(x @ y.T, 6)
-                i, j = np.nonzero(np.triu(score >= least, 1) if same else score >= least)
-                a, b = (np.array(row[c], object) for c in ("ids", "ids_b"))
-                yield pa.RecordBatch.from_pydict({"a": a[i].tolist(), "b": b[j].tolist(), "similarity": score[i, j].tolist()}, pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())]))
-
-    pairs = _met(own, other).where("ids[0] <= ids_b[0]").mapInArrow(compared, "a string, b string, similarity double")
+    pairs = alike(vectors, None, least)
     a, b = (F.col(c).cast(key) for c in "ab")
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "similarity")
 
@@ -335,13 +336,17 @@ def hybrid(records: DataFrame, queries: DataFrame, edges: DataFrame, shared: Dat
 
 
 def ranked(fused: DataFrame, records: DataFrame, queries: DataFrame, edges: DataFrame, now, k: int = 10) -> DataFrame:
-    """(query_id, id, score): the k best of fused (query_id, id, rrf) by composite score, links to each other, and quality."""
-    rows = fused.join(records, "id").join(hebbian_boost(fused, edges), ["query_id", "id"], "left").join(queries.select("query_id", "intent"), "query_id")
+    """(query_id, id, score): the k best of fused (query_id, id, rrf) by composite score, links to each other, and quality.
+
+    Where the queries have a column empty_run, the searches in a row before them that found nothing, many of them change the weights.
+    """
+    runs = [c for c in ("empty_run",) if c in queries.columns]
+    rows = fused.join(records, "id").join(hebbian_boost(fused, edges), ["query_id", "id"], "left").join(queries.select("query_id", "intent", *runs), "query_id")
     signals = {
         "rrf": F.col("rrf"), "recency": recency(F.col("created_at"), now), "importance": F.col("importance"), "confidence": F.coalesce("confidence", F.lit(0.5)),
         "hebbian": F.coalesce("boost", F.lit(0.0)), "retention": retention(F.col("last_accessed"), F.col("strength"), now), "depth": F.col("processing_depth"),
     }
-    base = composite(signals, F.col("intent")) * F.when(F.col("superseded_by").isNotNull(), SUPERSEDED).otherwise(1.0)
+    base = composite(signals, F.col("intent"), F.coalesce("empty_run", F.lit(0)) if runs else None) * F.when(F.col("superseded_by").isNotNull(), SUPERSEDED).otherwise(1.0)
     return top(rows.select("query_id", "id", ((1 - QUALITY_SHARE) * base + QUALITY_SHARE * quality(now)).alias("score")), k)
 
 
