@@ -1,8 +1,8 @@
 """Exact joins of vectors by cosine: blocks of near vectors, and of pairs of blocks only those that can hold a link.
 
-1. PIVOTS vectors far from each other are chosen from a bounded sample. A vector belongs to its nearest pivot, and the
-   vectors of a pivot are dealt to groups of at most about GROUP, each halved again and again across its widest
-   direction, down to blocks of BLOCK.
+1. At most PIVOTS centres of a bounded sample are the pivots. A vector belongs to its nearest pivot, and the vectors of a
+   pivot are dealt to groups of at most about GROUP. In a group, shells of like distance from the pivot are halved again
+   and again across their widest direction, down to blocks of BLOCK: what lies far from all pivots makes no other block wide.
 2. A block keeps its centre and radius and, for each pivot, the least and the greatest distance of its vectors from it. By
    the triangle inequality two vectors lie at least as far apart as their distances from any one pivot differ, and as
    their blocks' centres less both radii. Unit vectors of cosine c lie sqrt(2 - 2c) apart: blocks further apart than that hold no link.
@@ -26,6 +26,8 @@ from palimpsest.sources.staging import dropped, staged
 SAMPLE, PIVOTS, GROUP, BLOCK = 4096, 64, 8192, 256
 #: Vectors for a pivot, about: small tables have few.
 PIVOT_ROWS = 64
+#: Width of a shell.
+SHELL = 0.25
 #: Room for rounding of distances and of scores to six decimals.
 SLACK = 1e-6
 SCHEMA = "part int, salt int, k int, n int, ids array<string>, data binary, near array<double>, far array<double>, centre array<double>, radius double"
@@ -37,13 +39,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def far_apart(x: np.ndarray, k: int) -> np.ndarray:
-    """At most k rows of x, each the farthest from those before."""
+def centres(x: np.ndarray, k: int, steps: int = 5) -> np.ndarray:
+    """At most k centres of the rows of x: starts drawn by their squared distance from those before, then means; the same rows give the same centres."""
+    draw = np.random.Generator(np.random.PCG64(1))
     chosen, left = [0], ((x - x[0]) ** 2).sum(1)
     while len(chosen) < min(k, len(x)) and left.max() > 0:
-        chosen.append(int(left.argmax()))
+        chosen.append(int(draw.choice(len(x), p=left / left.sum())))
         left = np.minimum(left, ((x - x[chosen[-1]]) ** 2).sum(1))
-    return x[chosen]
+    out = x[chosen].copy()
+    for _ in range(steps):
+        near = distances(x, out).argmin(1)
+        sums, n = np.zeros_like(out), np.bincount(near, minlength=len(out))
+        np.add.at(sums, near, x)
+        out[n > 0] = sums[n > 0] / n[n > 0, None]
+    return out
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -69,11 +78,11 @@ def halves(x: np.ndarray, most: int) -> list[np.ndarray]:
 
 
 def pivots_of(vectors: DataFrame, n: int) -> np.ndarray:
-    """Pivots for vectors (id, embedding) of n components: unit vectors of the sample whose ids hash lowest."""
+    """Pivots for vectors (id, embedding) of n components: centres of the vectors whose ids hash lowest, at most SAMPLE."""
     rows = vectors.where(F.size("embedding") == n)
     sample = rows.select("embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     k = min(PIVOTS, max(1, rows.count() // PIVOT_ROWS))
-    return far_apart(unit(np.array([[c or 0.0 for c in r.embedding] for r in sample], float)), k)
+    return centres(unit(np.array([[c or 0.0 for c in r.embedding] for r in sample], float)), k)
 
 
 def blocks(vectors: DataFrame, n: int, pivots: np.ndarray) -> DataFrame:
@@ -95,7 +104,9 @@ def blocks(vectors: DataFrame, n: int, pivots: np.ndarray) -> DataFrame:
         far = distances(x, pivots)
         first = {"part": table.column("part")[0].as_py(), "salt": table.column("salt")[0].as_py()}
         rows = []
-        for k, own in enumerate(halves(x, BLOCK)):
+        shell = np.floor(far.min(1) / SHELL).astype(int)
+        shells = [np.flatnonzero(shell == s) for s in np.unique(shell)]
+        for k, own in enumerate(rows_of[part] for rows_of in shells for part in halves(x[rows_of], BLOCK)):
             centre = x[own].mean(0)
             ball = {"centre": centre.tolist(), "radius": float(np.sqrt(((x[own] - centre) ** 2).sum(1).max()))}
             rows.append(first | ball | {"k": k, "n": n, "ids": [ids[i] for i in own], "data": x[own].tobytes(), "near": far[own].min(0).tolist(), "far": far[own].max(0).tolist()})
