@@ -62,9 +62,7 @@ class Engine:
     def fallback(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, id, score) by words alone: all of them, else the text as it is."""
         rows = questions if "project" in questions.columns else questions.withColumn("project", F.lit("global"))
-        words = retrieval.bm25(self.memories, rows, k)
-        rest = retrieval.like(self.memories, rows.join(words.select("query_id").distinct(), "query_id", "left_anti"), k)
-        return words.unionByName(rest)
+        return retrieval.fallback(self.memories, rows, k)
 
     def suggest(self, contexts: DataFrame, k: int = 5) -> DataFrame:
         """What fits a context: a search on its most frequent words."""

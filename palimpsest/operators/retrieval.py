@@ -172,9 +172,29 @@ def _met(blocks: DataFrame, other: DataFrame) -> DataFrame:
     return dealt.join(other.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))), ["n", "slot"]).drop("slot")
 
 
-def semantic(records: DataFrame, queries: DataFrame, k: int, least: float = 0.3, rescaled: bool = False) -> DataFrame:
+def two_stage(q: np.ndarray, x: np.ndarray, allowed: np.ndarray, k: int, least: float, first: int) -> tuple[np.ndarray, int]:
+    """Products of unit vectors q and x of the allowed pairs that can be among a query's k best over `least`, the others -2; and how many whole products were made.
+
+    The first `first` components are multiplied; the rest adds at most the product of both rests' lengths (Cauchy and Schwarz). A pair
+    whose upper bound is under the k-th best lower bound of its query, or under `least`, is out.
+    """
+    near = q[:, :first] @ x[:, :first].T
+    room = np.linalg.norm(q[:, first:], axis=1)[:, None] * np.linalg.norm(x[:, first:], axis=1)[None] + 1e-6
+    low = np.where(allowed, near - room, -2)
+    bound = np.full(len(q), least) if x.shape[0] <= k else np.maximum(np.partition(low, -k, axis=1)[:, -k], least)
+    i, j = np.nonzero(allowed & (near + room >= bound[:, None]))
+    score = np.full(near.shape, -2.0)
+    for a in range(0, len(i), 65_536):
+        m, n = i[a : a + 65_536], j[a : a + 65_536]
+        score[m, n] = np.einsum("ij,ij->i", q[m], x[n])
+    return score, len(i)
+
+
+def semantic(records: DataFrame, queries: DataFrame, k: int, least: float = 0.3, rescaled: bool = False, first: int | None = None) -> DataFrame:
     """(query_id, id, score): records by cosine of their vector with the query's (column vector), over `least`.
 
+    first: so many leading components are compared first (see `two_stage`), as fits vectors whose first components say most; the result is the same.
+
     Vectors are normalised once and packed into blocks; every block of records meets every block of queries in one
     product of matrices, which gives at most k rows for a query. rescaled: the score is (1 + cosine) / 2.
     """
@@ -187,9 +207,10 @@ def semantic(records: DataFrame, queries: DataFrame, k: int, least: float = 0.3,
         for batch in batches:
             for row in batch.to_pylist():
                 x, q = (np.frombuffer(row[c], np.float64).reshape(-1, row["n"]) for c in ("data", "asked"))
-                score = np.round(q @ x.T, 6)
                 scopes, projects = np.array(row["scopes"], object), np.array(row["projects"], object)
-                score[~((scopes[None] == projects[:, None]) | (scopes[None] == "global"))] = -2
+                allowed = (scopes[None] == projects[:, None]) | (scopes[None] == "global")
+                score = np.round(q @ x.T if first is None else two_stage(q, x, allowed, k, least, first)[0], 6)
+                score[~allowed] = -2
                 ids = np.array(row["ids"], object)
                 made = {"query_id": [], "id": [], "score": []}
                 for j, own in enumerate(score):
@@ -408,6 +429,37 @@ def reranked(found: DataFrame, scorer, share: float = 0.85) -> DataFrame:
     return found.select("query_id", "id", F.round(share * made + (1 - share) * F.col("score"), 6).alias("score"))
 
 
+def fallback(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) by words alone: records with all of them, else those that hold the text as it is."""
+    words = staged(bm25(records, queries, k), "words")
+    rest = like(records, queries.join(words.select("query_id").distinct(), "query_id", "left_anti"), k)
+    return words.unionByName(rest)
+
+
+def packed(found: DataFrame, records: DataFrame, questions: DataFrame, budget: int, reranked: bool, preview: int = 120) -> DataFrame:
+    """(query_id, question, answer, confidence, n_sources, sources, previews, used, fallback, reranked): what is found for each question, packed into `budget` characters.
+
+    Records come by score (ties by id) as long as the sum of their lengths stays within the budget; the first is the answer even if it is longer. A
+    question for which nothing is found has no answer and is a fallback. Sources are at most as many as were found for a question.
+    """
+    rows = found.join(records.select("id", "content", F.coalesce("confidence", F.lit(0.5)).alias("sure")), "id").withColumn("size", F.char_length("content"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("total", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    kept = rows.where((F.col("place") == 1) | (F.col("total") <= budget))
+    source = F.struct("place", "id", F.substring("content", 1, preview).alias("preview"))
+    lists = kept.groupBy("query_id").agg(
+        F.max(F.when(F.col("place") == 1, F.col("content"))).alias("answer"), F.round(F.max(F.when(F.col("place") == 1, F.col("sure") * F.col("score"))), 6).alias("confidence"),
+        F.array_sort(F.collect_list(source)).alias("s"), F.count("*").alias("n_sources"), F.sum("size").alias("used"),
+    )
+    zero = F.lit(0).cast("long")
+    made = questions.select("query_id", F.col("text").alias("question")).join(lists, "query_id", "left")
+    return made.select(
+        "query_id", "question", "answer", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n_sources", zero).alias("n_sources"),
+        F.coalesce(F.array_join(F.transform("s", lambda x: x["id"]), ","), F.lit("")).alias("sources"), F.coalesce(F.array_join(F.transform("s", lambda x: x["preview"]), " | "), F.lit("")).alias("previews"),
+        F.coalesce("used", zero).alias("used"), F.col("answer").isNull().alias("fallback"), F.lit(reranked).alias("reranked"),
+    )
+
+
 def answers(found: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, answer, confidence, sources): the best record's content and confidence, and the ids of the k best in order."""
     best = top(found, k).join(records.select("id", "content", F.coalesce("confidence", F.lit(0.5)).alias("sure")), "id")

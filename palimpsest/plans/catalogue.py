@@ -40,13 +40,14 @@ def entity_get(spark, sf_dir):
     return entities.described(named(spark, sf_dir), notes(spark, sf_dir)).withColumn("notes", F.array_join("notes", ","))
 
 
-LINKS_SQL = "links AS (SELECT DISTINCT 'src' || (user_id % 5) AS project_id, 'Supplier#' || lpad(user_id::VARCHAR, 9, '0') AS from_name, 'Supplier#' || lpad((event_id % 400)::VARCHAR, 9, '0') AS to_name, event_type AS relation FROM events)"
+LINKS_SQL = "links AS (SELECT DISTINCT 'src' || (user_id % 5) AS project_id, 'Supplier#' || lpad(user_id::VARCHAR, 9, '0') AS from_name, 'Supplier#' || lpad((event_id % (SELECT count(*) + 1 FROM supplier))::VARCHAR, 9, '0') AS to_name, event_type AS relation FROM events)"
 
 
 def links(spark, sf_dir):
+    n = table(spark, sf_dir, "supplier").agg((F.count("*") + 1).alias("n"))
     return (
-        table(spark, sf_dir, "events")
-        .selectExpr("'src' || (user_id % 5) AS project_id", "'Supplier#' || lpad(cast(user_id as string), 9, '0') AS from_name", "'Supplier#' || lpad(cast(event_id % 400 as string), 9, '0') AS to_name", "event_type AS relation")
+        table(spark, sf_dir, "events").crossJoin(F.broadcast(n))  # one row
+        .selectExpr("'src' || (user_id % 5) AS project_id", "'Supplier#' || lpad(cast(user_id as string), 9, '0') AS from_name", "'Supplier#' || lpad(cast(event_id % n as string), 9, '0') AS to_name", "event_type AS relation")
     )
 
 

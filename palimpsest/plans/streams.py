@@ -24,13 +24,17 @@ def ran(stream, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(*[f"{folder}/out"]).select(*stream.columns)
 
 
+#: Files of a batch of events.
+FILES = 4
+
+
 def events(spark, sf_dir):
-    """The events in three files by time, read one a batch."""
+    """The events in three batches by time, FILES files each."""
     folder = f"{own_dir(spark)}/events-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events")
     for k in range(3):
-        e.where(f"dayofmonth(ts) > {10 * k} AND dayofmonth(ts) <= {10 * (k + 1) + (k == 2)}").coalesce(1).write.parquet(f"{folder}/{k}")
-    return pipelines.read_events(spark, f"{folder}/*", e.schema, 1)
+        e.where(f"dayofmonth(ts) > {10 * k} AND dayofmonth(ts) <= {10 * (k + 1) + (k == 2)}").repartition(FILES).write.parquet(f"{folder}/{k}")
+    return pipelines.read_events(spark, f"{folder}/*", e.schema, FILES)
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2")
@@ -50,18 +54,24 @@ def stream_empty_runs(spark, sf_dir):
 @query("""WITH h AS (SELECT event_id, ts, sha256('the value of this event is ' || user_id || event_type || ' and it says something') AS content_hash FROM events)
 SELECT content_hash, min(ts) AS ts FROM h GROUP BY 1""")
 def stream_first_arrivals(spark, sf_dir):
-    """Texts of events, the first arrival of each."""
+    """Texts of events, the time of the first arrival of each, which the stream's state gives."""
     text = F.expr("'the value of this event is ' || user_id || event_type || ' and it says something'")
-    rows = pipelines.first_arrivals(events(spark, sf_dir).withColumn("content", text), "60 days")
-    return (
-        ran(rows.select("content_hash"))
-        .join(table(spark, sf_dir, "events").select(F.sha2(text.cast("binary"), 256).alias("content_hash"), "ts").groupBy("content_hash").agg(F.min("ts").alias("ts")), "content_hash")
-    )
+    rows = ran(state.first_arrivals(pipelines.said(events(spark, sf_dir).withColumn("content", text))))
+    return rows.select("content_hash", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+_UNIT = "list_transform({0}, lambda c: c / sqrt(list_sum(list_transform({0}, lambda d: d * d))))"
+_MIXED = "list_transform(list_zip(m, v), lambda p: 0.7::DOUBLE * p[1] + 0.3::DOUBLE * p[2])"
 
 
-@query()
+@query(f"""WITH e AS (SELECT user_id, ts, event_id, event_id % (SELECT count(*) FROM embeddings) AS id FROM events WHERE event_type <> 'error'),
+l AS (SELECT user_id, count(*) AS n, list(embedding::DOUBLE[] ORDER BY ts, event_id) AS vs FROM e JOIN embeddings ON vec_id = id GROUP BY 1)
+SELECT user_id, n, array_to_string(list_transform(list_reduce(list_prepend({_UNIT.format("vs[1]")}, vs[2:]), lambda m, v: {_UNIT.format(_MIXED)}), lambda x: round(x, 4)::DECIMAL(9, 4) + 0), ',') AS mean FROM l""")
 def vector_averages(spark, sf_dir):
-    """Moving averages of the vectors that a user's events touch, in order of time."""
-    e = table(spark, sf_dir, "events").where("event_type <> 'error'").withColumn("id", F.expr("event_id % 500"))
+    """Moving averages of the vectors that a user's events touch, in order of time, as a stream with state; the last of each user."""
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n_vectors"))
     v = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS vector")
-    return state.averages(e.join(v, "id").withColumn("weight", F.lit(1.0))).select("user_id", "n", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+    e = events(spark, sf_dir).where("event_type <> 'error'").crossJoin(F.broadcast(n)).withColumn("id", F.expr("event_id % n_vectors"))  # one row
+    made = ran(state.averages_stream(e.join(v, "id").withColumn("weight", F.lit(1.0))), "update")
+    last = made.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("mean", "n").alias("mean"))
+    return last.select("user_id", "n", F.array_join(F.transform("mean", lambda x: (F.round(x, 4).cast("decimal(9,4)") + F.lit(0).cast("decimal(9,4)")).cast("decimal(9,4)").cast("string")), ",").alias("mean"))

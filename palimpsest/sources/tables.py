@@ -55,8 +55,12 @@ def memories(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     )
     if not set(extra) & set(TYPED):
         return rows
-    rows = rows.withColumn("low", F.lower("content")).withColumn("type", classify(F.col("low")))
-    return (rows.withColumn("importance", importance(F.col("low"), F.col("content"), F.col("type"))) if "importance" in extra else rows).drop("low")
+    # Both are made in one lambda over the text: as plain columns their hundred conditions would be written out again in each filter and
+    # column that uses them, and code of that size isn't compiled.
+    of_kind = lambda low, content: lambda kind: F.struct(kind.alias("type"), importance(low, content, kind).alias("importance"))
+    kinds = lambda t: F.element_at(F.transform(F.array(classify(t["low"])), of_kind(t["low"], t["content"])), 1)
+    rows = rows.withColumn("kinds", F.element_at(F.transform(F.array(F.struct(F.lower("content").alias("low"), "content")), kinds), 1))
+    return rows.select(*(c for c in rows.columns if c != "kinds"), *(F.col(f"kinds.{c}").alias(c) for c in TYPED if c in extra or c == "type"))
 
 
 def asked(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:

@@ -27,10 +27,14 @@ def counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> Da
     return rows.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def said(texts: DataFrame) -> DataFrame:
+    """Texts (ts, content, ...) that say something, with content_hash."""
+    return texts.where(~noise(F.col("content"))).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+
+
 def first_arrivals(texts: DataFrame, late: str = "1 hour") -> DataFrame:
     """Texts (ts, content, ...) that say something, the first of each content within the watermark, with content_hash."""
-    rows = texts.where(~noise(F.col("content"))).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["content_hash"])
+    return said(texts).withWatermark("ts", late).dropDuplicatesWithinWatermark(["content_hash"])
 
 
 def unexpired(values: DataFrame, ttl: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Share of a new vector of weight 1, failures that open a breaker, seconds until it tries again.
@@ -76,17 +77,66 @@ def empty_runs_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_id long, empty_run long", "run long", "append", GroupStateTimeout.NoTimeout)
 
 
-def averages_stream(events: DataFrame) -> DataFrame:
-    """(user_id, n, mean) of each user with new rows of a stream (user_id, event_id, ts, vector, weight)."""
+class Averages(StatefulProcessor):
+    """A user's moving average: typed state of one value, the number of vectors and their average; no vectors are kept."""
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean = (state.get[0], np.array(state.get[1])) if state.exists else (0, None)
-        for row in _in_order(parts).itertuples():
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("average", "n long, mean array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, mean = 0, None
+        if self.state.exists():
+            n, mean = self.state.get()
+            mean = np.array(mean)
+        for row in _in_order(rows).itertuples():
             n, mean = n + 1, average_step(mean, row.vector, row.weight)
-        state.update((n, mean.tolist()))
+        self.state.update((n, mean.tolist()))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [mean.tolist()]})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, mean array<double>", "n long, mean array<double>", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+class FirstArrival(StatefulProcessor):
+    """The time of a text's first arrival, given once; forgotten `days` after the watermark has passed it, by a timer."""
+
+    def __init__(self, days: float):
+        self.milliseconds = int(days * 86_400_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "ts timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = min(part["ts"].min() for part in rows)
+        if not self.seen.exists():
+            self.seen.update((first,))
+            self.handle.registerTimer(int(pd.Timestamp(first).timestamp() * 1000) + self.milliseconds)
+            yield pd.DataFrame({"content_hash": [key[0]], "ts": [first]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _with_store(events: DataFrame) -> None:
+    """State of several kinds, timers and expiry need the store that keeps it on disk."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def averages_stream(events: DataFrame) -> DataFrame:
+    """(user_id, n, mean) of each user with new rows of a stream (user_id, event_id, ts, vector, weight)."""
+    _with_store(events)
+    return events.groupBy("user_id").transformWithStateInPandas(Averages(), "user_id long, n long, mean array<double>", "Update", "None")
+
+
+def first_arrivals(texts: DataFrame, late: str = "1 hour", days: float = 60) -> DataFrame:
+    """(content_hash, ts) of each text of a stream (content_hash, ts) when it first arrives; what is `days` old is new again."""
+    _with_store(texts)
+    rows = texts.select("content_hash", "ts").withWatermark("ts", late)
+    return rows.groupBy("content_hash").transformWithStateInPandas(FirstArrival(days), "content_hash string, ts timestamp", "Append", "EventTime")
 
 
 def averages(events: DataFrame) -> DataFrame:
