@@ -13,6 +13,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes and number of texts hashed at once; a longer text is a piece alone.
 PIECE_BYTES, PIECE_ROWS = 1 << 19, 2048
+#: Bytes of text whose words are hashed at once: of a longer text, only one byte in eight is held beside it. A longer word is hashed alone.
+SEGMENT = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,11 +68,23 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), first
-    place = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(raw)]])))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SEGMENT)))
+        a, b = starts[i], starts[j] if j < len(starts) else len(raw)
+        out[i:j] = _hashed(raw[a:b], inside[a:b], starts[i:j] - a)
+        i = j
+    return out, first
+
+
+def _hashed(raw: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words that begin at `starts`; the first one begins at 0."""
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
     terms = BYTE[raw]
     terms *= powers(BASE, int(place[inside].max()) + 1)[np.where(inside, place, 0)]
     terms[~inside] = 0
-    return mix(np.add.reduceat(terms, starts)), first
+    return mix(np.add.reduceat(terms, starts))
 
 
 def windows_of(words: np.ndarray, length: int) -> np.ndarray:
