@@ -31,12 +31,14 @@ from palimpsest.llm.common import free_name, short_list, staged
 WINDOW, SHORTEST, SHARE = 8, 5, 0.5
 #: Placeholders that a window may hold at most, as a share.
 MOST_SLOTS = 0.5
+#: Items that a window may have to meet them at once.
+MOST_ITEMS = 64
 LEAST_ID = -(1 << 63)
 #: Stands for the space between the names of a run.
 JOINED = "\\u0002"
 NAME = r"\\p{Lu}\\p{Ll}+"
-#: Space between two names of which the first doesn't begin a sentence.
-BETWEEN_NAMES = rf"(?<=[^.!?:\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]\\p{{Lu}}\\p{{Ll}}{{1,40}})[\\x20\\x09-\\x0D]+(?={NAME}(?![\\p{{L}}\\p{{N}}\\x27’-]))"
+#: Space between two names of which the first doesn't begin a sentence. It begins with the space: most spaces end there, as no capital follows.
+BETWEEN_NAMES = rf"[\\x20\\x09-\\x0D]+(?={NAME}(?![\\p{{L}}\\p{{N}}\\x27’-]))(?<=[^.!?:\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]\\p{{Lu}}\\p{{Ll}}{{1,40}}[\\x20\\x09-\\x0D]{{1,4}})"
 RUN_FIRST = rf"^[\\x20\\x09-\\x0D]*{NAME}[\\x20\\x09-\\x0D]+{NAME}(?![\\p{{L}}\\p{{N}}\\x27’-])"
 # Punctuation stripped from words, ends of sentences, words for numbers, units.
 PUNCTUATION = ".,;:!?()[]{}\"«»“”„¿¡…"
@@ -97,8 +99,11 @@ def windows_sql(template: str, lengths: list[int], few_slots: bool, bare: list[i
     return _bound(template, "c", _bound(hashes("t"), "t", _bound(hashes("raw"), "b", f"concat({', '.join(every)})")))
 
 
-def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, item, n_windows, n_found) of each document and item with a consistent hit; n_found of the n_windows windows of the item's best view."""
+def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
+    """(doc, item, n_windows, n_found) of each document and item with a consistent hit; n_found of the n_windows windows of the item's best view.
+
+    share: what the caller asks for at least; items that reach less may have fewer windows found.
+    """
     items = benchmark.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text")).where("item IS NOT NULL").dropDuplicates(["item"])
     first_names = f"CASE WHEN text RLIKE '{RUN_FIRST}' THEN {_bound(template_sql("concat('x ', text)"), 'c', 'slice(c, 2, greatest(size(c) - 1, 0))')} END"
     views = items.select("item", F.expr(template_sql("text")).alias("c0"), F.expr(template_sql("text", False)).alias("c1"), F.expr(first_names).alias("c2"))
@@ -123,8 +128,7 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         docs.select("doc", "h", F.explode(F.expr(windows_sql(template_sql("text"), lengths, False, bare))).alias("w"))
         .select("doc", "h", F.col("w.place").alias("place"), "w.hash")
     )
-    hits = found.join(wanted, "hash").select("doc", "h", "item", "view", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-    hits = staged(hits, "hits")
+    hits = staged(_hits(found, wanted, share), "hits")
 
     # Slots of the copies: places of the item that a hit covers and that hold a placeholder.
     placeholder = "left(w.t, 1) = '<' and right(w.t, 1) = '>'"
@@ -142,6 +146,28 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     return best.select("doc", "item", "b.n_found", "b.n_windows")
 
 
+def _hits(found: DataFrame, wanted: DataFrame, share: float) -> DataFrame:
+    """(doc, h, item, view, item_place, diagonal) of equal windows of documents and items.
+
+    Windows of documents meet the distinct hashes first. A window of more than MOST_ITEMS items meets them only in documents that
+    share another window with the item, except for items of which such windows alone could be `share`: nothing is lost, and a
+    phrase that thousands of items begin with doesn't give each document that has it thousands of rows.
+    """
+    hashes = wanted.groupBy("hash").agg(F.count("*").alias("n_items"))
+    met = staged(found.join(hashes, "hash").select("doc", "h", "place", "hash", (F.col("n_items") > MOST_ITEMS).alias("often")), "met")
+    if met.where("often").isEmpty():
+        pairs = met.join(wanted, "hash")
+    else:
+        marked = wanted.join(hashes, "hash").withColumn("often", F.col("n_items") > MOST_ITEMS)
+        enough = marked.groupBy("item", "view").agg((F.count_if("often") >= share * F.count("*")).alias("alone"))
+        marked = staged(marked.join(enough, ["item", "view"]).select("item", "view", "item_place", "hash", "often", "alone"), "marked")
+        first = staged(met.drop("often").join(marked.where("NOT often OR alone").drop("often", "alone"), "hash"), "rare")
+        known = first.select("doc", "h", "item", "view").distinct()
+        more = met.where("often").drop("often").join(known, ["doc", "h"]).join(marked.where("often AND NOT alone").drop("often", "alone"), ["hash", "item", "view"])
+        pairs = first.unionByName(more)
+    return pairs.select("doc", "h", "item", "view", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """One row per row of df: key, n_items (benchmark items in it), first_item (the least), n_found (their windows), contaminated.
 
@@ -149,7 +175,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     judged together, so are rows without a key. Other columns are not read. Without items, or without rows, nothing
     is contaminated.
     """
-    pairs = matches(df, benchmark, key, text).where(F.col("n_found") >= share * F.col("n_windows"))
+    pairs = matches(df, benchmark, key, text, share=share).where(F.col("n_found") >= share * F.col("n_windows"))
     by_doc = staged(pairs.groupBy("doc").agg(F.count("*").alias("n_items"), F.min("item").alias("first_item"), F.sum("n_found").alias("n_found")), "contaminated")
     doc = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID))
     out = df.select(F.col(f"`{key}`").alias("_key"), doc.alias("doc")).join(by_doc, "doc", "left")
@@ -162,7 +188,7 @@ def clean(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
     Rows that repeat a key, and rows without one, are judged together: if one holds an item, all go.
     """
-    pairs = matches(df, benchmark, key, text).where(F.col("n_found") >= share * F.col("n_windows"))
+    pairs = matches(df, benchmark, key, text, share=share).where(F.col("n_found") >= share * F.col("n_windows"))
     own = free_name(df, "_own")
     bad = staged(pairs.select(F.col("doc").alias(own)).distinct(), "bad")
     return df.withColumn(own, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LEAST_ID))).join(short_list(bad), own, "left_anti").drop(own)

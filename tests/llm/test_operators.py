@@ -144,6 +144,39 @@ def test_decontamination_of_copies_in_any_case(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 2, 8: 2, 9: 2, 10: None, 11: 2}
 
 
+def test_a_window_of_many_items(spark):
+    """500 items begin alike: documents with that beginning meet only the items that they share more with, and those are found."""
+    begin = prose(14)
+    items = [(i, f"{begin} {prose(30)}") for i in range(500)]
+    rows = [(i, f"{prose(20)} {begin} {prose(20)}") for i in range(20)] + [(100 + i, f"{prose(9)} {items[i][1]} {prose(9)}") for i in range(4)]
+    bench, calls = spark.createDataFrame(items, "item_id long, text string"), []
+    plain, decontamination._hits = decontamination._hits, lambda *a: calls.append(plain(*a)) or calls[-1]
+    try:
+        got = {r.doc_id: (r.n_items, r.first_item) for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    finally:
+        decontamination._hits = plain
+    assert got == {i: (0, None) for i in range(20)} | {100 + i: (1, i) for i in range(4)}
+    assert calls[0].count() < 4 * 45
+
+
+def test_hashes_of_a_long_text_need_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from palimpsest.llm import hashing
+
+    words = [prose(1) for _ in range(997)]
+    long = " ".join(words * 3000)
+    texts = pa.array([long, "", None, " ".join(words)], pa.string())
+    tracemalloc.start()
+    hashes, first = hashing.words_of(texts)
+    assert tracemalloc.get_traced_memory()[1] < 10 * len(long)
+    tracemalloc.stop()
+    assert first.tolist() == [0, 997 * 3000, 997 * 3000, 997 * 3000, 997 * 3001]
+    assert (hashes.reshape(-1, 997) == hashing.words_of(pa.array([" ".join(words)]))[0]).all()
+
+
 def test_toxicity_learns_marked_words():
     clean, toxic = [prose(40) for _ in range(60)], [prose(20) + " vilewordly " + prose(20) for _ in range(60)]
     model = toxicity.fit(clean + toxic, [0] * 60 + [1] * 60)
