@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources import lines
+
 #: Bytes from which a text is kept, and over which it is cut.
 LEAST_BYTES, MOST_BYTES = 50, 2000
 
 
-def transcript_texts(lines: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:
+def transcript_texts(rows: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:
     """(key, part, content) of JSON lines: message.content (text, or blocks with texts), else the top content.
 
     Texts under LEAST_BYTES are left out; those over MOST_BYTES are cut to as many characters, with "..." after them
@@ -22,7 +24,7 @@ def transcript_texts(lines: DataFrame, key: str = "line_id", line: str = "line")
     def kept(array: str) -> str:
         return f"filter({array}, t -> octet_length(t) >= {LEAST_BYTES})"
 
-    rows = lines.select(key, F.expr(f"try_parse_json(`{line}`)").alias("v"))
+    rows = rows.select(key, F.expr(f"try_parse_json(`{line}`)").alias("v"))
     rows = rows.select(key, *(F.expr(f"try_variant_get(v, '{path}', 'variant')").alias(name) for name, path in (("inner", "$.message.content"), ("outer", "$.content"))))
     blocks = "transform(transform(try_variant_get(inner, '$', 'array<variant>'), b -> try_variant_get(b, '$.text', 'variant')), t -> " + text("t") + ")"
     found = rows.withColumn("texts", F.expr(kept(f"CASE WHEN schema_of_variant(inner) = 'STRING' THEN array(CAST(inner AS STRING)) ELSE {blocks} END")))
@@ -49,15 +51,15 @@ def list_files(spark, folder: str, pattern: str = "*.jsonl") -> DataFrame:
 
 
 def read_lines(spark, folder: str) -> DataFrame:
-    """(line_id, line) of transcript files: line_id has the file and the line's place in it among those that Spark reads together."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(folder)
-    return rows.select(F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).alias("line_id"), F.col("value").alias("line"))
+    """(line_id, line) of transcript files: line_id has the file and the line's number in it, from 1."""
+    rows = lines.read_lines(spark, folder)
+    return rows.select(F.struct("file", F.col("line_number").alias("n")).alias("line_id"), "line")
 
 
-def bad_lines(lines: DataFrame, group: str = "file", line: str = "line") -> DataFrame:
+def bad_lines(rows: DataFrame, group: str = "file", line: str = "line") -> DataFrame:
     """(group, n_lines, n_bad): lines that aren't JSON are counted, they end nothing."""
     bad = F.expr(f"try_parse_json(`{line}`) IS NULL AND trim(`{line}`) <> ''")
-    return lines.groupBy(group).agg(F.count("*").alias("n_lines"), F.count_if(bad).alias("n_bad"))
+    return rows.groupBy(group).agg(F.count("*").alias("n_lines"), F.count_if(bad).alias("n_bad"))
 
 
 def ingested(texts: DataFrame, known: DataFrame, confidence: float = 0.7, agent: str = "transcript_ingest") -> DataFrame:
