@@ -77,6 +77,11 @@ def template_sql(text: str, names: bool = True) -> str:
     return _bound(words, "r", _bound(bare, "b", _bound("transform(b, w -> lower(w))", "l", made)))
 
 
+def _hash_at(n: int, first: str = "t", rest: str = "t", mark: str = "") -> str:
+    """SQL of the hash of the n words from place i (from 1) on; word by word, as slices of arrays are copied."""
+    return f"xxhash64(get({first}, i - 1){''.join(f', get({rest}, i + {j - 1})' for j in range(1, n))}{mark})"
+
+
 def windows_sql(template: str, lengths: list[int], few_slots: bool, bare: list[int] | None = None) -> str:
     """SQL of array<struct<place, hash>>: the windows of a template, of each of the lengths, and of its bare words, of the lengths in bare.
 
@@ -89,12 +94,12 @@ def windows_sql(template: str, lengths: list[int], few_slots: bool, bare: list[i
         places = f"if(size(t) >= {n}, sequence(1, size(t) - {n} + 1), array())"
         if few_slots:
             places = f"filter({places}, i -> size(filter(slice(c.t, i, {n}), w -> left(w, 1) = '<' and right(w, 1) = '>')) <= {int(n * MOST_SLOTS)})"
-        every.append(f"transform({places}, i -> struct(i as place, xxhash64(slice(t, i, {n})) as hash))")
+        every.append(f"transform({places}, i -> struct(i as place, {_hash_at(n)} as hash))")
         if not few_slots:
             named = f"filter({places}, i -> t[i - 1] = xxhash64('<name>'))"
-            every.append(f"transform({named}, i -> struct(i as place, xxhash64(concat(slice(b, i, 1), slice(t, i + 1, {n - 1}))) as hash))")
+            every.append(f"transform({named}, i -> struct(i as place, {_hash_at(n, 'b')} as hash))")
     for n in bare or []:
-        every.append(f"transform(if(size(b) >= {n}, sequence(1, size(b) - {n} + 1), array()), i -> struct(i as place, xxhash64(slice(b, i, {n}), 'bare') as hash))")
+        every.append(f"transform(if(size(b) >= {n}, sequence(1, size(b) - {n} + 1), array()), i -> struct(i as place, {_hash_at(n, 'b', 'b', ", 'bare'")} as hash))")
     hashes = lambda of: f"transform(c.{of}, w -> xxhash64(w))"
     return _bound(template, "c", _bound(hashes("t"), "t", _bound(hashes("raw"), "b", f"concat({', '.join(every)})")))
 
