@@ -97,3 +97,32 @@ def bursts(events: DataFrame, gap: str = "30 minutes", least: int = 3) -> DataFr
     """(user_id, start, n): sessions with gaps under `gap` and `least` events or more."""
     rows = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return rows.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+#: Mean distance of a concept's members from which it is tense.
+TENSE = 0.4
+
+
+def stats(records: DataFrame, edges: DataFrame, members: DataFrame, spread: DataFrame) -> DataFrame:
+    """(section, name, value): the figures of a status report; each section is one aggregation, its figures are rows.
+
+    records: (type, tier, deleted_at, confidence, processing_depth, has: whether it has a vector); edges: (weight, n); members: (concept, ...); spread: (tension) of each concept.
+    """
+
+    def section(rows: DataFrame, name: str, figures: dict) -> DataFrame:
+        made = rows.agg(*(F.round(v.cast("double"), 6).alias(k) for k, v in figures.items()))
+        return made.select(F.lit(name).alias("section"), F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in figures))).alias("f")).select("section", "f.*")
+
+    def counted(column: str) -> DataFrame:
+        return records.groupBy(F.col(column).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(column).alias("section"), "name", "value")
+
+    total = F.count("*")
+    out = section(records, "memories", {
+        "total": total, "active": F.count_if(F.col("deleted_at").isNull()), "with_vectors": F.count_if("has"), "confidence": F.avg(F.coalesce("confidence", F.lit(0.5))),
+        "maturity": F.avg(F.coalesce("processing_depth", F.lit(0.0))),
+    })
+    out = out.unionByName(counted("type")).unionByName(counted("tier"))
+    out = out.unionByName(section(edges, "links", {"total": total, "weight": F.avg("weight"), "most": F.max("weight"), "retrievals": F.sum("n")}))
+    n = F.count_distinct("concept")
+    out = out.unionByName(section(members, "concepts", {"total": n, "size": F.try_divide(total, n)}))
+    return out.unionByName(section(spread, "tension", {"concepts": F.count_if(F.col("tension") > TENSE), "mean": F.avg("tension"), "most": F.max("tension")}))
