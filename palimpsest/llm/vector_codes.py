@@ -141,7 +141,7 @@ def compressed(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
         raise ValueError("an index has two hexadecimal digits")
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(FINE.format("v"))
     most = rows.select(F.max(F.array_max(F.transform("v", F.abs))).alias("x"), F.max(F.size("v")).alias("n")).first()
-    if (SCALE * (most.x or 0) + 1) ** 2 * (most.n or 0) >= MOST:
+    if SCALE * (most.x or 0) + 1 >= (MOST / max(1, most.n or 0)) ** 0.5:
         raise ValueError(f"components of up to {most.x}: squared distances could leave 64 bits")
     whole = staged(rows.select("id", "label", F.expr(f"transform(v, x -> floor({SCALE}D * x))").alias("x"), F.lit(None).cast("binary").alias("code")), "vectors")
     even = whole.where(f"size(x) % {parts} = 0")
