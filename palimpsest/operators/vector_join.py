@@ -77,11 +77,11 @@ def halves(x: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def pivots_of(vectors: DataFrame, n: int) -> np.ndarray:
-    """Pivots for vectors (id, embedding) of n components: centres of the vectors whose ids hash lowest, at most SAMPLE."""
+def pivots_of(vectors: DataFrame, n: int, count: int) -> np.ndarray:
+    """Pivots for `count` vectors (id, embedding) of n components: centres of the vectors whose ids hash lowest, at most SAMPLE."""
     rows = vectors.where(F.size("embedding") == n)
     sample = rows.select("embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    k = min(PIVOTS, max(1, rows.count() // PIVOT_ROWS))
+    k = min(PIVOTS, max(1, count // PIVOT_ROWS))
     return centres(unit(np.array([[c or 0.0 for c in r.embedding] for r in sample], float)), k)
 
 
@@ -133,7 +133,8 @@ def block_pairs(left: DataFrame, right: DataFrame, radius: float, same: bool) ->
 
     first = left.select(F.size("near").alias("w")).first()
     width = first.w if first else 0
-    mine, theirs = limits(left), limits(right)
+    mine = limits(left)
+    theirs = mine if same else limits(right)
     kept = [(p, q) for p, (pn, pf) in mine.items() for q, (qn, qf) in theirs.items() if max((pn - qf).max(initial=0), (qn - pf).max(initial=0)) <= radius]
     parts = left.sparkSession.createDataFrame(kept, "part int, part_b int")
     meta = ["part", "salt", "k", "near", "far", "centre", "radius"]
@@ -155,13 +156,14 @@ def alike(left: DataFrame, right: DataFrame | None, least: float, counted: list
     same = right is None
     left = left.where("id IS NOT NULL AND embedding IS NOT NULL")
     right = left if same else right.where("id IS NOT NULL AND embedding IS NOT NULL")
-    sizes = left.select(F.size("embedding").alias("n")).distinct()
-    lengths = [r.n for r in (sizes if same else sizes.intersect(right.select(F.size("embedding").alias("n")))).collect() if r.n]
+    by_length = lambda rows: {r.n: r["count"] for r in rows.groupBy(F.size("embedding").alias("n")).count().collect() if r.n}
+    counts = by_length(left)
+    lengths = counts if same else counts.keys() & by_length(right).keys()
     radius = math.sqrt(max(0.0, 2 - 2 * (least - SLACK))) + SLACK
     key, data = ["part", "salt", "k", "part_b", "salt_b", "k_b"], ["n", "ids", "data"]
     out = None
     for n in lengths:
-        pivots = pivots_of(left, n)
+        pivots = pivots_of(left, n, counts[n])
         one = blocks(left, n, pivots)
         two = one if same else blocks(right, n, pivots)
         met = staged(block_pairs(one, two, radius, same), "block_pairs")
