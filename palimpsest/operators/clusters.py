@@ -22,7 +22,7 @@ RAPID, COHESION, EXODUS, IDENTITY, CYCLES = 0.3, -0.2, 0.5, 0.5, 5
 def clusters(vectors: DataFrame, least: float = LINK, members: int = LEAST_MEMBERS) -> DataFrame:
     """(id, cluster, size) of vectors (id, embedding): connected components of likeness `least`, those of `members` or more; cluster is the least id.
 
-    All vectors take part: pairs are found in blocks, components in rounds over links, neither on the driver.
+    All vectors take part: a spanning forest of the links of each task, components in rounds over those, neither on the driver.
     """
     return members_of(extended(None, None, vectors, least), members)
 
@@ -32,12 +32,10 @@ def extended(labels: DataFrame | None, old: DataFrame | None, new: DataFrame, le
 
     New vectors meet each other and the old ones, old ones don't meet again; the old components that a link joins are merged.
     """
-    links = semantic_pairs(new, least).select("a", "b")
+    links = semantic_pairs(new, least, forest=True).select("a", "b")
     if labels is None or old is None:
         return components(links)
-    key = dict(new.dtypes)["id"]
-    across = alike(new, old, least)
-    return merged(labels, links.unionByName(across.select(F.col("a").cast(key).alias("a"), F.col("b").cast(key).alias("b"))))
+    return merged(labels, links.unionByName(alike(new, old, least, forest=True).select("a", "b")))
 
 
 def members_of(labels: DataFrame, members: int = LEAST_MEMBERS) -> DataFrame:
@@ -62,7 +60,7 @@ def merges(nodes: DataFrame, least: float = MERGE) -> DataFrame:
 
     Chains are followed to their ends, so that no concept goes into one that is merged too.
     """
-    pairs = semantic_pairs(nodes.select(F.col("concept").alias("id"), F.col("centroid").alias("embedding")), least)
+    pairs = semantic_pairs(nodes.select(F.col("concept").alias("id"), F.col("centroid").alias("embedding")), least, forest=True)
     return components(pairs.select("a", "b")).where("id <> root").select(F.col("id").alias("concept"), F.col("root").alias("into"))
 
 
@@ -89,7 +87,7 @@ def assigned(vectors: DataFrame, nodes: DataFrame, least: float = SAME) -> DataF
     An exact join of blocks of vectors and blocks of centroids, however many nodes there are.
     """
     near = alike(vectors.select("id", "embedding"), nodes.select(F.col("concept").alias("id"), F.col("centroid").alias("embedding")), least)
-    near = near.select(F.col("a").cast(dict(vectors.dtypes)["id"]).alias("id"), F.col("b").cast(dict(nodes.dtypes)["concept"]).alias("concept"), F.col("similarity").alias("likeness"))
+    near = near.select(F.col("a").alias("id"), F.col("b").alias("concept"), F.col("similarity").alias("likeness"))
     best = near.groupBy("id").agg(F.min_by(F.struct("concept", "likeness"), F.struct(-F.col("likeness"), "concept")).alias("b"))
     return best.select("id", "b.concept", "b.likeness")
 

@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     labels, left = None, edges.select("a", "b")
     while True:
-        both = staged(left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+        both = staged(left.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
         if labels is not None and both.isEmpty():
             dropped(both)
             return labels

@@ -1,4 +1,4 @@
-"""Exact joins of vectors by cosine: blocks of near vectors, and of pairs of blocks only those that can hold a link.
+"""Exact joins of vectors by cosine: bundles of blocks of near vectors, and of pairs of blocks only those that can hold a link.
 
 1. At most PIVOTS centres of a bounded sample are the pivots. A vector belongs to its nearest pivot, and the vectors of a
    pivot are dealt to groups of at most about GROUP. In a group, shells of like distance from the pivot are halved again
@@ -6,10 +6,11 @@
 2. A block keeps its centre and radius and, for each pivot, the least and the greatest distance of its vectors from it. By
    the triangle inequality two vectors lie at least as far apart as their distances from any one pivot differ, and as
    their blocks' centres less both radii. Unit vectors of cosine c lie sqrt(2 - 2c) apart: blocks further apart than that hold no link.
-3. Pairs of pivots are judged first, from the limits of all their blocks (at most PIVOTS rows), then pairs of their
-   blocks, by limits alone. Vectors move only for pairs of blocks that are left: one product of matrices each.
+3. Groups are put together to about BUNDLES bundles, more if one would be over BUNDLE_BYTES. Pairs of bundles are judged by the
+   limits of all their blocks; a bundle moves once for each that it meets. A task holds two bundles and multiplies
+   those of their blocks that can hold a link, in single precision with room for its errors; what may be a link is computed again in double.
 
-Neither table is copied to every task, nothing is broadcast but the pivots, and no pair of blocks is missed.
+So a vector moves about BUNDLES times, whatever the number of links and blocks; links leave a task as they are found. No pair of blocks is missed.
 """
 
 from __future__ import annotations
@@ -28,9 +29,13 @@ SAMPLE, PIVOTS, GROUP, BLOCK = 4096, 64, 8192, 256
 PIVOT_ROWS = 64
 #: Width of a shell.
 SHELL = 0.25
+#: Bundles that the vectors of a table make, about, and bytes of vectors that one may hold.
+BUNDLES, BUNDLE_BYTES = 16, 1 << 25
+#: Vectors of the other side in one product of matrices.
+STEP = 16_384
 #: Room for rounding of distances and of scores to six decimals.
 SLACK = 1e-6
-SCHEMA = "part int, salt int, k int, n int, ids array<string>, data binary, near array<double>, far array<double>, centre array<double>, radius double"
+SCHEMA = "bundle int, part int, salt int, k int, n int, ids array<{id}>, tags array<{tag}>, data binary, near array<double>, far array<double>, centre array<double>, radius double"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -86,8 +91,9 @@ def pivots_of(vectors: DataFrame, n: int, count: int) -> np.ndarray:
 
 
 def blocks(vectors: DataFrame, n: int, pivots: np.ndarray) -> DataFrame:
-    """Vectors (id, embedding) of n components as a written table of blocks, see SCHEMA: unit vectors, limits of their distances from each pivot."""
-    rows = vectors.where(F.size("embedding") == n).select(F.col("id").cast("string").alias("id"), F.transform(F.col("embedding").cast("array<double>"), lambda c: F.coalesce(c, F.lit(0.0))).alias("x"))
+    """Vectors (id, embedding, tag) of n components as a written table of blocks, see SCHEMA: unit vectors, limits of their distances from each pivot."""
+    kinds = dict(vectors.dtypes)
+    rows = vectors.where(F.size("embedding") == n).select("id", "tag", F.transform(F.col("embedding").cast("array<double>"), lambda c: F.coalesce(c, F.lit(0.0))).alias("x"))
 
     @F.arrow_udf("int")
     def nearest(column: pa.Array) -> pa.Array:
@@ -95,95 +101,198 @@ def blocks(vectors: DataFrame, n: int, pivots: np.ndarray) -> DataFrame:
 
     placed = staged(rows.withColumn("part", nearest("x")), "placed")
     sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # PIVOTS rows at most
-    salts = F.lit([max(1, -(-sizes.get(k, 0) // GROUP)) for k in range(len(pivots))])
-    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.get(salts, F.col("part"))).cast("int"))
+    most = min(max(GROUP, sum(sizes.values()) // BUNDLES), max(1, BUNDLE_BYTES // (8 * n)))  # vectors of a bundle
+    group = min(GROUP, most)
+    salts, first, each, full = [], [], most // group, 0
+    for k in range(len(pivots)):  # small parts share bundles, a large one has its own
+        size = sizes.get(k, 0)
+        salts.append(max(1, -(-size // group)))
+        if not first:
+            first.append(0)
+        elif size <= group and full + size <= most:
+            first.append(first[-1])
+        else:
+            first.append(first[-1] + -(-salts[k - 1] // each))
+            full = 0
+        full = full + size if size <= group else most
+    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.get(F.lit(salts), F.col("part"))).cast("int"))
+    dealt = dealt.withColumn("bundle", F.get(F.lit(first), F.col("part")) + F.floor(F.col("salt") / each).cast("int"))
 
     def packed(table: pa.Table) -> pa.Table:
         x = unit(table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, n))
-        ids = table.column("id").to_pylist()
         far = distances(x, pivots)
-        first = {"part": table.column("part")[0].as_py(), "salt": table.column("salt")[0].as_py()}
-        rows = []
         shell = np.floor(far.min(1) / SHELL).astype(int)
         shells = [np.flatnonzero(shell == s) for s in np.unique(shell)]
-        for k, own in enumerate(rows_of[part] for rows_of in shells for part in halves(x[rows_of], BLOCK)):
-            centre = x[own].mean(0)
-            ball = {"centre": centre.tolist(), "radius": float(np.sqrt(((x[own] - centre) ** 2).sum(1).max()))}
-            rows.append(first | ball | {"k": k, "n": n, "ids": [ids[i] for i in own], "data": x[own].tobytes(), "near": far[own].min(0).tolist(), "far": far[own].max(0).tolist()})
-        kinds = [("part", pa.int32()), ("salt", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.string())), ("data", pa.binary()), ("near", pa.list_(pa.float64())), ("far", pa.list_(pa.float64())), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]
-        return pa.Table.from_pylist(rows, pa.schema(kinds))
-
-    made = staged(dealt.groupBy("part", "salt").applyInArrow(packed, SCHEMA), "blocks")
+        owns = [rows_of[part] for rows_of in shells for part in halves(x[rows_of], BLOCK)]
+        order, ends = np.concatenate(owns), np.cumsum([0, *map(len, owns)])
+        centre = [x[own].mean(0) for own in owns]
+        made = {c: pa.array([table.column(c)[0].as_py()] * len(owns), pa.int32()) for c in ("bundle", "part", "salt")}
+        made |= {"k": pa.array(range(len(owns)), pa.int32()), "n": pa.array([n] * len(owns), pa.int32())}
+        made |= {to: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.column(c).combine_chunks().take(pa.array(order))) for to, c in (("ids", "id"), ("tags", "tag"))}
+        made |= {"data": pa.array([x[own].tobytes() for own in owns], pa.binary())}
+        made |= {c: pa.array([v.tolist() for v in values], pa.list_(pa.float64())) for c, values in (("near", [far[own].min(0) for own in owns]), ("far", [far[own].max(0) for own in owns]), ("centre", centre))}
+        made |= {"radius": pa.array([float(np.sqrt(((x[own] - c) ** 2).sum(1).max())) for own, c in zip(owns, centre, strict=True)], pa.float64())}
+        return pa.table(made)
+
+    made = staged(dealt.groupBy("bundle", "part", "salt").applyInArrow(packed, SCHEMA.format(**kinds)), "blocks")
     dropped(placed)
     return made
 
 
 def _apart(near: str, far: str, other_near: str, other_far: str, radius: float) -> F.Column:
-    """Whether for some pivot the limits of two blocks differ by more than the radius."""
+    """Whether for some pivot the limits of two bundles differ by more than the radius."""
     gap = f"zip_with(zip_with({near}, {other_far}, (a, b) -> a - b), zip_with({other_near}, {far}, (a, b) -> a - b), (a, b) -> greatest(a, b))"
     return F.expr(f"exists({gap}, g -> g > {radius}D)")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, radius: float, same: bool) -> DataFrame:
-    """(part, salt, k, part_b, salt_b, k_b) of the pairs of blocks that can hold vectors within the radius; same: each pair of blocks of one table once."""
+def bundle_pairs(left: DataFrame, right: DataFrame, n_pivots: int, radius: float, same: bool) -> DataFrame:
+    """(bundle, bundle_b) of the pairs of bundles that can hold vectors within the radius; same: each pair of bundles of one table once."""
 
-    def limits(table):
-        found = table.groupBy("part").agg(*(F.array(*(f(F.col(c)[j]) for j in range(width))).alias(c) for c, f in (("near", F.min), ("far", F.max)))).collect()  # PIVOTS rows at most
-        return {r.part: (np.array(r.near), np.array(r.far)) for r in found}
+    def limits(table):  # BUNDLES rows, or one for each BUNDLE_BYTES
+        return table.groupBy("bundle").agg(*(F.array(*(f(F.col(c)[j]) for j in range(n_pivots))).alias(c) for c, f in (("near", F.min), ("far", F.max))))
 
-    first = left.select(F.size("near").alias("w")).first()
-    width = first.w if first else 0
     mine = limits(left)
-    theirs = mine if same else limits(right)
-    kept = [(p, q) for p, (pn, pf) in mine.items() for q, (qn, qf) in theirs.items() if max((pn - qf).max(initial=0), (qn - pf).max(initial=0)) <= radius]
-    parts = left.sparkSession.createDataFrame(kept, "part int, part_b int")
-    meta = ["part", "salt", "k", "near", "far", "centre", "radius"]
-    met = parts.join(left.select(*meta), "part").join(right.select(*(F.col(c).alias(f"{c}_b") for c in meta)), "part_b")
-    between = F.expr("sqrt(aggregate(zip_with(centre, centre_b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
-    met = met.where((between - F.col("radius") - F.col("radius_b") <= radius) & ~_apart("near", "far", "near_b", "far_b", radius))
-    if same:
-        met = met.where(F.struct("part", "salt", "k") <= F.struct("part_b", "salt_b", "k_b"))
-    return met.select("part", "salt", "k", "part_b", "salt_b", "k_b")
-
-
-def alike(left: DataFrame, right: DataFrame | None, least: float, counted: list | None = None) -> DataFrame:
-    """(a, b, similarity) of vectors (id, embedding) with a cosine of `least` or more, rounded to six decimals; ids as text.
+    met = mine.crossJoin(limits(right).select(*(F.col(c).alias(f"{c}_b") for c in ("bundle", "near", "far")))).where(~_apart("near", "far", "near_b", "far_b", radius))
+    return (met.where("bundle <= bundle_b") if same else met).select("bundle", "bundle_b")
+
+
+class _Bundle:
+    """The blocks of one side of a task: their vectors, ids and tags one after the other, and their limits."""
+
+    def __init__(self, table: pa.Table):
+        column = lambda c: table.column(c).combine_chunks()
+        matrix = lambda c: column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        self.ids, self.tags = column("ids").flatten(), column("tags").flatten()
+        n = table.column("n")[0].as_py()
+        self.x = np.frombuffer(b"".join(v.as_buffer() for v in column("data"))).reshape(-1, n)
+        self.single = self.x.astype(np.float32)
+        self.near, self.far, self.centre, self.radius = matrix("near"), matrix("far"), matrix("centre"), column("radius").to_numpy()
+        self.sizes = column("ids").value_lengths().to_numpy()
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def meets(self, i: int, other: _Bundle, radius: float) -> np.ndarray:
+        """Whether block i can hold vectors within the radius of vectors of each block of the other side."""
+        gap = np.maximum((self.near[i] - other.far).max(1), (other.near - self.far[i]).max(1))
+        between = np.sqrt(((self.centre[i] - other.centre) ** 2).sum(1)) - self.radius[i] - other.radius
+        return (gap <= radius) & (between <= radius)
+
+
+def linked(one: _Bundle, two: _Bundle, least: float, radius: float, same: bool):
+    """Yields places (i, j) and cosines of the vectors of two bundles that are linked; same: one bundle with itself, each pair once."""
+    n = one.x.shape[1]
+    floor = np.float32(least - SLACK - 1e-5 - 1e-7 * n)
+    for b in range(len(one.sizes)):
+        alive = one.meets(b, two, radius)
+        if same:
+            alive[:b] = False
+        at = np.flatnonzero(np.repeat(alive, two.sizes))
+        rows = slice(one.starts[b], one.starts[b + 1])
+        for a in range(0, len(at), STEP):
+            some = at[a : a + STEP]
+            whole = len(some) == some[-1] - some[0] + 1
+            near = one.single[rows] @ (two.single[some[0] : some[-1] + 1] if whole else two.single[some]).T
+            place = np.flatnonzero(near.ravel() >= floor)
+            i, j = place // len(some) + rows.start, some[place % len(some)]
+            if same:
+                once = i < j
+                i, j = i[once], j[once]
+            for c in range(0, len(i), 65_536):
+                m, k = i[c : c + 65_536], j[c : c + 65_536]
+                score = np.round(np.einsum("ij,ij->i", one.x[m], two.x[k]), 6)
+                hit = score >= least
+                if hit.any():
+                    yield m[hit], k[hit], score[hit]
+
+
+def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of the links (i, j) that join trees of root, which is changed: what is linked then has one root, without a link more than that needs."""
+    kept = []
+    left = np.arange(len(i))
+    while len(left):
+        a, b = root[i[left]], root[j[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        root[high] = np.minimum(a, b)[first]
+        kept.append(left[first])
+        while (root[root] != root).any():
+            root[:] = root[root]
+    return np.concatenate(kept) if kept else np.zeros(0, int)
+
+
+def alike(left: DataFrame, right: DataFrame | None, least: float, counted: list | None = None, tag: str | None = None, forest: bool = False, most: int | None = None) -> DataFrame:
+    """(a, b, similarity) of vectors (id, embedding) with a cosine of `least` or more, rounded to six decimals.
 
     right: None for pairs a <> b of one table, each once. Null vectors meet nothing, null components count as 0, vectors of different length
-    don't meet. counted: gets (pairs of blocks compared, pairs of blocks in all) for each length.
+    don't meet. counted: gets (pairs of blocks compared, pairs of blocks in all) for each length. tag: a column of both
+    sides that goes along with the vectors and is given as tag_a and tag_b. forest: of the links that a task finds only those
+    that its components need, so that there are at most as many as vectors. most: of the pairs of a task those that can be
+    among so many most alike ones, ties by the lesser id, then by the greater.
+
+    The pairs aren't written here; the blocks that they are read from stay in the shared folder.
     """
     spark = left.sparkSession
     same = right is None
-    left = left.where("id IS NOT NULL AND embedding IS NOT NULL")
-    right = left if same else right.where("id IS NOT NULL AND embedding IS NOT NULL")
+    wanted = lambda rows: rows.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding", (F.col(tag) if tag else F.lit(None).cast("boolean")).alias("tag"))
+    left = wanted(left)
+    right = left if same else wanted(right)
     by_length = lambda rows: {r.n: r["count"] for r in rows.groupBy(F.size("embedding").alias("n")).count().collect() if r.n}
     counts = by_length(left)
     lengths = counts if same else counts.keys() & by_length(right).keys()
     radius = math.sqrt(max(0.0, 2 - 2 * (least - SLACK))) + SLACK
-    key, data = ["part", "salt", "k", "part_b", "salt_b", "k_b"], ["n", "ids", "data"]
+    kinds = [dict(rows.dtypes) for rows in (left, right)]
+    schema = f"a {kinds[0]['id']}, b {kinds[1]['id']}, similarity double, tag_a {kinds[0]['tag']}, tag_b {kinds[1]['tag']}"
+    columns = ["a", "b", "similarity", *(["tag_a", "tag_b"] if tag else [])]
     out = None
     for n in lengths:
         pivots = pivots_of(left, n, counts[n])
         one = blocks(left, n, pivots)
         two = one if same else blocks(right, n, pivots)
-        met = staged(block_pairs(one, two, radius, same), "block_pairs")
+        met = staged(bundle_pairs(one, two, len(pivots), radius, same), "bundle_pairs")
         if counted is not None:
+            meta = ["bundle", "part", "salt", "k", "near", "far", "centre", "radius"]
+            both = met.join(one.select(*meta), "bundle").join(two.select(*(F.col(c).alias(f"{c}_b") for c in meta)), "bundle_b")
+            between = F.expr("sqrt(aggregate(zip_with(centre, centre_b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
+            both = both.where((between - F.col("radius") - F.col("radius_b") <= radius) & ~_apart("near", "far", "near_b", "far_b", radius))
+            if same:
+                both = both.where(F.struct("bundle", "part", "salt", "k") <= F.struct("bundle_b", "part_b", "salt_b", "k_b"))
             a, b = one.count(), two.count()
-            counted.append((met.count(), a * (a + 1) // 2 if same else a * b))
-        first = met.join(one.select("part", "salt", "k", *data), ["part", "salt", "k"]).select(*key, F.lit(False).alias("second"), *data)
-        other = two.select(*(F.col(c).alias(f"{c}_b") for c in ("part", "salt", "k")), *data)
-        second = met.join(other, ["part_b", "salt_b", "k_b"]).select(*key, F.lit(True).alias("second"), *data)
+            counted.append((both.count(), a * (a + 1) // 2 if same else a * b))
+        own = ["part", "salt", "k", "n", "ids", "tags", "data", "near", "far", "centre", "radius"]
+        first = met.join(one.select("bundle", *own), "bundle").select("bundle", "bundle_b", F.lit(False).alias("second"), *own)
+        second = met.join(two.select(F.col("bundle").alias("bundle_b"), *own), "bundle_b").select("bundle", "bundle_b", F.lit(True).alias("second"), *own)
+        if same:  # a bundle meets itself: it moves once
+            second = second.where("bundle < bundle_b")
 
         def compared(table: pa.Table) -> pa.Table:
-            rows = {r["second"]: r for r in table.to_pylist()}
-            x, y = (np.frombuffer(rows[s]["data"]).reshape(-1, rows[s]["n"]) for s in (False, True))
-            score = np.round(x @ y.T, 6)
-            one_block = same and all(table.column(c)[0].as_py() == table.column(f"{c}_b")[0].as_py() for c in ("part", "salt", "k"))
-            i, j = np.nonzero(np.triu(score >= least, 1) if one_block else score >= least)
-            a, b = (np.array(rows[s]["ids"], object) for s in (False, True))
-            return pa.table([pa.array(a[i].tolist(), pa.string()), pa.array(b[j].tolist(), pa.string()), pa.array(score[i, j], pa.float64())], ["a", "b", "similarity"])
-
-        found = staged(first.unionByName(second).groupBy(*key).applyInArrow(compared, "a string, b string, similarity double"), "alike")
-        dropped(one, met, *([] if same else [two]))
+            itself = same and table.column("bundle")[0].as_py() == table.column("bundle_b")[0].as_py()
+            side = table.column("second").to_numpy()
+            x = _Bundle(table.filter(pa.array(~side)))
+            y = x if itself else _Bundle(table.filter(pa.array(side)))
+            root = np.arange(len(x.x) + len(y.x)) if forest else None
+            found = [[np.zeros(0, int), np.zeros(0, int), np.zeros(0)]]
+            for i, j, score in linked(x, y, least, radius, itself):
+                if forest:
+                    kept = joined(root, i, j + (0 if itself else len(x.x)))
+                    i, j, score = i[kept], j[kept], score[kept]
+                found.append([i, j, score])
+                if most is not None and sum(len(f[2]) for f in found) >= max(65_536, 4 * most):
+                    found = [best(*map(np.concatenate, zip(*found, strict=True)), x, y)]
+            i, j, score = map(np.concatenate, zip(*found, strict=True))
+            if most is not None:
+                i, j, score = best(i, j, score, x, y)
+            arrays = [x.ids.take(pa.array(i)), y.ids.take(pa.array(j)), pa.array(score, pa.float64()), x.tags.take(pa.array(i)), y.tags.take(pa.array(j))]
+            return pa.table(arrays, ["a", "b", "similarity", "tag_a", "tag_b"])
+
+        def best(i, j, score, x, y):
+            if len(score) > most:
+                some = np.flatnonzero(score >= np.partition(score, -most)[-most])
+                i, j, score = i[some], j[some], score[some]
+                ids = [(min(p, q), max(p, q)) for p, q in zip(x.ids.take(pa.array(i)).to_pylist(), y.ids.take(pa.array(j)).to_pylist(), strict=True)]
+                order = sorted(range(len(ids)), key=lambda k: (-score[k], ids[k]))[:most]
+                i, j, score = i[order], j[order], score[order]
+            return i, j, score
+
+        found = first.unionByName(second).groupBy("bundle", "bundle_b").applyInArrow(compared, schema).select(*columns)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "a string, b string, similarity double")
+    return out if out is not None else spark.createDataFrame([], schema).select(*columns)

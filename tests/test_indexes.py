@@ -173,3 +173,21 @@ def test_many_empty_searches_change_the_order(spark, run, factor):
     score = lambda q: {r.id: r.score for r in retrieval.ranked(fused, m, q, edges, now).collect()}
     before, after = score(plain), score(plain.withColumn("empty_run", F.lit(run)))
     assert (after["new"] > before["new"]) == factor and (factor or after == before)
+
+
+def test_vector_join_over_bundles(spark, monkeypatch):
+    """Several bundles: pairs with tags, the most alike ones, and forests that have the components of all links."""
+    for name, value in (("GROUP", 64), ("BLOCK", 16), ("BUNDLE_BYTES", 64 * 8 * 24), ("STEP", 100)):
+        monkeypatch.setattr(vector_join, name, value)
+    x = planted(600)
+    df = spark.createDataFrame([(i, v, f"t{i % 7}") for i, v in enumerate(x.tolist())], "id long, embedding array<double>, tag string")
+    c = cosines(x)
+    i, j = np.nonzero(np.triu(c >= 0.5, 1))
+    got = retrieval.semantic_pairs(df, 0.5, "tag").collect()
+    assert {(r.a, r.b) for r in got} == set(zip(i.tolist(), j.tolist(), strict=True)) and len(got) == len(i)
+    assert all((r.tag_a, r.tag_b) == (f"t{r.a % 7}", f"t{r.b % 7}") for r in got)
+    order = sorted(zip((-c[i, j]).tolist(), i.tolist(), j.tolist(), strict=True))[:9]
+    assert [(r.a, r.b) for r in analysis.similar_pairs(df, 0.5, 9).collect()] == [(a, b) for _, a, b in order]
+    links = retrieval.semantic_pairs(df, 0.5, forest=True).collect()
+    assert len(links) < len(i) / 2
+    assert len(vector_join.joined(np.arange(len(x)), np.array([r.a for r in links]), np.array([r.b for r in links]))) == len(vector_join.joined(np.arange(len(x)), i, j))
