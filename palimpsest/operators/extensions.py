@@ -38,18 +38,34 @@ def _words(text: str) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}']+"))
 
 
-def contradictions(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, kind, penalty) of pairs (a, b) of alike texts (id, text): only one of them denies, or one has a word and the other its opposite."""
-    words = texts.select("id", _words("text").alias("w"))
-    left, right = (words.select(F.col("id").alias(c), F.col("w").alias(f"w{c}")) for c in "ab")
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b")
-    denies = [F.arrays_overlap(f"w{c}", F.array(*map(F.lit, NEGATIONS))) for c in "ab"]
-    opposite = F.lit(False)
-    for one, other in (p.split() for p in ANTONYMS):
-        for x, y in (("wa", "wb"), ("wb", "wa")):
-            opposite = opposite | (F.array_contains(x, one) & F.array_contains(y, other))
-    kinds = F.array(F.when(denies[0] != denies[1], "negation"), F.when(opposite, "antonym"))
-    return rows.select("a", "b", F.explode(F.array_compact(kinds)).alias("kind")).withColumn("penalty", by_value(PENALTIES, F.col("kind"), 0.0))
+def stance(text: Column) -> Column:
+    """(denies, one, other) of a text: whether it has a word that denies, and a bit for each pair of ANTONYMS of which it has the first, or the second, word."""
+    words = _words(text)
+    none = F.lit(0).cast("long")
+
+    def mask(side: int) -> Column:
+        bits: dict[str, int] = {}
+        for k, pair in enumerate(ANTONYMS):
+            bits[pair.split()[side]] = bits.get(pair.split()[side], 0) | 1 << k
+        known = F.create_map(*(c for word, b in bits.items() for c in (F.lit(word), F.lit(b).cast("long"))))
+        return F.aggregate(words, none, lambda m, w: m.bitwiseOR(F.coalesce(known[w], none)))
+
+    return F.struct(F.arrays_overlap(words, F.array(*map(F.lit, NEGATIONS))).alias("denies"), mask(0).alias("one"), mask(1).alias("other"))
+
+
+def contradictions(pairs: DataFrame, texts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, kind, penalty) of pairs (a, b) of alike texts (id, text): only one of them denies, or one has a word and the other its opposite.
+
+    texts: None if the pairs have the stances of their texts as tag_a and tag_b. keep: further columns of the pairs.
+    """
+    rows = pairs
+    if texts is not None:
+        made = texts.select("id", stance(F.col("text")).alias("tag"))
+        for c in "ab":
+            rows = rows.join(made.select(F.col("id").alias(c), F.col("tag").alias(f"tag_{c}")), c)
+    opposite = F.expr("(tag_a.one & tag_b.other) | (tag_a.other & tag_b.one)") != 0
+    kinds = F.array(F.when(F.col("tag_a.denies") != F.col("tag_b.denies"), "negation"), F.when(opposite, "antonym"))
+    return rows.select("a", "b", *keep, F.explode(F.array_compact(kinds)).alias("kind")).withColumn("penalty", by_value(PENALTIES, F.col("kind"), 0.0))
 
 
 def credibility(votes: DataFrame) -> DataFrame:
@@ -59,20 +75,35 @@ def credibility(votes: DataFrame) -> DataFrame:
     return counted.select("source", F.round(clamp(value, CREDIBILITY["least"], CREDIBILITY["most"]), 6).alias("credibility"))
 
 
-def resolved(pairs: DataFrame, records: DataFrame, now: Column) -> DataFrame:
-    """(a, b, chosen) of contradicting pairs: the record (id, confidence, created_at, credibility) with the greater weighted score, the least id among equals."""
+def weighed(records: DataFrame, now: Column) -> DataFrame:
+    """(id, score) of records (id, confidence, created_at, credibility): their weight where they contradict each other."""
     score = RESOLUTION["confidence"] * F.coalesce("confidence", F.lit(0.5)) + RESOLUTION["recency"] * recency(F.col("created_at"), now) + RESOLUTION["credibility"] * F.coalesce("credibility", F.lit(CREDIBILITY["initial"]))
-    scored = records.select("id", F.round(score, 6).alias("score"))
-    left, right = (scored.select(F.col("id").alias(c), F.col("score").alias(f"s{c}")) for c in "ab")
-    rows = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    return rows.select("a", "b", F.when((F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b")).alias("chosen"))
-
-
-def same_by_type(pairs: DataFrame, types: DataFrame) -> DataFrame:
-    """Pairs (a, b, similarity) of records (id, type) of one type that are alike enough for it."""
-    left, right = (types.select(F.col("id").alias(c), F.col("type").alias(f"t{c}")) for c in "ab")
-    rows = pairs.join(left, "a").join(right, "b").where("ta = tb")
-    return rows.where(F.col("similarity") >= by_value(DEDUP_LIKENESS, F.col("ta"), DEFAULT_LIKENESS)).select("a", "b", "similarity", F.col("ta").alias("type"))
+    return records.select("id", F.round(score, 6).alias("score"))
+
+
+def resolved(pairs: DataFrame, records: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """(a, b, chosen) of contradicting pairs: the record (see `weighed`) with the greater score, the least id among equals.
+
+    records: None if the pairs have the scores as score_a and score_b.
+    """
+    rows = pairs
+    if records is not None:
+        scored = weighed(records, now)
+        rows = rows.select("a", "b").distinct()
+        for c in "ab":
+            rows = rows.join(scored.select(F.col("id").alias(c), F.col("score").alias(f"score_{c}")), c)
+    first = (F.col("score_a") > F.col("score_b")) | ((F.col("score_a") == F.col("score_b")) & (F.col("a") < F.col("b")))
+    made = rows.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("chosen"))
+    return made if records is not None else made.distinct()
+
+
+def same_by_type(pairs: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, similarity) of records (id, type) of one type that are alike enough for it; types: None if the pairs have them as tag_a and tag_b."""
+    rows = pairs
+    if types is not None:
+        for c in "ab":
+            rows = rows.join(types.select(F.col("id").alias(c), F.col("type").alias(f"tag_{c}")), c)
+    return rows.where("tag_a = tag_b").where(F.col("similarity") >= by_value(DEDUP_LIKENESS, F.col("tag_a"), DEFAULT_LIKENESS)).select("a", "b", "similarity", F.col("tag_a").alias("type"))
 
 
 def depth(level: Column) -> Column:
