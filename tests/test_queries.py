@@ -43,3 +43,12 @@ def test_searches_ask_every_twentieth_vector(spark, name):
     asked = {r.query_id for r in entry.queries()[name](spark, DATA).select("query_id").distinct().collect()}
     assert asked <= wanted and any(i % 100 for i in asked)
     assert len(asked) >= len(wanted) - 1  # a query may have nothing over the least score
+
+
+def test_neighbours_where_parts_have_the_numbers_of_suppliers(spark, tmp_path):
+    rows = [(1000020, 1), (1000020, 2), (40, 20), (1000040, 40), (60, 1), (80, None), (None, 3), (7, 20)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    made = [tuple(r) for r in entry.queries()["code_neighbours"](spark, str(tmp_path)).select("seed", "id", "steps").collect()]
+    assert sorted(map(str, made)) == sorted(map(str, con.sql(entry.oracle_sql()["code_neighbours"]).fetchall()))
