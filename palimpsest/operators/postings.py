@@ -78,7 +78,7 @@ class Postings:
         """(query_id, id, score) as `retrieval.bm25` gives it for the records that are there; no text is read."""
         asked = asked_terms(queries, sparse)
         total = self._read("stats", STATS).agg(F.sum("docs").alias("n"), F.try_divide(F.sum("words"), F.sum("docs")).alias("avg_len"))
-        return ranked_postings(self.postings(asked), total, asked, k, monotone, any_term)
+        return ranked_postings(staged(self.postings(asked), "found"), staged(total, "total"), asked, k, monotone, any_term)
 
     def compacted(self, path: str) -> Postings:
         """The index in a new folder, as one version without what is replaced or deleted."""

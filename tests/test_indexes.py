@@ -191,3 +191,53 @@ def test_vector_join_over_bundles(spark, monkeypatch):
     links = retrieval.semantic_pairs(df, 0.5, forest=True).collect()
     assert len(links) < len(i) / 2
     assert len(vector_join.joined(np.arange(len(x)), np.array([r.a for r in links]), np.array([r.b for r in links]))) == len(vector_join.joined(np.arange(len(x)), i, j))
+
+
+def test_search_over_slots(spark, monkeypatch):
+    """Slots of a few postings, copies and equal questions give the ranks of one slot; no row is made for each question and record."""
+    text = lambda n: " ".join(["red", "green", "blue", "old", "new", "tree"][k] for k in RNG.integers(0, 6, n))
+    rows = [(f"m{i:03}", f"p{i % 3}" if i % 4 else "global", text(int(RNG.integers(2, 9))), None) for i in range(150)]
+    rows += [(f"c{i:03}", "global", "red tree", None) for i in range(150)]
+    asked = spark.createDataFrame([(i, text(2), ["p0", "p1", "global"][i % 3]) for i in range(60)] + [(99, "a", "p0")], "query_id long, text string, project string")
+    asked = asked.withColumn("more", F.array(F.lit("old"), F.lit("none")))
+    df = records(spark, rows)
+    words = {i: t.split() for i, _, t, _ in rows}
+    n, avg = len(words), sum(map(len, words.values())) / len(words)
+    df_of = {t: sum(t in w for w in words.values()) for t in ("red", "green", "blue", "old", "new", "tree")}
+    for any_term, sparse in ((False, None), (True, None), (False, "more")):
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "SLOT_POSTINGS", 40)
+            got = ranks(retrieval.bm25(df, asked, 7, any_term=any_term, sparse=sparse))
+        want = []
+        for q in asked.collect():
+            must = {t for t in q.text.split() if len(t) > 1}
+            use = must | ({"old"} if sparse else set())
+            found = []
+            for i, p, _, _ in rows:
+                own = words[i]
+                if p not in (q.project, "global") or not use & set(own) or not (any_term or must <= set(own)):
+                    continue
+                norm = lambda t: own.count(t) * 2.2 / (own.count(t) + 1.2 * (0.25 + 0.75 * len(own) / avg))  # noqa: E731, B023
+                found.append((-round(sum(max(np.log((n - df_of[t] + 0.5) / (df_of[t] + 0.5)), 1e-6) * norm(t) for t in use if t in own), 6), i))
+            want += [(q.query_id, i, -s) for s, i in sorted(found)[:7]]
+        assert [(q, i) for q, i, _ in got] == [(q, i) for q, i, _ in sorted(want)]
+        assert np.allclose([s for *_, s in got], [s for *_, s in sorted(want)], atol=1.1e-6)
+
+
+def test_search_by_concept_reads_representatives(spark):
+    members = [(c, f"m{i:03}", 1.0 if i % 3 else 0.5) for i in range(300) for c in ((i % 4,) if i % 5 else (i % 4, 9))]
+    df = spark.createDataFrame(members, "concept long, id string, probability double")
+    kept = retrieval.representatives(df, 5).collect()
+    assert len(kept) < len(members) / 2
+    nodes = spark.createDataFrame([(c, [1.0, c / 9], 10) for c in (0, 1, 2, 3, 9)], "concept long, centroid array<double>, size long")
+    asked = spark.createDataFrame([(i, [1.0, i / 4]) for i in range(5)], "query_id long, vector array<double>")
+    got = ranks(retrieval.concepts(df, nodes, asked, 5, 0.1))
+    want = []
+    for i in range(5):
+        cos = {c: round((1 + i / 4 * c / 9) / np.hypot(1, i / 4) / np.hypot(1, c / 9), 6) for c in (0, 1, 2, 3, 9)}
+        best = {}
+        for c, m, p in members:
+            best[m] = max(best.get(m, (-1, 0)), (p, -c))
+        scored = sorted((-round(cos[-c] * p, 6), m) for m, (p, c) in best.items())[:5]
+        want += [(i, m, -s) for s, m in scored]
+    assert [(q, m) for q, m, _ in got] == [(q, m) for q, m, _ in sorted(want)]
