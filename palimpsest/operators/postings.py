@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.predicates import active
-from palimpsest.operators.retrieval import asked_terms, ranked_postings, terms
+from palimpsest.operators.retrieval import asked_terms, counted, ranked_postings, terms
 from palimpsest.sources.staging import delete, staged
 
 BUCKETS = 32
@@ -54,7 +54,7 @@ class Postings:
         now = docs.where("alive").agg(F.count("*").alias("n_now"), F.coalesce(F.sum("len"), F.lit(0)).alias("w_now"))
         change = now.crossJoin(F.broadcast(before))  # one row each
         self._add("stats", change.select((F.col("n_now") - F.col("n")).alias("docs"), (F.col("w_now") - F.col("w")).alias("words")), version)
-        found = docs.where("alive").select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+        found = docs.where("alive").select("id", F.explode(counted(F.col("words"))).alias("f")).select("f.term", "id", "f.tf")  # ids are there once
         self._add("terms", found.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket"), version)
         self._add("docs", docs.select("id", "project_id", "len", "alive"), version)  # last: only now the version counts
         delete(self.spark, docs.staged_path)

@@ -241,3 +241,20 @@ def test_search_by_concept_reads_representatives(spark):
         scored = sorted((-round(cos[-c] * p, 6), m) for m, (p, c) in best.items())[:5]
         want += [(i, m, -s) for s, m in scored]
     assert [(q, m) for q, m, _ in got] == [(q, m) for q, m, _ in sorted(want)]
+
+
+def test_terms_are_counted_record_by_record(spark, monkeypatch):
+    """No aggregation over all postings where ids are there once; rows of one id still are one record; slots have their own number of partitions."""
+    rows = [("a", "p", "Red red tree, red", None), ("b", "p", None, None), ("c", "global", "", None), ("d", "p", "tree", "gone"), ("e", "global", "éa ÉA 7", None)]
+    made = retrieval.postings(records(spark, rows))
+    want = [("7", "e", "global", 3, 1), ("red", "a", "p", 4, 3), ("tree", "a", "p", 4, 1), ("éa", "e", "global", 3, 2)]
+    assert sorted(map(tuple, made.collect())) == want
+    assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    twice = retrieval.postings(records(spark, [*rows, ("a", "p", "red blue old new", None)]))
+    assert sorted(tuple(r) for r in twice.collect() if r.id == "a") == [("blue", "a", "p", 4, 1), ("new", "a", "p", 4, 1), ("old", "a", "p", 4, 1), ("red", "a", "p", 4, 4), ("tree", "a", "p", 4, 1)]
+    monkeypatch.setattr(retrieval, "SLOT_POSTINGS", 10)
+    many = records(spark, [(f"m{i:03}", f"p{i % 3}", "red tree", None) for i in range(150)])
+    found = retrieval.bm25(many, spark.createDataFrame([(1, "red", "p0")], "query_id long, text string, project string"), 5)
+    assert "hashpartitioning(project_id" in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert f"{retrieval.PARTS_OF_SLOT * 15}), REPARTITION_BY_NUM" in plan
+    assert [r.id for r in found.orderBy("id").collect()] == [f"m{i:03}" for i in range(0, 15, 3)]
