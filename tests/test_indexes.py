@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import analysis, clusters, grams, graph, retrieval, validity, vector_join
+from palimpsest.operators import analysis, clusters, grams, graph, retrieval, substrings, validity, vector_join
 from palimpsest.operators.asof import latest
 from palimpsest.operators.postings import Postings
 
@@ -258,3 +258,28 @@ def test_terms_are_counted_record_by_record(spark, monkeypatch):
     assert "hashpartitioning(project_id" in (plan := found._jdf.queryExecution().executedPlan().toString())
     assert f"{retrieval.PARTS_OF_SLOT * 15}), REPARTITION_BY_NUM" in plan
     assert [r.id for r in found.orderBy("id").collect()] == [f"m{i:03}" for i in range(0, 15, 3)]
+
+
+def test_phrases_are_looked_for_in_one_pass(spark, monkeypatch):
+    """Any lengths, copies, nulls and ties give the rows of a brute search; a phrase that all records hold gives k rows of a slot, not one for each record."""
+    monkeypatch.setattr(substrings, "SLOT_BYTES", 1000)
+    letters = np.array(list("aBÉ "))
+    text = lambda n: "".join(letters[RNG.integers(0, 4, n)])
+    sure = [None, 0.5, 0.7, float("nan")]
+    rows = [(f"m{i:03}", f"p{i % 3}" if i % 4 else "global", None if i % 29 == 3 else text(int(RNG.integers(0, 90))), "now" if i % 17 == 5 else None, sure[i % 4], float(i % 3)) for i in range(250)]
+    rows += [("q", None, "ab", None, 0.5, 0.5), ("z", "global", "x" * 70 + "y" + "ab" * 40, None, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "id string, project_id string, content string, deleted_at string, confidence double, importance double")
+    asked = [(i, text(int(RNG.integers(1, 7))), ["p0", "p1", "global", "none"][i % 4]) for i in range(60)] + [(i + 60, "aB", "p0") for i in range(5)]
+    asked += [(90, "x" * 70 + "y" + "AB" * 40, "p1"), (91, "x" * 40 + "z", "p1"), (92, "", "p0"), (93, None, "p0"), (94, "a", None)]
+    queries = spark.createDataFrame(asked, "query_id long, text string, project string")
+    place = lambda x: (2, 0) if x is None else (0, 0) if x != x else (1, -x)
+    want = []
+    for q, t, p in asked:
+        held = sorted((place(r[4]), place(r[5]), r[0]) for r in rows if None not in (t, r[1], r[2]) and r[3] is None and r[1] in (p, "global") and t.lower() in r[2].lower())
+        score = float(any(len(w.encode()) > 1 for w in (t or "").lower().split(" ")))
+        want += [(q, i, score) for *_, i in held[:7]]
+    assert ranks(retrieval.like(df, queries, 7)) == sorted(want)
+    live = df.where("content IS NOT NULL").selectExpr("id", "project_id", "lower(content) AS text", "array(0D) AS by")
+    made = substrings.first_holding(live, spark.createDataFrame([(1, "global", "a")], "ask long, project_id string, phrase string"), 3).count()
+    slots = -(-live.where("project_id = 'global'").selectExpr("sum(octet_length(text) + 1) AS n").first().n // 1000)
+    assert slots > 1 and 3 <= made <= 3 * slots
