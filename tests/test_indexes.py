@@ -283,3 +283,22 @@ def test_phrases_are_looked_for_in_one_pass(spark, monkeypatch):
     made = substrings.first_holding(live, spark.createDataFrame([(1, "global", "a")], "ask long, project_id string, phrase string"), 3).count()
     slots = -(-live.where("project_id = 'global'").selectExpr("sum(octet_length(text) + 1) AS n").first().n // 1000)
     assert slots > 1 and 3 <= made <= 3 * slots
+
+
+def test_phrases_with_times(spark, monkeypatch):
+    """Bounds, phrases and open validity give the rows of a brute search; a text doesn't meet each question's phrase in a row of its own."""
+    monkeypatch.setattr(substrings, "SLOT_BYTES", 1000)
+    day = lambda d: None if d is None else T0 + dt.timedelta(days=int(d))
+    text = lambda n: "".join("abC "[x] for x in RNG.integers(0, 4, n))
+    rows = [(f"m{i:03}", f"p{i % 2}" if i % 3 else "global", text(60), None, day(RNG.choice([None, 1, 2, 3, 9, 20])), day(RNG.choice([None, None, 4, 8, 30])), T0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, project_id string, content string, deleted_at string, valid_from timestamp_ntz, valid_to timestamp_ntz, created_at timestamp_ntz")
+    asked = [(i, f"p{i % 3}", day([3, 5, None][i % 3]), day([None, 2][i // 3 % 2]), day([None, 3, 12][i // 2 % 3]), [text(2), "ca", None, "", "zz"][i % 5]) for i in range(60)]
+    queries = spark.createDataFrame(asked, "query_id long, project string, as_of timestamp_ntz, after timestamp_ntz, before timestamp_ntz, phrase string")
+    want = []
+    for q, p, at, after, before, phrase in asked:
+        ok = lambda b, e: (b is None or (at is not None and b <= at)) and (e is None or (at is not None and e > at)) and (after is None or (b is not None and b >= after)) and (before is None or (b is not None and b < before))  # noqa: B023, E731
+        held = [r for r in rows if r[1] in (p, "global") and ok(r[4], r[5]) and (phrase is None or phrase.lower() in r[2].lower())]
+        want += [(q, r[0]) for r in sorted(held, key=lambda r: (r[4] is None, -(r[4] or T0).timestamp(), r[0]))[:4]]
+    made = retrieval.temporal(df, queries, 4, F.lit(T0))
+    assert sorted((r.query_id, r.id) for r in made.collect()) == sorted(want) != []
+    assert "CoGroup" in (plan := made._jdf.queryExecution().executedPlan().toString()) and "Contains" not in plan
