@@ -302,3 +302,21 @@ def test_phrases_with_times(spark, monkeypatch):
     made = retrieval.temporal(df, queries, 4, F.lit(T0))
     assert sorted((r.query_id, r.id) for r in made.collect()) == sorted(want) != []
     assert "CoGroup" in (plan := made._jdf.queryExecution().executedPlan().toString()) and "Contains" not in plan
+
+
+def test_ancestors_in_few_rounds(spark, monkeypatch):
+    """Chains, cycles and several parents give the fewest steps; rounds are the logarithm of the depth."""
+    parents = [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("s", "s"), ("x", "c5"), ("x", "c9"), ("o", None), ("y", "x")]
+    ups = {n: [p for m, p in parents if m == n and p] for n, _ in parents}
+    want = set()
+    for n in ups:
+        seen, front, steps = {n}, {n}, 0
+        while front:
+            steps += 1
+            front = {p for m in front for p in ups.get(m, [])} - seen
+            seen |= front
+            want |= {(n, p, steps) for p in front}
+    rounds, kept = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: rounds.append(name) or kept(df, name))
+    assert {tuple(r) for r in graph.ancestors(spark.createDataFrame(parents, "name string, parent string")).collect()} == want
+    assert len(rounds) <= 8
