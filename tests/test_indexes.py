@@ -1,6 +1,7 @@
 """Kept indexes, joins by time and vectors, and hierarchies against brute force."""
 
 import datetime as dt
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -320,3 +321,18 @@ def test_ancestors_in_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "staged", lambda df, name: rounds.append(name) or kept(df, name))
     assert {tuple(r) for r in graph.ancestors(spark.createDataFrame(parents, "name string, parent string")).collect()} == want
     assert len(rounds) <= 8
+
+
+def test_two_stages_in_slices():
+    """A block's queries are compared some at a time: beside the scores little is in memory, and the result is the whole products'."""
+    unit = lambda n: (x := RNG.normal(size=(n, 32))) / np.linalg.norm(x, axis=1, keepdims=True)
+    q, x = unit(512), unit(4096)
+    allowed = RNG.random((512, 4096)) < 0.5
+    tracemalloc.start()
+    score, made = retrieval.two_stage(q, x, allowed, 10, 0.2, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * score.nbytes and made >= 5120
+    want = np.where(allowed, q @ x.T, -2)
+    some = want >= np.maximum(np.partition(want, -10, axis=1)[:, -10:-9], 0.2)
+    assert np.allclose(score[some], want[some])
