@@ -62,59 +62,96 @@ def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return rows.sort_values(["ts", "event_id"], kind="stable")
 
 
-def empty_runs_stream(events: DataFrame) -> DataFrame:
+#: Buckets of keys, each one state, so that Python and the store are called for each bucket of a batch, not for each key.
+BUCKETS = 512
+
+
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """rows with their bucket by key; null keys have bucket -1. A stream keeps its number of buckets for life."""
+    return rows.withColumn("bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int"))
+
+
+def _numbered(events: DataFrame, buckets: int) -> DataFrame:
+    """events in buckets by user_id, 0 for null so that the others stay whole numbers."""
+    return _bucketed(events, "user_id", buckets).withColumn("user_id", F.coalesce("user_id", F.lit(0)).cast("long"))
+
+
+def empty_runs_stream(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(user_id, event_id, empty_run) for each event of a stream (user_id, event_id, ts, empty); the run goes on over batches."""
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
+        now = dict(zip(*state.get, strict=True)) if state.exists else {}
         rows, runs = _in_order(parts), []
-        for empty in rows["empty"]:
-            run = empty_step(run, bool(empty))
-            runs.append(run)
-        state.update((run,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "empty_run": runs})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_id long, empty_run long", "run long", "append", GroupStateTimeout.NoTimeout)
+        users = rows["user_id"].tolist()
+        for user, empty in zip(users, rows["empty"].tolist(), strict=True):
+            now[user] = empty_step(now.get(user, 0), bool(empty))
+            runs.append(now[user])
+        state.update((list(now), list(now.values())))
+        yield pd.DataFrame({"user_id": users if key[0] >= 0 else None, "event_id": rows["event_id"], "empty_run": runs})
+
+    rows = _numbered(events.select("user_id", "event_id", "ts", "empty"), buckets)
+    return rows.groupBy("bucket").applyInPandasWithState(
+        update, "user_id long, event_id long, empty_run long", "users array<long>, runs array<long>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 class Averages(StatefulProcessor):
-    """A user's moving average: typed state of one value, the number of vectors and their average; no vectors are kept."""
+    """The moving averages of a bucket's users: for each the number of vectors and their average; no vectors are kept."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("average", "n long, mean array<double>")
+        self.state = handle.getValueState("averages", "users array<long>, n array<long>, means array<array<double>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, mean = 0, None
+        now, new = {}, {}
         if self.state.exists():
-            n, mean = self.state.get()
-            mean = np.array(mean)
-        for row in _in_order(rows).itertuples():
-            n, mean = n + 1, average_step(mean, row.vector, row.weight)
-        self.state.update((n, mean.tolist()))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [mean.tolist()]})
+            now = {user: (n, np.array(mean)) for user, n, mean in zip(*self.state.get(), strict=True)}
+        ordered = _in_order(rows)
+        for user, vector, weight in zip(*(ordered[c].tolist() for c in ("user_id", "vector", "weight")), strict=True):
+            n, mean = now.get(user, (0, None))
+            now[user] = new[user] = n + 1, average_step(mean, vector, weight)
+        self.state.update((list(now), [n for n, _ in now.values()], [mean.tolist() for _, mean in now.values()]))
+        users = list(new) if key[0] >= 0 else None
+        yield pd.DataFrame({"user_id": users, "n": [n for n, _ in new.values()], "mean": [mean.tolist() for _, mean in new.values()]})
 
     def close(self) -> None:
         pass
 
 
 class FirstArrival(StatefulProcessor):
-    """The time of a text's first arrival, given once; forgotten `days` after the watermark has passed it, by a timer."""
+    """The times of first arrival of a bucket's texts, each given once; forgotten `days` after the watermark has passed it, by a timer."""
 
     def __init__(self, days: float):
         self.milliseconds = int(days * 86_400_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getValueState("seen", "ts timestamp")
+        self.handle, self.seen = handle, handle.getValueState("seen", "hashes array<string>, micros array<long>")
+
+    def _until(self, micros: int) -> int:
+        return micros // 1000 + self.milliseconds
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = min(part["ts"].min() for part in rows)
-        if not self.seen.exists():
-            self.seen.update((first,))
-            self.handle.registerTimer(int(pd.Timestamp(first).timestamp() * 1000) + self.milliseconds)
-            yield pd.DataFrame({"content_hash": [key[0]], "ts": [first]})
+        now = dict(zip(*self.seen.get(), strict=True)) if self.seen.exists() else {}
+        new: dict[str, int] = {}
+        for part in rows:
+            for text, micros in part.groupby("content_hash")["micros"].min().items():
+                if text not in now:
+                    new[text] = min(int(micros), new.get(text, int(micros)))
+        if new:
+            if not now or min(new.values()) < min(now.values()):  # the timer is that of the first to be forgotten
+                self.handle.registerTimer(self._until(min(new.values())))
+            now |= new
+            self.seen.update((list(now), list(now.values())))
+            yield pd.DataFrame({"content_hash": list(new) if key[0] >= 0 else None, "micros": list(new.values())})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.seen.clear()
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        now = dict(zip(*self.seen.get(), strict=True)) if self.seen.exists() else {}
+        left = {text: micros for text, micros in now.items() if self._until(micros) > at}
+        if left:
+            self.seen.update((list(left), list(left.values())))
+            self.handle.registerTimer(self._until(min(left.values())))
+        else:
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:
@@ -126,17 +163,20 @@ def _with_store(events: DataFrame) -> None:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def averages_stream(events: DataFrame) -> DataFrame:
+def averages_stream(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(user_id, n, mean) of each user with new rows of a stream (user_id, event_id, ts, vector, weight)."""
     _with_store(events)
-    return events.groupBy("user_id").transformWithStateInPandas(Averages(), "user_id long, n long, mean array<double>", "Update", "None")
+    rows = _numbered(events.select("user_id", "event_id", "ts", "vector", "weight"), buckets)
+    return rows.groupBy("bucket").transformWithStateInPandas(Averages(), "user_id long, n long, mean array<double>", "Update", "None")
 
 
-def first_arrivals(texts: DataFrame, late: str = "1 hour", days: float = 60) -> DataFrame:
+def first_arrivals(texts: DataFrame, late: str = "1 hour", days: float = 60, buckets: int = BUCKETS) -> DataFrame:
     """(content_hash, ts) of each text of a stream (content_hash, ts) when it first arrives; what is `days` old is new again."""
     _with_store(texts)
-    rows = texts.select("content_hash", "ts").withWatermark("ts", late)
-    return rows.groupBy("content_hash").transformWithStateInPandas(FirstArrival(days), "content_hash string, ts timestamp", "Append", "EventTime")
+    rows = texts.select("content_hash", "ts", F.unix_micros("ts").alias("micros")).withWatermark("ts", late)
+    rows = _bucketed(rows, "content_hash", buckets).withColumn("content_hash", F.coalesce("content_hash", F.lit("")))
+    made = rows.groupBy("bucket").transformWithStateInPandas(FirstArrival(days), "content_hash string, micros long", "Append", "EventTime")
+    return made.select("content_hash", F.timestamp_micros("micros").alias("ts"))
 
 
 def averages(events: DataFrame) -> DataFrame:
