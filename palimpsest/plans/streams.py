@@ -24,17 +24,18 @@ def ran(stream, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(*[f"{folder}/out"]).select(*stream.columns)
 
 
-#: Files of a batch of events.
-FILES = 4
+#: Files of a batch of events at least, and events of a file about, so that the tasks of a batch grow with the table.
+FILES, FILE_EVENTS = 4, 100_000
 
 
 def events(spark, sf_dir):
-    """The events in three batches by time, FILES files each."""
+    """The events in three batches by time, FILES files each or as many as hold FILE_EVENTS."""
     folder = f"{own_dir(spark)}/events-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events")
+    files = max(FILES, -(-e.count() // (3 * FILE_EVENTS)))
     for k in range(3):
-        e.where(f"dayofmonth(ts) > {10 * k} AND dayofmonth(ts) <= {10 * (k + 1) + (k == 2)}").repartition(FILES).write.parquet(f"{folder}/{k}")
-    return pipelines.read_events(spark, f"{folder}/*", e.schema, FILES)
+        e.where(f"dayofmonth(ts) > {10 * k} AND dayofmonth(ts) <= {10 * (k + 1) + (k == 2)}").repartition(files).write.parquet(f"{folder}/{k}")
+    return pipelines.read_events(spark, f"{folder}/*", e.schema, files)
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2")
