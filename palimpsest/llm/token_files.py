@@ -36,7 +36,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: Characters whose kind all libraries agree on: the Latin blocks without the controls that some call white space.
 KNOWN_CHARS = [chr(c) for c in range(0x250) if not 0x1C <= c <= 0x1F]
 #: Bytes of words and ids that a worker keeps of each of two generations, and characters of the longest word.
-KEPT_BYTES, KEPT_CHARS = 32 << 20, 64
+KEPT_BYTES, KEPT_CHARS = 128 << 20, 64
 #: The key that stands for no key in files.
 NO_KEY = -(1 << 63)
 
@@ -126,13 +126,33 @@ class FileTokenizer:
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.size = 0
+        between = self.library.encode("\n", add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+
+    def _made(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words by the library.
+
+        Words that are not white space are encoded as lines of one text: a line's end parts words as
+        the pattern does, and its id is in none of them.
+        """
+        lines = [w for w in words if not w.isspace()] if self.between is not None else []
+        made = {}
+        if lines:
+            ids = np.array(self.library.encode("\n".join(lines), add_special_tokens=False).ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(lines, ends, strict=True):
+                made[w] = raw[4 * begin : 4 * end]
+                begin = end + 1
+        rest = [w for w in words if w not in made]
+        found = self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        return made | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, found, strict=True)}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, the new ones by the library."""
         found = {w: self.old[w] for w in words if w in self.old}
         new = [w for w in words if w not in found]
-        made = self.library.encode_batch_fast(new, add_special_tokens=False) if new else []
-        found |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, made, strict=True)}
+        found |= self._made(new) if new else {}
         for w, ids in found.items():
             if len(w) <= KEPT_CHARS:
                 self.size += 200 + len(w) + len(ids)

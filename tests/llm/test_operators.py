@@ -216,3 +216,17 @@ def test_toxicity_learns_from_whole_texts(spark):
     model = toxicity.learn(rows, labels)
     scores = [toxicity.score_of(model, m) for m in toxicity.marginals(model, [prose(40), prose(30) + " vilewordly"])]
     assert scores[0] < 0.5 < scores[1]
+
+
+def test_words_as_lines_of_one_text():
+    import numpy as np
+    import public_tokenizers
+
+    from palimpsest.llm import token_files
+
+    t = token_files.FileTokenizer(str(public_tokenizers.path("byte_bpe_50k.json")))
+    words = ["a", " a", "'s", "'", " '", "'ll", "!?", " \u00e9t\u00e9", "\u00ff\u0100", "12", " \u00b2", "\n", "\n\n", " \t", "\u00a0", "\x85", "\x00", " " + "x" * 70]
+    one = lambda w: np.array(t.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    assert t.between is not None and t._made(words) == {w: one(w) for w in words}
+    text = "It's 'so'\n\n  and\u00a0'll 12a!? \n'x"
+    assert t.encode(text) == one(text)
