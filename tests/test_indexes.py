@@ -1,6 +1,7 @@
 """Kept indexes, joins by time and vectors, and hierarchies against brute force."""
 
 import datetime as dt
+import re
 import tracemalloc
 
 import numpy as np
@@ -336,3 +337,22 @@ def test_two_stages_in_slices():
     want = np.where(allowed, q @ x.T, -2)
     some = want >= np.maximum(np.partition(want, -10, axis=1)[:, -10:-9], 0.2)
     assert np.allclose(score[some], want[some])
+
+
+def test_slots_of_asked_projects_go_to_few_partitions(spark, monkeypatch, capsys):
+    rows = [(f"m{i}", f"p{i % 3}", f"red w{i % 7}") for i in range(300)]
+    many = spark.createDataFrame(rows, "id string, project_id string, content string").withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    one = spark.createDataFrame([(1, "red w1", "p0")], "query_id long, text string, project string")
+    every = spark.createDataFrame([(q, f"red w{q}", f"p{q}") for q in range(3)], "query_id long, text string, project string")
+    want = [ranks(retrieval.bm25(many, asked, 5)) for asked in (one, every)]
+
+    def dealt(found):
+        found.explain()
+        return {int(n) for n in re.findall(r"hashpartitioning\(project_id#\w+, slot#\w+, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)}
+
+    monkeypatch.setattr(retrieval, "SLOT_POSTINGS", 10)
+    few = retrieval.bm25(many, one, 5)
+    assert ranks(few) == want[0] and dealt(few) == {72}
+    monkeypatch.setattr(retrieval, "SLOT_POSTINGS", 1)
+    most = retrieval.bm25(many, every, 5)
+    assert ranks(most) == want[1] and dealt(most) == {200}
