@@ -4,6 +4,7 @@ import hashlib
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,20 @@ def test_nulls_and_repeats(spark):
         docs = stage(spark, docs, DATA)
     got = docs.orderBy(F.col("doc_id").asc_nulls_first()).collect()
     assert [r.doc_id for r in got] == [None, 1, 2, 3] and [r.n_tokens == 0 for r in got] == [False, True, True, False]
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    docs = spark.range(2500).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang", "'src0' AS source")
+    given = spark.conf.get(P.BATCH)
+    seen = lambda df: max(r.n for r in df.select("doc_id").repartition(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect())
+    try:
+        for name, rows in (("pii", "10000"), ("sentencepiece", "0"), ("pii", "300")):
+            spark.conf.set(P.BATCH, rows)
+            made = dict(P.STAGES)[name](spark, docs, DATA)
+            assert made.count() == 2500 and seen(docs) == min(1000, int(rows) or 1000)
+        spark.conf.set(P.BATCH, "5000")
+        monkeypatch.setattr(P, "STAGES", [("pii", P.without_personal_data)])
+        monkeypatch.setattr(P, "table", lambda *_: docs)
+        assert P.run(spark, DATA).count() == 2500 and spark.conf.get(P.BATCH) == "5000"
+    finally:
+        spark.conf.set(P.BATCH, given)
