@@ -129,6 +129,10 @@ class FileTokenizer:
         between = self.library.encode("\n", add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
 
+    def _ids(self, text: str) -> np.ndarray:
+        """Ids of a text by the library, which makes no places of them."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _made(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words by the library.
 
@@ -138,7 +142,7 @@ class FileTokenizer:
         lines = [w for w in words if not w.isspace()] if self.between is not None else []
         made = {}
         if lines:
-            ids = np.array(self.library.encode("\n".join(lines), add_special_tokens=False).ids, "<u4")
+            ids = self._ids("\n".join(lines))
             ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
             raw, begin = ids.tobytes(), 0
             for w, end in zip(lines, ends, strict=True):
@@ -164,7 +168,7 @@ class FileTokenizer:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian u32."""
         if not self.by_word or self.other(text) or any(a in text for a in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._ids(text).tobytes()
         words = self.split(text)
         ids = list(map(self.kept.get, words))
         if None in ids:

@@ -230,3 +230,15 @@ def test_words_as_lines_of_one_text():
     assert t.between is not None and t._made(words) == {w: one(w) for w in words}
     text = "It's 'so'\n\n  and\u00a0'll 12a!? \n'x"
     assert t.encode(text) == one(text)
+
+
+def test_new_words_are_asked_without_their_places():
+    import numpy as np
+    from palimpsest.llm.queries import model_path
+    from palimpsest.llm.token_files import FileTokenizer
+
+    t = FileTokenizer(model_path("byte_bpe_50k.json"))
+    own = t.library
+    t.library = type("Fast", (), {"encode_batch_fast": lambda self, texts, add_special_tokens: own.encode_batch_fast(texts, add_special_tokens=add_special_tokens)})()
+    for text in ("", "two words, two words\n\nand 12 more", "naïve 你好 x", "<|endoftext|> y"):
+        assert t.encode(text) == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
