@@ -157,17 +157,17 @@ def bundle_pairs(left: DataFrame, right: DataFrame, n_pivots: int, radius: float
 
 
 class _Bundle:
-    """The blocks of one side of a task: their vectors, ids and tags one after the other, and their limits."""
+    """The blocks of one side (a or b) of a task: their vectors, ids and tags one after the other, and their limits."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, side: str):
         column = lambda c: table.column(c).combine_chunks()
         matrix = lambda c: column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        self.ids, self.tags = column("ids").flatten(), column("tags").flatten()
+        self.ids, self.tags = column(f"ids_{side}").flatten(), column(f"tags_{side}").flatten()
         n = table.column("n")[0].as_py()
         self.x = np.frombuffer(b"".join(v.as_buffer() for v in column("data"))).reshape(-1, n)
         self.single = self.x.astype(np.float32)
         self.near, self.far, self.centre, self.radius = matrix("near"), matrix("far"), matrix("centre"), column("radius").to_numpy()
-        self.sizes = column("ids").value_lengths().to_numpy()
+        self.sizes = column(f"ids_{side}").value_lengths().to_numpy()
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
 
     def meets(self, i: int, other: _Bundle, radius: float) -> np.ndarray:
@@ -258,17 +258,18 @@ def alike(left: DataFrame, right: DataFrame | None, least: float, counted: list
                 both = both.where(F.struct("bundle", "part", "salt", "k") <= F.struct("bundle_b", "part_b", "salt_b", "k_b"))
             a, b = one.count(), two.count()
             counted.append((both.count(), a * (a + 1) // 2 if same else a * b))
-        own = ["part", "salt", "k", "n", "ids", "tags", "data", "near", "far", "centre", "radius"]
-        first = met.join(one.select("bundle", *own), "bundle").select("bundle", "bundle_b", F.lit(False).alias("second"), *own)
-        second = met.join(two.select(F.col("bundle").alias("bundle_b"), *own), "bundle_b").select("bundle", "bundle_b", F.lit(True).alias("second"), *own)
+        own = ["part", "salt", "k", "n", "data", "near", "far", "centre", "radius"]
+        named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("ids", "tags")]  # noqa: E731  # each side's own columns: a union would give both one type
+        first = met.join(one.select("bundle", *own, *named("a")), "bundle").select("bundle", "bundle_b", F.lit(False).alias("second"), *own, "ids_a", "tags_a")
+        second = met.join(two.select(F.col("bundle").alias("bundle_b"), *own, *named("b")), "bundle_b").select("bundle", "bundle_b", F.lit(True).alias("second"), *own, "ids_b", "tags_b")
         if same:  # a bundle meets itself: it moves once
             second = second.where("bundle < bundle_b")
 
         def compared(table: pa.Table) -> pa.Table:
             itself = same and table.column("bundle")[0].as_py() == table.column("bundle_b")[0].as_py()
             side = table.column("second").to_numpy()
-            x = _Bundle(table.filter(pa.array(~side)))
-            y = x if itself else _Bundle(table.filter(pa.array(side)))
+            x = _Bundle(table.filter(pa.array(~side)), "a")
+            y = x if itself else _Bundle(table.filter(pa.array(side)), "b")
             root = np.arange(len(x.x) + len(y.x)) if forest else None
             found = [[np.zeros(0, int), np.zeros(0, int), np.zeros(0)]]
             for i, j, score in linked(x, y, least, radius, itself):
@@ -293,6 +294,6 @@ def alike(left: DataFrame, right: DataFrame | None, least: float, counted: list
                 i, j, score = i[order], j[order], score[order]
             return i, j, score
 
-        found = first.unionByName(second).groupBy("bundle", "bundle_b").applyInArrow(compared, schema).select(*columns)
+        found = first.unionByName(second, allowMissingColumns=True).groupBy("bundle", "bundle_b").applyInArrow(compared, schema).select(*columns)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema).select(*columns)

@@ -52,6 +52,16 @@ def test_vector_join_of_two_tables(spark):
     assert best == {i: int(np.lexsort((np.arange(len(y)), -c[i]))[0]) for i in range(len(x)) if c[i].max() >= 0.3}
 
 
+def test_vector_join_keeps_the_types_of_both_sides(spark):
+    left = spark.createDataFrame([(1 << 40, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<double>")
+    right = spark.createDataFrame([(7, [2.0, 0.0]), (8, [1.0, 1.0])], "id int, embedding array<double>")
+    made = vector_join.alike(left, right, 0.9)
+    assert [t for _, t in made.dtypes] == ["bigint", "int", "double"]
+    assert [tuple(r) for r in made.collect()] == [(1 << 40, 7, 1.0)]
+    named = vector_join.alike(left, right.select(F.concat(F.lit("n"), "id").alias("id"), "embedding"), 0.9)
+    assert [tuple(r) for r in named.collect()] == [(1 << 40, "n7", 1.0)]
+
+
 def test_clusters_grow(spark):
     x = planted(500)
     df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, embedding array<double>")
