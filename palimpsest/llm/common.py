@@ -38,7 +38,7 @@ MOST_BROADCAST = 1 << 20
 
 
 def short_list(keys: DataFrame) -> DataFrame:
-    """keys (one column of a written table) to be broadcast if there are at most MOST_BROADCAST of them, else as it is.
+    """keys (a column or two of a written table) to be broadcast if there are at most MOST_BROADCAST of them, else as it is.
 
     A join with a short list then doesn't shuffle the texts of the other side; the result is the same.
     """

@@ -17,8 +17,8 @@
 4. An item is in a document if SHARE of a view's windows or more are in consistent copies.
 
 Windows of a document stay with its row until they meet the benchmark; what is shuffled are hits.
-Spark broadcasts the benchmark's windows if their size is under its threshold, and otherwise
-joins by sorting, splitting hot windows.
+Distinct windows of the benchmark are broadcast if they are few enough (`short_list`), and otherwise
+joined by sorting, hot windows split. Items of one text are matched once.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ LEAST_ID = -(1 << 63)
 #: Stands for the space between the names of a run.
 JOINED = "\\u0002"
 NAME = r"\\p{Lu}\\p{Ll}+"
+#: A name or a run of names; possessive (*+), as Java goes a step deeper into its stack for each round of a group that may be given back.
+NAMES = f"^{NAME}(?:{JOINED}{NAME})*+$"
 #: Space between two names of which the first doesn't begin a sentence. It begins with the space: most spaces end there, as no capital follows.
 BETWEEN_NAMES = rf"[\\x20\\x09-\\x0D]+(?={NAME}(?![\\p{{L}}\\p{{N}}\\x27’-]))(?<=[^.!?:\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]\\p{{Lu}}\\p{{Ll}}{{1,40}}[\\x20\\x09-\\x0D]{{1,4}})"
 RUN_FIRST = rf"^[\\x20\\x09-\\x0D]*{NAME}[\\x20\\x09-\\x0D]+{NAME}(?![\\p{{L}}\\p{{N}}\\x27’-])"
@@ -64,7 +66,7 @@ def template_sql(text: str, names: bool = True) -> str:
     if names:
         text = f"regexp_replace({text}, '{BETWEEN_NAMES}', '{JOINED}')"
     name = f"""
-      when w <> get(b, i) and i > 0 and right(get(r, i - 1), 1) not in {_in(SENTENCE_ENDS)} and get(b, i) rlike '^{NAME}({JOINED}{NAME})*$' then '<name>'""" * names
+      when w <> get(b, i) and i > 0 and right(get(r, i - 1), 1) not in {_in(SENTENCE_ENDS)} and get(b, i) rlike '{NAMES}' then '<name>'""" * names
     words = f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
     bare = f"transform(r, w -> coalesce(nullif(btrim(w, '{PUNCTUATION}'), ''), w))"
     before = "get(l, i - 1)"
@@ -110,6 +112,9 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     share: what the caller asks for at least; items that reach less may have fewer windows found.
     """
     items = benchmark.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text")).where("item IS NOT NULL").dropDuplicates(["item"])
+    items = staged(items, "given")
+    equal = staged(items.join(items.groupBy("text").agg(F.min("item").alias("one")), "text").select("one", "item", "text"), "equal")  # items of one text are matched once
+    items = equal.where("item = one").select("item", "text")
     first_names = f"CASE WHEN text RLIKE '{RUN_FIRST}' THEN {_bound(template_sql("concat('x ', text)"), 'c', 'slice(c, 2, greatest(size(c) - 1, 0))')} END"
     views = items.select("item", F.expr(template_sql("text")).alias("c0"), F.expr(template_sql("text", False)).alias("c1"), F.expr(first_names).alias("c2"))
     each = F.expr("array(struct(0 AS view, c0 AS c), struct(1 AS view, if(transform(c0, w -> w.t) = transform(c1, w -> w.t), NULL, c1) AS c), struct(2 AS view, c2 AS c))")
@@ -148,7 +153,7 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     good = hits.join(broken, copy, "left_anti").select("doc", "h", "item", "view", "item_place").distinct()
     by_text = good.groupBy("doc", "h", "item", "view").agg(F.count("*").alias("n_found")).join(totals, ["item", "view"])
     best = by_text.groupBy("doc", "item").agg(F.max_by(F.struct("n_found", "n_windows"), F.struct(F.col("n_found") / F.col("n_windows"), "n_found")).alias("b"))
-    return best.select("doc", "item", "b.n_found", "b.n_windows")
+    return best.select("doc", F.col("item").alias("one"), "b.n_found", "b.n_windows").join(equal.select("one", "item"), "one").select("doc", "item", "n_found", "n_windows")
 
 
 def _hits(found: DataFrame, wanted: DataFrame, share: float) -> DataFrame:
@@ -158,8 +163,8 @@ def _hits(found: DataFrame, wanted: DataFrame, share: float) -> DataFrame:
     share another window with the item, except for items of which such windows alone could be `share`: nothing is lost, and a
     phrase that thousands of items begin with doesn't give each document that has it thousands of rows.
     """
-    hashes = wanted.groupBy("hash").agg(F.count("*").alias("n_items"))
-    met = staged(found.join(hashes, "hash").select("doc", "h", "place", "hash", (F.col("n_items") > MOST_ITEMS).alias("often")), "met")
+    hashes = staged(wanted.groupBy("hash").agg(F.count("*").alias("n_items")), "hashes")
+    met = staged(found.join(short_list(hashes), "hash").select("doc", "h", "place", "hash", (F.col("n_items") > MOST_ITEMS).alias("often")), "met")
     if met.where("often").isEmpty():
         pairs = met.join(wanted, "hash")
     else:

@@ -144,6 +144,28 @@ def test_decontamination_of_copies_in_any_case(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 2, 8: 2, 9: 2, 10: None, 11: 2}
 
 
+def test_decontamination_of_long_runs_of_names(spark):
+    """Java's stack didn't hold a run of two thousand names: that ends an executor."""
+    item = "Then the old engineer walked along the river and met Peter near the bridge of the town"
+    rows = [(1, "so " + "Von " * 20_000 + item), (2, "so " + "Von " * 20_000), (3, item)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontamination.contaminated(docs(spark, rows), bench).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_items_of_one_text_are_matched_once(spark):
+    a, b = prose(30), prose(30)
+    items = [(i, a) for i in range(3, 103)] + [(1, b), (200, None), (201, "")]
+    rows = [(1, f"{prose(9)} {a} {prose(9)}"), (2, f"{a} {prose(9)} {b}"), (3, prose(40))]
+    bench, calls = spark.createDataFrame(items, "item_id long, text string"), []
+    plain, decontamination._hits = decontamination._hits, lambda *x: calls.append(plain(*x)) or calls[-1]
+    try:
+        got = {r.doc_id: (r.n_items, r.first_item, r.n_found) for r in decontamination.contaminated(docs(spark, rows), bench).collect()}
+    finally:
+        decontamination._hits = plain
+    assert got == {1: (100, 3, 2300), 2: (101, 1, 2323), 3: (0, None, 0)}
+    assert calls[0].count() == 3 * 23
+
+
 def test_a_window_of_many_items(spark):
     """500 items begin alike: documents with that beginning meet only the items that they share more with, and those are found."""
     begin = prose(14)
