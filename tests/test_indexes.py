@@ -366,3 +366,22 @@ def test_slots_of_asked_projects_go_to_few_partitions(spark, monkeypatch, capsys
     monkeypatch.setattr(retrieval, "SLOT_POSTINGS", 1)
     most = retrieval.bm25(many, every, 5)
     assert ranks(most) == want[1] and dealt(most) == {200}
+
+
+def test_second_steps(spark, monkeypatch):
+    """Groups and deals of any size give the same as brute force, also where ids of both kinds are equal; what moves are lists, not pairs."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 500), rng.integers(40, 90, 500), strict=True)} | {(20, 20)}
+    both = {*pairs, *((b, a) for a, b in pairs)}
+    one = {(a, b) for a, b in pairs if a % 4 == 0}
+    want = {(s, d) for s, i in one for a, d in both if a == i and d != s and (s, d) not in one}
+    frame = lambda rows, names: spark.createDataFrame([*rows, (None, 3), (8, None)], names)
+    made = graph.second_steps(frame(one, "seed long, id long"), frame(both, "src long, dst long"))
+    rows = [tuple(r) for r in made.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(seed", plan)
+    monkeypatch.setattr(graph, "GROUP_PAIRS", 300)
+    monkeypatch.setattr(graph, "SEED_PAIRS", 40)
+    rows = [tuple(r) for r in graph.second_steps(frame(one, "seed long, id long"), frame(both, "src long, dst long")).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
