@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from palimpsest.plans import search
+from palimpsest.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.oracle_sql() if not n.startswith("op")]
@@ -52,3 +54,10 @@ def test_neighbours_where_parts_have_the_numbers_of_suppliers(spark, tmp_path):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     made = [tuple(r) for r in entry.queries()["code_neighbours"](spark, str(tmp_path)).select("seed", "id", "steps").collect()]
     assert sorted(map(str, made)) == sorted(map(str, con.sql(entry.oracle_sql()["code_neighbours"]).fetchall()))
+
+
+def test_hybrid_searches_join_no_texts(spark):
+    records = tables.memories(spark, DATA, "confidence", "type", "importance").drop("content")
+    above, *below = records._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+    assert below and "text#" not in above and "content#" not in above and "kinds#" in above
+    assert not {"content", "embedding"} & set(search.fused(spark, DATA)[0].columns)
