@@ -97,3 +97,9 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
         assert P.run(spark, DATA).count() == 2500 and spark.conf.get(P.BATCH) == "5000"
     finally:
         spark.conf.set(P.BATCH, given)
+
+
+def test_long_runs_of_names_pass_decontamination(spark):
+    """Java's stack didn't hold them: the executor was lost."""
+    docs = spark.createDataFrame([(1, "so " + "Von " * 20_000, "de", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in P.without_benchmark(spark, docs, DATA).collect()] == [1]
